@@ -25,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwell.llm.memory import REMEMBERED, Memory
 from loomwell.llm.shared import small_batches, text_or_empty
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SCHEMA_IDS = SCHEMA + ", ids binary"
-#: Words, pieces and (twice as many) pairs in one generation of a worker's memory.
-REMEMBERED = 300_000
 
 
 class Vocabulary:
@@ -143,28 +142,6 @@ class Vocabulary:
             end = at + size[token]
 
 
-class Memory:
-    """A bounded memory of two generations; what is asked for again stays."""
-
-    def __init__(self, make, longest: int = 64):
-        self.make, self.longest, self.old = make, longest, {}
-        outer = self
-
-        class Young(dict):
-            def __missing__(self, key: str) -> bytes:
-                found = outer.old.get(key)
-                if found is None:
-                    found = outer.make(key)
-                if len(key) <= outer.longest:
-                    if len(self) >= REMEMBERED:
-                        outer.old = dict(self)
-                        self.clear()
-                    self[key] = found
-                return found
-
-        self.get = Young().__getitem__
-
-
 class Encoder:
     """Whole texts to little-endian 32-bit ids and back."""
 
