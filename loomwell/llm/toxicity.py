@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled texts is the set of examples. Terms are lower-case words; those
-whose share of toxic texts differs from the whole sample's (by a likelihood ratio test) are
+A bounded sample of labelled texts is the set of examples. Terms are lower-case words and
+word beginnings; those whose share of toxic texts differs from the whole sample's (by a likelihood ratio test) are
 kept, weighted (1 + ln tf) * idf, and normalised per text. The inverted index stores, for each
 term, its postings in blocks of neighbouring examples and the largest weight in each block. A
 query goes through blocks in order of their bound and stops when the next bound is below the
@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,31 @@ LEAST_RATIO = 12.0
 LEAST_TEXTS = 3
 NEIGHBOURS = 15
 BLOCK = 64
+#: Lengths of the word beginnings that are terms beside whole words.
+STEMS = (4, 5, 6)
 words = re.compile(r"[^\W\d_]+").findall
 
 
+def terms_of(word: str) -> list[str]:
+    """A word and its beginnings; compounds and inflections share these."""
+    return [word, *[word[:k] + "*" for k in STEMS if len(word) > k]]
+
+
+class Known(dict):
+    """Word -> numbers of its kept terms, remembered up to a bound."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= 400_000:
+            self.clear()
+        found = tuple(i for term in terms_of(word) if (i := self.vocabulary.get(term)) is not None)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
 def _ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
     """Likelihood ratio of term counts a of n_a toxic and b of n_b other texts."""
 
@@ -66,12 +89,18 @@ class Examples:
     without: float
     curve_x: np.ndarray
     curve_y: np.ndarray
+    known: Known | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        counts = Counter(filter(None, map(self.vocabulary.get, words(text.lower()))))
+        if self.known is None:
+            self.known = Known(self.vocabulary)
+        counts = Counter(chain.from_iterable(filter(None, map(self.known.__getitem__, words(text.lower())))))
         if not counts:
             return np.zeros(0, np.int64), np.zeros(0)
-        terms = np.fromiter(counts.keys(), np.int64, len(counts)) - 1
+        terms = np.fromiter(counts.keys(), np.int64, len(counts))
         weight = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[terms]
         return terms, weight / np.sqrt((weight**2).sum())
 
@@ -147,11 +176,11 @@ def fit(texts: list[str], labels: list[int], ids: list[int]) -> Examples:
     toxic: Counter[str] = Counter()
     other: Counter[str] = Counter()
     for i in chosen:
-        (toxic if labels[i] else other).update(set(words(texts[i].lower())))
+        (toxic if labels[i] else other).update(set(chain.from_iterable(map(terms_of, set(words(texts[i].lower()))))))
     terms = [t for t in {*toxic, *other} if toxic[t] + other[t] >= LEAST_TEXTS]
     a, b = (np.array([c[t] for t in terms], dtype=float) for c in (toxic, other))
     kept = sorted(t for t, r in zip(terms, _ratio(a, b, n_toxic, n_other) if terms else [], strict=True) if r >= LEAST_RATIO)
-    vocabulary = {t: i + 1 for i, t in enumerate(kept)}
+    vocabulary = {t: i for i, t in enumerate(kept)}
     idf = np.array([np.log((1 + len(chosen)) / (1 + toxic[t] + other[t])) + 0.1 for t in kept])
     empty = np.zeros((len(kept), 0))
     model = Examples(vocabulary, idf, empty, np.zeros(0, np.int64), np.zeros(0), empty, np.zeros(0), np.zeros(0, np.int64), 0.05, np.zeros(1), np.zeros(1))
