@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwell.llm import bpe, exact_dedup, language, packing, quality, toxicity
+from loomwell.llm import bpe, exact_dedup, language, packing, quality, shingle_join, toxicity
 from loomwell.sources.tables import table
 
 
@@ -36,6 +36,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.shingle_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language": op7_language,
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
+        "op10_shingle_join": op10_shingle_join,
     }
 
 
