@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwell.llm import bpe, exact_dedup, language, packing, quality, shingle_join, toxicity
+from loomwell.llm import bpe, embedding_dedup, exact_dedup, html_text, language, packing, quality, shards, shingle_join, toxicity
+from loomwell.llm.shared import new_folder
 from loomwell.sources.tables import table
 
 
@@ -20,10 +21,24 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as read from the shards of the committed version."""
+    store = shards.shard_corpus(table(spark, sf_dir, "documents"), new_folder(spark, "shards"))
+    return shards.digests(store.read())
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
@@ -44,7 +59,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_html_text": op3_html_text,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_shards": op5_shards,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_language": op7_language,
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
@@ -53,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op5_shards": shards.ORACLE}
