@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from loomwell.llm.sampling import labelled_sample
 from loomwell.llm.shared import crc_of_id, small_batches, text_or_empty
 
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 #: Likelihood ratio that a kept term reaches at least (p < 0.0005 for one degree of freedom).
 LEAST_RATIO = 12.0
 LEAST_TEXTS = 3
@@ -109,27 +109,22 @@ class Examples:
         bound = weight @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
+        at, step = 0, 8
         while at < len(order) and bound[order[at]] > 0:
             if len(best) >= k and bound[order[at]] < best[-1]:
                 break
-            taken = order[at : at + step]
-            at, step = at + step, min(2 * step, 32)
-            place = np.full(self.most.shape[1], -1)
-            place[taken] = np.arange(len(taken))
-            scores = np.zeros(len(taken) * BLOCK)
-            for term, w in zip(terms.tolist(), weight.tolist(), strict=True):
-                edges = self.starts[term]
-                low, high = edges[0], edges[-1]
-                found = self.postings[low:high]
-                here = place[found // BLOCK]
-                keep = here >= 0
-                if keep.any():
-                    scores[here[keep] * BLOCK + found[keep] % BLOCK] += w * self.weights[low:high][keep]
-            hit = np.flatnonzero(scores)
-            number = taken[hit // BLOCK] * BLOCK + hit % BLOCK
-            hit, number = hit[number != but], number[number != but]
-            best_at, best = np.concatenate([best_at, number]), np.concatenate([best, scores[hit]])
+            taken = np.sort(order[at : at + step])
+            at, step = at + step, 2 * step
+            # all postings of these terms in these blocks, in one gather
+            begin = self.starts[np.ix_(terms, taken)].ravel()
+            size = self.starts[np.ix_(terms, taken + 1)].ravel() - begin
+            ends = np.cumsum(size)
+            found = np.repeat(begin - ends + size, size) + np.arange(ends[-1])
+            by = np.repeat(np.repeat(weight, len(taken)), size)
+            scores = np.bincount(self.postings[found], by * self.weights[found], len(self.labels))
+            number = np.flatnonzero(scores)
+            number = number[number != but]
+            best_at, best = np.concatenate([best_at, number]), np.concatenate([best, scores[number]])
             top = np.lexsort((best_at, -best))[:k]
             best_at, best = best_at[top], best[top]
         return best_at, best
