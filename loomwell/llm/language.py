@@ -54,18 +54,19 @@ def script(letter: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """Character n-grams of a word with its ends marked, n from 1 to 4, and the word itself."""
-    marked = f"<{word[:40]}>"
-    n = len(marked)
-    return [marked[i : i + k] for k in (2, 3, 4) for i in range(n - k + 1)] + list(word[:40]) + [marked + "="]
+    """The trigrams of a word with its ends marked, its letters, and the word itself."""
+    word = word[:40]
+    marked = f"<{word}>"
+    return [marked[i : i + 3] for i in range(len(word))] + [*set(word), marked + "="]
 
 
 class Model:
     """Per-language n-gram scores, and the languages written in each script."""
 
     def __init__(self, langs: list[str], table: dict[str, np.ndarray], scripts: dict[str, np.ndarray]):
-        self.langs, self.table, self.scripts = langs, table, scripts
-        self.zero = np.zeros(len(langs), np.float32)
+        self.langs, self.scripts = langs, scripts
+        self.place = {gram: i for i, gram in enumerate(table)}
+        self.rows = np.array([*table.values()], np.float32).reshape(len(table), len(langs))
 
     @classmethod
     def fit(cls, texts: list[str], langs: list[str]) -> Model:
@@ -96,8 +97,7 @@ class Model:
 
     def word(self, word: str) -> bytes:
         """Scores of one word by language, the best at zero."""
-        rows = [row for gram in grams(word) if (row := self.table.get(gram)) is not None]
-        total = np.sum(rows, axis=0, dtype=np.float32) if rows else self.zero
+        total = self.rows[[i for i in map(self.place.get, grams(word)) if i is not None]].sum(0)
         mask = self.scripts.get(script(word[0]))
         score = np.maximum(total - total.max(), -MOST_PER_WORD)
         return (score if mask is None else score + mask).astype(np.float32).tobytes()
@@ -109,9 +109,10 @@ class Model:
         any run of words; only texts where one does need the full dynamic programme.
         """
         best = int(scores.sum(0).argmax())
-        gain = np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)
-        low = np.minimum.accumulate(np.vstack([np.zeros((1, gain.shape[1])), gain[:-1]]), axis=0)
-        if (gain - low).max() <= SWITCH:
+        gain = (scores - scores[:, best : best + 1]).T.cumsum(1)
+        before = np.zeros_like(gain)
+        before[:, 1:] = gain[:, :-1]
+        if (gain - np.minimum.accumulate(before, axis=1)).max() <= SWITCH:
             return np.full(len(scores), best, np.int32)
         state = scores[0].astype(np.float64)
         back = np.empty(scores.shape, np.int32)
