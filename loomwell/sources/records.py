@@ -29,7 +29,7 @@ def sidecars(spark: SparkSession, path: str) -> DataFrame:
 
 def truth_csv(spark: SparkSession, path: str) -> DataFrame:
     """Two-line-header truth files (page_type;T / cle;statut;valeur) as typed rows."""
-    lines = spark.read.option("wholetext", True).option("pathGlobFilter", "*.csv").text(path).withColumn("file", F.input_file_name())
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path, wholetext=True).withColumn("file", F.input_file_name())
     body = F.split(F.regexp_replace("value", "\r", ""), "\n")
     rows = lines.select("file", F.element_at(F.split(body[0], ";"), 2).alias("page_type"), F.posexplode(F.slice(body, 3, F.size(body))).alias("seq", "line"))
     cells = F.split("line", ";", 3)
