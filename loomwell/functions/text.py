@@ -181,8 +181,13 @@ def vocabulary_match(least: float = 88.0, entries: tuple[str, ...] = VOCABULARY)
         seen: dict[str, str | None] = {}
 
         def top(form: str, others: list[str]) -> tuple[float, int]:
-            """Best score and entry; entries that differ too much in length can't reach ``least``."""
-            near = [i for i, f in enumerate(others) if 200 * min(len(form), len(f)) >= least * (len(form) + len(f))]
+            """Best score and entry. Entries that share too few characters with the text can't reach
+            ``least`` and aren't compared."""
+            near = []
+            for i, f in enumerate(others):
+                both = len(form) + len(f)
+                if 200 * min(len(form), len(f)) >= least * both and 200 * sum(map(f.__contains__, form)) >= least * both:
+                    near.append(i)
             return max(((indel_ratio(form, others[i]), -i) for i in near), default=(0.0, 0))
 
         def best(text: str) -> str | None:
