@@ -205,9 +205,14 @@ def languages(docs: DataFrame, bound: int = FIT_ROWS) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has a language."""
-    from loomwell.llm.shared import materialise
+    """The rows of ``docs``, with all their columns, whose text has a language, in one pass."""
+    small_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _labeller(model)
+        for batch in batches:
+            keep = [own.label(text or "")[0] != UNDECIDED for text in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    rejected = languages(docs).where(F.col("lang_pred") == UNDECIDED).select("doc_id").distinct()
-    rejected, _ = materialise(rejected, "language-rejected")
-    return docs.join(rejected, "doc_id", "left_anti")
+    return docs.mapInArrow(run, docs.schema)

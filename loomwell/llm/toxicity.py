@@ -220,21 +220,23 @@ def _score_rows(model, with_evidence: bool):
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, with_evidence: bool = True) -> DataFrame:
-    """doc_id, held_out, score, predicted and the neighbours' ids for every row of ``docs``.
+def learn(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS):
+    """The examples, as a broadcast of bounded size.
 
-    ``labels`` (doc_id, toxic) teach only where crc32 of the id, modulo 5, is not 0. The
-    examples reach the executors as one broadcast of bounded size.
+    ``labels`` (doc_id, toxic) teach only where crc32 of the id, modulo 5, is not 0.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     known = labels.where(F.col("toxic").isin(0, 1) & (crc_of_id("doc_id") % 5 != 0)).select("doc_id", "toxic")
     chosen = labelled_sample(known, "doc_id", bound)
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id").toArrow()
     order = np.argsort(taught.column("doc_id").to_numpy(), kind="stable").tolist()
     columns = [taught.column(c).to_pylist() for c in ("text", "toxic", "doc_id")]
-    model = spark.sparkContext.broadcast(fit(*[[c[i] for i in order] for c in columns]))
-    del taught, columns
+    return docs.sparkSession.sparkContext.broadcast(fit(*[[c[i] for i in order] for c in columns]))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, with_evidence: bool = True) -> DataFrame:
+    """doc_id, held_out, score, predicted and the neighbours' ids for every row of ``docs``."""
+    small_batches(docs.sparkSession)
+    model = learn(docs, labels, bound)
     schema = "doc_id long, score double, predicted int" + ", evidence array<long>" * with_evidence
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text"))
     scored = rows.mapInArrow(_score_rows(model, with_evidence), schema)
@@ -243,9 +245,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, w
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text isn't predicted to be toxic."""
-    from loomwell.llm.shared import materialise
+    """The rows of ``docs``, with all their columns, whose text isn't predicted to be toxic.
+
+    Rows are judged and passed on in one pass: nothing is shuffled or joined.
+    """
+    small_batches(docs.sparkSession)
+    model = learn(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples: Examples = model.value
+        for batch in batches:
+            keep = [examples.score(text or "")[0] < 0.5 for text in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    rejected = toxicity_scores(docs, labels, with_evidence=False).where("predicted = 1").select("doc_id").distinct()
-    rejected, _ = materialise(rejected, "toxicity-rejected")
-    return docs.join(rejected, "doc_id", "left_anti")
+    return docs.mapInArrow(run, docs.schema)
