@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import parse, text
-from loomwell.operators import evaluate, freeform, lifecycle, linkage, merge, model, questions, rules
+from loomwell.operators import evaluate, freeform, layout, lifecycle, linkage, merge, model, questions, rules
 from loomwell.plans.bindings import READINGS_SQL, STATES_SQL, k_of, readings, states
 from loomwell.plans.registry import query
 from loomwell.sources.tables import table
@@ -486,11 +486,46 @@ def connected_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("lane"), F.to_date("l_shipdate").alias("s"), F.date_add(F.to_date("l_shipdate"), F.col("l_quantity").cast("int") % 4).alias("e")
     )
-    order = Window.partitionBy("lane").orderBy("s", "e")
-    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.when(reach.isNull() | (F.col("s") > reach), 1).otherwise(0)
-    islands = boxes.withColumn("new", starts).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("lane", "island").agg(F.min("s").alias("starts"), F.max("e").alias("ends"), F.count(F.lit(1)).alias("n"))
+    return layout.merged_intervals(boxes, "lane", "s", "e")
+
+
+@query(
+    """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT q.id AS query, r.id AS match, sqrt(list_sum(list_transform(list_zip(q.v, r.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS distance FROM e q JOIN e r ON q.id % 50 = 0 AND q.id <> r.id),
+t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, match) AS rank, lead(distance) OVER (PARTITION BY query ORDER BY distance, match) AS second FROM d)
+SELECT query, match, round(distance, 6) AS distance FROM t WHERE rank = 1 AND distance < 0.95 * second"""
+)
+def knn_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    found = layout.ratio_matches(rows.where("id % 50 = 0"), rows, 0.95)
+    return found.select("query", "match", F.round("distance", 6).alias("distance"))
+
+
+_POINTS = "v AS (SELECT p_partkey AS id, p_brand AS page_type, CAST(p_partkey * 37 % 500 AS DOUBLE) AS x, CAST(p_size * 10 AS DOUBLE) AS y FROM part)"
+
+
+@query(
+    f"""WITH {_POINTS}, z AS (SELECT s_suppkey AS zone, 'Brand#' || CAST(s_suppkey % 25 + 1 AS VARCHAR) AS page_type, CAST(s_suppkey * 13 % 400 AS DOUBLE) AS x0, CAST(s_suppkey * 7 % 300 AS DOUBLE) AS y0,
+  CAST(s_suppkey * 13 % 400 + 120 AS DOUBLE) AS x1, CAST(s_suppkey * 7 % 300 + 90 AS DOUBLE) AS y1 FROM supplier)
+SELECT v.page_type, id, zone FROM v JOIN z ON v.page_type = z.page_type AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"""
+)
+def zone_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, key = table(spark, sf_dir, "part"), F.col("s_suppkey")
+    values = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("page_type"), (F.col("p_partkey") * 37 % 500).cast("double").alias("x"), (F.col("p_size") * 10).cast("double").alias("y"))
+    x0, y0 = key * 13 % 400, key * 7 % 300
+    zones = table(spark, sf_dir, "supplier").select(
+        key.alias("zone"), F.concat(F.lit("Brand#"), key % 25 + 1).alias("page_type"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"),
+        (x0 + 120).cast("double").alias("x1"), (y0 + 90).cast("double").alias("y1"),
+    )
+    return layout.values_in_zones(values, zones)
+
+
+@query(
+    """WITH r AS (SELECT user_id, event_id, value, row_number() OVER w AS rank, lead(value) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value DESC, event_id))
+SELECT user_id, event_id, value, rank, greatest(0.0::DOUBLE, least(1.0::DOUBLE, value - coalesce(next, 0))) AS margin FROM r WHERE rank <= 3"""
+)
+def best_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.best_with_margin(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
 
 
 @query(

@@ -137,3 +137,32 @@ def test_imaging(spark):
     assert (imaging.masked(grey, [(10, 10, 30, 14)])[4:20, 4:36] == 0).all()
     rows = spark.createDataFrame([(1, 40, 40, bytearray(grey.tobytes()))], "id long, width int, height int, pixels binary")
     assert imaging.measure(rows).first().ink == pytest.approx(0.05)
+
+
+def test_layout(spark):
+    from loomwell.operators import layout
+
+    levels = spark.createDataFrame([([10.0, 1.0, 3.0, 4.5, 14.0],)], "v array<double>").select(layout.distinct_levels(F.col("v"))).first()[0]
+    assert levels == [1.0, 4.5, 10.0, 14.0]
+    lines = spark.createDataFrame([("p", 1, 0.0, 0.0, 9.0, 0.0), ("p", 2, 9.0, 0.0, 9.0, 5.0), ("p", 3, 50.0, 0.0, 60.0, 0.0), ("p", 4, 9.0, 5.0, 20.0, 5.0)], "page string, line int, x0 double, y0 double, x1 double, y1 double")
+    assert {(r.line, r.component) for r in layout.touching_lines(lines, "page").collect()} == {(1, 1), (2, 1), (3, 3), (4, 1)}
+    vectors = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.1, 0.0]), (3, [5.0, 5.0]), (4, [5.0, 6.0]), (5, [6.0, 5.0])], "id long, v array<double>")
+    got = {(r.query, r.match) for r in layout.ratio_matches(vectors, vectors).collect()}
+    assert got == {(1, 2), (2, 1), (4, 3), (5, 3)}
+    anchors = spark.createDataFrame([("a", t) for t in "wxyz"] + [("b", t) for t in "wxyq"] + [("c", "w")], "page_type string, text string")
+    twins = freeform.twin_pages(anchors, 0.5).collect()
+    assert [(t.one, t.two, t.only_one, t.only_two) for t in twins] == [("a", "b", ["z"], ["q"])]
+
+
+def test_manual_entries_and_answers(spark):
+    from loomwell.operators import manual
+
+    shape = f"key string, type string, value {model.VALUE}, status string, confidence double, reasons array<string>, validated_by string, entry string, entry_status string, entry_by string"
+    rows = [("a", "date", None, "A_REVISER", 0.2, [], None, "12/05/2022", None, "sf"), ("b", "date", None, "A_REVISER", 0.2, [], None, "32/05/2022", None, "sf"), ("c", "bool", None, "A_REVISER", 0.2, [], None, "Oui", None, "sf"), ("d", "int", None, "CONNU", 0.9, [], None, None, "ILLISIBLE", "sf"), ("e", "int", None, "CONNU", 0.9, [], None, None, None, None)]
+    got = {r.key: r for r in manual.enter(spark.createDataFrame(rows, shape)).collect()}
+    assert got["a"].value.d == D(2022, 5, 12) and got["a"].status == "CONNU" and got["a"].confidence == 1.0
+    assert not got["b"].accepted and got["b"].status == "A_REVISER" and got["c"].value.b is True
+    assert got["d"].status == "ILLISIBLE" and got["d"].value is None and got["e"].confidence == 0.9
+    answers = spark.createDataFrame([("x", 3, '{"values": ["1", null]}'), ("y", 2, '```json\n{"1": "a", "2": "b", "3": "c"}```'), ("z", 1, "sorry")], "call_id string, n int, raw string")
+    slots = {(r.call_id, r.slot): r.text for r in manual.answer_slots(answers).collect()}
+    assert slots == {("x", 1): "1", ("x", 2): None, ("x", 3): None, ("y", 1): "a", ("y", 2): "b", ("z", 1): None}
