@@ -19,15 +19,15 @@ def components(edges: DataFrame, most_steps: int = 100) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the smallest node
     that is reachable. Nulls and loops are left out; an empty input gives no rows."""
     spark = edges.sparkSession
-    now, path = materialise(_tidy(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "links")
+    now, path = materialise(_tidy(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "links", narrow=True)
     seen = None
     for _ in range(most_steps):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         now, old = _star(both, larger=True), path
-        now, path = materialise(now, "links")
+        now, path = materialise(now, "links", narrow=True)
         forget(spark, old)
         now, old = _star(now, larger=False), path
-        now, path = materialise(now, "links")
+        now, path = materialise(now, "links", narrow=True)
         forget(spark, old)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
@@ -44,7 +44,7 @@ def _tidy(pairs: DataFrame) -> DataFrame:
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """Link the larger (or the smaller) neighbours of every node to its smallest neighbour."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    least, _ = materialise(least, "minima")
+    least, _ = materialise(least, "minima", narrow=True)
     met = edges.join(least.hint("merge"), "u")
     if larger:
         return _tidy(met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))

@@ -44,11 +44,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shuffles and adaptive execution can split a hot group.
     """
     sig, _ = materialise(signatures(docs, id_col, text_col), "dedup-signatures")
-    by_length, _ = materialise(_groups(sig, "n_bare"), "dedup-lengths")
+    by_length, _ = materialise(_groups(sig, "n_bare"), "dedup-lengths", narrow=True)
     alike = sig.select("doc_id", "n_text", "n_bare", "head", "digest").join(
         by_length.hint("merge"), "n_bare", "left_semi"
     )
-    by_head, _ = materialise(_groups(alike, "n_bare", "head"), "dedup-heads")
+    by_head, _ = materialise(_groups(alike, "n_bare", "head"), "dedup-heads", narrow=True)
     alike = alike.join(by_head.hint("merge"), ["n_bare", "head"], "left_semi")
     first = F.min(F.struct((-F.col("n_text")).alias("less"), F.col("doc_id")))
     groups = (
@@ -57,7 +57,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .where("group_size > 1")
         .select("digest", "group_size", F.col("first.doc_id").alias("keep_id"), (-F.col("first.less")).alias("keep_n"))
     )
-    groups, _ = materialise(groups, "dedup-groups")
+    groups, _ = materialise(groups, "dedup-groups", narrow=True)
     return (
         sig.select("doc_id", "n_text", "digest")
         .join(groups.hint("merge"), "digest", "left")
@@ -81,7 +81,7 @@ def _groups(rows: DataFrame, *keys: str) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     out = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    dropped, _ = materialise(out, "dedup-dropped")
+    dropped, _ = materialise(out, "dedup-dropped", narrow=True)
     return docs.join(dropped, id_col, "left_anti")
 
 

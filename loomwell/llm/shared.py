@@ -27,11 +27,17 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_root(spark)}/loomwell/{what}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+def materialise(df: DataFrame, what: str, narrow: bool = False) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and the copy
-    outlives any executor. Returns the frame and its folder."""
+    outlives any executor. Returns the frame and its folder.
+
+    ``narrow``: rows of a few numbers, which are written by four tasks per core at most, so that
+    steps over small tables don't pay for a file per shuffle partition.
+    """
     spark = df.sparkSession
     path = new_folder(spark, what)
+    if narrow:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

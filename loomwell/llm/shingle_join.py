@@ -138,17 +138,31 @@ def _scan(k: int, percent: int):
     return run
 
 
-def _sets(k: int, percent: int):
+def _region_keys(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, regions = Shingler(k), Regions(percent)
         for batch in batches:
-            found = [shingles(text)[0] for text in batch.column(1).to_pylist()]
-            members = pa.array([f.tobytes() for f in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), members, _lists([regions.keys(f) for f in found])], ["node", "members", "keys"])
+            keys = [regions.keys(shingles(text)[0]) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(keys)], ["node", "keys"])
 
     return run
 
 
+def _members(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(k)
+        for batch in batches:
+            members = pa.array([shingles(text)[0].tobytes() for text in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("component"), batch.column("n"), members], ["node", "component", "n", "members"])
+
+    return run
+
+
+def _with_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts of some documents (``rows`` has doc_id): by broadcast up to BROADCAST_IDS, else by shuffle."""
+    return texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows.hint("merge"), "doc_id")
+
+
 def _shared_rows(rows: DataFrame, what: str) -> tuple[DataFrame, str]:
     """Rows (key, node) whose key has another node, with the smallest node of the key."""
     met = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
@@ -197,17 +211,17 @@ def _search(percent: int):
     return run
 
 
-def links(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+def links(texts: DataFrame, candidates: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) that give the components of all linked pairs among candidate components.
 
-    ``sets``: node, members. ``candidates``: node, component. Small components are one task
+    ``texts``: doc_id, text. ``candidates``: node, component. Small components are one task
     each. Of a large one, each task gets one block of all sets and one block of those that
     aren't linked to the smallest set.
     """
-    spark = sets.sparkSession
-    sizes, _ = materialise(candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK}"), "join-large")
-    placed = candidates.join(sizes.hint("merge"), "component", "left")
-    members, _ = materialise(sets.join(placed.hint("merge"), "node"), "join-members")
+    sizes, _ = materialise(candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK}"), "join-large", narrow=True)
+    placed, _ = materialise(candidates.join(sizes.hint("merge"), "component", "left").withColumnRenamed("node", "doc_id"), "join-placed", narrow=True)
+    members = _with_texts(texts, placed).select("doc_id", "text", "component", "n").mapInArrow(_members(k), "node long, component long, n long, members binary")
+    members, _ = materialise(members, "join-members")
     small = members.where("n IS NULL").select(
         "component", F.lit(0).alias("x"), F.lit(0).alias("y"), "node", F.lit(False).alias("near"), F.lit(True).alias("asks"), "members"
     )
@@ -220,7 +234,7 @@ def links(sets: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     judged = large.select("component", "node", "members").join(firsts.hint("merge"), "component").mapInArrow(_near_first(percent), "component long, node long, near boolean")
     judged, _ = materialise(judged, "join-judged")
     counts, _ = materialise(
-        judged.groupBy("component").agg(F.count(F.lit(1)).alias("n_all"), F.count(F.when(~F.col("near"), 1)).alias("n_far")), "join-counts"
+        judged.groupBy("component").agg(F.count(F.lit(1)).alias("n_all"), F.count(F.when(~F.col("near"), 1)).alias("n_far")), "join-counts", narrow=True
     )
     blocks = F.ceil(F.col("n_all") / BLOCK).cast("int")
     far_blocks = F.greatest(F.ceil(F.col("n_far") / BLOCK).cast("int"), F.lit(1))
@@ -252,18 +266,18 @@ def shingle_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     firsts = nodes.where("doc_id = node").select(F.explode("keys").alias("key"), "node")
     firsts, firsts_path = materialise(firsts, "join-first-rows")
     met, _ = _shared_rows(firsts, "join-first-keys")
-    live, _ = materialise(firsts.join(met.select("key").hint("merge"), "key", "left_semi").select("node").distinct(), "join-live")
+    live, _ = materialise(firsts.join(met.select("key").hint("merge"), "key", "left_semi").select("node").distinct(), "join-live", narrow=True)
     forget(spark, firsts_path)
     ids = live.select(F.col("node").alias("doc_id"))
-    ids = F.broadcast(ids) if live.count() <= BROADCAST_IDS else ids.hint("merge")
-    sets, _ = materialise(texts.join(ids, "doc_id").mapInArrow(_sets(k, percent), "node long, members binary, keys array<long>"), "join-sets")
-    keyed = sets.select(F.explode("keys").alias("key"), "node")
+    regions, regions_path = materialise(_with_texts(texts, ids).mapInArrow(_region_keys(k, percent), "node long, keys array<long>"), "join-regions")
+    keyed = regions.select(F.explode("keys").alias("key"), "node")
     met, _ = _shared_rows(keyed, "join-region-keys")
     pairs = keyed.join(met.hint("merge"), "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    candidates, _ = materialise(components(pairs), "join-candidates")
-    found = components(links(sets.select("node", "members"), candidates, percent))
+    candidates, _ = materialise(components(pairs), "join-candidates", narrow=True)
+    forget(spark, regions_path)
+    found = components(links(texts, candidates, k, percent))
     named = same.join(found.hint("merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component"), "node", "copies")
-    named, _ = materialise(named.where("copies > 1 OR component <> node").select("digest", "component"), "join-named")
+    named, _ = materialise(named.where("copies > 1 OR component <> node").select("digest", "component"), "join-named", narrow=True)
     return (
         scanned.select("doc_id", "n_shingles", "digest")
         .join(named.hint("merge"), "digest", "left")
@@ -274,5 +288,5 @@ def shingle_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose document is the first of its group."""
     out = shingle_groups(docs, k, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    dropped, _ = materialise(out, "join-dropped")
+    dropped, _ = materialise(out, "join-dropped", narrow=True)
     return docs.join(dropped, id_col, "left_anti")
