@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwell.llm.shared import materialise, text_or_empty
+from loomwell.llm.shared import materialise, text_or_empty, without
 
 #: What equality ignores.
 BLANKS = r"[\x20\x09-\x0D]"
@@ -82,7 +82,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs`` that stay, with all their columns."""
     out = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
     dropped, _ = materialise(out, "dedup-dropped", narrow=True)
-    return docs.join(dropped, id_col, "left_anti")
+    return without(docs, dropped, id_col)
 
 
 ORACLE = """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -9,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -49,6 +54,22 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no plan refers to any more.
+
+    Its cleaner acts when the driver collects garbage, which a driver with little to do does
+    seldom; large steps in a row would keep all their shuffle files on the executors' disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id isn't in ``ids``. Up to BROADCAST_IDS ids (8 bytes each) are
+    broadcast, so that texts stay where they are; more are joined by a shuffle."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), id_col, "left_anti")
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

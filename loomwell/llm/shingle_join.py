@@ -34,12 +34,10 @@ from pyspark.sql import functions as F
 from loomwell.llm import signature_tree as tree
 from loomwell.llm.components import components
 from loomwell.llm.memory import Memory
-from loomwell.llm.shared import forget, materialise, small_batches, text_or_empty
+from loomwell.llm.shared import BROADCAST_IDS, forget, materialise, release, small_batches, text_or_empty, without
 
 #: Sets that one task searches at most (twice as many where two blocks meet).
 BLOCK = 200
-#: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -265,16 +263,21 @@ def shingle_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     nodes = scanned.where("digest IS NOT NULL").select("doc_id", "digest", "keys").join(same.select("digest", "node").hint("merge"), ["digest"])
     firsts = nodes.where("doc_id = node").select(F.explode("keys").alias("key"), "node")
     firsts, firsts_path = materialise(firsts, "join-first-rows")
+    release(spark)
     met, _ = _shared_rows(firsts, "join-first-keys")
+    release(spark)
     live, _ = materialise(firsts.join(met.select("key").hint("merge"), "key", "left_semi").select("node").distinct(), "join-live", narrow=True)
     forget(spark, firsts_path)
+    release(spark)
     ids = live.select(F.col("node").alias("doc_id"))
     regions, regions_path = materialise(_with_texts(texts, ids).mapInArrow(_region_keys(k, percent), "node long, keys array<long>"), "join-regions")
     keyed = regions.select(F.explode("keys").alias("key"), "node")
     met, _ = _shared_rows(keyed, "join-region-keys")
+    release(spark)
     pairs = keyed.join(met.hint("merge"), "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     candidates, _ = materialise(components(pairs), "join-candidates", narrow=True)
     forget(spark, regions_path)
+    release(spark)
     found = components(links(texts, candidates, k, percent))
     named = same.join(found.hint("merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component"), "node", "copies")
     named, _ = materialise(named.where("copies > 1 OR component <> node").select("digest", "component"), "join-named", narrow=True)
@@ -289,4 +292,4 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     """The rows of ``docs``, with all their columns, whose document is the first of its group."""
     out = shingle_groups(docs, k, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     dropped, _ = materialise(out, "join-dropped", narrow=True)
-    return docs.join(dropped, id_col, "left_anti")
+    return without(docs, dropped, id_col)
