@@ -137,7 +137,7 @@ class Labeller:
     def label(self, text: str) -> tuple[str, float, list[str]]:
         """Language, share of letters in its spans, and the languages in order of their spans."""
         found = words(text.lower()) if self.model.langs else []
-        if not any(word.isalpha() for word in found):
+        if not any(word.isalpha() for word in found) and not any(map(str.isalpha, "".join(found))):
             return UNDECIDED, 0.0, []
         scores = np.frombuffer(b"".join(map(self.scores, found)), np.float32).reshape(len(found), -1)
         path = self.model.path(scores)
