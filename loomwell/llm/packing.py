@@ -13,6 +13,7 @@ tokenised whole.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,6 +44,11 @@ def _tokenizer(path: str):
     return found
 
 
+@lru_cache(maxsize=2)
+def _word_ids(path: str) -> WordIds:
+    return WordIds(path)
+
+
 def binary_lengths(n: int, width: int = WIDTH) -> list[int]:
     """Piece lengths of a document of n tokens, in order."""
     rest = n % width
@@ -61,17 +67,76 @@ def _runs(texts: list[str]) -> Iterator[list[str]]:
         yield texts[at:]
 
 
+class WordIds:
+    """Ids of whole texts, with those of words between single spaces remembered.
+
+    The tokenizer's pattern begins a match at any single space between two other characters,
+    and between a letter and a run of ASCII marks, so words and the marks behind them are encoded
+    apart with the same result. A text with white space beside a space is encoded whole.
+    """
+
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    MOST = 1_000_000
+    LONGEST = 64
+
+    def __init__(self, path: str):
+        self.encode = _tokenizer(path).encode_batch_fast
+        self.first: dict[str, bytes] = {}  # words at the start of a text
+        self.later: dict[str, bytes] = {}  # words after a space
+        self.cores: dict[str, bytes] = {}  # words without the marks behind them, and marks
+        self.long: list[tuple[dict[str, bytes], str]] = []  # what is too long to be remembered
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.encode(texts, add_special_tokens=False)]
+
+    def _learn(self, known: dict[str, bytes], new: set[str], before: str) -> None:
+        parts, plain = {}, set()
+        for word in new:
+            core = word.rstrip(self.MARKS)
+            parts[word] = (before + core, word[len(core) :]) if core and core[-1].isalpha() else (before + word, "")
+            plain.update(parts[word])
+        todo = [p for p in plain if p and p not in self.cores]
+        self.cores.update(zip(todo, self._ids(todo), strict=True))
+        for word, (core, tail) in parts.items():
+            if len(word) > self.LONGEST:
+                self.long += [(known, word), (self.cores, core), (self.cores, tail)]
+            known[word] = self.cores[core] + (self.cores[tail] if tail else b"")
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        for known in (self.first, self.later, self.cores):
+            if len(known) > self.MOST:
+                known.clear()
+        cut = [text.split(" ") for text in texts]
+        heads, tails = {words[0] for words in cut}, set().union(*[words[1:] for words in cut])
+        new_heads, new_tails = {w for w in heads if w not in self.first}, {w for w in tails if w not in self.later}
+        # a word that begins or ends in white space is never remembered, so it is always new
+        odd = {w for w in new_heads | new_tails if not w or w[0].isspace() or w[-1].isspace()}
+        whole = [i for i, words in enumerate(cut) if odd and not odd.isdisjoint(words)]
+        self._learn(self.first, new_heads - odd, "")
+        self._learn(self.later, new_tails - odd, " ")
+        out = [b""] * len(texts)
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        for i in set(range(len(texts))).difference(whole):
+            out[i] = self.first[cut[i][0]] + b"".join(map(self.later.__getitem__, cut[i][1:]))
+        for known, key in self.long:
+            known.pop(key, None)
+        self.long.clear()
+        return out
+
+
 def _pack(path: str, width: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(path).encode_batch_fast
+        encode = _word_ids(path)
+        end = int(end_id).to_bytes(4, "little")
         shapes = [np.array(binary_lengths(r, width), dtype=np.int64) for r in range(width)]
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
             for part in _runs(texts):
                 rows: dict[str, list] = {"doc": [], "start": [], "length": [], "crc": [], "total": [], "ids": []}
-                for encoded in encode(part, add_special_tokens=False):
-                    ids = np.append(np.array(encoded.ids, dtype="<u4"), np.uint32(end_id)).astype("<u4")
+                for encoded in encode(part):
+                    ids = np.frombuffer(encoded + end, dtype="<u4")
                     n = len(ids)
                     lengths = np.concatenate([np.full(n // width, width, dtype=np.int64), shapes[n % width]])
                     starts = np.cumsum(lengths) - lengths
