@@ -24,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwell.llm.memory import Memory
 from loomwell.llm.sampling import hash_order
 from loomwell.llm.shared import crc_of_id, small_batches, text_or_empty
 
-FIT_ROWS = 6_000
+FIT_ROWS = 4_000
 UNDECIDED = "und"
 #: n-grams kept per language, those in most words first.
 KEPT_GRAMS = 30_000
@@ -95,12 +94,22 @@ class Model:
             masks[kind] = np.where(of >= 0.01, 0, -4 * MOST_PER_WORD).astype(np.float32)
         return cls(names, table, masks)
 
-    def word(self, word: str) -> bytes:
-        """Scores of one word by language, the best at zero."""
-        total = self.rows[[i for i in map(self.place.get, grams(word)) if i is not None]].sum(0)
-        mask = self.scripts.get(script(word[0]))
-        score = np.maximum(total - total.max(), -MOST_PER_WORD)
-        return (score if mask is None else score + mask).astype(np.float32).tobytes()
+    def words(self, found: list[str]) -> np.ndarray:
+        """[words, languages]: scores of many words at once, each word's best at zero."""
+        places: list[int] = []
+        ends = np.zeros(len(found) + 1, np.int64)
+        get = self.place.get
+        for at, word in enumerate(found):
+            places += [i for i in map(get, grams(word)) if i is not None]
+            ends[at + 1] = len(places)
+        so_far = np.zeros((len(places) + 1, len(self.langs)))
+        np.cumsum(self.rows[places], axis=0, out=so_far[1:], dtype=np.float64)
+        total = so_far[ends[1:]] - so_far[ends[:-1]]
+        score = np.maximum(total - total.max(axis=1, keepdims=True), -MOST_PER_WORD)
+        masked = [(at, mask) for at, word in enumerate(found) if (mask := self.scripts.get(script(word[0]))) is not None]
+        if masked:
+            score[[at for at, _ in masked]] += np.stack([mask for _, mask in masked])
+        return score.astype(np.float32)
 
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The best language of each word, when each change costs SWITCH.
@@ -130,16 +139,44 @@ class Model:
 
 
 class Labeller:
+    """Labels texts; remembers the scores of words up to a bound."""
+
+    MOST = 600_000
+
     def __init__(self, model: Model):
         self.model = model
-        self.scores = Memory(model.word).get
+        self.known: dict[str, bytes] = {}
+        self.long: list[str] = []  # words that are forgotten after their batch
+
+    def split(self, texts: list[str]) -> list[list[str]]:
+        """The words of each text, all of them scored."""
+        if not self.model.langs:
+            return [[] for _ in texts]
+        split = [words(text.lower()) for text in texts]
+        for word in self.long:
+            self.known.pop(word, None)
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        new = [word for word in set().union(*split) if word not in self.known]
+        self.long = [word for word in new if len(word) > 64]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            scores = self.model.words(part).tobytes()
+            width = len(scores) // len(part)
+            self.known.update((word, scores[i * width : (i + 1) * width]) for i, word in enumerate(part))
+        return split
+
+    def labels(self, texts: list[str]) -> list[tuple[str, float, list[str]]]:
+        return [self.of_words(found) for found in self.split(texts)]
 
     def label(self, text: str) -> tuple[str, float, list[str]]:
+        return self.labels([text])[0]
+
+    def of_words(self, found: list[str]) -> tuple[str, float, list[str]]:
         """Language, share of letters in its spans, and the languages in order of their spans."""
-        found = words(text.lower()) if self.model.langs else []
         if not any(word.isalpha() for word in found) and not any(map(str.isalpha, "".join(found))):
             return UNDECIDED, 0.0, []
-        scores = np.frombuffer(b"".join(map(self.scores, found)), np.float32).reshape(len(found), -1)
+        scores = np.frombuffer(b"".join(map(self.known.__getitem__, found)), np.float32).reshape(len(found), -1)
         path = self.model.path(scores)
         if (path == path[0]).all():
             return self.model.langs[path[0]], self.sure(scores, path[0]), [self.model.langs[path[0]]]
@@ -160,7 +197,7 @@ def _label_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _labeller(model)
         for batch in batches:
-            found = [own.label(text) for text in batch.column(1).to_pylist()]
+            found = own.labels(batch.column(1).to_pylist())
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "lang_pred", "score", "spans"])
 
@@ -212,7 +249,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _labeller(model)
         for batch in batches:
-            keep = [own.label(text or "")[0] != UNDECIDED for text in batch.column("text").to_pylist()]
+            keep = [lang != UNDECIDED for lang, *_ in own.labels([text or "" for text in batch.column("text").to_pylist()])]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
