@@ -5,9 +5,14 @@ elements whose class, id or role names such a thing are left out. Pages are then
 host and URL path, each is paired with the neighbour of its host whose path shares the longest
 beginning, and the two lists of lines are aligned by a longest common subsequence; what both
 share is the site's frame and goes. A line inside an ``article`` or ``main`` element is article
-text by its markup, so it stays even if another page quotes it too. A neighbour that shares
-four fifths of the lines is a copy of the page and says nothing about frames; the neighbour on
-the other side is taken then.
+text by its markup, so it stays if only some other pages quote it; it goes if the neighbour shares
+it and it stands on at least ``COMMON`` of the different pages of the host, three at least. A
+neighbour that shares four fifths of the lines is a copy of the page and says nothing about
+frames; the neighbour on the other side is taken then.
+
+``article`` and ``main`` elements are the body only if they hold at least half of the unlinked
+text outside frames; else all lines outside frames take part. ``article`` elements whose class, id
+or role names a frame (related cards) are left out unless they hold most of the text.
 
 Only hashes of lines travel: one pass writes them, the pairs are found in blocks of
 ``RUN`` neighbours in the order of URLs (with one page of the next block on either side, so the
@@ -38,6 +43,8 @@ from loomwell.llm.shared import materialise, small_batches
 RUN = 64
 #: Lists of lines to leave out that are broadcast at most.
 BROADCAST_ROWS = 100_000
+#: Share of a host's different pages on which a line of an article is the site's, and their least number.
+COMMON, LEAST_PAGES = 0.8, 3
 
 # HTML element names by what they mean for text.
 SILENT = "script|style|noscript|template|svg|math|iframe|object|textarea|select|canvas|audio|video"
@@ -71,8 +78,10 @@ def _is_frame(tag: str, attributes: str, inside_main: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body") or tag in MAIN:
         return False
-    if _HIDDEN.search(attributes):
-        return True
+    return bool(_HIDDEN.search(attributes)) or _names_frame(attributes, inside_main)
+
+
+def _names_frame(attributes: str, inside_main: bool) -> bool:
     for found in _NAMED.finditer(attributes):
         parts = set(_PARTS.split((found[1] or found[2] or found[3] or "").lower()))
         if parts & FRAME_WORDS or not inside_main and parts & HEADER_WORDS:
@@ -82,17 +91,19 @@ def _is_frame(tag: str, attributes: str, inside_main: bool) -> bool:
 
 def blocks(page: str) -> list[tuple[str, bool]]:
     """Lines of a page outside its frame, and whether an article or main element holds them."""
-    out: list[tuple[str, bool, float]] = []
-    open_tags: list[tuple[str, bool, bool]] = []
-    frames = mains = links = 0
+    out: list[tuple[str, int, float]] = []
+    plain = [0, 0, 0]  # unlinked characters outside articles, in them, and in those with a frame's name
+    open_tags: list[tuple[str, bool, bool, bool]] = []
+    frames = mains = named = links = 0
     parts: list[str] = []
     linked = total = at = 0
 
     def close(n: int) -> None:
-        nonlocal frames, mains, links
-        for tag, frame, main in open_tags[n:]:
+        nonlocal frames, mains, named, links
+        for tag, frame, main, card in open_tags[n:]:
             frames -= frame
             mains -= main
+            named -= card
             links -= tag == "a"
         del open_tags[n:]
 
@@ -101,7 +112,9 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         if parts:
             line = " ".join("".join(parts).split())
             if line:
-                out.append((line, mains > 0, linked / max(total, 1)))
+                kind = 2 if named else int(mains > 0)
+                out.append((line, kind, linked / max(total, 1)))
+                plain[kind] += total - linked
             parts.clear()
         linked = total = 0
 
@@ -142,16 +155,23 @@ def blocks(page: str) -> list[tuple[str, bool]]:
                     break
                 if name in BLOCKS:
                     break
-        entry = (tag, _is_frame(tag, found[4], mains > 0), tag in MAIN)
+        card = tag == "article" and _names_frame(found[4], True)
+        entry = (tag, _is_frame(tag, found[4], mains > 0), tag in MAIN, card)
         open_tags.append(entry)
         frames += entry[1]
         mains += entry[2]
+        named += card
         links += tag == "a"
     say(page[at:])
     end_line()
-    if any(main for _, main, _ in out):
-        return [(line, main) for line, main, _ in out if main]
-    return [(line, False) for line, _, share in out if share < 0.7]
+    if plain[2] > plain[0] + plain[1]:
+        out = [(line, min(kind, 1), share) for line, kind, share in out]
+        plain[1] += plain[2]
+    else:
+        out = [entry for entry in out if entry[1] < 2]
+    if plain[1] >= plain[0] and any(kind for _, kind, _ in out):
+        return [(line, True) for line, kind, _ in out if kind]
+    return [(line, bool(kind)) for line, kind, share in out if kind or share < 0.7]
 
 
 def shared_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -189,8 +209,8 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = blocks(page)
             digests.append(_digest(page))
             lines.append([_digest(line) for line, _ in found])
-            held.append(bool(found) and found[0][1])
-        columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(digests, pa.int64()), pa.array(lines, pa.list_(pa.int64())), pa.array(held, pa.bool_())]
+            held.append([main for _, main in found])
+        columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(digests, pa.int64()), pa.array(lines, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.bool_()))]
         yield pa.RecordBatch.from_arrays(columns, ["page_id", "host", "path", "digest", "lines", "held"])
 
 
@@ -206,21 +226,34 @@ def _alike(a: str, b: str) -> int:
 def _pair(group: pd.DataFrame) -> pd.DataFrame:
     """For each own page of a run: the places of the lines that it shares with its neighbour."""
     group = group.sort_values("place")
-    rows = list(group[["host", "path", "digest", "lines", "held", "own", "page_id"]].itertuples(index=False))
+    rows = list(group[["host", "path", "digest", "lines", "held", "common", "own", "page_id"]].itertuples(index=False))
     out = []
     for at, row in enumerate(rows):
-        if not row.own or row.held or not len(row.lines):
+        if not row.own or not len(row.lines):
             continue
+        common = set() if row.common is None else set(row.common)
+        if all(row.held) and not common.intersection(row.lines):
+            continue  # no line may go
         near = [rows[i] for i in (at - 1, at + 1) if 0 <= i < len(rows) and rows[i].host == row.host]
         for other in sorted(near, key=lambda r: -_alike(r.path, row.path)):
             shared = shared_lines(np.asarray(row.lines), np.asarray(other.lines))
             if len(shared) < 0.8 * len(row.lines):
-                if shared:
-                    out.append((row.page_id, row.digest, shared))
+                if gone := [i for i in shared if not row.held[i] or row.lines[i] in common]:
+                    out.append((row.page_id, row.digest, gone))
                 break
     return pd.DataFrame(out, columns=["page_id", "digest", "gone"])
 
 
+def common_lines(hashed: DataFrame) -> DataFrame:
+    """(host, common): hashes of lines on at least COMMON of the different pages of a host."""
+    different = hashed.select("host", "lines").distinct()
+    hosts = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    lines = different.select("host", F.explode(F.array_distinct("lines")).alias("line"))
+    lines = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
+    found = lines.join(hosts, "host").where(F.col("n") >= COMMON * F.col("pages"))
+    return found.groupBy("host").agg(F.collect_list("line").alias("common"))
+
+
 def frame_lines(pages: DataFrame) -> DataFrame:
     """(page_id, digest, gone): places of lines to leave out, for pages that have any."""
     spark = pages.sparkSession
@@ -228,8 +261,9 @@ def frame_lines(pages: DataFrame) -> DataFrame:
     address = F.regexp_replace(address, r"[?#].*$", "")
     host, path = F.lower(F.regexp_extract(address, r"^[^/]*", 0)), F.regexp_extract(address, r"/.*$", 0)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), path.alias("path"))
-    hashed = rows.mapInArrow(_hash_rows, "page_id long, host string, path string, digest long, lines array<long>, held boolean")
+    hashed = rows.mapInArrow(_hash_rows, "page_id long, host string, path string, digest long, lines array<long>, held array<boolean>")
     hashed, _ = materialise(hashed, "pages-lines")
+    common, _ = materialise(common_lines(hashed), "pages-common", narrow=True)
     order = ["host", "path", "page_id", "digest"]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     placed = hashed.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -247,6 +281,7 @@ def frame_lines(pages: DataFrame) -> DataFrame:
     copies = F.array(F.lit(0), F.when(edge == 0, -1), F.when(edge == RUN - 1, 1))
     placed = placed.select(*order, "lines", "held", "place", "run", F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("to"))
     placed = placed.withColumn("own", F.col("to") == 0).withColumn("run", F.col("run") + F.col("to"))
+    placed = placed.join(F.broadcast(common) if common.count() <= BROADCAST_ROWS else common.hint("merge"), "host", "left")
     return placed.groupBy("run").applyInPandas(_pair, "page_id long, digest long, gone array<int>")
 
 

@@ -239,6 +239,18 @@ def test_main_text(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_lines_of_articles_on_every_page_go(spark):
+    page = "<body><article><h1>{0}</h1><p>Story of {0}, told at length.</p><p>Quoted by two.</p><p>Thanks for reading us.</p></article></body>"
+    card = '<body><div>Body {0} in a plain element, with many words.</div><article class="related"><p>Card {0}</p></article></body>'
+    rows = [(i, f"http://n.x/{i}", page.format(w)) for i, w in enumerate(["Ash", "Box", "Cob", "Dill"])]
+    rows = [(i, u, h if i < 2 else h.replace("<p>Quoted by two.</p>", "")) for i, u, h in rows] + [(10 + i, f"http://k.x/{i}", card.format(i)) for i in range(2)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Ash\nStory of Ash, told at length.\nQuoted by two." and got[3] == "Dill\nStory of Dill, told at length."
+    assert got[10] == "Body 0 in a plain element, with many words."
+    whole = '<article class="post has-comments"><p>The text.</p></article>'
+    assert html_text.blocks(whole) == [("The text.", True)]
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     r = np.random.default_rng(5)
     for _ in range(50):
