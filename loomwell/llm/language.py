@@ -2,7 +2,8 @@
 
 Each word gets a score per language from its character n-grams. Only languages that are
 written in the word's script take part. The best path through the words pays a penalty for
-each change of language, so mixed texts fall into spans. The language of a text is the one
+each change of language, so mixed texts fall into spans. A run of letters is cut into words where
+its script changes and after every ``LONGEST`` letters, so that unspaced text is read to its end. The language of a text is the one
 whose spans hold the most letters; the score is its share of them.
 
 Bound: about ``FIT_ROWS`` texts in all, spread over the languages, chosen by a hash of the id.
@@ -18,6 +19,7 @@ import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,11 @@ UNDECIDED = "und"
 KEPT_GRAMS = 30_000
 #: Log-probability that a change of language costs; most that one word can say for or against.
 SWITCH, MOST_PER_WORD = 14.0, 6.0
-words = re.compile(r"[^\W\d_]+").findall
+#: Letters of a word; longer runs are several words.
+LONGEST = 40
+runs = re.compile(r"[^\W\d_]+").findall
+#: A letter that isn't latin.
+_foreign = re.compile(r"[^\W\d_\u0000-\u036f\u1e00-\u1eff]").search
 
 # First code points of script ranges and their scripts.
 SCRIPT_STARTS = [
@@ -52,9 +58,24 @@ def script(letter: str) -> str:
     return _NAMES[bisect_right(_EDGES, ord(letter)) - 1]
 
 
+def pieces(run: str) -> list[str]:
+    """A run of letters, cut where its script changes and after every LONGEST letters."""
+    out = []
+    for _, letters in groupby(run, script):
+        part = "".join(letters)
+        out += [part[i : i + LONGEST] for i in range(0, len(part), LONGEST)]
+    return out
+
+
+def words(text: str) -> list[str]:
+    found = runs(text)
+    if max(map(len, found), default=0) <= LONGEST and not _foreign(text):
+        return found
+    return [piece for run in found for piece in (pieces(run) if len(run) > LONGEST or _foreign(run) else (run,))]
+
+
 def grams(word: str) -> list[str]:
     """The trigrams of a word with its ends marked, its letters, and the word itself."""
-    word = word[:40]
     marked = f"<{word}>"
     return [marked[i : i + 3] for i in range(len(word))] + [*set(word), marked + "="]
 
@@ -158,7 +179,7 @@ class Labeller:
         if len(self.known) > self.MOST:
             self.known.clear()
         new = [word for word in set().union(*split) if word not in self.known]
-        self.long = [word for word in new if len(word) > 64]
+        self.long = [word for word in new if len(word) == LONGEST]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             scores = self.model.words(part).tobytes()

@@ -358,3 +358,14 @@ def test_spans_of_mixed_text():
     found = language.Labeller(language.Model.fit(texts, ["en"] * 20 + ["de"] * 20))
     lang, _, spans = found.label(" ".join(r.choice(en) for _ in range(30)) + " " + " ".join(r.choice(de) for _ in range(50)))
     assert (lang, spans) == ("de", ["en", "de"])
+
+
+def test_unspaced_text_is_read_to_its_end():
+    r = random.Random(4)
+    glued = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    texts = [" ".join(glued(pool, 6) for _ in range(60)) for pool in ("abcd", "wxyz") for _ in range(20)]
+    found = language.Labeller(language.Model.fit(texts, ["aa"] * 20 + ["ww"] * 20))
+    lang, _, spans = found.label(glued("abcd", 400) + glued("wxyz", 4_000))
+    assert (lang, spans) == ("ww", ["aa", "ww"])
+    run = "\u65e5\u672c" * 30 + "abc" + "\u0431" * 50
+    assert "".join(language.pieces(run)) == run and [len(p) for p in language.pieces(run)] == [40, 20, 3, 40, 10]
