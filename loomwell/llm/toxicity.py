@@ -1,18 +1,18 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled texts is the set of examples. Terms are lower-case words and
-word beginnings; those whose share of toxic texts differs from the whole sample's (by a likelihood ratio test) are
-kept, weighted (1 + ln tf) * idf, and normalised per text. The inverted index stores, for each
-term, its postings in blocks of neighbouring examples and the largest weight in each block. A
-query goes through blocks in order of their bound and stops when the next bound is below the
-k-th best cosine, so the neighbours are exact. Their votes, weighted by cosine, become a
+A bounded sample of labelled texts is the set of examples. Terms are the lower-case words and
+word beginnings of all examples, weighted (1 + ln tf) * idf, and normalised per text. The
+inverted index holds every term: postings for most, whole rows for the ``HEAVY`` ones that stand in most
+examples, with the largest weight of each in each block of neighbouring examples. A query adds up
+its postings and bounds what its heavy terms can add in a block; only examples whose bound reaches the
+k-th best cosine get their heavy terms added, so the neighbours are exact. Their votes, weighted by cosine, become a
 score by a monotone curve fitted to the examples' own leave-one-out votes. The neighbours'
 ids are the evidence.
 
 Bound: about ``FIT_ROWS`` labelled texts, chosen by a hash of the id.
 
-Defined cases: a null text counts as empty; a text without any kept term gets the smoothed
-share of toxic ones among such examples; without examples every score is 0.5 * 0.1 = 0.05; an
+Defined cases: a null text counts as empty; terms that no example has are left out; a text without
+any term gets the smoothed share of toxic ones among such examples; without examples every score is 0.5 * 0.1 = 0.05; an
 empty table gives no rows; a repeated document is scored per row; other columns are not read.
 Ties in cosine go to the example that stands first in the index.
 """
@@ -34,11 +34,10 @@ from loomwell.llm.sampling import labelled_sample
 from loomwell.llm.shared import crc_of_id, small_batches, text_or_empty
 
 FIT_ROWS = 8_000
-#: Likelihood ratio that a kept term reaches at least (p < 0.0005 for one degree of freedom).
-LEAST_RATIO = 12.0
-LEAST_TEXTS = 3
 NEIGHBOURS = 15
 BLOCK = 64
+#: Terms in most examples, whose weights are held for every example.
+HEAVY = 128
 #: Lengths of the word beginnings that are terms beside whole words.
 STEMS = (4, 5, 6)
 words = re.compile(r"[^\W\d_]+").findall
@@ -50,7 +49,7 @@ def terms_of(word: str) -> list[str]:
 
 
 class Known(dict):
-    """Word -> numbers of its kept terms, remembered up to a bound."""
+    """Word -> numbers of its terms, remembered up to a bound."""
 
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary = vocabulary
@@ -64,26 +63,18 @@ class Known(dict):
         return found
 
 
-def _ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
-    """Likelihood ratio of term counts a of n_a toxic and b of n_b other texts."""
-
-    def part(k, n, p):
-        return k * np.log(np.maximum(p, 1e-12)) + (n - k) * np.log(np.maximum(1 - p, 1e-12))
-
-    both = (a + b) / max(n_a + n_b, 1)
-    return 2 * (part(a, n_a, a / max(n_a, 1)) + part(b, n_b, b / max(n_b, 1)) - part(a, n_a, both) - part(b, n_b, both))
-
-
 @dataclass
 class Examples:
     """The index: terms, block postings, labels, ids, and the curve from vote to score."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
-    starts: np.ndarray  # [terms, blocks + 1]: where a block's postings of a term begin
+    starts: np.ndarray  # [terms, 2]: where the postings of a term begin and end
     postings: np.ndarray  # example numbers
     weights: np.ndarray
-    most: np.ndarray  # [terms, blocks]: largest weight in a block
+    heavy: np.ndarray  # [terms]: row of a heavy term, -1 for the others
+    rows: np.ndarray  # [examples, heavy terms]: weights
+    most: np.ndarray  # [heavy terms, blocks]: largest weight in a block
     labels: np.ndarray
     ids: np.ndarray
     without: float
@@ -92,7 +83,11 @@ class Examples:
     known: Known | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": None}
+        return self.__dict__ | {"known": None, "vocabulary": "\n".join(self.vocabulary)}
+
+    def __setstate__(self, state: dict) -> None:
+        terms = state["vocabulary"]
+        self.__dict__ = state | {"vocabulary": {term: i for i, term in enumerate(terms.split("\n") if terms else [])}}
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         if self.known is None:
@@ -106,28 +101,34 @@ class Examples:
 
     def nearest(self, terms: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a cosine above zero."""
-        bound = weight @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 8
-        while at < len(order) and bound[order[at]] > 0:
-            if len(best) >= k and bound[order[at]] < best[-1]:
-                break
-            taken = np.sort(order[at : at + step])
-            at, step = at + step, 2 * step
-            # all postings of these terms in these blocks, in one gather
-            begin = self.starts[np.ix_(terms, taken)].ravel()
-            size = self.starts[np.ix_(terms, taken + 1)].ravel() - begin
-            ends = np.cumsum(size)
-            found = np.repeat(begin - ends + size, size) + np.arange(ends[-1])
-            by = np.repeat(np.repeat(weight, len(taken)), size)
-            scores = np.bincount(self.postings[found], by * self.weights[found], len(self.labels))
-            number = np.flatnonzero(scores)
-            number = number[number != but]
-            best_at, best = np.concatenate([best_at, number]), np.concatenate([best, scores[number]])
-            top = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[top], best[top]
-        return best_at, best
+        n, row = len(self.labels), self.heavy[terms]
+        light, heavy = row < 0, row[row >= 0]
+        begin, end = self.starts[terms[light]].T
+        size = end - begin
+        spans = [slice(b, e) for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
+        if spans:
+            found = np.concatenate([self.postings[span] for span in spans])
+            score = np.bincount(found, np.repeat(weight[light], size) * np.concatenate([self.weights[span] for span in spans]), n)
+        else:
+            score = np.zeros(n)
+        if len(heavy):
+            over = np.zeros(self.rows.shape[1], np.float32)
+            over[heavy] = weight[~light]
+            bound = score + np.repeat(over @ self.most, BLOCK)[:n]
+        else:
+            bound = score.copy()
+        if but >= 0:
+            bound[but] = 0
+        if n > k:  # the least cosine of the k of highest bound: no better set can hold anything below
+            first = np.argpartition(bound, n - k)[n - k :]
+            least = (score[first] + self.rows[first] @ over).min() if len(heavy) else score[first].min()
+            number = np.flatnonzero((bound >= least - 1e-5) & (bound > 0))
+        else:
+            number = np.flatnonzero(bound > 0)
+        best = score[number] + self.rows[number] @ over if len(heavy) else score[number]
+        number, best = number[best > 0], best[best > 0]
+        top = np.lexsort((number, -best))[:k]
+        return number[top], best[top]
 
     def vote(self, terms: np.ndarray, weight: np.ndarray, but: int = -1) -> tuple[float | None, np.ndarray]:
         at, cosine = self.nearest(terms, weight, NEIGHBOURS, but)
@@ -167,37 +168,40 @@ def fit(texts: list[str], labels: list[int], ids: list[int]) -> Examples:
         seen.setdefault((text, label), i)  # copies of a text are one example
     chosen = sorted(seen.values())
     y = np.array([labels[i] for i in chosen], dtype=float)
-    n_toxic, n_other = int(y.sum()), int(len(y) - y.sum())
-    toxic: Counter[str] = Counter()
-    other: Counter[str] = Counter()
+    seen_in: Counter[str] = Counter()
     for i in chosen:
-        (toxic if labels[i] else other).update(set(chain.from_iterable(map(terms_of, set(words(texts[i].lower()))))))
-    terms = [t for t in {*toxic, *other} if toxic[t] + other[t] >= LEAST_TEXTS]
-    a, b = (np.array([c[t] for t in terms], dtype=float) for c in (toxic, other))
-    kept = sorted(t for t, r in zip(terms, _ratio(a, b, n_toxic, n_other) if terms else [], strict=True) if r >= LEAST_RATIO)
+        seen_in.update(set(chain.from_iterable(map(terms_of, set(words(texts[i].lower()))))))
+    kept = sorted(seen_in)
     vocabulary = {t: i for i, t in enumerate(kept)}
-    idf = np.array([np.log((1 + len(chosen)) / (1 + toxic[t] + other[t])) + 0.1 for t in kept])
-    empty = np.zeros((len(kept), 0))
-    model = Examples(vocabulary, idf, empty, np.zeros(0, np.int64), np.zeros(0), empty, np.zeros(0), np.zeros(0, np.int64), 0.05, np.zeros(1), np.zeros(1))
-    vectors = [model.vector(texts[i]) for i in chosen]
+    counts = np.array([seen_in[t] for t in kept], dtype=np.int64)
+    idf = np.log((1 + len(chosen)) / (1 + counts)) + 0.1
+    del seen_in
+    none, cells = np.zeros(0, np.int64), np.zeros((0, 0))
+    model = Examples(vocabulary, idf, cells, none, np.zeros(0), none, cells, cells, np.zeros(0), none, 0.05, np.zeros(1), np.zeros(1))
+    vectors = [(terms.astype(np.int32), weight.astype(np.float32)) for terms, weight in (model.vector(texts[i]) for i in chosen)]
+    model.known = None
     bare = np.array([not len(v[0]) for v in vectors], dtype=bool)
     if len(chosen):
         model.without = float((y[bare].sum() + 0.5 * y.mean()) / (bare.sum() + 0.5))
     # neighbouring examples share their heaviest term, so that block bounds are tight
     order = sorted((i for i in range(len(chosen)) if not bare[i]), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), chosen[i]))
     model.labels, model.ids = y[order], np.array([ids[chosen[i]] for i in order], dtype=np.int64)
-    n_blocks = -(-len(order) // BLOCK)
-    term_of = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-    weight_of = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-    example_of = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-    by_term = np.lexsort((example_of, term_of))
-    model.postings, model.weights, term_of = example_of[by_term], weight_of[by_term], term_of[by_term]
-    cell = term_of * max(n_blocks, 1) + model.postings // BLOCK
-    model.most = np.zeros(len(kept) * n_blocks)
-    np.maximum.at(model.most, cell, model.weights)
-    model.most = model.most.reshape(len(kept), n_blocks)
-    edges = np.searchsorted(cell, np.arange(len(kept) * n_blocks + 1)) if len(cell) else np.zeros(len(kept) * n_blocks + 1, np.int64)
-    model.starts = np.stack([edges[t * n_blocks : (t + 1) * n_blocks + 1] for t in range(len(kept))]) if kept else np.zeros((0, n_blocks + 1), np.int64)
+    sizes = [len(vectors[i][0]) for i in order]
+    term_of = np.concatenate([vectors[i][0] for i in order]) if order else none
+    weight_of = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0, np.float32)
+    example_of = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
+    by_term = np.argsort(term_of, kind="stable")
+    model.postings, model.weights = example_of[by_term], weight_of[by_term]
+    del term_of, weight_of, example_of, by_term
+    ends = np.cumsum(counts)
+    model.starts = np.stack([ends - counts, ends], axis=1)
+    most = np.lexsort((np.arange(len(kept)), -counts))[:HEAVY]
+    model.heavy = np.full(len(kept), -1, np.int64)
+    model.heavy[most] = np.arange(len(most))
+    model.rows = np.zeros((len(order), len(most)), np.float32)
+    for at, (begin, end) in enumerate(model.starts[most]):
+        model.rows[model.postings[begin:end], at] = model.weights[begin:end]
+    model.most = np.stack([model.rows[i : i + BLOCK].max(0) for i in range(0, len(order), BLOCK)], axis=1) if order else np.zeros((len(most), 0))
     votes = np.array([v if (v := model.vote(*vectors[i], but=at)[0]) is not None else model.without for at, i in enumerate(order)])
     if len(votes):
         model.curve_x, model.curve_y = _rising(votes, model.labels)

@@ -369,3 +369,12 @@ def test_unspaced_text_is_read_to_its_end():
     assert (lang, spans) == ("ww", ["aa", "ww"])
     run = "\u65e5\u672c" * 30 + "abc" + "\u0431" * 50
     assert "".join(language.pieces(run)) == run and [len(p) for p in language.pieces(run)] == [40, 20, 3, 40, 10]
+
+
+def test_near_copy_of_an_example_with_rare_words_meets_it():
+    texts = [" ".join(words(i, 40, 200) + (["bad", "worse"] if i % 5 == 0 else [])) for i in range(200)]
+    rare = "zorgling quexed the marvit upon frondle yestermuck"
+    model = toxicity.fit([*texts, rare], [int(i % 5 == 0) for i in range(200)] + [1], list(range(201)))
+    score, near = model.score(rare + " indeed")
+    assert near[0] == 200 and score >= 0.5
+    assert model.nearest(*model.vector(rare), 3)[1][0] == pytest.approx(1)
