@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from loomwell.llm.sampling import labelled_sample
 from loomwell.llm.shared import crc_of_id, small_batches, text_or_empty
 
-FIT_ROWS = 8_000
+FIT_ROWS = 12_000
 NEIGHBOURS = 15
 BLOCK = 64
 #: Terms in most examples, whose weights are held for every example.
