@@ -6,16 +6,16 @@ host and URL path, each is paired with the neighbour of its host whose path shar
 beginning, and the two lists of lines are aligned by a longest common subsequence; what both
 share is the site's frame and goes. A line inside an ``article`` or ``main`` element is article
 text by its markup, so it stays if only some other pages quote it; it goes if the neighbour shares
-it and it stands on at least ``COMMON`` of the different pages of the host, three at least. A
-neighbour that shares four fifths of the lines is a copy of the page and says nothing about
-frames; the neighbour on the other side is taken then.
+it and it stands on at least ``COMMON`` of the different pages of the host, three at least. Pages of
+a host with the same lines are one page. A page that shares four fifths of the lines may be a near copy, so only
+such common lines go by it, and the next nearest within ``NEAR`` places on either side is tried.
 
 ``article`` and ``main`` elements are the body only if they hold at least half of the unlinked
 text outside frames; else all lines outside frames take part. ``article`` elements whose class, id
 or role names a frame (related cards) are left out unless they hold most of the text.
 
 Only hashes of lines travel: one pass writes them, the pairs are found in blocks of
-``RUN`` neighbours in the order of URLs (with one page of the next block on either side, so the
+``RUN`` neighbours in the order of URLs (with ``NEAR`` pages of the next block on either side, so the
 result doesn't depend on how rows are dealt out), and a second pass over the pages leaves
 out the lines found.
 
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from loomwell.llm.shared import materialise, small_batches
 
-RUN = 64
+RUN, NEAR = 64, 4
 #: Lists of lines to leave out that are broadcast at most.
 BROADCAST_ROWS = 100_000
 #: Share of a host's different pages on which a line of an article is the site's, and their least number.
@@ -91,7 +91,7 @@ def _names_frame(attributes: str, inside_main: bool) -> bool:
 
 def blocks(page: str) -> list[tuple[str, bool]]:
     """Lines of a page outside its frame, and whether an article or main element holds them."""
-    out: list[tuple[str, int, float]] = []
+    out: list[tuple[str, int]] = []
     plain = [0, 0, 0]  # unlinked characters outside articles, in them, and in those with a frame's name
     open_tags: list[tuple[str, bool, bool, bool]] = []
     frames = mains = named = links = 0
@@ -113,7 +113,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
             line = " ".join("".join(parts).split())
             if line:
                 kind = 2 if named else int(mains > 0)
-                out.append((line, kind, linked / max(total, 1)))
+                out.append((line, kind))
                 plain[kind] += total - linked
             parts.clear()
         linked = total = 0
@@ -165,13 +165,13 @@ def blocks(page: str) -> list[tuple[str, bool]]:
     say(page[at:])
     end_line()
     if plain[2] > plain[0] + plain[1]:
-        out = [(line, min(kind, 1), share) for line, kind, share in out]
+        out = [(line, min(kind, 1)) for line, kind in out]
         plain[1] += plain[2]
     else:
         out = [entry for entry in out if entry[1] < 2]
-    if plain[1] >= plain[0] and any(kind for _, kind, _ in out):
-        return [(line, True) for line, kind, _ in out if kind]
-    return [(line, bool(kind)) for line, kind, share in out if kind or share < 0.7]
+    if plain[1] >= plain[0] and any(kind for _, kind in out):
+        return [(line, True) for line, kind in out if kind]
+    return [(line, bool(kind)) for line, kind in out]
 
 
 def shared_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -226,7 +226,7 @@ def _alike(a: str, b: str) -> int:
 def _pair(group: pd.DataFrame) -> pd.DataFrame:
     """For each own page of a run: the places of the lines that it shares with its neighbour."""
     group = group.sort_values("place")
-    rows = list(group[["host", "path", "digest", "lines", "held", "common", "own", "page_id"]].itertuples(index=False))
+    rows = list(group[["host", "path", "lines", "held", "common", "own"]].itertuples(index=False))
     out = []
     for at, row in enumerate(rows):
         if not row.own or not len(row.lines):
@@ -234,14 +234,17 @@ def _pair(group: pd.DataFrame) -> pd.DataFrame:
         common = set() if row.common is None else set(row.common)
         if all(row.held) and not common.intersection(row.lines):
             continue  # no line may go
-        near = [rows[i] for i in (at - 1, at + 1) if 0 <= i < len(rows) and rows[i].host == row.host]
-        for other in sorted(near, key=lambda r: -_alike(r.path, row.path)):
-            shared = shared_lines(np.asarray(row.lines), np.asarray(other.lines))
-            if len(shared) < 0.8 * len(row.lines):
-                if gone := [i for i in shared if not row.held[i] or row.lines[i] in common]:
-                    out.append((row.page_id, row.digest, gone))
+        near = [i for i in range(max(at - NEAR, 0), min(at + NEAR + 1, len(rows))) if rows[i].host == row.host and not np.array_equal(rows[i].lines, row.lines)]
+        gone: set[int] = set()
+        for i in sorted(near, key=lambda i: (-_alike(rows[i].path, row.path), abs(i - at))):
+            shared = shared_lines(np.asarray(row.lines), np.asarray(rows[i].lines))
+            decides = len(shared) < 0.8 * len(row.lines)
+            gone.update(k for k in shared if decides and not row.held[k] or row.lines[k] in common)
+            if decides:
                 break
-    return pd.DataFrame(out, columns=["page_id", "digest", "gone"])
+        if gone:
+            out.append((row.host, row.lines, row.held, sorted(gone)))
+    return pd.DataFrame(out, columns=["host", "lines", "held", "gone"])
 
 
 def common_lines(hashed: DataFrame) -> DataFrame:
@@ -266,7 +269,9 @@ def frame_lines(pages: DataFrame) -> DataFrame:
     common, _ = materialise(common_lines(hashed), "pages-common", narrow=True)
     order = ["host", "path", "page_id", "digest"]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    placed = hashed.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    same = ["host", "lines", "held"]
+    first = hashed.groupBy(*same).agg(F.min(F.struct("path", "page_id", "digest")).alias("first")).select(*same, "first.*")
+    placed = first.repartitionByRange(n, *order).sortWithinPartitions(*order)
     placed = placed.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     placed, _ = materialise(placed, "pages-ordered")
     starts, at = [], 0
@@ -278,11 +283,12 @@ def frame_lines(pages: DataFrame) -> DataFrame:
     offsets = F.broadcast(spark.createDataFrame(starts, "part int, start long"))
     placed = placed.join(offsets, "part").withColumn("place", F.col("start") + F.col("row")).withColumn("run", F.expr(f"place div {RUN}"))
     edge = F.col("place") % RUN
-    copies = F.array(F.lit(0), F.when(edge == 0, -1), F.when(edge == RUN - 1, 1))
+    copies = F.array(F.lit(0), F.when(edge < NEAR, -1), F.when(edge >= RUN - NEAR, 1))
     placed = placed.select(*order, "lines", "held", "place", "run", F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("to"))
     placed = placed.withColumn("own", F.col("to") == 0).withColumn("run", F.col("run") + F.col("to"))
     placed = placed.join(F.broadcast(common) if common.count() <= BROADCAST_ROWS else common.hint("merge"), "host", "left")
-    return placed.groupBy("run").applyInPandas(_pair, "page_id long, digest long, gone array<int>")
+    gone = placed.groupBy("run").applyInPandas(_pair, "host string, lines array<long>, held array<boolean>, gone array<int>")
+    return hashed.join(gone, same).select("page_id", "digest", "gone")
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

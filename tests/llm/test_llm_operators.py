@@ -378,3 +378,16 @@ def test_near_copy_of_an_example_with_rare_words_meets_it():
     score, near = model.score(rare + " indeed")
     assert near[0] == 200 and score >= 0.5
     assert model.nearest(*model.vector(rare), 3)[1][0] == pytest.approx(1)
+
+
+def test_frames_go_though_most_lines_or_many_pages_are_the_same(spark):
+    frame = "".join(f"<div>Frame line {i}</div>" for i in range(5))
+    rows = [(i, f"http://f.x/{i}", f"<body>{frame}<div>Only line of {i}</div></body>") for i in range(4)]
+    page = "<body><div>Site name</div><h1><a href=/{0}>Title {0}</a></h1><p>Text of {0}.</p></body>"
+    rows += [(10 + i, f"http://r.x/{i:02d}", page.format("copies")) for i in range(12)] + [(30, "http://r.x/99", page.format("other"))]
+    near = "<body>" + "".join(f"<p>Body line {i}</p>" for i in range(9)) + "<p>Seen {0}</p></body>"
+    rows += [(40 + i, f"http://n.x/{i}", near.format(i)) for i in range(2)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Only line of {i}" for i in range(4))
+    assert all(got[10 + i] == "Title copies\nText of copies." for i in range(12)) and got[30] == "Title other\nText of other."
+    assert len(got[40].split("\n")) == 10
