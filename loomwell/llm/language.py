@@ -136,13 +136,17 @@ class Model:
         """The best language of each word, when each change costs SWITCH.
 
         One language throughout is best if against it no other gains more than SWITCH over
-        any run of words; only texts where one does need the full dynamic programme.
+        any run of words, and the best of the others at each word don't gain that together (a path
+        without it pays one switch less than it has spans). Other texts need the full dynamic
+        programme.
         """
         best = int(scores.sum(0).argmax())
-        gain = (scores - scores[:, best : best + 1]).T.cumsum(1)
+        lead = scores - scores[:, best : best + 1]
+        gain = lead.T.cumsum(1)
+        lead[:, best] = -np.inf
         before = np.zeros_like(gain)
         before[:, 1:] = gain[:, :-1]
-        if (gain - np.minimum.accumulate(before, axis=1)).max() <= SWITCH:
+        if (gain - np.minimum.accumulate(before, axis=1)).max() <= SWITCH and lead.max(1).sum() <= SWITCH:
             return np.full(len(scores), best, np.int32)
         state = scores[0].astype(np.float64)
         back = np.empty(scores.shape, np.int32)

@@ -391,3 +391,14 @@ def test_frames_go_though_most_lines_or_many_pages_are_the_same(spark):
     assert all(got[i] == f"Only line of {i}" for i in range(4))
     assert all(got[10 + i] == "Title copies\nText of copies." for i in range(12)) and got[30] == "Title other\nText of other."
     assert len(got[40].split("\n")) == 10
+
+
+def test_paths_are_the_best_even_if_the_best_sum_is_in_no_span():
+    model = language.Model(["en", "fr", "de"], {}, {})
+    assert model.path(np.array([[-3, 0, -6]] * 4 + [[-3, -6, 0]] * 4, np.float32)).tolist() == [1] * 4 + [2] * 4
+    r = np.random.default_rng(3)
+    total = lambda s, p: s[np.arange(len(s)), p].sum() - language.SWITCH * (np.diff(p) != 0).sum()
+    every = np.array(np.meshgrid(*[range(3)] * 7)).reshape(7, -1).T
+    for _ in range(60):
+        scores = -r.choice([0, 3, 6, 6], (7, 3)).astype(np.float32)
+        assert total(scores, model.path(scores)) == max(total(scores, p) for p in every)
