@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loomwell.llm.sampling import hash_order
 from loomwell.llm.shared import crc_of_id, small_batches, text_or_empty
 
-FIT_ROWS = 4_000
+FIT_ROWS = 6_000
 UNDECIDED = "und"
 #: n-grams kept per language, those in most words first.
 KEPT_GRAMS = 30_000
