@@ -166,3 +166,22 @@ def test_manual_entries_and_answers(spark):
     answers = spark.createDataFrame([("x", 3, '{"values": ["1", null]}'), ("y", 2, '```json\n{"1": "a", "2": "b", "3": "c"}```'), ("z", 1, "sorry")], "call_id string, n int, raw string")
     slots = {(r.call_id, r.slot): r.text for r in manual.answer_slots(answers).collect()}
     assert slots == {("x", 1): "1", ("x", 2): None, ("x", 3): None, ("y", 1): "a", ("y", 2): "b", ("z", 1): None}
+
+
+def test_best_reading_over_any_number_of_photos(spark):
+    import random
+
+    from loomwell.operators import merge
+
+    r = random.Random(9)
+    rows = [(i % 5, i, r.random() < 0.3, r.choice(["CONNU", "ILLISIBLE"]), r.randrange(9) / 10, r.choice("ab")) for i in range(60)]
+    got = {x.k: (x.seq, x.status, x.confidence, x.value, x.conflict) for x in merge.fold_readings(spark.createDataFrame(rows, "k int, seq int, free boolean, status string, confidence double, value string"), ["k"]).collect()}
+    for k in range(5):
+        seq, free, status, confidence, value = next(x[1:] for x in rows if x[0] == k)
+        conflict = False
+        for new in [x[1:] for x in rows if x[0] == k][1:]:
+            clash = status == new[2] == "CONNU" and value != new[4]
+            if free if free != new[1] else new[3] > confidence:
+                seq, free, status, confidence, value = new
+            status, conflict = ("A_REVISER" if clash else status), conflict or clash
+        assert got[k] == (seq, status, confidence, value, conflict)
