@@ -18,14 +18,13 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwell.llm.memory import REMEMBERED, Memory
+from loomwell.llm.memory import Bounded, held
 from loomwell.llm.shared import small_batches, text_or_empty
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -124,7 +123,7 @@ class Vocabulary:
             if fits and last >= 0:
                 fits = known.get(last << 32 | token)
                 if fits is None:
-                    if len(known) >= 2 * REMEMBERED:
+                    if len(known) >= 300_000:
                         known.clear()
                     fits = known[last << 32 | token] = self._may_meet(last, token)
             if fits:
@@ -154,8 +153,8 @@ class Encoder:
         self.vocabulary = vocabulary
         self.split = regex.compile(pattern).findall
         ids_of = vocabulary.encode_piece
-        self.piece = Memory(lambda piece: np.array(ids_of(piece.encode()), dtype="<u4").tobytes()).get
-        self.word = Memory(lambda word: b"".join(map(self.piece, self.split(word)))).get
+        self.piece = Bounded(lambda piece: np.array(ids_of(piece.encode()), dtype="<u4").tobytes()).get
+        self.word = Bounded(lambda word: b"".join(map(self.piece, self.split(word)))).get
         sizes = np.array(vocabulary.size, dtype=np.int64)
         self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
         self.bytes = np.frombuffer(b"".join(vocabulary.tokens), dtype=np.uint8)
@@ -181,9 +180,8 @@ class Encoder:
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(Vocabulary.load(path), pattern)
+    return held(f"bpe {path} {pattern}", lambda: Encoder(Vocabulary.load(path), pattern))
 
 
 def _run(path: str, pattern: str, with_ids: bool):

@@ -6,9 +6,11 @@ each change of language, so mixed texts fall into spans. A run of letters is cut
 its script changes and after every ``LONGEST`` letters, so that unspaced text is read to its end. The language of a text is the one
 whose spans hold the most letters; the score is its share of them.
 
-Bound: about ``FIT_ROWS`` texts in all, spread over the languages, chosen by a hash of the id.
+Bound: about ``FIT_ROWS`` texts in all, spread over the languages, chosen by a hash of the id, of ``FIT_CHARS``
+characters in all (fewer texts, if those would have more). Of more than ``FIT_ROWS`` languages, those with most texts are learned. Of
+each language the ``KEPT_GRAMS`` commonest n-grams are kept; a rarer one says nothing for any language.
 
-Defined cases: a null text, or one without letters, is ``und`` with score 0 (spans: none), as
+Defined cases: a text of any length is read whole; a null text, or one without letters, is ``und`` with score 0 (spans: none), as
 is every text if no language was learned; an empty table gives no rows; a repeated document is
 labelled per row; other columns are not read; ties go to the language that sorts first.
 """
@@ -16,6 +18,7 @@ labelled per row; other columns are not read; ties go to the language that sorts
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -26,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwell.llm.sampling import hash_order
+from loomwell.llm.memory import ENTRY, held
+from loomwell.llm.sampling import bounded_texts, hash_order
 from loomwell.llm.shared import crc_of_id, small_batches, text_or_empty
 
-FIT_ROWS = 6_000
+FIT_ROWS, FIT_CHARS = 6_000, 64_000_000
 UNDECIDED = "und"
 #: n-grams kept per language, those in most words first.
 KEPT_GRAMS = 30_000
@@ -84,7 +88,7 @@ class Model:
     """Per-language n-gram scores, and the languages written in each script."""
 
     def __init__(self, langs: list[str], table: dict[str, np.ndarray], scripts: dict[str, np.ndarray]):
-        self.langs, self.scripts = langs, scripts
+        self.langs, self.scripts, self.name = langs, scripts, uuid.uuid4().hex
         self.place = {gram: i for i, gram in enumerate(table)}
         self.rows = np.array([*table.values()], np.float32).reshape(len(table), len(langs))
 
@@ -164,13 +168,14 @@ class Model:
 
 
 class Labeller:
-    """Labels texts; remembers the scores of words up to a bound."""
+    """Labels texts; remembers the scores of words up to a bound in bytes."""
 
-    MOST = 600_000
+    MOST = 64 << 20
 
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[str, bytes] = {}
+        self.bytes = 0
         self.long: list[str] = []  # words that are forgotten after their batch
 
     def split(self, texts: list[str]) -> list[list[str]]:
@@ -180,14 +185,16 @@ class Labeller:
         split = [words(text.lower()) for text in texts]
         for word in self.long:
             self.known.pop(word, None)
-        if len(self.known) > self.MOST:
+        if self.bytes > self.MOST:
             self.known.clear()
+            self.bytes = 0
         new = [word for word in set().union(*split) if word not in self.known]
         self.long = [word for word in new if len(word) == LONGEST]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             scores = self.model.words(part).tobytes()
             width = len(scores) // len(part)
+            self.bytes += sum(map(len, part)) + len(part) * (width + ENTRY)
             self.known.update((word, scores[i * width : (i + 1) * width]) for i, word in enumerate(part))
         return split
 
@@ -229,16 +236,10 @@ def _label_rows(model):
     return run
 
 
-_LABELLERS: dict[int, Labeller] = {}
-
-
 def _labeller(model) -> Labeller:
-    """One labeller, with its memory of words, per worker and broadcast."""
-    key = id(model.value)
-    if key not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[key] = Labeller(model.value)
-    return _LABELLERS[key]
+    """One labeller, with its memory of words, per worker and model."""
+    own = model.value
+    return held(f"language {own.name}", lambda: Labeller(own))
 
 
 def learn(docs: DataFrame, bound: int = FIT_ROWS) -> Model:
@@ -250,10 +251,9 @@ def learn(docs: DataFrame, bound: int = FIT_ROWS) -> Model:
     each = max(bound // len(counts), 1)
     shares = [(lang, int(min(each / n, 1.0) * ((1 << 62) - 1))) for lang, n in counts.items()]
     limits = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, most long"))
-    taken = usable.join(limits, "lang").where(hash_order("doc_id").bitwiseAND(F.lit((1 << 62) - 1)) <= F.col("most")).select("doc_id", "lang", "text").toArrow()
-    order = np.argsort(taken.column("doc_id").to_numpy(), kind="stable").tolist()
-    texts, langs = taken.column("text").to_pylist(), taken.column("lang").to_pylist()
-    return Model.fit([texts[i] for i in order], [langs[i] for i in order])
+    taken = usable.join(limits, "lang").where(hash_order("doc_id").bitwiseAND(F.lit((1 << 62) - 1)) <= F.col("most")).select("doc_id", "lang", "text")
+    taken = bounded_texts(taken, "doc_id", FIT_CHARS)
+    return Model.fit(taken.column("text").to_pylist(), taken.column("lang").to_pylist())
 
 
 def languages(docs: DataFrame, bound: int = FIT_ROWS) -> DataFrame:

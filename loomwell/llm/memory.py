@@ -1,18 +1,39 @@
-"""A bounded memory of computed bytes for one worker."""
+"""What a Python worker remembers between batches: bounded by bytes, freed when another operator comes.
+
+Spark reuses Python workers, so whatever a module keeps would stay while later stages run in the
+same worker. ``held`` keeps the things of one operator at a time. ``Bounded`` remembers computed
+bytes up to a budget.
+"""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
+from typing import Any
+
+#: Bytes that one ``Bounded`` remembers at most, in both generations, with the dictionaries' own cost.
+BUDGET = 32 << 20
+#: What an entry costs beside its key and value: two object headers and its place in the dictionary.
+ENTRY = 200
+
+_held: dict[str, Any] = {}
+
 
-#: Entries of one generation.
-REMEMBERED = 300_000
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """The worker's thing of this name, made at first use; one of another name is dropped before."""
+    if name not in _held:
+        _held.clear()
+        gc.collect()
+        _held[name] = make()
+    return _held[name]
 
 
-class Memory:
+class Bounded:
     """Remembers ``make(key)`` in two generations; what is asked for again stays."""
 
-    def __init__(self, make: Callable[[str], bytes], longest: int = 64, most: int = REMEMBERED):
+    def __init__(self, make: Callable[[str], bytes], longest: int = 64, budget: int = BUDGET):
         self.old: dict[str, bytes] = {}
+        self.bytes = 0
         outer = self
 
         class Young(dict):
@@ -21,9 +42,11 @@ class Memory:
                 if found is None:
                     found = make(key)
                 if len(key) <= longest:
-                    if len(self) >= most:
+                    outer.bytes += len(key) + len(found) + ENTRY
+                    if outer.bytes > budget // 2:
                         outer.old = dict(self)
                         self.clear()
+                        outer.bytes = len(key) + len(found) + ENTRY
                     self[key] = found
                 return found
 

@@ -15,13 +15,13 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwell.llm.memory import ENTRY, held
 from loomwell.llm.shared import small_batches, text_or_empty
 
 WIDTH = 2048
@@ -32,7 +32,6 @@ SCHEMA_IDS = SCHEMA + ", ids array<int>"
 CHARS_AT_ONCE = 1 << 20
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
     import os
 
@@ -44,9 +43,8 @@ def _tokenizer(path: str):
     return found
 
 
-@lru_cache(maxsize=2)
 def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return held(f"packing {path}", lambda: WordIds(path))
 
 
 def binary_lengths(n: int, width: int = WIDTH) -> list[int]:
@@ -76,7 +74,8 @@ class WordIds:
     """
 
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-    MOST = 1_000_000
+    #: Bytes that the three dictionaries hold together at most.
+    MOST = 96 << 20
     LONGEST = 64
 
     def __init__(self, path: str):
@@ -84,6 +83,7 @@ class WordIds:
         self.first: dict[str, bytes] = {}  # words at the start of a text
         self.later: dict[str, bytes] = {}  # words after a space
         self.cores: dict[str, bytes] = {}  # words without the marks behind them, and marks
+        self.bytes = 0
         self.long: list[tuple[dict[str, bytes], str]] = []  # what is too long to be remembered
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -97,15 +97,18 @@ class WordIds:
             plain.update(parts[word])
         todo = [p for p in plain if p and p not in self.cores]
         self.cores.update(zip(todo, self._ids(todo), strict=True))
+        self.bytes += sum(len(core) + len(self.cores[core]) + ENTRY for core in todo)
         for word, (core, tail) in parts.items():
             if len(word) > self.LONGEST:
                 self.long += [(known, word), (self.cores, core), (self.cores, tail)]
             known[word] = self.cores[core] + (self.cores[tail] if tail else b"")
+            self.bytes += len(word) + len(known[word]) + ENTRY
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        for known in (self.first, self.later, self.cores):
-            if len(known) > self.MOST:
+        if self.bytes > self.MOST:
+            for known in (self.first, self.later, self.cores):
                 known.clear()
+            self.bytes = 0
         cut = [text.split(" ") for text in texts]
         heads, tails = {words[0] for words in cut}, set().union(*[words[1:] for words in cut])
         new_heads, new_tails = {w for w in heads if w not in self.first}, {w for w in tails if w not in self.later}

@@ -79,8 +79,11 @@ def crc_of_id(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches of whole texts small, so that long texts fit in a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bound the bytes of an Arrow batch, so that long texts fit in a worker.
+
+    Plans read this setting when they run, so it stays set in the session for the frames returned.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(1 << 26)).rstrip("b")) > most:
+        spark.conf.set(key, str(most))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from loomwell.llm import signature_tree as tree
 from loomwell.llm.components import components
-from loomwell.llm.memory import Memory
+from loomwell.llm.memory import Bounded, held
 from loomwell.llm.shared import BROADCAST_IDS, forget, materialise, release, small_batches, text_or_empty, without
 
 #: Sets that one task searches at most (twice as many where two blocks meet).
@@ -52,7 +52,7 @@ class Shingler:
 
     def __init__(self, k: int):
         self.k = k
-        self.hashes = Memory(lambda word: xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")).get
+        self.hashes = Bounded(lambda word: xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")).get
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         words = text.encode("utf-8", "replace").lower().split()
@@ -72,6 +72,10 @@ class Shingler:
         return found, length[first]
 
 
+def shingler(k: int) -> Shingler:
+    return held(f"shingles {k}", lambda: Shingler(k))
+
+
 def first_shingles(hashes: np.ndarray, lengths: np.ndarray, percent: int) -> np.ndarray:
     """The prefix: one more than can be missing from a linked set."""
     n = len(hashes)
@@ -122,7 +126,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def _scan(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(k)
+        shingles = shingler(k)
         for batch in batches:
             sizes, digests, keys = [], [], []
             for text in batch.column(1).to_pylist():
@@ -138,7 +142,7 @@ def _scan(k: int, percent: int):
 
 def _region_keys(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, regions = Shingler(k), Regions(percent)
+        shingles, regions = shingler(k), Regions(percent)
         for batch in batches:
             keys = [regions.keys(shingles(text)[0]) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(keys)], ["node", "keys"])
@@ -148,7 +152,7 @@ def _region_keys(k: int, percent: int):
 
 def _members(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(k)
+        shingles = shingler(k)
         for batch in batches:
             members = pa.array([shingles(text)[0].tobytes() for text in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("component"), batch.column("n"), members], ["node", "component", "n", "members"])

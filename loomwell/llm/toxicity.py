@@ -1,7 +1,9 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 A bounded sample of labelled texts is the set of examples. Terms are the lower-case words and
-word beginnings of all examples, weighted (1 + ln tf) * idf, and normalised per text. The
+word beginnings that stand in at least ``LEAST_SHARE`` of the examples, whatever their labels, weighted
+(1 + ln tf) * idf, and normalised per text. (With rarer ones too, the copies of one text among the examples
+would be found as well, but chance matches of rare words would outweigh all others: more errors, see the README.) The
 inverted index holds every term: postings for most, whole rows for the ``HEAVY`` ones that stand in most
 examples, with the largest weight of each in each block of neighbouring examples. A query adds up
 its postings and bounds what its heavy terms can add in a block; only examples whose bound reaches the
@@ -9,9 +11,10 @@ k-th best cosine get their heavy terms added, so the neighbours are exact. Their
 score by a monotone curve fitted to the examples' own leave-one-out votes. The neighbours'
 ids are the evidence.
 
-Bound: about ``FIT_ROWS`` labelled texts, chosen by a hash of the id.
+Bound: about ``FIT_ROWS`` labelled texts, chosen by a hash of the id, of ``FIT_CHARS`` characters in all
+(a smaller share of the ids is taken if those would have more).
 
-Defined cases: a null text counts as empty; terms that no example has are left out; a text without
+Defined cases: a null text counts as empty; a text of any length is read whole; terms that no example has are left out; a text without
 any term gets the smoothed share of toxic ones among such examples; without examples every score is 0.5 * 0.1 = 0.05; an
 empty table gives no rows; a repeated document is scored per row; other columns are not read.
 Ties in cosine go to the example that stands first in the index.
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -30,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwell.llm.sampling import labelled_sample
+from loomwell.llm.memory import Bounded
+from loomwell.llm.sampling import bounded_texts, labelled_sample
 from loomwell.llm.shared import crc_of_id, small_batches, text_or_empty
 
-FIT_ROWS = 12_000
+FIT_ROWS, FIT_CHARS = 12_000, 64_000_000
+#: Share of the examples that a term stands in at least.
+LEAST_SHARE = 0.01
 NEIGHBOURS = 15
 BLOCK = 64
 #: Terms in most examples, whose weights are held for every example.
@@ -48,21 +54,6 @@ def terms_of(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in STEMS if len(word) > k]]
 
 
-class Known(dict):
-    """Word -> numbers of its terms, remembered up to a bound."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= 400_000:
-            self.clear()
-        found = tuple(i for term in terms_of(word) if (i := self.vocabulary.get(term)) is not None)
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-
 @dataclass
 class Examples:
     """The index: terms, block postings, labels, ids, and the curve from vote to score."""
@@ -80,7 +71,7 @@ class Examples:
     without: float
     curve_x: np.ndarray
     curve_y: np.ndarray
-    known: Known | None = None
+    known: Callable[[str], bytes] | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": None, "vocabulary": "\n".join(self.vocabulary)}
@@ -89,14 +80,18 @@ class Examples:
         terms = state["vocabulary"]
         self.__dict__ = state | {"vocabulary": {term: i for i, term in enumerate(terms.split("\n") if terms else [])}}
 
+    def numbers(self, word: str) -> bytes:
+        """The numbers of a word's terms."""
+        return np.array([i for term in terms_of(word) if (i := self.vocabulary.get(term)) is not None], np.int64).tobytes()
+
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         if self.known is None:
-            self.known = Known(self.vocabulary)
-        counts = Counter(chain.from_iterable(filter(None, map(self.known.__getitem__, words(text.lower())))))
-        if not counts:
+            self.known = Bounded(self.numbers).get
+        found = np.frombuffer(b"".join(map(self.known, words(text.lower()))), np.int64)
+        if not len(found):
             return np.zeros(0, np.int64), np.zeros(0)
-        terms = np.fromiter(counts.keys(), np.int64, len(counts))
-        weight = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[terms]
+        terms, counts = np.unique(found, return_counts=True)
+        weight = (1 + np.log(counts)) * self.idf[terms]
         return terms, weight / np.sqrt((weight**2).sum())
 
     def nearest(self, terms: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -104,11 +99,12 @@ class Examples:
         n, row = len(self.labels), self.heavy[terms]
         light, heavy = row < 0, row[row >= 0]
         begin, end = self.starts[terms[light]].T
-        size = end - begin
         spans = [slice(b, e) for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
         if spans:
-            found = np.concatenate([self.postings[span] for span in spans])
-            score = np.bincount(found, np.repeat(weight[light], size) * np.concatenate([self.weights[span] for span in spans]), n)
+            found = np.concatenate([self.postings[span] for span in spans], dtype=np.intp, casting="unsafe")
+            share = np.concatenate([self.weights[span] for span in spans])
+            share *= np.repeat(weight[light].astype(np.float32), end - begin)
+            score = np.bincount(found, share, n)
         else:
             score = np.zeros(n)
         if len(heavy):
@@ -171,7 +167,7 @@ def fit(texts: list[str], labels: list[int], ids: list[int]) -> Examples:
     seen_in: Counter[str] = Counter()
     for i in chosen:
         seen_in.update(set(chain.from_iterable(map(terms_of, set(words(texts[i].lower()))))))
-    kept = sorted(seen_in)
+    kept = sorted(term for term, n in seen_in.items() if n >= LEAST_SHARE * len(chosen))
     vocabulary = {t: i for i, t in enumerate(kept)}
     counts = np.array([seen_in[t] for t in kept], dtype=np.int64)
     idf = np.log((1 + len(chosen)) / (1 + counts)) + 0.1
@@ -231,10 +227,9 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS):
     """
     known = labels.where(F.col("toxic").isin(0, 1) & (crc_of_id("doc_id") % 5 != 0)).select("doc_id", "toxic")
     chosen = labelled_sample(known, "doc_id", bound)
-    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id").toArrow()
-    order = np.argsort(taught.column("doc_id").to_numpy(), kind="stable").tolist()
-    columns = [taught.column(c).to_pylist() for c in ("text", "toxic", "doc_id")]
-    return docs.sparkSession.sparkContext.broadcast(fit(*[[c[i] for i in order] for c in columns]))
+    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    taught = bounded_texts(taught, "doc_id", FIT_CHARS)
+    return docs.sparkSession.sparkContext.broadcast(fit(*[taught.column(c).to_pylist() for c in ("text", "toxic", "doc_id")]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, with_evidence: bool = True) -> DataFrame:
