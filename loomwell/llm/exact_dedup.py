@@ -5,9 +5,9 @@ Texts are equal when they are identical after every ASCII white-space character
 hash; each level only looks at rows whose group of the level before has two members.
 
 Defined cases: a null text counts as empty, so all null and blank texts form one group;
-an empty table gives an empty result; a repeated ``doc_id`` is one document in several rows,
-each of which is reported, and rows that tie with the kept row in id and length are all kept;
-extra columns of the input are ignored.
+an empty table gives an empty result; a text of any length is hashed whole; a repeated ``doc_id`` is one document in several rows,
+each of which is reported, and rows that tie with the kept row in id and length are all reported as
+kept (``keep_one`` passes on one row of equal id and text); ties in length go to the smallest id; a null id is left as it is; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwell.llm.shared import materialise, text_or_empty, without
+from loomwell.llm.shared import BROADCAST_IDS, TEXT_KEY, forget, materialise, text_key, text_or_empty, without
 
 #: What equality ignores.
 BLANKS = r"[\x20\x09-\x0D]"
@@ -44,11 +44,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shuffles and adaptive execution can split a hot group.
     """
     sig, _ = materialise(signatures(docs, id_col, text_col), "dedup-signatures")
-    by_length, _ = materialise(_groups(sig, "n_bare"), "dedup-lengths", narrow=True)
+    by_length, lengths_path = materialise(_groups(sig, "n_bare"), "dedup-lengths", narrow=True)
     alike = sig.select("doc_id", "n_text", "n_bare", "head", "digest").join(
         by_length.hint("merge"), "n_bare", "left_semi"
     )
-    by_head, _ = materialise(_groups(alike, "n_bare", "head"), "dedup-heads", narrow=True)
+    by_head, heads_path = materialise(_groups(alike, "n_bare", "head"), "dedup-heads", narrow=True)
     alike = alike.join(by_head.hint("merge"), ["n_bare", "head"], "left_semi")
     first = F.min(F.struct((-F.col("n_text")).alias("less"), F.col("doc_id")))
     groups = (
@@ -58,6 +58,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("digest", "group_size", F.col("first.doc_id").alias("keep_id"), (-F.col("first.less")).alias("keep_n"))
     )
     groups, _ = materialise(groups, "dedup-groups", narrow=True)
+    forget(docs.sparkSession, lengths_path)
+    forget(docs.sparkSession, heads_path)
     return (
         sig.select("doc_id", "n_text", "digest")
         .join(groups.hint("merge"), "digest", "left")
@@ -79,10 +81,33 @@ def _groups(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    out = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
+    """The rows of ``docs`` that stay, with all their columns.
+
+    The first pass hashes beginnings only; the full hash is made for texts whose length and
+    beginning another row has, too. Rows are dropped, not ids: of an id with two texts each is judged by itself,
+    and of rows with equal id and text one stays.
+    """
+    bare = F.regexp_replace(text_or_empty(text_col), BLANKS, "")
+    key = text_key(text_col).alias(TEXT_KEY)
+    marks = docs.select(F.col(id_col).alias("doc_id"), key, F.length(bare).alias("n_bare"), F.xxhash64(F.substring(bare, 1, PREFIX_CHARS)).alias("head"))
+    marks, _ = materialise(marks, "dedup-marks")
+    by_length, lengths_path = materialise(_groups(marks, "n_bare"), "dedup-lengths", narrow=True)
+    alike = marks.join(by_length.hint("merge"), "n_bare", "left_semi")
+    by_head, heads_path = materialise(_groups(alike, "n_bare", "head"), "dedup-heads", narrow=True)
+    alike = alike.join(by_head.hint("merge"), ["n_bare", "head"], "left_semi").select("doc_id", TEXT_KEY).distinct()
+    alike, alike_path = materialise(alike, "dedup-alike", narrow=True)
+    texts = docs.select(F.col(id_col).alias("doc_id"), key, F.col(text_col).alias("text"))
+    again = texts.join(F.broadcast(alike) if alike.count() <= BROADCAST_IDS else alike.hint("merge"), ["doc_id", TEXT_KEY], "left_semi")
+    bare = F.regexp_replace(text_or_empty("text"), BLANKS, "")
+    full, full_path = materialise(again.select("doc_id", TEXT_KEY, F.length(text_or_empty("text")).alias("n"), F.unhex(F.sha2(bare, 256)).alias("digest")), "dedup-full")
+    first = F.min(F.struct((-F.col("n")).alias("less"), F.col("doc_id"), F.col(TEXT_KEY))).alias("first")
+    firsts, firsts_path = materialise(full.groupBy("digest").agg(first), "dedup-firsts", narrow=True)
+    other = (F.col("doc_id") != F.col("first.doc_id")) | (F.col(TEXT_KEY) != F.col(f"first.{TEXT_KEY}"))
+    out = full.join(firsts.hint("merge"), "digest").where(other).select("doc_id", TEXT_KEY).distinct()
     dropped, _ = materialise(out, "dedup-dropped", narrow=True)
-    return without(docs, dropped, id_col)
+    for path in (lengths_path, heads_path, alike_path, full_path, firsts_path):
+        forget(docs.sparkSession, path)
+    return without(docs, dropped, marks, id_col, text_col)
 
 
 ORACLE = """

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of local sessions that have none set, by application.
+_local_roots: dict[str, str] = {}
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -17,14 +21,18 @@ BROADCAST_IDS = 1_000_000
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only a session in local mode (tests) may leave it unset; it then gets a temporary folder.
+    Only a session in local mode (tests) may leave it unset; it then gets a
+    temporary folder, which is deleted when Python ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="loomwell-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _local_roots:
+            _local_roots[app] = tempfile.mkdtemp(prefix="loomwell-")
+            atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)
+        root = "file://" + _local_roots[app]
     return root.rstrip("/")
 
 
@@ -64,10 +72,33 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id isn't in ``ids``. Up to BROADCAST_IDS ids (8 bytes each) are
-    broadcast, so that texts stay where they are; more are joined by a shuffle."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), id_col, "left_anti")
+#: Name of the column that tells apart texts under one id while rows are dropped.
+TEXT_KEY = "loomwell_text_key"
+
+
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(text_or_empty(text_col))
+
+
+def without(docs: DataFrame, dropped: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose (id, text) isn't in ``dropped``; of rows with equal id and text one stays.
+
+    ``dropped`` and ``marks`` (all rows) have doc_id and TEXT_KEY. Up to BROADCAST_IDS dropped rows (16
+    bytes each) are broadcast, so that texts stay where they are; more are joined by a shuffle.
+    """
+    repeated = marks.groupBy("doc_id", TEXT_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id", TEXT_KEY)
+    repeated, _ = materialise(repeated, "repeated", narrow=True)
+    rows = docs.withColumn(TEXT_KEY, text_key(text_col))
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.withColumnRenamed("doc_id", id_col)
+        return left.join(F.broadcast(right) if right.count() <= BROADCAST_IDS else right.hint("merge"), [id_col, TEXT_KEY], how).select(*rows.columns)
+
+    rest = joined(rows, dropped, "left_anti")
+    if not repeated.isEmpty():
+        once = joined(rest, repeated, "left_semi").dropDuplicates([id_col, TEXT_KEY])
+        rest = joined(rest, repeated, "left_anti").unionByName(once)
+    return rest.drop(TEXT_KEY)
 
 
 def text_or_empty(column: str) -> Column:

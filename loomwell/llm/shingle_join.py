@@ -4,20 +4,22 @@
    the hashes of its first shingles in a fixed order (longest first, a stand-in for rarest
    first that needs no counts). By the prefix principle, two linked sets share one of those.
 2. Documents with a first shingle that a different set has too are read again. Their sets are
-   cut into regions of the hash range, more of them than two linked sets can differ in, so that
-   linked sets have a region in common that isn't empty. A region's key is the sum of its hashes.
+   cut into regions of the hash range, 1.3 times as many as two linked sets can differ in, so that
+   linked sets have several regions in common. A region's key is the sum of its hashes. Each set
+   leaves out as many of its keys, the commonest of all sets, as linked sets share beyond one (prefix principle
+   again), so that a passage which many documents share makes no candidates by itself.
 3. Documents that share region keys form candidate components. Each is searched by signature
    trees, dual traversal and exact comparison (``signature_tree``). A component of more than
-   ``BLOCK`` sets is first compared with its smallest member; what is linked to that needs no
-   comparison among itself, the rest meets all in blocks.
+   ``BLOCK`` sets is searched in chunks of that size, first each against itself and the first chunk, then
+   what is still apart from its largest group against all.
 4. The links' connected components are the result. Equal sets are one set from step 1 on.
 
 Nothing is capped or sampled: steps 1 and 2 lose no linked pair.
 
-Defined cases: null, empty and blank texts have no shingle, size 0, and link with nothing;
+Defined cases: a text of any length is read whole; null, empty and blank texts have no shingle, size 0, and link with nothing;
 with fewer than k words the whole sequence is one shingle; an empty table gives no rows;
 rows that repeat a ``doc_id`` are one node and each is reported; other columns are ignored.
-Shingles are compared by 64-bit hashes, sets by 128-bit digests.
+a group is named by its smallest id, so ties don't matter. Shingles are compared by 64-bit hashes, sets by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomwell.llm import signature_tree as tree
 from loomwell.llm.components import components
 from loomwell.llm.memory import Bounded, held
-from loomwell.llm.shared import BROADCAST_IDS, forget, materialise, release, small_batches, text_or_empty, without
+from loomwell.llm.shared import BROADCAST_IDS, TEXT_KEY, forget, materialise, release, small_batches, text_key, text_or_empty, without
 
 #: Sets that one task searches at most (twice as many where two blocks meet).
 BLOCK = 200
@@ -99,23 +102,31 @@ class Regions:
         small = self.edges[level + 1] - 1
         return (100 - self.percent) * (small + small * 100 // self.percent) // (100 + self.percent)
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """Keys for both levels at which a linked set may be met: its own class and the one below."""
+    def keys(self, hashes: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(level, spare, keys) for both levels at which a linked set may be met: its own class and the one below.
+
+        Linked sets have at least ``spare`` + 1 of the keys of a level in common, so in any order that is the
+        same for all sets, ``spare`` keys at the end can be left out: the first key that both have stays with
+        both. Keys of regions without elements are odd, others even. A set with more full regions
+        than it can differ in lists only these; the order must have odd keys last.
+        """
         n = len(hashes)
         if not n:
-            return hashes
+            return []
         own, out = self.size_class(n), []
         for level in (own, own - 1)[: 1 + (own > 0)]:
             differ = self.differ(level)
-            m = (differ + 1) * 23 // 20 + 1
+            m = (differ + 1) * 13 // 10 + 1
             region = (_mixed(hashes + np.uint64(level)) % np.uint64(m)).astype(np.int64)
             sums = np.zeros(m, np.uint64)
             np.add.at(sums, region, _mixed(hashes ^ _MIX[1]))
             keys = _mixed(_mixed(sums + np.uint64(level)) + np.arange(m, dtype=np.uint64))
             full = np.bincount(region, minlength=m) > 0
-            # a set with more full regions than it can differ in meets its partner in a full one
-            out.append(keys[full] if full.sum() > differ else keys)
-        return np.concatenate(out)
+            keys = (keys & ~np.uint64(1)) | ~full
+            if full.sum() > differ:
+                keys = keys[full]
+            out.append((level, len(keys) - differ - 1, keys))
+        return out
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -134,8 +145,8 @@ def _scan(k: int, percent: int):
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 keys.append(first_shingles(found, lengths, percent))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "keys"])
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", TEXT_KEY, "n_shingles", "digest", "keys"])
 
     return run
 
@@ -144,8 +155,9 @@ def _region_keys(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, regions = shingler(k), Regions(percent)
         for batch in batches:
-            keys = [regions.keys(shingles(text)[0]) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(keys)], ["node", "keys"])
+            rows = [(node, *found) for node, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for found in regions.keys(shingles(text)[0])]
+            nodes, levels, spare = (pa.array([row[i] for row in rows], pa.int64()) for i in range(3))
+            yield pa.RecordBatch.from_arrays([nodes, levels, spare, _lists([row[3] for row in rows])], ["node", "level", "spare", "keys"])
 
     return run
 
@@ -175,18 +187,6 @@ def _as_set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
-def _near_first(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for a, b in zip(batch.column("members").to_pylist(), batch.column("first").to_pylist(), strict=True):
-                x, y = _as_set(a), _as_set(b)
-                near.append(tree.overlap(x, y) >= tree.needed(len(x), len(y), percent))
-            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("node"), pa.array(near, pa.bool_())], ["component", "node", "near"])
-
-    return run
-
-
 def _search(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["node", "asks"], kind="stable").drop_duplicates(["node", "members"], keep="last")
@@ -217,83 +217,104 @@ def links(texts: DataFrame, candidates: DataFrame, k: int, percent: int) -> Data
     """Links (a, b) that give the components of all linked pairs among candidate components.
 
     ``texts``: doc_id, text. ``candidates``: node, component. Small components are one task
-    each. Of a large one, each task gets one block of all sets and one block of those that
-    aren't linked to the smallest set.
+    each. A large one is dealt into chunks; each task searches one chunk by itself and against the first
+    chunk. Of what that leaves apart from the component's largest group (by then all near copies are in it),
+    each task gets one block, with one block of all sets.
     """
-    sizes, _ = materialise(candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK}"), "join-large", narrow=True)
-    placed, _ = materialise(candidates.join(sizes.hint("merge"), "component", "left").withColumnRenamed("node", "doc_id"), "join-placed", narrow=True)
+    spark = texts.sparkSession
+    sizes, sizes_path = materialise(candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK}"), "join-large", narrow=True)
+    placed, placed_path = materialise(candidates.join(sizes.hint("merge"), "component", "left").withColumnRenamed("node", "doc_id"), "join-placed", narrow=True)
     members = _with_texts(texts, placed).select("doc_id", "text", "component", "n").mapInArrow(_members(k), "node long, component long, n long, members binary")
-    members, _ = materialise(members, "join-members")
-    small = members.where("n IS NULL").select(
-        "component", F.lit(0).alias("x"), F.lit(0).alias("y"), "node", F.lit(False).alias("near"), F.lit(True).alias("asks"), "members"
-    )
-    shape = "a long, b long"
-    found = small.groupBy("component", "x", "y").applyInPandas(_search(percent), shape)
-    large = members.where("n IS NOT NULL")
+    members, members_path = materialise(members, "join-members")
+    shape, row = "a long, b long", ["component", "x", "y", "node", "near", "asks", "members"]
+
+    def searched(rows: DataFrame) -> DataFrame:
+        return rows.select(*row).groupBy("component", "x", "y").applyInPandas(_search(percent), shape)
+
+    alone = members.withColumn("y", F.lit(0)).withColumn("near", F.lit(False)).withColumn("asks", F.lit(True))
+    found = searched(alone.where("n IS NULL").withColumn("x", F.lit(0)))
     if sizes.isEmpty():
-        return found
-    firsts, _ = materialise(large.where("node = component").select("component", F.col("members").alias("first")), "join-firsts")
-    judged = large.select("component", "node", "members").join(firsts.hint("merge"), "component").mapInArrow(_near_first(percent), "component long, node long, near boolean")
-    judged, _ = materialise(judged, "join-judged")
-    counts, _ = materialise(
-        judged.groupBy("component").agg(F.count(F.lit(1)).alias("n_all"), F.count(F.when(~F.col("near"), 1)).alias("n_far")), "join-counts", narrow=True
-    )
-    blocks = F.ceil(F.col("n_all") / BLOCK).cast("int")
-    far_blocks = F.greatest(F.ceil(F.col("n_far") / BLOCK).cast("int"), F.lit(1))
-    rows = (
-        judged.join(counts.hint("merge"), "component")
-        .where("n_far > 0")
-        .select("component", "node", "near", blocks.alias("nx"), far_blocks.alias("ny"))
-        .withColumn("x", F.pmod(F.xxhash64("node"), F.col("nx")).cast("int"))
-        .withColumn("y", F.pmod(F.xxhash64("node", F.lit(1)), F.col("ny")).cast("int"))
-    )
-    rows, _ = materialise(rows.join(large.select("node", "members").hint("merge"), "node"), "join-blocks")
-    asked = rows.select("component", "x", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("y"), "node", "near", F.lit(False).alias("asks"), "members")
-    asks = rows.where(~F.col("near")).select("component", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("x"), "y", "node", "near", F.lit(True).alias("asks"), "members")
-    met = asked.unionByName(asks).groupBy("component", "x", "y").applyInPandas(_search(percent), shape)
-    stars = judged.where("near").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return found.unionByName(met).unionByName(stars)
+        found, _ = materialise(found, "join-links", narrow=True)
+    else:
+        chunks = alone.where("n IS NOT NULL").withColumn("nx", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("x", F.pmod(F.xxhash64("node"), F.col("nx")).cast("int"))
+        first = chunks.where("x = 0").withColumn("x", F.explode(F.sequence(F.lit(1), F.col("nx") - 1))).withColumn("asks", F.lit(False))
+        found, _ = materialise(found.unionByName(searched(chunks.unionByName(first))), "join-links", narrow=True)
+        release(spark)
+        groups = components(found)
+        labels = chunks.select("component", "node", "nx", "x").join(groups.select("node", F.col("component").alias("label")).hint("merge"), "node", "left")
+        labels, labels_path = materialise(labels.withColumn("label", F.coalesce("label", "node")), "join-labels", narrow=True)
+        by_label = labels.groupBy("component", "label").agg(F.count(F.lit(1)).alias("m"))
+        largest = by_label.groupBy("component").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("n_all"))
+        largest, largest_path = materialise(largest.where("n_all > top.m").select("component", "top", F.ceil((F.col("n_all") - F.col("top.m")) / BLOCK).cast("int").alias("ny")), "join-largest", narrow=True)
+        dealt = labels.join(largest.hint("merge"), "component").withColumn("y", F.pmod(F.xxhash64("node", F.lit(1)), F.col("ny")).cast("int"))
+        dealt = dealt.select("node", "nx", "ny", "x", "y", (F.col("label") == F.col("top.label")).alias("near"))
+        rows, rows_path = materialise(members.where("n IS NOT NULL").select("component", "node", "members").join(dealt.hint("merge"), "node"), "join-blocks")
+        asked = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ny") - 1))).withColumn("asks", F.lit(False))
+        asks = rows.where(~F.col("near")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nx") - 1))).withColumn("asks", F.lit(True))
+        met, _ = materialise(searched(asked.unionByName(asks)), "join-met", narrow=True)
+        found = found.unionByName(met)
+        for path in (labels_path, largest_path, rows_path):
+            forget(spark, path)
+    for path in (sizes_path, placed_path, members_path):
+        forget(spark, path)
+    return found
 
 
 def shingle_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``: documents link when the
     Jaccard similarity of their k-word shingle sets is ``percent`` / 100 or more."""
+    return _grouped(docs, k, percent, id_col, text_col).drop(TEXT_KEY)
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The same with TEXT_KEY, which tells apart texts of one id."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    scanned, _ = materialise(texts.mapInArrow(_scan(k, percent), "doc_id long, n_shingles long, digest binary, keys array<long>"), "join-scan")
-    same, _ = materialise(scanned.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "join-same")
+    scanned, _ = materialise(texts.withColumn(TEXT_KEY, text_key("text")).mapInArrow(_scan(k, percent), f"doc_id long, {TEXT_KEY} long, n_shingles long, digest binary, keys array<long>"), "join-scan")
+    same, same_path = materialise(scanned.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "join-same")
     # the set stands for its copies: its first document's id is its node
     nodes = scanned.where("digest IS NOT NULL").select("doc_id", "digest", "keys").join(same.select("digest", "node").hint("merge"), ["digest"])
     firsts = nodes.where("doc_id = node").select(F.explode("keys").alias("key"), "node")
     firsts, firsts_path = materialise(firsts, "join-first-rows")
     release(spark)
-    met, _ = _shared_rows(firsts, "join-first-keys")
+    met, met_path = _shared_rows(firsts, "join-first-keys")
     release(spark)
-    live, _ = materialise(firsts.join(met.select("key").hint("merge"), "key", "left_semi").select("node").distinct(), "join-live", narrow=True)
+    live, live_path = materialise(firsts.join(met.select("key").hint("merge"), "key", "left_semi").select("node").distinct(), "join-live", narrow=True)
     forget(spark, firsts_path)
+    forget(spark, met_path)
     release(spark)
     ids = live.select(F.col("node").alias("doc_id"))
-    regions, regions_path = materialise(_with_texts(texts, ids).mapInArrow(_region_keys(k, percent), "node long, keys array<long>"), "join-regions")
-    keyed = regions.select(F.explode("keys").alias("key"), "node")
-    met, _ = _shared_rows(keyed, "join-region-keys")
+    regions, regions_path = materialise(_with_texts(texts, ids).mapInArrow(_region_keys(k, percent), "node long, level long, spare long, keys array<long>"), "join-regions")
+    keyed = regions.select("node", "level", "spare", F.explode("keys").alias("key"))
+    counts, counts_path = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "join-region-counts")
+    release(spark)
+    # in the order (odd, commonest) a set's last ``spare`` keys are left out: common passages link nothing then
+    last = Window.partitionBy("node", "level").orderBy(F.col("key").bitwiseAND(F.lit(1)).desc(), F.desc("n"), "key")
+    kept = keyed.join(counts.hint("merge"), "key").withColumn("place", F.row_number().over(last)).where("place > spare").select("key", "node")
+    kept, kept_path = materialise(kept, "join-region-kept")
+    met, met_path = _shared_rows(kept, "join-region-keys")
     release(spark)
-    pairs = keyed.join(met.hint("merge"), "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    candidates, _ = materialise(components(pairs), "join-candidates", narrow=True)
-    forget(spark, regions_path)
+    pairs = kept.join(met.hint("merge"), "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    candidates, candidates_path = materialise(components(pairs), "join-candidates", narrow=True)
+    for path in (live_path, regions_path, counts_path, kept_path, met_path):
+        forget(spark, path)
     release(spark)
     found = components(links(texts, candidates, k, percent))
+    forget(spark, candidates_path)
     named = same.join(found.hint("merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component"), "node", "copies")
     named, _ = materialise(named.where("copies > 1 OR component <> node").select("digest", "component"), "join-named", narrow=True)
+    forget(spark, same_path)
     return (
-        scanned.select("doc_id", "n_shingles", "digest")
+        scanned.select("doc_id", TEXT_KEY, "n_shingles", "digest")
         .join(named.hint("merge"), "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .select("doc_id", TEXT_KEY, "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     )
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose document is the first of its group."""
-    out = shingle_groups(docs, k, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    dropped, _ = materialise(out, "join-dropped", narrow=True)
-    return without(docs, dropped, id_col)
+    """The rows of ``docs``, with all their columns, whose document is the first of its group; of rows
+    with equal id and text one stays."""
+    groups, _ = materialise(_grouped(docs, k, percent, id_col, text_col), "join-groups")
+    dropped, _ = materialise(groups.where("doc_id <> component_id").select("doc_id", TEXT_KEY).distinct(), "join-dropped", narrow=True)
+    return without(docs, dropped, groups, id_col, text_col)
