@@ -16,9 +16,13 @@ UNITS = {
     "g": "g", "gr": "g", "kg": "kg", "cm": "cm", "sa": "SA", "s.a": "SA", "sem": "SA", "°c": "°C", "c": "°C",
     "g/dl": "g/dL", "g/l": "g/L", "k": "k", "000": "k", "jours": "jours", "j": "jours", "jour": "jours",
 }
+# Shapes of numbers, pressures, dates, abbreviated counts, and weeks with days.
 NUMBER = r"-?[0-9]+(?:[.,][0-9]+)?"
 _CM = r"([0-9]{1,2}(?:[.,][0-9])?)\s*[/\\|-]\s*([0-9]{1,2}(?:[.,][0-9])?)"
 _MM = r"([0-9]{2,3})\s*[/\\|-]\s*([0-9]{2,3})"
+_DATE = r"^([0-9]{1,2})[/.\-]([0-9]{1,2})[/.\-]([0-9]{2,4})$"
+_COUNT = r"^[0-9]{1,3}\s*(?:ans?|g|ème|e|x)?$"
+_WEEKS = r"^([0-9]{1,2})\s*(?:sa|s\.a\.?|sem)\s*\+?\s*([0-9])\s*j(?:ours?)?$"
 
 
 def _decimal(text: Column) -> Column:
@@ -39,12 +43,11 @@ def marker(column: Column) -> Column:
 def parse_date(column: Column) -> Column:
     """Day, month, year with / . or -; two-digit years from 50 are 19xx; 1950 to 2040; else null."""
     text = F.regexp_replace(column, " ", "")
-    shape = r"^([0-9]{1,2})[/.\-]([0-9]{1,2})[/.\-]([0-9]{2,4})$"
-    day, month, year = (F.regexp_extract(text, shape, i) for i in (1, 2, 3))
+    day, month, year = (F.regexp_extract(text, _DATE, i) for i in (1, 2, 3))
     number = year.try_cast("int")
     whole = F.when(number < 50, number + 2000).when(number < 100, number + 1900).otherwise(number)
     made = F.concat_ws("-", F.lpad(whole.cast("string"), 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    date = F.try_to_date(F.when(text.rlike(shape), made), "yyyy-MM-dd")
+    date = F.try_to_date(F.when(text.rlike(_DATE), made), "yyyy-MM-dd")
     return F.when(F.year(date).between(1950, 2040), date)
 
 
@@ -70,7 +73,7 @@ def parse_int(column: Column) -> Column:
     text = tidy(column)
     number = parse_number(text)
     plain = F.regexp_replace(text, " ", "").rlike("^[0-9]+$")
-    short = F.lower(text).rlike(r"^[0-9]{1,3}\s*(?:ans?|g|ème|e|x)?$")
+    short = F.lower(text).rlike(_COUNT)
     return F.struct(number.try_cast("long").alias("value"), F.coalesce(plain | short, F.lit(False)).alias("format_ok"))
 
 
@@ -78,9 +81,8 @@ def parse_quantity(column: Column) -> Column:
     """struct(value, unit, format_ok): first number and unit; weeks and days become weeks."""
     text = tidy(column)
     low = F.lower(text)
-    weeks = r"^([0-9]{1,2})\s*(?:sa|s\.a\.?|sem)\s*\+?\s*([0-9])\s*j(?:ours?)?$"
-    in_weeks = low.rlike(weeks)
-    w, d = (F.regexp_extract(low, weeks, i).try_cast("double") for i in (1, 2))
+    in_weeks = low.rlike(_WEEKS)
+    w, d = (F.regexp_extract(low, _WEEKS, i).try_cast("double") for i in (1, 2))
     number = parse_number(text)
     at = F.regexp_instr(text, F.lit(r"[-0-9.,\s]+"))
     run = F.regexp_extract(text, r"[-0-9.,\s]+", 0)
@@ -128,13 +130,15 @@ def normalised(column: Column, kind: Column, vocabulary: Column | None = None) -
 
 
 def same_value(a: Column, b: Column) -> Column:
-    """Whether two normalised values agree; quantities by number alone, markers only with each other."""
+    """Whether two normalised values agree; quantities by number alone, boxes and markers only with each other."""
     marked = a["marker"].isNotNull() | b["marker"].isNotNull()
+    boxes = a["b"].isNotNull() | b["b"].isNotNull()
     numbers = a["n"].isNotNull() & b["n"].isNotNull()
     pressures = a["sys"].isNotNull() & b["sys"].isNotNull()
     plain = [comparable(F.coalesce(x["s"], x["d"].cast("string"), x["n"].cast("string"), F.lit(""))) for x in (a, b)]
     return (
         F.when(marked, a["marker"].eqNullSafe(b["marker"]))
+        .when(boxes, a["b"].eqNullSafe(b["b"]))
         .when(numbers, F.abs(a["n"] - b["n"]) < 1e-6)
         .when(pressures, (a["sys"] == b["sys"]) & (a["dia"] == b["dia"]))
         .otherwise(plain[0] == plain[1])

@@ -6,6 +6,7 @@ patterns that must see Unicode carry (?U).
 
 from __future__ import annotations
 
+import math
 import unicodedata
 
 import pandas as pd
@@ -36,6 +37,10 @@ VOCABULARY = (
 )
 
 
+#: Characters whose NFKC form is one other ASCII character (full-width forms, superscripts, wide spaces).
+COMPATIBLE = [(c, n) for c in map(chr, range(0xA0, 0x10000)) if (n := unicodedata.normalize("NFKC", c)) != c and len(n) == 1 and n.isascii()]
+
+
 def _text(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
@@ -57,9 +62,14 @@ def without_marks(values: pd.Series) -> pd.Series:
 
 
 def tidy(column: Column | str, unicode_form: bool = False) -> Column:
-    """Western digits, one space for white space, trimmed; with NFKC first if asked for."""
+    """Western digits, one space for white space, trimmed, in a compatible form.
+
+    By default single characters take their ASCII form under NFKC, in the JVM; with ``unicode_form``
+    all of NFKC is applied (ligatures and fractions, too), by an Arrow function.
+    """
     text = nfkc(_text(column)) if unicode_form else _text(column)
-    return F.trim(F.regexp_replace(F.translate(text, EASTERN_DIGITS, WESTERN_DIGITS), r"(?U)\s+", " "))
+    one, other = ("".join(part) for part in zip(*COMPATIBLE, strict=True))
+    return F.trim(F.regexp_replace(F.translate(text, EASTERN_DIGITS + one, WESTERN_DIGITS + other), r"(?U)\s+", " "))
 
 
 def strip_accents(column: Column | str) -> Column:
@@ -169,6 +179,24 @@ def _compared(text: str) -> str:
     return " ".join(text.lower().replace(",", ".").split())
 
 
+def near_vocabulary(column: Column | str, least: float = 88.0, entries: tuple[str, ...] = VOCABULARY) -> Column:
+    """Whether a text can be like an entry at all, in the JVM: false only if :func:`vocabulary_match` gives null.
+
+    An indel similarity of ``least`` leaves few edits for the lengths, and the edit distance never exceeds the
+    indel distance. Texts with white space or letters beyond the closed Latin set aren't judged here.
+    """
+    text = _text(column)
+    form, n = comparable(text), F.length(comparable(text))
+    left = 1 - least / 100
+    near = F.lit(False)
+    for entry in sorted({_compared(e) for e in entries}):
+        low, high = math.ceil(len(entry) * (1 - left) / (1 + left) - 1e-9), math.floor(len(entry) * (1 + left) / (1 - left) + 1e-9)
+        most = math.floor((len(entry) + high) * left + 1e-9)
+        near = near | (n.between(low, high) & (F.levenshtein(form, F.lit(entry), most) >= 0))
+    judged = text.rlike(f"^[\\x21-\\x7E{ACCENTED}]*$")
+    return F.coalesce(~judged | near, F.lit(False))
+
+
 def vocabulary_match(least: float = 88.0, entries: tuple[str, ...] = VOCABULARY):
     """An Arrow function: the entry most like the text, or null below ``least``; ties go to the first entry."""
     import re
@@ -204,15 +232,20 @@ def vocabulary_match(least: float = 88.0, entries: tuple[str, ...] = VOCABULARY)
     return match
 
 
+def without_ordinals(form: str) -> str:
+    """French ordinals in one form: 2eme is 2e."""
+    return form.replace("eme", "e")
+
+
 def label_match(labels: list[str], least: float = 80.0):
     """An Arrow function: the label most like the text by weighted ratio, or null below ``least``."""
 
     @F.pandas_udf(StringType())
     def match(values: pd.Series) -> pd.Series:
-        forms = [(label, _compared(label)) for label in labels]
+        forms = [(label, without_ordinals(_compared(label))) for label in labels]
         seen = {}
         for text in values.dropna().unique():
-            score, at = max(((weighted_ratio(_compared(text), f), -i) for i, (_, f) in enumerate(forms)), default=(0.0, 0))
+            score, at = max(((weighted_ratio(without_ordinals(_compared(text)), f), -i) for i, (_, f) in enumerate(forms)), default=(0.0, 0))
             seen[text] = forms[-at][0] if score >= least else None
         return values.map(seen, na_action="ignore")
 

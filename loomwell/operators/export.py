@@ -9,70 +9,87 @@ from loomwell.functions.text import strip_accents
 from loomwell.operators.model import checked, number_of, safe
 
 
+# Levels of education, pages, and the keys of delivery modes.
+EDUCATION = {"aucun": 0, "analphabete": 0, "primaire": 0, "college": 1, "lycee": 1, "secondaire": 1, "superieur": 2}
+IDENTITY, PREGNANCY, DELIVERY, NEWBORN, NEWBORN_LATE = "identification", "grossesse_actuelle", "accouchement", "pp_precoce_nne", "pp_tardif_nne"
+CESAREAN, VAGINAL = ("cesarienne_programmee", "urgence"), ("voie_basse_non_instrumen", "voie_basse_instrumentale")
+
+
 def record_rows(fields: DataFrame) -> DataFrame:
-    """One row of analytic columns per dossier; only safe values count, a doubtful one is null.
+    """One row of analytic columns per dossier (of all dossiers in ``fields``); only safe values count.
 
-    "First" is the first key in lexicographic order. The birth weight is given in grams whatever its
-    unit, which is what the column promises. One aggregation, no join.
+    ``fields``: dossier_id, page_type, key, value, status, validated_by. A column reads one page, as the
+    register has keys of one name on several; without the column ``page_type`` all pages count as the right one. "First" is the first safe key in lexicographic order, even if it holds no
+    number. Known boxes give 0 or 1, none null. The birth weight is
+    in grams, as its column says, and an accented "Négatif" is negative. One aggregation, no join.
     """
-    f = fields.where(safe(F.col("status"), F.col("validated_by")))
-    key, value = F.col("key"), F.col("value")
-    number = number_of(value, F.lit("CONNU"))
-    text = F.lower(strip_accents(F.coalesce(value["s"], F.lit(""))))
-
-    def one(name: str, what: Column = number) -> Column:
-        return F.max(F.when(key == name, what))
-
-    def first(pattern: str, what: Column = number) -> Column:
-        hit = key.rlike(pattern) & what.isNotNull()
-        return F.min_by(F.when(hit, what), F.when(hit, key))
-
-    def mean(pattern: str, what: Column) -> Column:
-        return F.round(F.avg(F.when(key.rlike(pattern), what)), 1)
-
-    def positive(pattern: str) -> Column:
-        seen = F.when(text.rlike("^(pos|neg)"), text.startswith("pos"))
-        return F.bool_or(F.when(key.rlike(pattern), seen)).cast("int")
-
-    def box(*names: str) -> Column:
-        return F.bool_or(F.when(key.isin(*names) & value["b"].isNotNull(), checked(value))).cast("int")
-
-    level = F.when(text.isin("aucun", "analphabete", "primaire"), 0).when(text.isin("college", "lycee", "secondaire"), 1).when(text == "superieur", 2)
-    weight, height = first("^poids_kg__"), one("taille")
-    glucose = first("^glycemie")
-    sex = F.when(text.startswith("f"), 0).when(text.startswith("m"), 1)
-    grams = F.when(value["unit"] == "kg", number * 1000).otherwise(number)
-    birth_weeks = one("age_gestationnel")
-    return f.groupBy("dossier_id").agg(
-        one("age").alias("age"),
-        one("niveau_d_instruction", level).alias("education_level"),
-        box("consanguinite").alias("consanguinity"),
-        box("grossesse_desiree").alias("desired_pregnancy"),
-        one("gestation").alias("gravidity"),
-        one("parite").alias("parity"),
-        one("nombre_d_enfants_vivants").alias("living_children"),
-        first("^avortement").alias("abortions"),
-        F.bool_or(F.when(key.rlike("^modalite_d_extraction__"), text.contains("sar"))).cast("int").alias("previous_cesarean"),
-        F.round(weight / F.pow(height / 100, 2), 2).alias("bmi"),
-        mean("^ta__", value["sys"]).alias("mean_systolic"),
-        mean("^ta__", value["dia"]).alias("mean_diastolic"),
-        first("^hemoglobine__").alias("hemoglobin"),
-        F.when(glucose < 5, glucose * 100).otherwise(glucose).alias("glucose"),
-        positive("^proteinurie|^albuminurie").alias("proteinuria"),
-        positive("^serologie_vih__").alias("hiv"),
-        positive("^syphilis_tpha_vdrl__").alias("syphilis"),
-        positive("^ag_hbs__").alias("hepatitis_b"),
+    paged = "page_type" in fields.columns
+    page, key, value = F.col("page_type"), F.col("key"), F.col("value")
+    ok = safe(F.col("status"), F.col("validated_by"))
+    usable = F.when(F.col("status").isin("CONNU", "A_REVISER"), F.lit("CONNU"))
+    number = number_of(value, usable)
+    said = F.when(value["s"].isNotNull(), F.lower(value["s"]))
+    bare = strip_accents(said)
+
+    def at(where: str | tuple, hit: Column, what: Column) -> Column:
+        there = page.isin(*(where if isinstance(where, tuple) else (where,))) if paged else F.lit(True)
+        return F.when(ok & there & hit, what)
+
+    def one(where: str, name: str, what: Column = number) -> Column:
+        return F.max(at(where, key == name, what))
+
+    def first(where: str, begin: str) -> Column:
+        hit = key.startswith(begin)
+        return F.min_by(at(where, hit, F.struct(number.alias("n"))), at(where, hit, key))["n"]
+
+    def mean(part: str) -> Column:
+        # sums of whole numbers are exact, so the mean doesn't depend on the order of rows
+        return F.round(F.avg(at(PREGNANCY, key.startswith("ta__"), value[part])), 1)
+
+    def positive(begin: str) -> Column:
+        seen = F.when(bare.startswith("pos"), True).when(bare.startswith("neg"), False)
+        return F.bool_or(at(PREGNANCY, key.startswith(begin), seen)).cast("int")
+
+    def box(where: str | tuple, *names: str) -> Column:
+        return F.bool_or(at(where, key.isin(*names), checked(value))).cast("int")
+
+    level = F.create_map(*[F.lit(x) for pair in EDUCATION.items() for x in pair])
+    height, weight = one(PREGNANCY, "taille"), first(PREGNANCY, "poids_kg__")
+    glucose = first(PREGNANCY, "bilan_glycemique__")
+    initial = F.upper(F.substring(F.trim(value["s"]), 1, 1))
+    birth_weeks = one(DELIVERY, "age_gestationnel")
+    any_mode = F.count(at(DELIVERY, key.isin(*CESAREAN, *VAGINAL), F.lit(1)))
+    out = fields.groupBy("dossier_id").agg(
+        one(IDENTITY, "age").alias("age"),
+        one(IDENTITY, "niveau_d_instruction", F.try_element_at(level, bare)).alias("education_level"),
+        box(IDENTITY, "consanguinite").alias("consanguinity"),
+        box(IDENTITY, "grossesse_desiree").alias("desired_pregnancy"),
+        one(IDENTITY, "gestation").alias("gravidity"),
+        one(IDENTITY, "parite").alias("parity"),
+        one(IDENTITY, "nombre_d_enfants_vivants").alias("living_children"),
+        one(IDENTITY, "avortement__nombre").alias("abortions"),
+        F.bool_or(at(IDENTITY, key.startswith("modalite_d_extraction__"), F.coalesce(said.contains("sar"), F.lit(False)))).cast("int").alias("previous_cesarean"),
+        F.when(height != 0, F.round(weight / F.pow(height / 100, 2), 2)).alias("bmi"),
+        mean("sys").alias("mean_systolic"),
+        mean("dia").alias("mean_diastolic"),
+        F.round(first(PREGNANCY, "hemoglobine__"), 2).alias("hemoglobin"),
+        F.round(F.when(glucose < 5, F.round(glucose * 100, 1)).otherwise(glucose), 2).alias("glucose"),
+        positive("albuminurie__").alias("proteinuria"),
+        positive("serologie_vih__").alias("hiv"),
+        positive("syphilis_tpha_vdrl__").alias("syphilis"),
+        positive("ag_hbs__").alias("hepatitis_b"),
         F.lit(None).cast("int").alias("hepatitis_c"),
-        F.min(F.when(key.rlike("^age_probable__"), number)).alias("weeks_at_enrolment"),
+        F.min(at(PREGNANCY, key.startswith("age_probable__"), number)).alias("weeks_at_enrolment"),
         birth_weeks.alias("weeks_at_birth"),
         (birth_weeks < 37).cast("int").alias("preterm"),
-        F.bool_or(F.when(key.rlike("^cesarienne"), checked(value))).cast("int").alias("cesarean"),
-        one("sexe", sex).alias("newborn_sex"),
-        one("poids_a_la_naissance", grams).alias("birth_weight"),
-        first("^perimetre_cranien").alias("head_circumference"),
-        box("allaitement_maternel", "allaitement_exclusif").alias("breastfeeding"),
-        box("reference", "transfert").alias("referral"),
+        F.when(any_mode > 0, F.coalesce(box(DELIVERY, *CESAREAN), F.lit(0))).alias("cesarean"),
+        one(DELIVERY, "sexe", F.when(initial == "F", 0).when(initial == "M", 1)).alias("newborn_sex"),
+        one(DELIVERY, "poids_a_la_naissance", F.when(value["unit"] == "kg", number * 1000).otherwise(number)).alias("birth_weight"),
+        one(DELIVERY, "perimetre_cranien_a_la_naissance").alias("head_circumference"),
+        box(NEWBORN, "exclusivement_au_sein", "mixte").alias("breastfeeding"),
+        box((NEWBORN, NEWBORN_LATE), "transfert").alias("referral"),
     )
+    return out
 
 
 def dashboard(records: DataFrame) -> DataFrame:

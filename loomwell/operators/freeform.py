@@ -12,7 +12,7 @@ from loomwell.operators.model import NOT_GIVEN, TO_REVIEW, UNKNOWN
 
 def match_labels(pairs: DataFrame, labels: dict[str, str]) -> DataFrame:
     """Add ``key``: the label itself if it is a key, else the key of the most similar label (80 or more)."""
-    by_label = {**{label: key for key, label in labels.items()}, **{key: key for key in labels}}
+    by_label = {**{key.replace("_", " "): key for key in labels}, **{label: key for key, label in labels.items()}, **{key: key for key in labels}}
     known = F.create_map(*[F.lit(x) for pair in by_label.items() for x in pair])
     best = label_match(list(by_label))(F.col("label"))
     return pairs.withColumn("key", F.coalesce(F.when(F.col("label").isin(list(labels)), F.col("label")), F.try_element_at(known, best)))
@@ -36,9 +36,10 @@ def reading_order(y: Column, x: Column) -> list[Column]:
     return [F.round(y / 6), x]
 
 
-def dedupe_keys(boxes: DataFrame, page: str = "page_type") -> DataFrame:
-    """Give later fields of one key on a page the suffix _2, _3, ... in reading order (y, x, id)."""
-    order = Window.partitionBy(page, "key").orderBy("y", "x", "id")
+def dedupe_keys(boxes: DataFrame, page: str = "page_type", lines: bool = False) -> DataFrame:
+    """Give later fields of one key on a page the suffix _2, _3, ... in the order y, x, id; with ``lines`` in
+    reading order, in which heights that round to one line are equal."""
+    order = Window.partitionBy(page, "key").orderBy(*(reading_order(F.col("y"), F.col("x")) if lines else ["y", "x"]), "id")
     n = F.row_number().over(order)
     return boxes.withColumn("unique_key", F.when(n == 1, F.col("key")).otherwise(F.concat(F.col("key"), F.lit("_"), n.cast("string"))))
 

@@ -95,8 +95,16 @@ def ratio_matches(queries: DataFrame, rows: DataFrame, ratio: float = 0.75, most
                 continue
             own, v = batch["id"].to_numpy(), np.array(batch["v"].to_list(), dtype=float)
             for at in range(0, len(ids), 512):
-                d = np.sqrt(np.maximum(((q[at : at + 512, None, :] - v[None, :, :]) ** 2).sum(-1), 0))
+                part = q[at : at + 512]
+                d = np.maximum((part**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * part @ v.T, 0)
                 d[ids[at : at + 512, None] == own[None, :]] = np.inf
+                # the product rounds; what may be among the two nearest is measured again
+                second = np.partition(d, 1, axis=1)[:, 1] if d.shape[1] > 1 else d[:, 0]
+                i, j = np.nonzero(np.isfinite(d) & (d <= (np.where(np.isfinite(second), second, np.inf) + 1e-9 * (1 + np.abs(part).max() ** 2 * part.shape[1]))[:, None]))
+                d[:] = np.inf
+                for k in range(0, len(i), 65_536):
+                    a, b = i[k : k + 65_536], j[k : k + 65_536]
+                    d[a, b] = np.sqrt(((part[a] - v[b]) ** 2).sum(1))
                 for _ in range(2):
                     j = d.argmin(1)
                     best = d[np.arange(len(d)), j]

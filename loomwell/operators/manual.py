@@ -17,11 +17,12 @@ def enter(fields: DataFrame) -> DataFrame:
     """Apply manual entries: columns ``entry``, ``entry_status`` and ``entry_by`` beside a field.
 
     An explicit status empties the value; a box takes its words; other texts must have the format
-    of their type, or the entry is rejected (``accepted`` false) and the field stays as it is.
+    of their type or be a mark for empty or unknown (known, without a value), or the entry is rejected (``accepted``
+    false) and the field stays as it is. Where a field has ``provenance`` (a struct with ``method``), it names the entry.
     """
     n = normalised(F.col("entry"), F.col("type"))
     box = F.col("type") == "bool"
-    accepted = F.col("entry_status").isNotNull() | box | (n["format_ok"] & n["marker"].isNull())
+    accepted = F.col("entry_status").isNotNull() | box | n["format_ok"]
     ticked = F.struct(
         F.lower(F.trim("entry")).isin(YES_WORDS).alias("b"), *[F.lit(None).cast(t).alias(c) for c, t in (("d", "date"), ("n", "double"), ("unit", "string"), ("sys", "int"), ("dia", "int"), ("s", "string"))]
     )
@@ -33,6 +34,8 @@ def enter(fields: DataFrame) -> DataFrame:
     def new(column: str, to: Column) -> Column:
         return F.when(hit, to).otherwise(F.col(column))
 
+    if "provenance" in fields.columns:
+        fields = fields.withColumn("provenance", new("provenance", F.col("provenance").withField("method", F.lit("manuel"))))
     return (
         fields.withColumn("value", new("value", value))
         .withColumn("status", new("status", F.coalesce("entry_status", F.lit(KNOWN))))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomwell.operators.model import KNOWN, TO_REVIEW
 
-CONFLICT = "Deux photos donnent des valeurs différentes."
+#: Values that a new scan doesn't add to a record.
+BLANK = ["", "false", "0", "0.0"]
 
 
 def fold_readings(readings: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -39,34 +40,45 @@ def fold_readings(readings: DataFrame, keys: list[str], value: str = "value") ->
 def rescan_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, kind, old_value, new_value): what a new scan adds to or changes in a record.
 
-    Both: keys, value (string), safe. An addition is a safe new value that isn't empty, false
-    or zero, where the record has no safe one; a change is two safe values that differ.
+    Both: keys, value (string), safe (known or validated by a person); ``new`` may have ``known``. An addition is a
+    known new value that isn't empty, false or zero, where the record has no safe one; a change is
+    two safe values that differ, whatever they are: 5 to 0, true to false, and a value to none are changes.
     """
+    known = F.col("known") if "known" in new.columns else F.col("safe")
     o = old.select(*keys, F.col("value").alias("old_value"), F.col("safe").alias("old_safe"))
-    n = new.where("safe AND value IS NOT NULL AND value NOT IN ('', 'false', '0', '0.0')").select(*keys, F.col("value").alias("new_value"))
-    had = F.coalesce(F.col("old_safe") & F.col("old_value").isNotNull(), F.lit(False))
-    kind = F.when(~had, "addition").when(F.col("old_value") != F.col("new_value"), "change")
+    n = new.where("safe").select(*keys, F.col("value").alias("new_value"), known.alias("new_known"))
+    had = F.coalesce("old_safe", F.lit(False))
+    fills = F.col("new_known") & ~F.coalesce("new_value", F.lit("")).isin(BLANK)
+    kind = F.when(~had & fills, "addition").when(had & ~F.col("old_value").eqNullSafe(F.col("new_value")), "change")
     return n.join(o, keys, "left").withColumn("kind", kind).where("kind IS NOT NULL").select(*keys, "kind", F.when(had, F.col("old_value")).alias("old_value"), "new_value")
 
 
-def rescan_merge(old: DataFrame, changes: DataFrame, accepted: Column, keys: list[str]) -> DataFrame:
-    """(keys, value, origin): the record with all additions and the accepted changes; nothing else moves."""
-    taken = changes.where((F.col("kind") == "addition") | accepted).select(*keys, "new_value")
-    merged = old.select(*keys, "value").join(taken, keys, "full")
-    origin = F.when(F.col("new_value").isNull(), "kept").when(F.col("value").isNull(), "added").otherwise("changed")
-    return merged.select(*keys, F.coalesce("new_value", "value").alias("value"), origin.alias("origin"))
+def rescan_merge(old: DataFrame, changes: DataFrame, accepted: Column, keys: list[str], new: DataFrame | None = None, page_keys: list[str] | None = None) -> DataFrame:
+    """(keys, value, origin): the record with all additions and the accepted changes; nothing else moves.
+
+    With ``new`` and ``page_keys`` (the keys that name a page), pages that the record lacks enter whole.
+    """
+    taken = changes.where((F.col("kind") == "addition") | accepted).select(*keys, "new_value", F.lit(True).alias("_taken"))
+    had = old.select(*keys, "value", F.lit(True).alias("_had"))
+    origin = F.when(F.col("_taken").isNull(), "kept").when(F.col("_had").isNull(), "added").otherwise("changed")
+    merged = had.join(taken, keys, "full").select(*keys, F.when(F.col("_taken"), F.col("new_value")).otherwise(F.col("value")).alias("value"), origin.alias("origin"))
+    if new is None:
+        return merged
+    fresh = new.join(old.select(*page_keys).distinct(), page_keys, "left_anti").select(*keys, "value", F.lit("page").alias("origin"))
+    return merged.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
 
 def reapply(fields: DataFrame, validated: DataFrame, keys: list[str]) -> DataFrame:
-    """Values that a person has validated override what was read again."""
+    """Values that a person has validated override what was read again; validated fields that the new
+    reading lacks come back, and fields validated by nobody now keep who had validated them."""
     v = validated.select(*keys, F.col("value").alias("_value"), F.col("validated_by").alias("_by"))
-    joined = fields.join(v, keys, "left")
+    joined = fields.join(v, keys, "full")
     hit = F.col("_by").isNotNull()
     return (
         joined.withColumn("value", F.when(hit, F.col("_value")).otherwise(F.col("value")))
         .withColumn("status", F.when(hit, KNOWN).otherwise(F.col("status")))
         .withColumn("confidence", F.when(hit, 1.0).otherwise(F.col("confidence")))
-        .withColumn("validated_by", F.col("_by"))
+        .withColumn("validated_by", F.coalesce("_by", "validated_by"))
         .drop("_value", "_by")
     )
 

@@ -42,6 +42,28 @@ def alert_questions(alerts: DataFrame) -> DataFrame:
     return alerts.select("dossier_id", priority.alias("priority"), kind.alias("kind"), "page_type", "key", "seq")
 
 
+def page_questions(fields: DataFrame, template: DataFrame) -> DataFrame:
+    """What a page that was read in free mode asks: one confirmation of all that was read, important fields
+    that weren't found (not those of tables), and a new photo where no row of its table was recognised.
+
+    ``fields``: dossier_id, page_type, key, free, display, seq. ``template`` (page_type, key) has some hundred rows.
+    """
+    table = F.col("key").contains("__")
+    named = F.broadcast(template.groupBy("page_type").agg(F.bool_or(table).alias("_table"), F.collect_set(F.when(essential(F.col("key")) & ~table, F.col("key"))).alias("_wanted")))
+    free = F.col("free")
+    pages = fields.groupBy("dossier_id", "page_type").agg(
+        F.bool_or(free).alias("_free"), F.bool_or(free & table).alias("_rows"), F.collect_set("key").alias("_found"), F.min("seq").alias("seq")
+    )
+    pages = pages.where("_free").join(named, "page_type", "left").withColumn("_table", F.coalesce("_table", F.lit(False)))
+    none = F.lit(None).cast("string")
+    retake = F.when(F.col("_table") & ~F.col("_rows"), F.struct(F.lit(PAGE_TYPE).alias("priority"), F.lit("reprendre_photo").alias("kind"), none.alias("key")))
+    confirm = F.struct(F.lit(CONFIRM_ESSENTIAL).alias("priority"), F.lit("confirmer_page").alias("kind"), none.alias("key"))
+    wanted = F.array_sort(F.array_except(F.coalesce("_wanted", F.array().cast("array<string>")), "_found"))
+    gone = F.transform(wanted, lambda k: F.struct(F.lit(MISSING_ESSENTIAL).alias("priority"), F.lit("manquant").alias("kind"), k.alias("key")))
+    asked = pages.withColumn("_q", F.explode(F.concat(F.array_compact(F.array(retake, confirm)), gone)))
+    return asked.select("dossier_id", "_q.priority", "_q.kind", "page_type", "_q.key", "seq")
+
+
 def missing_pages(expected: DataFrame, present: DataFrame) -> DataFrame:
     """Expected pages (dossier_id, page_type, seq) that a dossier doesn't have yet."""
     gone = expected.join(present.select("dossier_id", "page_type"), ["dossier_id", "page_type"], "left_anti")

@@ -53,3 +53,44 @@ states AS (
          ['CAPTURE','EN_ATTENTE_IA','ECHEC_TRAITEMENT','TRAITE_IA','A_REVISER','VALIDE'][CAST(json_extract_string(props, '$.k') AS INTEGER) % 6 + 1] AS state
   FROM events
 )"""
+
+
+# Fields of the register that events stand for, by event_id % 15: page, key, then what the value is made of.
+SLOTS = [
+    ("identification", "age"), ("identification", "gestation"), ("identification", "parite"),
+    ("grossesse_actuelle", "ta__t1_v1"), ("grossesse_actuelle", "poids_kg__t1_v1"), ("grossesse_actuelle", "taille"),
+    ("grossesse_actuelle", "serologie_vih__t1_v1"), ("grossesse_actuelle", "bilan_glycemique__t1_v1"),
+    ("accouchement", "urgence"), ("accouchement", "voie_basse_non_instrumen"), ("accouchement", "age_gestationnel"),
+    ("accouchement", "sexe"), ("accouchement", "perimetre_cranien_a_la_naissance"),
+    ("pp_tardif_nne", "perimetre_cranien"), ("pp_precoce_nne", "mixte"),
+]
+
+
+def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of dossiers (users): the last event of each slot gives value and status."""
+    from loomwell.operators.model import VALUE
+
+    r = readings(spark, sf_dir).withColumn("slot", (F.col("event_id") % 15).cast("int"))
+    last = r.groupBy(F.col("dossier").alias("dossier_id"), "slot").agg(F.max_by("k", "seq").alias("k"), F.max_by("status", "seq").alias("status"))
+    k, slot = F.col("k"), F.col("slot")
+    number = (
+        F.when(slot == 0, k % 50 + 10).when(slot == 1, k % 8).when(slot == 2, k % 6).when(slot == 4, 40 + k).when(slot == 5, 150 + k % 40)
+        .when(slot == 7, F.when(k % 2 == 0, k / 50).otherwise(60 + k)).when(slot == 10, 30 + k % 12).when(slot == 12, 30 + k % 8).when(slot == 13, 40 + k % 8)
+    )
+    box = F.when(slot == 8, k % 4 == 0).when(slot == 9, k % 2 == 0).when(slot == 14, k % 3 == 0)
+    text = F.when(slot == 6, F.element_at(F.array(F.lit("Positif"), F.lit("Négatif"), F.lit("Non fait")), k % 3 + 1)).when(slot == 11, F.when(k % 2 == 0, "F").otherwise("Masculin"))
+    pressure = slot == 3
+    value = F.struct(
+        box.alias("b"), F.lit(None).cast("date").alias("d"), number.cast("double").alias("n"), F.lit(None).cast("string").alias("unit"),
+        F.when(pressure, 100 + k).alias("sys"), F.when(pressure, 50 + k * 3 % 120).alias("dia"), text.alias("s"),
+    ).cast(VALUE)
+    place = F.element_at(F.array(*[F.struct(F.lit(page).alias("page_type"), F.lit(key).alias("key")) for page, key in SLOTS]), slot + 1)
+    return last.select("dossier_id", place["page_type"].alias("page_type"), place["key"].alias("key"), value.alias("value"), "status", F.array().cast("array<string>").alias("reasons"), F.lit(None).cast("string").alias("validated_by"))
+
+
+#: The same for DuckDB: one row per dossier and slot.
+FIELDS_SQL = f"""{READINGS_SQL},
+cells0 AS (SELECT dossier AS dossier_id, event_id % 15 AS slot, arg_max(k, seq) AS k, arg_max(status, seq) AS status FROM readings GROUP BY ALL),
+flds AS (SELECT *, CAST(CASE slot WHEN 0 THEN k % 50 + 10 WHEN 1 THEN k % 8 WHEN 2 THEN k % 6 WHEN 4 THEN 40 + k WHEN 5 THEN 150 + k % 40 WHEN 7 THEN CASE WHEN k % 2 = 0 THEN k / 50 ELSE 60 + k END
+    WHEN 10 THEN 30 + k % 12 WHEN 12 THEN 30 + k % 8 WHEN 13 THEN 40 + k % 8 END AS DOUBLE) AS n,
+  CASE slot WHEN 8 THEN k % 4 = 0 WHEN 9 THEN k % 2 = 0 WHEN 14 THEN k % 3 = 0 END AS b, 100 + k AS sys, 50 + k * 3 % 120 AS dia, status = 'CONNU' AS ok FROM cells0)"""

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import parse, text
-from loomwell.operators import evaluate, freeform, layout, lifecycle, linkage, merge, model, questions, rules
-from loomwell.plans.bindings import READINGS_SQL, STATES_SQL, k_of, readings, states
+from loomwell.operators import assembly, evaluate, export, freeform, layout, lifecycle, linkage, merge, model, questions, rules
+from loomwell.plans.bindings import FIELDS_SQL, READINGS_SQL, SLOTS, STATES_SQL, k_of, readings, record_fields, states
 from loomwell.plans.registry import query
 from loomwell.sources.tables import table
 
@@ -82,29 +82,43 @@ def truth_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.compare_truth(truth, fields, pages).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"""WITH {READINGS_SQL}, s AS (SELECT *, k * 7 % 100 AS j, event_id % 2 = 0 AS box FROM readings),
+t AS (SELECT *, CASE WHEN j >= 60 THEN 'CONNU' WHEN j >= 30 THEN 'A_REVISER' WHEN j >= 20 THEN 'NON_APPLICABLE' WHEN j >= 10 THEN 'INCONNU' ELSE 'ILLISIBLE' END AS got,
+  CASE WHEN k < 5 THEN 'INCONNU' ELSE status END AS truth FROM s)
+SELECT truth, got, box, CASE truth WHEN 'NON_FOURNI' THEN got = 'NON_APPLICABLE' WHEN 'INCONNU' THEN got = 'INCONNU' WHEN 'ILLISIBLE' THEN got IN ('ILLISIBLE', 'A_REVISER')
+    ELSE got IN ('CONNU', 'A_REVISER') AND CASE WHEN box THEN (k % 2 = 0) = (k % 3 = 0) ELSE k % 5 <> 0 END END AS correct, count(*) AS n FROM t GROUP BY ALL"""
+)
+def field_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, box = F.col("k"), F.col("event_id") % 2 == 0
+
+    def value(number, checked):
+        parts = {"marker": None, "b": F.when(box, checked), "d": None, "n": F.when(~box, number.cast("double")), "sys": None, "dia": None, "s": None}
+        kinds = {"marker": "string", "b": "boolean", "d": "date", "n": "double", "sys": "int", "dia": "int", "s": "string"}
+        return F.struct(*[(F.lit(None) if part is None else part).cast(kinds[name]).alias(name) for name, part in parts.items()])
+
+    j = k * 7 % 100
+    got = F.when(j >= 60, "CONNU").when(j >= 30, "A_REVISER").when(j >= 20, "NON_APPLICABLE").when(j >= 10, "INCONNU").otherwise("ILLISIBLE")
+    rows = readings(spark, sf_dir).select(F.when(k < 5, "INCONNU").otherwise(F.col("status")).alias("truth"), got.alias("got"), box.alias("box"), value(k, k % 2 == 0).alias("a"), value(k + F.when(k % 5 == 0, 1).otherwise(0), k % 3 == 0).alias("b"))
+    correct = evaluate.field_correct(F.col("truth"), F.col("got"), F.col("a"), F.col("b"))
+    return rows.groupBy("truth", "got", "box", correct.alias("correct")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- merging
 
 
 @query(
-    f"""WITH {READINGS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY dossier, page_type, key ORDER BY seq) AS n FROM readings),
-a AS (SELECT * FROM r WHERE n = 1), b AS (SELECT * FROM r WHERE n = 2),
-j AS (SELECT a.*, b.seq AS seq2, b.free AS free2, b.status AS status2, b.confidence AS conf2, b.value AS value2,
-        b.seq IS NOT NULL AND CASE WHEN a.free <> b.free THEN a.free ELSE b.confidence > a.confidence END AS wins,
-        b.seq IS NOT NULL AND a.status = 'CONNU' AND b.status = 'CONNU' AND a.value IS DISTINCT FROM b.value AS conflict
-      FROM a LEFT JOIN b USING (dossier, page_type, key))
-SELECT dossier, page_type, key, CASE WHEN wins THEN seq2 ELSE seq END AS seq, CASE WHEN conflict THEN 'A_REVISER' WHEN wins THEN status2 ELSE status END AS status,
-  CASE WHEN wins THEN conf2 ELSE confidence END AS confidence, CASE WHEN wins THEN value2 ELSE value END AS value, conflict FROM j"""
+    f"""WITH RECURSIVE {READINGS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY dossier, page_type, key ORDER BY seq) AS n FROM readings),
+f AS (
+  SELECT dossier, page_type, key, n, seq, free, status, confidence, value, false AS conflict FROM r WHERE n = 1
+  UNION ALL
+  SELECT dossier, page_type, key, n, CASE WHEN wins THEN seq2 ELSE seq END, CASE WHEN wins THEN free2 ELSE free END,
+    CASE WHEN clash THEN 'A_REVISER' WHEN wins THEN status2 ELSE status END, CASE WHEN wins THEN conf2 ELSE confidence END, CASE WHEN wins THEN value2 ELSE value END, conflict OR clash
+  FROM (SELECT f.dossier, f.page_type, f.key, r.n, f.seq, f.free, f.status, f.confidence, f.value, f.conflict, r.seq AS seq2, r.free AS free2, r.status AS status2, r.confidence AS conf2, r.value AS value2,
+      CASE WHEN f.free <> r.free THEN f.free ELSE r.confidence > f.confidence END AS wins, f.status = 'CONNU' AND r.status = 'CONNU' AND f.value IS DISTINCT FROM r.value AS clash
+    FROM f JOIN r ON r.dossier = f.dossier AND r.page_type = f.page_type AND r.key = f.key AND r.n = f.n + 1))
+SELECT dossier, page_type, key, seq, status, confidence, value, conflict FROM f QUALIFY row_number() OVER (PARTITION BY dossier, page_type, key ORDER BY n DESC) = 1"""
 )
-def best_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["dossier", "page_type", "key"]
-    order = Window.partitionBy(*keys).orderBy("seq")
-    # the first two photos of each key, as two captures of a page
-    two = readings(spark, sf_dir).withColumn("photo", F.row_number().over(order)).where("photo <= 2")
-    return merge.fold_readings(two, keys)
-
-
-#: Folds over any number of photos depend on their order, which SQL aggregates can't express.
-@query(None)
 def best_reading_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.fold_readings(readings(spark, sf_dir), ["dossier", "page_type", "key"])
 
@@ -113,8 +127,9 @@ _CELLS = f"""{READINGS_SQL}, cells AS (
   SELECT dossier, page_type, ts >= TIMESTAMP '2024-01-16' AS late, arg_max(value, seq) AS value, arg_max(status, seq) = 'CONNU' AS safe
   FROM readings GROUP BY ALL),
 o AS (SELECT dossier, page_type, value AS old_value, safe AS old_safe FROM cells WHERE NOT late),
-n AS (SELECT dossier, page_type, value AS new_value FROM cells WHERE late AND safe AND value NOT IN ('', 'false', '0', '0.0')),
-changes AS (SELECT * FROM (SELECT dossier, page_type, CASE WHEN NOT coalesce(old_safe, false) THEN 'addition' WHEN old_value <> new_value THEN 'change' END AS kind,
+n AS (SELECT dossier, page_type, value AS new_value FROM cells WHERE late AND safe),
+changes AS (SELECT * FROM (SELECT dossier, page_type,
+    CASE WHEN NOT coalesce(old_safe, false) AND coalesce(new_value, '') NOT IN ('', 'false', '0', '0.0') THEN 'addition' WHEN old_safe AND old_value IS DISTINCT FROM new_value THEN 'change' END AS kind,
     CASE WHEN old_safe THEN old_value END AS old_value, new_value FROM n LEFT JOIN o USING (dossier, page_type)) WHERE kind IS NOT NULL)"""
 
 
@@ -133,10 +148,10 @@ def rescan_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_CELLS}, t AS (SELECT dossier, page_type, new_value FROM changes WHERE kind = 'addition' OR dossier % 2 = 0),
-old AS (SELECT dossier, page_type, value FROM cells WHERE NOT late)
-SELECT dossier, page_type, coalesce(new_value, value) AS value,
-  CASE WHEN new_value IS NULL THEN 'kept' WHEN value IS NULL THEN 'added' ELSE 'changed' END AS origin
-FROM old FULL JOIN t USING (dossier, page_type)"""
+old AS (SELECT dossier, page_type, value, true AS had FROM cells WHERE NOT late), taken AS (SELECT *, true AS hit FROM t)
+SELECT dossier, page_type, CASE WHEN hit THEN new_value ELSE value END AS value,
+  CASE WHEN hit IS NULL THEN 'kept' WHEN had IS NULL THEN 'added' ELSE 'changed' END AS origin
+FROM old FULL JOIN taken USING (dossier, page_type)"""
 )
 def rescan_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["dossier", "page_type"]
@@ -144,6 +159,20 @@ def rescan_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.rescan_merge(old, merge.rescan_changes(old, new, keys), F.col("dossier") % 2 == 0, keys)
 
 
+@query(
+    f"""WITH {_CELLS}, v AS (SELECT dossier, page_type, value AS by_hand FROM cells WHERE NOT late AND dossier % 3 = 0), again AS (SELECT dossier, page_type, value, safe FROM cells WHERE late AND dossier % 5 <> 0)
+SELECT dossier, page_type, CASE WHEN v.dossier IS NOT NULL THEN by_hand ELSE value END AS value, CASE WHEN v.dossier IS NOT NULL THEN 'CONNU' WHEN safe THEN 'CONNU' ELSE 'A_REVISER' END AS status,
+  CASE WHEN v.dossier IS NOT NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence, CASE WHEN v.dossier IS NOT NULL THEN 'sf' WHEN dossier % 7 = 0 THEN 'earlier' END AS validated_by
+FROM again FULL JOIN v USING (dossier, page_type)"""
+)
+def validated_reapplied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _scans(spark, sf_dir)
+    status = F.when(F.col("safe"), "CONNU").otherwise("A_REVISER")
+    again = new.where("dossier % 5 <> 0").select("dossier", "page_type", "value", status.alias("status"), F.lit(0.5).alias("confidence"), F.when(F.col("dossier") % 7 == 0, "earlier").alias("validated_by"))
+    by_hand = old.where("dossier % 3 = 0").select("dossier", "page_type", "value", F.lit("sf").alias("validated_by"))
+    return merge.reapply(again, by_hand, ["dossier", "page_type"])
+
+
 @query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def upsert_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
@@ -238,6 +267,7 @@ def schema_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("word")).where("word <> ''")
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.where(text.near_vocabulary("word"))
     return counted.withColumn("entry", text.vocabulary_match()(F.col("word"))).where("entry IS NOT NULL").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
@@ -278,14 +308,14 @@ def visit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_add(F.to_date("ts"), (k_of(F.col("props")) - 10) * 2).alias("rdv"),
         F.date_sub(F.lit("2023-12-01").cast("date"), (F.col("user_id") % 400).cast("int")).alias("lmp"),
     )
-    return rules.visit_flags(visits)
+    return rules.visit_flags(visits).select("dossier_id", "ord", "rule")
 
 
 _DOSSIERS = """d AS (SELECT o_orderkey AS dossier_id, CAST(o_custkey % 8 AS INT) AS gravidity, CAST(o_orderkey % 6 AS INT) AS parity, CAST(o_custkey % 3 AS INT) AS abortions,
   CAST(o_orderkey % 9 AS INT) AS living, o_orderstatus = 'F' AS page, CAST(o_custkey % 30 AS INT) AS abortion_weeks, CAST(o_orderdate AS DATE) AS lmp,
   CAST(o_orderdate AS DATE) + CAST(274 + o_orderkey % 13 AS INT) AS due, CAST(o_orderdate AS DATE) + CAST(280 + o_custkey % 15 AS INT) AS overdue,
   CAST(o_orderdate AS DATE) + CAST(240 + o_custkey % 60 AS INT) AS birth, CAST(34 + o_orderkey % 8 AS INT) AS birth_weeks, o_orderkey % 2 = 0 AS vaginal, o_custkey % 2 = 0 AS cesarean,
-  o_custkey % 5 = 0 AS scar, o_orderkey % 4 = 0 AS earlier_cesarean, CAST(o_orderdate AS DATE) + CAST(230 + o_orderkey % 90 AS INT) AS consult, o_custkey % 3 = 0 AS early FROM orders)"""
+  o_custkey % 5 = 0 AS scar, o_orderkey % 4 = 0 AS earlier_cesarean FROM orders)"""
 
 
 @query(
@@ -298,9 +328,7 @@ UNION ALL SELECT dossier_id, 'DPA' FROM d WHERE abs(due - lmp - 280) > 3
 UNION ALL SELECT dossier_id, 'TERME' FROM d WHERE abs(overdue - due - 7) > 2
 UNION ALL SELECT dossier_id, 'SA_NAISSANCE' FROM d WHERE abs((birth - lmp) / 7 - birth_weeks) > 2.5
 UNION ALL SELECT dossier_id, 'MODE_ACC' FROM d WHERE vaginal = cesarean
-UNION ALL SELECT dossier_id, 'UTERUS_CICATRICIEL' FROM d WHERE scar AND NOT earlier_cesarean
-UNION ALL SELECT dossier_id, 'DELAI_PP' FROM d WHERE CASE WHEN early THEN consult - birth NOT BETWEEN 4 AND 14 ELSE consult - birth NOT BETWEEN 30 AND 70 END
-UNION ALL SELECT dossier_id, 'CHRONO' FROM d WHERE consult < birth"""
+UNION ALL SELECT dossier_id, 'UTERUS_CICATRICIEL' FROM d WHERE scar AND NOT earlier_cesarean"""
 )
 def dossier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
@@ -310,13 +338,31 @@ def dossier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.date_add(day, n.cast("int"))
 
     d = o.select(
-        key.alias("dossier_id"), (cust % 8).cast("int").alias("gravidity"), (key % 6).cast("int").alias("parity"), (cust % 3).cast("int").alias("abortions"),
+        key.alias("dossier_id"), (cust % 8).cast("int").alias("gravidity"), (key % 6).cast("int").alias("parity"), (cust % 3).cast("int").alias("abortions"), F.lit(True).alias("has_delivery_page"),
         (key % 9).cast("int").alias("living"), (F.col("o_orderstatus") == "F").alias("has_pregnancy_page"), (cust % 30).cast("int").alias("abortion_weeks"), day.alias("lmp"),
         plus(274 + key % 13).alias("due"), plus(280 + cust % 15).alias("overdue"), plus(240 + cust % 60).alias("birth"), (34 + key % 8).cast("int").alias("birth_weeks"),
         (key % 2 == 0).alias("vaginal"), (cust % 2 == 0).alias("cesarean"), (cust % 5 == 0).alias("scar"), F.lit(True).alias("earlier_known"),
-        (key % 4 == 0).alias("earlier_cesarean"), plus(230 + key % 90).alias("consult"), (cust % 3 == 0).alias("early"),
+        (key % 4 == 0).alias("earlier_cesarean"),
     )
-    return rules.dossier_flags(d)
+    return rules.dossier_flags(d).select("dossier_id", "rule")
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey AS dossier_id, ['pp_precoce_mere', 'pp_tardif_mere', 'pp_precoce_nne', 'pp_tardif_nne'][CAST(o_custkey % 4 + 1 AS INT)] AS page_type, CAST(o_orderdate AS DATE) + CAST(240 + o_custkey % 60 AS INT) AS birth,
+  CAST(o_orderdate AS DATE) + CAST(230 + o_orderkey % 90 AS INT) AS consult, CAST(o_orderdate AS DATE) + CAST(200 + o_orderkey % 300 AS INT) AS rdv FROM orders)
+SELECT dossier_id, page_type, 'DELAI_PP' AS rule FROM d WHERE CASE WHEN page_type LIKE 'pp_precoce%' THEN consult - birth NOT BETWEEN 4 AND 14 ELSE consult - birth NOT BETWEEN 30 AND 70 END
+UNION ALL SELECT dossier_id, page_type, 'CHRONO' FROM d WHERE consult < birth
+UNION ALL SELECT dossier_id, page_type, 'DELAI_RDV_PP' FROM d WHERE rdv - consult NOT BETWEEN 1 AND 120"""
+)
+def after_birth_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, cust, day = F.col("o_orderkey"), F.col("o_custkey"), F.to_date("o_orderdate")
+    page = F.element_at(F.array(*[F.lit(p) for p in ("pp_precoce_mere", "pp_tardif_mere", "pp_precoce_nne", "pp_tardif_nne")]), (cust % 4 + 1).cast("int"))
+
+    def plus(n):
+        return F.date_add(day, n.cast("int"))
+
+    visits = table(spark, sf_dir, "orders").select(key.alias("dossier_id"), page.alias("page_type"), plus(240 + cust % 60).alias("birth"), plus(230 + key % 90).alias("consult"), plus(200 + key % 300).alias("rdv"))
+    return rules.after_birth_flags(visits).select("dossier_id", "page_type", "rule")
 
 
 @query(
@@ -425,32 +471,84 @@ def access_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- export and layout
 
 
+_RECORDS = f"""{FIELDS_SQL}, recs AS (
+SELECT dossier_id, max(n) FILTER (ok AND slot = 0) AS age, max(n) FILTER (ok AND slot = 1) AS gravidity, max(n) FILTER (ok AND slot = 2) AS parity,
+  round(max(n) FILTER (ok AND slot = 4) / pow(max(n) FILTER (ok AND slot = 5) / 100, 2), 2) AS bmi,
+  CAST(max(sys) FILTER (ok AND slot = 3) AS DOUBLE) AS mean_systolic, CAST(max(dia) FILTER (ok AND slot = 3) AS DOUBLE) AS mean_diastolic,
+  max(CASE WHEN n < 5 THEN round(n * 100, 1) ELSE n END) FILTER (ok AND slot = 7) AS glucose,
+  max(CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END) FILTER (ok AND slot = 6) AS hiv,
+  max(n) FILTER (ok AND slot = 10) AS weeks_at_birth, CAST(max(n) FILTER (ok AND slot = 10) < 37 AS INTEGER) AS preterm,
+  CASE WHEN count(*) FILTER (ok AND slot IN (8, 9)) > 0 THEN CAST(coalesce(bool_or(b) FILTER (ok AND slot = 8), false) AS INTEGER) END AS cesarean,
+  max(k % 2) FILTER (ok AND slot = 11) AS newborn_sex, max(n) FILTER (ok AND slot = 12) AS head_circumference, CAST(bool_or(b) FILTER (ok AND slot = 14) AS INTEGER) AS breastfeeding
+FROM flds GROUP BY dossier_id)"""
+
+
+@query(f"WITH {_RECORDS} SELECT * FROM recs")
+def record_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = "age gravidity parity bmi mean_systolic mean_diastolic glucose hiv weeks_at_birth preterm cesarean newborn_sex head_circumference breastfeeding".split()
+    return export.record_rows(record_fields(spark, sf_dir)).select("dossier_id", *columns)
+
+
 @query(
-    """SELECT user_id AS dossier, count(*) AS n, max(CASE WHEN event_type = 'click' THEN value END) AS click_max, arg_min(value, event_id) FILTER (event_type = 'view') AS first_view,
-  CAST(bool_or(value > 150) FILTER (event_type = 'purchase') AS INTEGER) AS any_large, CAST(round(CAST(avg(CAST(value AS DECIMAL(18,2))) FILTER (event_type = 'error') AS DECIMAL(18,6)), 1) AS DOUBLE) AS mean_error FROM events GROUP BY 1"""
+    f"""WITH {_RECORDS}
+SELECT count(*) AS records, count(*) FILTER (mean_systolic IS NULL AND mean_diastolic IS NULL AND hiv IS NULL) AS skipped, CAST(round(CAST(avg(mean_systolic) AS DECIMAL(18,6)), 1) AS DOUBLE) AS mean_systolic,
+  CAST(round(CAST(avg(mean_diastolic) AS DECIMAL(18,6)), 1) AS DOUBLE) AS mean_diastolic, count(*) FILTER (mean_systolic >= 140 OR mean_diastolic >= 90) AS hypertensive,
+  count(hiv) AS hiv_tested, CAST(sum(coalesce(hiv, 0)) AS BIGINT) AS hiv_positive FROM recs"""
 )
-def export_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value, kind, at = F.col("value"), F.col("event_type"), F.col("event_id")
-    mean = F.sum(F.when(kind == "error", value.cast("decimal(18,2)"))) / F.count(F.when(kind == "error", 1)).cast("decimal(18,0)")
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("dossier")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.when(kind == "click", value)).alias("click_max"), F.min_by(F.when(kind == "view", value), F.when(kind == "view", at)).alias("first_view"),
-        F.bool_or(F.when(kind == "purchase", value > 150)).cast("int").alias("any_large"), F.round(mean.cast("decimal(18,6)"), 1).cast("double").alias("mean_error"),
-    )
+def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.dashboard(export.record_rows(record_fields(spark, sf_dir))).drop("syphilis_tested", "syphilis_positive", "hepatitis_b_tested", "hepatitis_b_positive")
+
+
+_FACTS = f"""{FIELDS_SQL}, facts AS (SELECT dossier_id, max(n) FILTER (slot = 1 AND status IN ('CONNU', 'A_REVISER')) AS g, max(n) FILTER (slot = 2 AND status IN ('CONNU', 'A_REVISER')) AS p,
+  bool_or(slot BETWEEN 3 AND 12) AS page, bool_or(slot BETWEEN 8 AND 12) AS birth, coalesce(bool_or(b) FILTER (slot = 9), false) AS vaginal, coalesce(bool_or(b) FILTER (slot = 8), false) AS cesarean FROM flds GROUP BY 1),
+alerts AS (SELECT dossier_id, 'G_P_AB' AS rule FROM facts WHERE g < p + CASE WHEN page THEN 1 ELSE 0 END
+  UNION ALL SELECT dossier_id, 'G_P_AB_MANQUE' FROM facts WHERE g > p + 1.5 UNION ALL SELECT dossier_id, 'MODE_ACC' FROM facts WHERE birth AND vaginal = cesarean)"""
+
+
+@query(f"WITH {_FACTS} SELECT dossier_id, rule FROM alerts")
+def record_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.dossier_flags(rules.dossier_facts(record_fields(spark, sf_dir))).select("dossier_id", "rule")
 
 
 @query(
-    f"""WITH {READINGS_SQL}
-SELECT count(*) AS n, count(*) FILTER (status = 'NON_FOURNI') AS skipped, count(*) FILTER (raw_value >= 140) AS hypertensive, count(*) FILTER (page_type = 'view') AS tested,
-  count(*) FILTER (page_type = 'view' AND k >= 50) AS positive FROM readings"""
+    f"""WITH {_FACTS}, hits AS (SELECT f.dossier_id, slot FROM flds f WHERE status IN ('CONNU', 'A_REVISER') AND (slot = 0 AND n NOT BETWEEN 12 AND 55 OR slot = 1 AND n NOT BETWEEN 1 AND 20) OR slot = 3 AND sys <= dia
+  UNION SELECT f.dossier_id, slot FROM flds f JOIN alerts a USING (dossier_id) WHERE rule = 'G_P_AB' AND slot IN (1, 2) OR rule = 'G_P_AB_MANQUE' AND slot = 1 OR rule = 'MODE_ACC' AND slot IN (8, 9))
+SELECT slot, CASE WHEN status = 'CONNU' AND h.slot IS NOT NULL THEN 'A_REVISER' ELSE status END AS status, count(*) AS n, count(h.slot) AS flagged
+FROM flds LEFT JOIN hits h USING (dossier_id, slot) GROUP BY ALL"""
 )
-def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def count(condition: str):
-        return F.count(F.when(F.expr(condition), 1))
+def flagged_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = F.create_map(*[x for i, (page, key) in enumerate(SLOTS) for x in (F.lit(f"{page}.{key}"), F.lit(i).cast("long"))])
+    fields = assembly.checked_fields(record_fields(spark, sf_dir))
+    slot = F.element_at(slots, F.concat_ws(".", "page_type", "key"))
+    return fields.groupBy(slot.alias("slot"), "status").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.size("reasons") > 0, 1)).alias("flagged"))
 
-    return readings(spark, sf_dir).agg(
-        F.count(F.lit(1)).alias("n"), count("status = 'NON_FOURNI'").alias("skipped"), count("raw_value >= 140").alias("hypertensive"),
-        count("page_type = 'view'").alias("tested"), count("page_type = 'view' AND k >= 50").alias("positive"),
+
+@query(
+    f"""WITH {READINGS_SQL}, z AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN 0.5 ELSE 1.0 END AS visible, CASE k % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.02 ELSE 0.004 END AS ink, event_id % 3 AS kind,
+  0.5 + (k % 50) / 100 AS conf, k % 7 <> 0 AS got, k % 4 AS second FROM readings),
+d AS (SELECT *, CASE WHEN visible < 0.9 THEN 'off_frame' WHEN kind = 2 THEN 'box' WHEN ink < 0.0005 THEN 'blank' WHEN NOT got THEN 'ai_down' WHEN k % 11 = 0 THEN 'unknown' ELSE 'value' END AS rule,
+  CASE WHEN second = 1 THEN greatest(conf, 0.97) WHEN second = 2 THEN conf * 0.95 ELSE conf END AS c FROM z WHERE kind <> 3)
+SELECT CASE WHEN kind = 2 THEN 'box' ELSE rule END AS rule, CASE WHEN rule IN ('off_frame', 'ai_down') THEN 'A_REVISER' WHEN rule = 'blank' THEN 'NON_FOURNI' WHEN rule = 'unknown' THEN 'INCONNU'
+    WHEN rule = 'box' THEN CASE WHEN 1 / (1 + exp(-2.2 * abs((k / 100.0 - 0.1) / 0.05))) >= 0.85 THEN 'CONNU' ELSE 'A_REVISER' END WHEN c >= 0.85 THEN 'CONNU' ELSE 'A_REVISER' END AS status,
+  count(*) AS n, count(*) FILTER (rule = 'value' AND second = 1) AS agreed FROM d GROUP BY ALL"""
+)
+def zone_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = readings(spark, sf_dir)
+    k, image = F.col("k"), F.col("event_id")
+    kinds = [("p", "ta", "text", "bp", False), ("p", "note", "text", "bp", False), ("p", "box", "checkbox", "bool", False), ("p", "nom", "text", "text", True)]
+    template = spark.createDataFrame(kinds, "page_type string, key string, kind string, type string, sensitive boolean")
+    key = F.element_at(F.array(F.lit("ta"), F.lit("note"), F.lit("box")), (image % 3 + 1).cast("int"))
+    one = F.lit(1.0)
+    zones = r.select(
+        image.alias("image_id"), F.col("dossier").alias("dossier_id"), F.lit("p").alias("page_type"), key.alias("key"), F.when(image % 10 == 0, 0.5).otherwise(1.0).alias("visible"),
+        F.when(k % 3 == 0, 0.0).when(k % 3 == 1, 0.02).otherwise(0.004).alias("ink"), F.lit(60.0).alias("contrast"), one.alias("align"), one.alias("quality"), F.lit(0.0).alias("glare"), (k / 100).alias("box_ink"),
     )
+    hidden = zones.withColumn("key", F.lit("nom"))  # sensitive zones of the same photos: none may come out
+    text = F.when(k % 11 == 0, "?").otherwise("110/71")
+    first = r.where("k % 7 <> 0").select(image.alias("image_id"), key.alias("key"), F.lit("ecrit").alias("state"), text.alias("text"), (0.5 + k % 50 / 100).alias("conf"))
+    second = r.where("k % 4 IN (1, 2)").select(image.alias("image_id"), key.alias("key"), F.when(k % 4 == 1, "110/71").otherwise("120/71").alias("text"))
+    done = assembly.assemble(template, zones.unionByName(hidden), first, second)
+    return done.groupBy("rule", "status").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("method") == "vlm+second", 1)).alias("agreed"))
 
 
 @query(

@@ -8,6 +8,7 @@ import tomllib
 from dataclasses import dataclass, fields, replace
 from urllib.parse import urlparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,28 @@ def sidecars(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("stem", F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1))
 
 
+def with_images(cards: DataFrame, photos: DataFrame) -> DataFrame:
+    """Sidecars with the image of their stem: .jpg before .jpeg before .png; those without one are left out."""
+    order = F.array_position(F.array(F.lit("jpg"), F.lit("jpeg"), F.lit("png")), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    first = photos.groupBy("stem").agg(F.min_by(F.struct("path", "sha256", "bytes"), order).alias("image"))
+    return cards.join(first, "stem").select(*cards.columns, "image.*")
+
+
+def sidecar_csv(spark: SparkSession, path: str, photos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A CSV of image, patient, page_type and maybe note: rows whose image is there, and rows whose image is missing."""
+    rows = spark.read.option("header", True).csv(path).withColumn("stem", F.regexp_extract("image", r"([^/]+?)(\.[^./]+)?$", 1))
+    known = photos.select("stem").distinct()
+    return rows.join(known, "stem", "left_semi"), rows.join(known, "stem", "left_anti")
+
+
+def templates(spark: SparkSession, path: str) -> DataFrame:
+    """Fields of page templates: one JSON file per page, with an array ``fields``; the file's name is the page."""
+    shape = "fields array<struct<key:string,kind:string,type:string,label:string,row:string,col:string,`table`:string,context:string,origin:string,sensitive:boolean,bbox:array<double>>>"
+    pages = spark.read.schema(shape).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+    rows = pages.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("page_type"), F.explode("fields").alias("f"))
+    return rows.select("page_type", "f.*").withColumn("sensitive", F.coalesce("sensitive", F.lit(False)))
+
+
 def truth_csv(spark: SparkSession, path: str) -> DataFrame:
     """Two-line-header truth files (page_type;T / cle;statut;valeur) as typed rows."""
     lines = spark.read.option("pathGlobFilter", "*.csv").text(path, wholetext=True).withColumn("file", F.input_file_name())
@@ -46,6 +69,14 @@ def unknown_keys(truth: DataFrame, template: DataFrame) -> DataFrame:
     return truth.join(F.broadcast(template.select("page_type", "key")), ["page_type", "key"], "left_anti")
 
 
+def checked_truth(truth: DataFrame, template: DataFrame) -> DataFrame:
+    """The truth rows; raises if any key isn't in the template of its page, naming the first ones."""
+    odd = unknown_keys(truth, template).select("page_type", "key").distinct().orderBy("page_type", "key").limit(10).collect()  # for the message
+    if odd:
+        raise ValueError("unknown keys: " + ", ".join(f"{r['page_type']}.{r['key']}" for r in odd))
+    return truth
+
+
 def truth_skeleton(template: DataFrame) -> DataFrame:
     """Every field that isn't sensitive: boxes as known and unchecked, texts as not given."""
     box = F.col("kind") == "checkbox"
@@ -65,6 +96,32 @@ def not_recorded(images: DataFrame, recorded: DataFrame) -> DataFrame:
     return images.join(recorded.select("sha256").distinct(), "sha256", "left_anti")
 
 
+def append_recordings(readings: DataFrame, path: str) -> DataFrame:
+    """Add readings (sha256, key, ...) of images that aren't recorded yet; gives what was added.
+
+    Rows are written by append, so a recording that was broken off goes on where it stopped.
+    """
+    spark = readings.sparkSession
+    try:
+        new = not_recorded(readings, spark.read.schema(readings.schema).json(path))
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        new = readings
+    new.write.mode("append").json(path)
+    return new
+
+
+def received(rows: DataFrame) -> DataFrame:
+    """The server's rows in the order in which they came."""
+    return rows.orderBy("received_at", "id")
+
+
+def second_readings(zones: DataFrame, client) -> DataFrame:
+    """The second reader's readings, of zones with numbers only; its client is injected like the first one's."""
+    return read_zones(zones.where(F.col("type").isin("int", "quantity", "bp", "date")), client)
+
+
 def write_records(fields: DataFrame, path: str) -> None:
     """One JSON object per dossier, pages and fields nested."""
     field = F.struct(*[c for c in fields.columns if c not in ("dossier_id", "page_type")])

@@ -58,19 +58,31 @@ def first_seen(stream: DataFrame, key: str, watermark: str | None = None, time:
 
 
 def work(stream: DataFrame, most_tries: int = MOST_TRIES) -> DataFrame:
-    """(rec_id, state, tries) after each batch of outcomes (rec_id, seq, online, ok).
+    """(rec_id, state, tries) after each batch of outcomes (rec_id, seq, online, ok; maybe outages).
 
     Outcomes count in order of seq. Offline ones change nothing. A failure goes back to the
-    queue until the tries are used up; then a person is asked.
+    queue until the tries are used up; then a person is asked. ``outages`` counts the outages during the
+    work: with one, work that was finished locally has failed all the same. After a person's ``saved``
+    outcome the sync leg goes on: synced if it is ok, else saved again to be tried once more.
     """
+    counted, legs = "outages" in stream.columns, "saved" in stream.columns
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tries, at = state.get if state.exists else (0, "EN_ATTENTE_IA")
         rows = pd.concat(list(batches)).sort_values("seq")
         for row in rows.itertuples():
-            if not row.online or at not in ("EN_ATTENTE_IA", "ECHEC_TRAITEMENT"):
+            ok = row.ok and not (counted and row.outages)
+            if not row.online:
                 continue
-            if row.ok:
+            if legs and row.saved and at not in ("SYNCHRONISE", "SYNCHRO_ECHOUEE"):
+                at = "ENREGISTRE"
+                continue
+            if at in ("ENREGISTRE", "SYNCHRO_ECHOUEE"):
+                at = "SYNCHRONISE" if ok else "SYNCHRO_ECHOUEE"
+                continue
+            if at not in ("EN_ATTENTE_IA", "ECHEC_TRAITEMENT"):
+                continue
+            if ok:
                 at = "TRAITE_IA"
             else:
                 tries += 1
@@ -81,6 +93,12 @@ def work(stream: DataFrame, most_tries: int = MOST_TRIES) -> DataFrame:
     return stream.groupBy("rec_id").applyInPandasWithState(step, "rec_id long, state string, tries int", "tries int, state string", "update", GroupStateTimeout.NoTimeout)
 
 
+def notify(states: DataFrame, told: DataFrame) -> DataFrame:
+    """(rec_id, state): records whose state differs from the one that was told last, for a ``foreachBatch`` side output."""
+    before = told.select("rec_id", F.col("state").alias("_told"))
+    return states.join(before, "rec_id", "left").where(~F.col("state").eqNullSafe(F.col("_told"))).select("rec_id", "state")
+
+
 def windowed_counts(stream: DataFrame, time: str = "ts", window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events per type and window with late data bounded by a watermark (an extra of this engine)."""
     return stream.withWatermark(time, late).groupBy(F.window(time, window), "event_type").agg(F.count(F.lit(1)).alias("n"))
