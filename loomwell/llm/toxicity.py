@@ -1,10 +1,9 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 A bounded sample of labelled texts is the set of examples. Terms are the lower-case words and
-word beginnings that stand in at least ``LEAST_SHARE`` of the examples, whatever their labels, weighted
-(1 + ln tf) * idf, and normalised per text. (With rarer ones too, the copies of one text among the examples
-would be found as well, but chance matches of rare words would outweigh all others: more errors, see the README.) The
-inverted index holds every term: postings for most, whole rows for the ``HEAVY`` ones that stand in most
+word beginnings of all examples, whatever their labels, weighted (1 + ln tf) * idf, and normalised per text. A term
+in fewer than ``RARE`` of the examples has the idf of one in that many, or chance matches of rare words would outweigh
+all others. The inverted index holds every term: postings for most, whole rows for the ``HEAVY`` ones that stand in most
 examples, with the largest weight of each in each block of neighbouring examples. A query adds up
 its postings and bounds what its heavy terms can add in a block; only examples whose bound reaches the
 k-th best cosine get their heavy terms added, so the neighbours are exact. Their votes, weighted by cosine, become a
@@ -38,8 +37,10 @@ from loomwell.llm.sampling import bounded_texts, labelled_sample
 from loomwell.llm.shared import crc_of_id, small_batches, text_or_empty
 
 FIT_ROWS, FIT_CHARS = 6_000, 64_000_000
-#: Share of the examples that a term stands in at least.
-LEAST_SHARE = 0.01
+#: Share of the examples below which a term weighs no more for being rarer.
+RARE = 0.03
+#: Postings of a term that are gathered together with those of other short ones.
+SHORT = 32
 NEIGHBOURS = 15
 BLOCK = 64
 #: Terms in most examples, whose weights are held for every example.
@@ -99,11 +100,15 @@ class Examples:
         n, row = len(self.labels), self.heavy[terms]
         light, heavy = row < 0, row[row >= 0]
         begin, end = self.starts[terms[light]].T
-        spans = [slice(b, e) for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
-        if spans:
-            found = np.concatenate([self.postings[span] for span in spans], dtype=np.intp, casting="unsafe")
-            share = np.concatenate([self.weights[span] for span in spans])
-            share *= np.repeat(weight[light].astype(np.float32), end - begin)
+        size, own = end - begin, weight[light].astype(np.float32)
+        if len(size):
+            short = size <= SHORT
+            few, many = size[short], np.flatnonzero(~short)
+            at = np.repeat(begin[short] - np.cumsum(few) + few, few) + np.arange(few.sum())
+            spans = [slice(b, e) for b, e in zip(begin[many].tolist(), end[many].tolist(), strict=True)]
+            found = np.concatenate([self.postings[at], *[self.postings[span] for span in spans]], dtype=np.intp, casting="unsafe")
+            share = np.concatenate([self.weights[at], *[self.weights[span] for span in spans]])
+            share *= np.concatenate([np.repeat(own[short], few), np.repeat(own[many], size[many])])
             score = np.bincount(found, share, n)
         else:
             score = np.zeros(n)
@@ -167,10 +172,10 @@ def fit(texts: list[str], labels: list[int], ids: list[int]) -> Examples:
     seen_in: Counter[str] = Counter()
     for i in chosen:
         seen_in.update(set(chain.from_iterable(map(terms_of, set(words(texts[i].lower()))))))
-    kept = sorted(term for term, n in seen_in.items() if n >= LEAST_SHARE * len(chosen))
+    kept = sorted(seen_in)
     vocabulary = {t: i for i, t in enumerate(kept)}
     counts = np.array([seen_in[t] for t in kept], dtype=np.int64)
-    idf = np.log((1 + len(chosen)) / (1 + counts)) + 0.1
+    idf = np.log((1 + len(chosen)) / (1 + np.maximum(counts, RARE * len(chosen)))) + 0.1
     del seen_in
     none, cells = np.zeros(0, np.int64), np.zeros((0, 0))
     model = Examples(vocabulary, idf, cells, none, np.zeros(0), none, cells, cells, np.zeros(0), none, 0.05, np.zeros(1), np.zeros(1))
