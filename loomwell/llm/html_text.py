@@ -1,17 +1,20 @@
-"""Main text of web pages: structure first, then nearest-URL page differencing.
+"""Main text of web pages: nearest-URL page differencing of all lines, then what markup names.
 
-A page is cut into blocks of text. Blocks in navigation, headers, footers, asides, forms and
-elements whose class, id or role names such a thing are left out. Pages are then ordered by
+A page is cut into lines of text, those of menus, headers and footers as well (scripts, styles and form fields
+hold none). Pages are then ordered by
 host and URL path, each is paired with the neighbour of its host whose path shares the longest
 beginning, and the two lists of lines are aligned by a longest common subsequence; what both
 share is the site's frame and goes. A line inside an ``article`` or ``main`` element is article
 text by its markup, so it stays if only some other pages quote it; it goes if the neighbour shares
 it and it stands on at least ``COMMON`` of the different pages of the host, three at least. Pages of
-a host with the same lines are one page. A page that shares four fifths of the lines may be a near copy, so only
-such common lines go by it, and the next nearest within ``NEAR`` places on either side is tried.
+a host with the same lines are one page. A page that shares four fifths of the lines outside frames may be a near copy, so only
+such common lines and those of frames go by it, and the next nearest within ``NEAR`` places on either side is tried.
 
+Differencing can't see frames that differ from page to page, such as menus of current topics, reader comments and
+adverts. So of the lines that are left, those in navigation, headers, footers, asides, forms and
+elements whose class, id or role names such a thing go, too.
 ``article`` and ``main`` elements are the body only if they hold at least half of the unlinked
-text outside frames; else all lines outside frames take part. ``article`` elements whose class, id
+text outside frames; else all lines outside frames stay. ``article`` elements whose class, id
 or role names a frame (related cards) are left out unless they hold most of the text.
 
 Only hashes of lines travel: one pass writes them, the pairs are found in blocks of
@@ -19,7 +22,8 @@ Only hashes of lines travel: one pass writes them, the pairs are found in blocks
 result doesn't depend on how rows are dealt out), and a second pass over the pages leaves
 out the lines found.
 
-Defined cases: a null or empty page has an empty text and 0 characters; a null or odd url is
+Defined cases: a page of any length is read whole; of two neighbours whose paths are equally near the one fewer places away
+counts, then the earlier one; a null or empty page has an empty text and 0 characters; a null or odd url is
 a host of its own kind and still gets a row; an empty table gives no rows; a repeated row is
 reported each time; other columns are ignored.
 """
@@ -41,6 +45,10 @@ from pyspark.sql import functions as F
 from loomwell.llm.shared import materialise, small_batches
 
 RUN, NEAR = 64, 4
+#: A line outside articles and frames, one of an article, one that the markup names a part of the frame.
+PLAIN, HELD, FRAMED = 0, 1, 2
+#: Share of its lines outside frames that makes a page a copy of another.
+COPY = 0.8
 #: Lists of lines to leave out that are broadcast at most.
 BROADCAST_ROWS = 100_000
 #: Share of a host's different pages on which a line of an article is the site's, and their least number.
@@ -89,13 +97,15 @@ def _names_frame(attributes: str, inside_main: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool]]:
-    """Lines of a page outside its frame, and whether an article or main element holds them."""
+def blocks(page: str) -> list[tuple[str, bool, bool]]:
+    """All lines of text of a page, whether an article or main element holds each, and whether its
+    markup names it a part of the frame. Text of a frame within a line is a line of its own."""
     out: list[tuple[str, int]] = []
     plain = [0, 0, 0]  # unlinked characters outside articles, in them, and in those with a frame's name
     open_tags: list[tuple[str, bool, bool, bool]] = []
     frames = mains = named = links = 0
     parts: list[str] = []
+    side: list[str] = []
     linked = total = at = 0
 
     def close(n: int) -> None:
@@ -116,12 +126,21 @@ def blocks(page: str) -> list[tuple[str, bool]]:
                 out.append((line, kind))
                 plain[kind] += total - linked
             parts.clear()
+        if side:
+            line = " ".join("".join(side).split())
+            if line:
+                out.append((line, 3))
+            side.clear()
         linked = total = 0
 
     def say(raw: str) -> None:
         nonlocal linked, total
-        if raw and not frames:
-            text = html.unescape(raw) if "&" in raw else raw
+        if not raw:
+            return
+        text = html.unescape(raw) if "&" in raw else raw
+        if frames:
+            side.append(text)
+        else:
             parts.append(text)
             total += len(text)
             linked += len(text) if links else 0
@@ -134,7 +153,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
             continue
         tag = found[3].lower()
         if tag == "br" or tag in ("td", "th"):
-            parts.append(" ")
+            (side if frames else parts).append(" ")
         if tag in VOID and tag != "hr":
             continue
         if tag in BLOCKS:
@@ -164,14 +183,12 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         links += tag == "a"
     say(page[at:])
     end_line()
-    if plain[2] > plain[0] + plain[1]:
-        out = [(line, min(kind, 1)) for line, kind in out]
+    cards = plain[2] > plain[0] + plain[1]  # articles with a frame's name hold most of the text
+    if cards:
         plain[1] += plain[2]
-    else:
-        out = [entry for entry in out if entry[1] < 2]
-    if plain[1] >= plain[0] and any(kind for _, kind in out):
-        return [(line, True) for line, kind in out if kind]
-    return [(line, bool(kind)) for line, kind in out]
+    held = {1, 2} if cards else {1}
+    body = plain[1] >= plain[0] and any(kind in held for _, kind in out)  # the articles are the body
+    return [(line, kind in held, kind == 3 or kind == 2 and not cards or body and kind == 0) for line, kind in out]
 
 
 def shared_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -204,14 +221,14 @@ def _digest(page: str) -> int:
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests, lines, held = [], [], []
+        digests, lines, kinds = [], [], []
         for page in batch.column(1).to_pylist():
             found = blocks(page)
             digests.append(_digest(page))
-            lines.append([_digest(line) for line, _ in found])
-            held.append([main for _, main in found])
-        columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(digests, pa.int64()), pa.array(lines, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.bool_()))]
-        yield pa.RecordBatch.from_arrays(columns, ["page_id", "host", "path", "digest", "lines", "held"])
+            lines.append([_digest(line) for line, *_ in found])
+            kinds.append([FRAMED if frame else HELD if main else PLAIN for _, main, frame in found])
+        columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(digests, pa.int64()), pa.array(lines, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8()))]
+        yield pa.RecordBatch.from_arrays(columns, ["page_id", "host", "path", "digest", "lines", "kinds"])
 
 
 def _alike(a: str, b: str) -> int:
@@ -226,25 +243,24 @@ def _alike(a: str, b: str) -> int:
 def _pair(group: pd.DataFrame) -> pd.DataFrame:
     """For each own page of a run: the places of the lines that it shares with its neighbour."""
     group = group.sort_values("place")
-    rows = list(group[["host", "path", "lines", "held", "common", "own"]].itertuples(index=False))
+    rows = list(group[["host", "path", "lines", "kinds", "common", "own"]].itertuples(index=False))
     out = []
     for at, row in enumerate(rows):
         if not row.own or not len(row.lines):
             continue
         common = set() if row.common is None else set(row.common)
-        if all(row.held) and not common.intersection(row.lines):
-            continue  # no line may go
+        body = sum(kind != FRAMED for kind in row.kinds)
         near = [i for i in range(max(at - NEAR, 0), min(at + NEAR + 1, len(rows))) if rows[i].host == row.host and not np.array_equal(rows[i].lines, row.lines)]
         gone: set[int] = set()
         for i in sorted(near, key=lambda i: (-_alike(rows[i].path, row.path), abs(i - at))):
             shared = shared_lines(np.asarray(row.lines), np.asarray(rows[i].lines))
-            decides = len(shared) < 0.8 * len(row.lines)
-            gone.update(k for k in shared if decides and not row.held[k] or row.lines[k] in common)
+            decides = sum(row.kinds[k] != FRAMED for k in shared) < COPY * max(body, 1)
+            gone.update(k for k in shared if row.kinds[k] == FRAMED or decides and row.kinds[k] == PLAIN or row.lines[k] in common)
             if decides:
                 break
         if gone:
-            out.append((row.host, row.lines, row.held, sorted(gone)))
-    return pd.DataFrame(out, columns=["host", "lines", "held", "gone"])
+            out.append((row.host, row.lines, row.kinds, sorted(gone)))
+    return pd.DataFrame(out, columns=["host", "lines", "kinds", "gone"])
 
 
 def common_lines(hashed: DataFrame) -> DataFrame:
@@ -264,12 +280,12 @@ def frame_lines(pages: DataFrame) -> DataFrame:
     address = F.regexp_replace(address, r"[?#].*$", "")
     host, path = F.lower(F.regexp_extract(address, r"^[^/]*", 0)), F.regexp_extract(address, r"/.*$", 0)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), path.alias("path"))
-    hashed = rows.mapInArrow(_hash_rows, "page_id long, host string, path string, digest long, lines array<long>, held array<boolean>")
+    hashed = rows.mapInArrow(_hash_rows, "page_id long, host string, path string, digest long, lines array<long>, kinds array<byte>")
     hashed, _ = materialise(hashed, "pages-lines")
     common, _ = materialise(common_lines(hashed), "pages-common", narrow=True)
     order = ["host", "path", "page_id", "digest"]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    same = ["host", "lines", "held"]
+    same = ["host", "lines", "kinds"]
     first = hashed.groupBy(*same).agg(F.min(F.struct("path", "page_id", "digest")).alias("first")).select(*same, "first.*")
     placed = first.repartitionByRange(n, *order).sortWithinPartitions(*order)
     placed = placed.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
@@ -284,10 +300,10 @@ def frame_lines(pages: DataFrame) -> DataFrame:
     placed = placed.join(offsets, "part").withColumn("place", F.col("start") + F.col("row")).withColumn("run", F.expr(f"place div {RUN}"))
     edge = F.col("place") % RUN
     copies = F.array(F.lit(0), F.when(edge < NEAR, -1), F.when(edge >= RUN - NEAR, 1))
-    placed = placed.select(*order, "lines", "held", "place", "run", F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("to"))
+    placed = placed.select(*order, "lines", "kinds", "place", "run", F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("to"))
     placed = placed.withColumn("own", F.col("to") == 0).withColumn("run", F.col("run") + F.col("to"))
     placed = placed.join(F.broadcast(common) if common.count() <= BROADCAST_ROWS else common.hint("merge"), "host", "left")
-    gone = placed.groupBy("run").applyInPandas(_pair, "host string, lines array<long>, held array<boolean>, gone array<int>")
+    gone = placed.groupBy("run").applyInPandas(_pair, "host string, lines array<long>, kinds array<byte>, gone array<int>")
     return hashed.join(gone, same).select("page_id", "digest", "gone")
 
 
@@ -296,7 +312,7 @@ def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for page, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True):
             out = set(gone or ())
-            texts.append("\n".join(line for i, (line, _) in enumerate(blocks(page)) if i not in out))
+            texts.append("\n".join(line for i, (line, _, frame) in enumerate(blocks(page)) if not frame and i not in out))
         columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 

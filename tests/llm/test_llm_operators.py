@@ -248,7 +248,7 @@ def test_lines_of_articles_on_every_page_go(spark):
     assert got[0] == "Ash\nStory of Ash, told at length.\nQuoted by two." and got[3] == "Dill\nStory of Dill, told at length."
     assert got[10] == "Body 0 in a plain element, with many words."
     whole = '<article class="post has-comments"><p>The text.</p></article>'
-    assert html_text.blocks(whole) == [("The text.", True)]
+    assert html_text.blocks(whole) == [("The text.", True, False)]
 
 
 def test_shared_lines_is_a_longest_common_subsequence():
