@@ -30,8 +30,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as read from the shards of the committed version."""
-    store = shards.shard_corpus(table(spark, sf_dir, "documents"), new_folder(spark, "shards"))
+    """The documents, in four arrivals, as read from the shards of the version committed last.
+
+    The store is this query's own, so nobody reads its older versions and they aren't kept.
+    """
+    store = shards.shard_corpus(table(spark, sf_dir, "documents"), new_folder(spark, "shards"), arrivals=4, keep_seconds=0)
     return shards.digests(store.read())
 
 
