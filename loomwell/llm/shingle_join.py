@@ -1,9 +1,9 @@
 """N-gram Jaccard join with signature trees.
 
 1. One pass over the texts makes, per document, the size and digest of its shingle set, and
-   the hashes of its first shingles in a fixed order (longest first, a stand-in for rarest
-   first that needs no counts). By the prefix principle, two linked sets share one of those.
-2. Documents with a first shingle that a different set has too are read again. Their sets are
+   the hashes of its first shingles in a fixed order (longest first). By the prefix principle, two linked sets share
+   several of those; each set leaves out as many, the commonest of all sets, as they share beyond one.
+2. Documents with a first shingle left that a different set has left too are read again. Their sets are
    cut into regions of the hash range, 1.3 times as many as two linked sets can differ in, so that
    linked sets have several regions in common. A region's key is the sum of its hashes. Each set
    leaves out as many of its keys, the commonest of all sets, as linked sets share beyond one (prefix principle
@@ -79,11 +79,16 @@ def shingler(k: int) -> Shingler:
     return held(f"shingles {k}", lambda: Shingler(k))
 
 
-def first_shingles(hashes: np.ndarray, lengths: np.ndarray, percent: int) -> np.ndarray:
-    """The prefix: one more than can be missing from a linked set."""
+def first_shingles(hashes: np.ndarray, lengths: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """A set's first shingles, and how many of them it may leave out.
+
+    The prefix is one more than can be missing from a linked set, and a tenth of the set longer than that, so
+    linked sets share more than a tenth of the smaller one's size among their first shingles. Each may then leave out a tenth
+    of the least size that a linked set can have, at the end of an order that is the same for all.
+    """
     n = len(hashes)
-    most = n - -(-percent * n // 100) + 1
-    return hashes[np.lexsort((hashes, -lengths))[:most]] if n else hashes
+    most = n - -(-percent * n // 100) + 1 + n // 10
+    return hashes[np.lexsort((hashes, -lengths))[:most]], -(-percent * n // 100) // 10
 
 
 class Regions:
@@ -139,14 +144,16 @@ def _scan(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(k)
         for batch in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, spare = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found, lengths = shingles(text)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                keys.append(first_shingles(found, lengths, percent))
-            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", TEXT_KEY, "n_shingles", "digest", "keys"])
+                first, out = first_shingles(found, lengths, percent)
+                keys.append(first)
+                spare.append(out)
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(spare, pa.int64()), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", TEXT_KEY, "n_shingles", "digest", "spare", "keys"])
 
     return run
 
@@ -183,6 +190,25 @@ def _shared_rows(rows: DataFrame, what: str) -> tuple[DataFrame, str]:
     return materialise(met.select("key", "least"), what)
 
 
+def _kept(rows: DataFrame, owner: list[str], what: str) -> tuple[DataFrame, str]:
+    """(key, node) of the keys that other nodes have too, without the ``spare`` commonest of each owner.
+
+    ``rows``: node, spare, key and the owner's columns. The commonest keys are last in the order; of
+    regions, the odd ones come after all others. A passage that many
+    documents share so makes no candidates by itself.
+    """
+    spark = rows.sparkSession
+    counts, path = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{what}-counts")
+    release(spark)
+    order = [F.desc("n"), "key"] if owner == ["node"] else [F.col("key").bitwiseAND(F.lit(1)).desc(), F.desc("n"), "key"]
+    place = F.row_number().over(Window.partitionBy(*owner).orderBy(*order))
+    kept = rows.join(counts.hint("merge"), "key").withColumn("place", place).where("place > spare").select("key", "node")
+    kept, kept_path = materialise(kept, f"{what}-kept")
+    forget(spark, path)
+    release(spark)
+    return kept, kept_path
+
+
 def _as_set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
@@ -271,33 +297,28 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    scanned, _ = materialise(texts.withColumn(TEXT_KEY, text_key("text")).mapInArrow(_scan(k, percent), f"doc_id long, {TEXT_KEY} long, n_shingles long, digest binary, keys array<long>"), "join-scan")
+    scanned, _ = materialise(texts.withColumn(TEXT_KEY, text_key("text")).mapInArrow(_scan(k, percent), f"doc_id long, {TEXT_KEY} long, n_shingles long, digest binary, spare long, keys array<long>"), "join-scan")
     same, same_path = materialise(scanned.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "join-same")
     # the set stands for its copies: its first document's id is its node
-    nodes = scanned.where("digest IS NOT NULL").select("doc_id", "digest", "keys").join(same.select("digest", "node").hint("merge"), ["digest"])
-    firsts = nodes.where("doc_id = node").select(F.explode("keys").alias("key"), "node")
-    firsts, firsts_path = materialise(firsts, "join-first-rows")
+    nodes = scanned.where("digest IS NOT NULL").select("doc_id", "digest", "spare", "keys").join(same.select("digest", "node").hint("merge"), ["digest"])
+    firsts, firsts_path = materialise(nodes.where("doc_id = node").select("node", "spare", F.explode("keys").alias("key")), "join-first-rows")
     release(spark)
-    met, met_path = _shared_rows(firsts, "join-first-keys")
-    release(spark)
-    live, live_path = materialise(firsts.join(met.select("key").hint("merge"), "key", "left_semi").select("node").distinct(), "join-live", narrow=True)
+    kept, kept_path = _kept(firsts, ["node"], "join-first")
     forget(spark, firsts_path)
+    met, met_path = _shared_rows(kept, "join-first-keys")
+    live, live_path = materialise(kept.join(met.select("key").hint("merge"), "key", "left_semi").select("node").distinct(), "join-live", narrow=True)
+    forget(spark, kept_path)
     forget(spark, met_path)
     release(spark)
     ids = live.select(F.col("node").alias("doc_id"))
     regions, regions_path = materialise(_with_texts(texts, ids).mapInArrow(_region_keys(k, percent), "node long, level long, spare long, keys array<long>"), "join-regions")
     keyed = regions.select("node", "level", "spare", F.explode("keys").alias("key"))
-    counts, counts_path = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "join-region-counts")
-    release(spark)
-    # in the order (odd, commonest) a set's last ``spare`` keys are left out: common passages link nothing then
-    last = Window.partitionBy("node", "level").orderBy(F.col("key").bitwiseAND(F.lit(1)).desc(), F.desc("n"), "key")
-    kept = keyed.join(counts.hint("merge"), "key").withColumn("place", F.row_number().over(last)).where("place > spare").select("key", "node")
-    kept, kept_path = materialise(kept, "join-region-kept")
+    kept, kept_path = _kept(keyed, ["node", "level"], "join-region")
     met, met_path = _shared_rows(kept, "join-region-keys")
     release(spark)
     pairs = kept.join(met.hint("merge"), "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     candidates, candidates_path = materialise(components(pairs), "join-candidates", narrow=True)
-    for path in (live_path, regions_path, counts_path, kept_path, met_path):
+    for path in (live_path, regions_path, kept_path, met_path):
         forget(spark, path)
     release(spark)
     found = components(links(texts, candidates, k, percent))
