@@ -80,12 +80,13 @@ def test_a_writer_lost_between_claim_and_rename_blocks_nobody_for_long(store):
 
 def test_a_slow_writer_comes_second(store):
     make, rows = store
-    slow, fast = make(lease=0.0), make(lease=0.0)
+    slow, fast = make(lease=2.0), make(lease=2.0)
     claim, first = slow._claim, [True]
 
     def late(version):
         name = claim(version)
-        if first.pop() if first else False:
+        if first and first.pop():
+            time.sleep(2.1)  # the claim is over before the manifest is written
             fast.append(rows(4))
         return name
 
