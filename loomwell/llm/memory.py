@@ -14,7 +14,7 @@ from typing import Any
 #: Bytes that one ``Bounded`` remembers at most, in both generations, with the dictionaries' own cost.
 BUDGET = 32 << 20
 #: What an entry costs beside its key and value: two object headers and its place in the dictionary.
-ENTRY = 200
+ENTRY = 150
 
 _held: dict[str, Any] = {}
 

@@ -39,6 +39,8 @@ from loomwell.llm.shared import crc_of_id, small_batches, text_or_empty
 FIT_ROWS, FIT_CHARS = 6_000, 64_000_000
 #: Share of the examples below which a term weighs no more for being rarer.
 RARE = 0.03
+#: Bytes of words that a worker remembers.
+MEMORY = 64 << 20
 #: Postings of a term that are gathered together with those of other short ones.
 SHORT = 32
 NEIGHBOURS = 15
@@ -83,12 +85,12 @@ class Examples:
 
     def numbers(self, word: str) -> bytes:
         """The numbers of a word's terms."""
-        return np.array([i for term in terms_of(word) if (i := self.vocabulary.get(term)) is not None], np.int64).tobytes()
+        return np.array([i for term in terms_of(word) if (i := self.vocabulary.get(term)) is not None], np.int32).tobytes()
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         if self.known is None:
-            self.known = Bounded(self.numbers).get
-        found = np.frombuffer(b"".join(map(self.known, words(text.lower()))), np.int64)
+            self.known = Bounded(self.numbers, budget=MEMORY).get
+        found = np.frombuffer(b"".join(map(self.known, words(text.lower()))), np.int32)
         if not len(found):
             return np.zeros(0, np.int64), np.zeros(0)
         terms, counts = np.unique(found, return_counts=True)
@@ -108,7 +110,7 @@ class Examples:
             spans = [slice(b, e) for b, e in zip(begin[many].tolist(), end[many].tolist(), strict=True)]
             found = np.concatenate([self.postings[at], *[self.postings[span] for span in spans]], dtype=np.intp, casting="unsafe")
             share = np.concatenate([self.weights[at], *[self.weights[span] for span in spans]])
-            share *= np.concatenate([np.repeat(own[short], few), np.repeat(own[many], size[many])])
+            share *= np.repeat(np.concatenate([own[short], own[many]]), np.concatenate([few, size[many]]))
             score = np.bincount(found, share, n)
         else:
             score = np.zeros(n)
