@@ -4,6 +4,14 @@ Stages: toxicity (documents predicted toxic go), language ID (documents without
 go), exact dedup (one of equal texts stays), n-gram Jaccard join (five-word shingles, 0.8; one
 document of each group stays), packing (the result: one row per packed piece).
 All but the last return the columns of documents.
+
+Defined cases, for each stage: an empty table gives no rows; extra columns, whatever their names, go through all
+stages but the last; texts of any length are read whole. Null and blank texts: the toxicity stage
+keeps them (its score for texts without words is below the cut unless most such examples are toxic), the language stage drops
+them, as it does texts without letters. Rows that repeat an id are judged by their own texts; of rows with equal id
+and text the exact stage keeps one. Of equal texts the longest original stays, ties go to the smallest id; of
+similar ones the smallest id of the group stays. A row without an id is kept by the exact stage, unless its text
+has an equal, and packed under a null id.
 """
 
 from __future__ import annotations
