@@ -38,9 +38,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
 def _word_ids(path: str) -> WordIds:
@@ -70,7 +68,8 @@ class WordIds:
 
     The tokenizer's pattern begins a match at any single space between two other characters,
     and between a letter and a run of ASCII marks, so words and the marks behind them are encoded
-    apart with the same result. A text with white space beside a space is encoded whole.
+    apart with the same result. A text with white space beside a space is encoded whole, and so is one
+    with an added token such as the end-of-text mark, which has its own id there as in the tokenizer's library.
     """
 
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -79,7 +78,9 @@ class WordIds:
     LONGEST = 64
 
     def __init__(self, path: str):
-        self.encode = _tokenizer(path).encode_batch_fast
+        tokenizer = _tokenizer(path)
+        self.encode = tokenizer.encode_batch_fast
+        self.added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
         self.first: dict[str, bytes] = {}  # words at the start of a text
         self.later: dict[str, bytes] = {}  # words after a space
         self.cores: dict[str, bytes] = {}  # words without the marks behind them, and marks
@@ -114,7 +115,8 @@ class WordIds:
         new_heads, new_tails = {w for w in heads if w not in self.first}, {w for w in tails if w not in self.later}
         # a word that begins or ends in white space is never remembered, so it is always new
         odd = {w for w in new_heads | new_tails if not w or w[0].isspace() or w[-1].isspace()}
-        whole = [i for i, words in enumerate(cut) if odd and not odd.isdisjoint(words)]
+        # the tokenizer looks for added tokens in the whole text
+        whole = [i for i, words in enumerate(cut) if odd and not odd.isdisjoint(words) or any(token in texts[i] for token in self.added)]
         self._learn(self.first, new_heads - odd, "")
         self._learn(self.later, new_tails - odd, " ")
         out = [b""] * len(texts)

@@ -86,8 +86,7 @@ def test_packing(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    texts = [*ODD, " ".join(words(2, 3000))]
+    texts = [*ODD, " ".join(words(2, 3000)), "said<|endoftext|>, and more", "(<|endoftext|>) <|endoftext|>"]
     rows = packing.pack(docs(spark, texts), path, with_ids=True).collect()
     assert len({r.sequence_id for r in rows}) == len(rows)
     by = defaultdict(list)
