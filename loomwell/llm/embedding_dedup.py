@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.llm.components import components
-from loomwell.llm.shared import materialise
+from loomwell.llm.shared import forget, materialise
 
 TABLES, HASHES, PROBES = 7, 3, 4
 BLOCK = 512
@@ -35,22 +35,27 @@ BLOCK = 512
 CELL = 2000
 
 
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests, raw = [], []
-        for vector, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            v = None
-            if vector and label is not None and None not in vector:
-                v = np.array(vector, dtype=np.float64) + 0.0  # one zero, not two
-                size = np.abs(v).max()
-                v = v / size if np.isfinite(size) and size > 0 else None
-            raw.append(None if v is None else np.array(vector, dtype=np.float64).tobytes())
-            digests.append(None if v is None else xxhash.xxh3_128_digest((np.array(vector, dtype=np.float64) + 0.0).tobytes()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "label", "digest", "v"])
+def _clean(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, raw = [], []
+            for vector, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                v = None
+                if vector and label is not None and None not in vector:
+                    v = np.array(vector, dtype=np.float64) + 0.0  # one zero, not two
+                    size = np.abs(v).max()
+                    v = v if np.isfinite(size) and size > 0 else None
+                raw.append(None if v is None else v.astype(kind).tobytes())
+                digests.append(None if v is None else xxhash.xxh3_128_digest(v.tobytes()))
+            columns = [batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "label", "digest", "v"])
+
+    return run
 
 
-def unit(raw: bytes) -> np.ndarray:
-    v = np.frombuffer(raw, np.float64)
+def unit(raw: bytes, kind: str = "f8") -> np.ndarray:
+    """The vector of length 1, in double precision; ``kind`` is how its components are held."""
+    v = np.frombuffer(raw, kind).astype(np.float64)
     v = v / np.abs(v).max()
     return v / np.sqrt(v @ v)
 
@@ -98,17 +103,22 @@ def keys(units: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes:
     return np.stack(out, axis=1)
 
 
-def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        units = [unit(raw) for raw in batch.column("v").to_pylist()]
-        found = np.zeros((len(units), TABLES * PROBES), np.int64)
-        for dim in {len(u) for u in units}:
-            at = [i for i, u in enumerate(units) if len(u) == dim]
-            found[at] = keys(np.stack([units[i] for i in at]))
-            found[at] += np.int64(dim) << 52
-        offsets = pa.array(np.arange(len(units) + 1, dtype=np.int32) * found.shape[1])
-        columns = [batch.column(c) for c in ("node", "label", "copies", "v")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(found.reshape(-1)))], ["node", "label", "copies", "v", "keys"])
+def _hash(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = [unit(raw, kind) for raw in batch.column("v").to_pylist()]
+            found = np.zeros((len(units), TABLES * PROBES), np.int64)
+            for dim in {len(u) for u in units}:
+                at = [i for i, u in enumerate(units) if len(u) == dim]
+                found[at] = keys(np.stack([units[i] for i in at]))
+                found[at] += np.int64(dim) << 52
+            # keys travel with every vector: 32 mixed bits do, as equal ones only add candidates
+            short = ((found.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            offsets = pa.array(np.arange(len(units) + 1, dtype=np.int32) * found.shape[1])
+            columns = [batch.column(c) for c in ("node", "label", "copies", "v")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(short.reshape(-1)))], ["node", "label", "copies", "v", "keys"])
+
+    return run
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
@@ -129,7 +139,7 @@ def _first_shared(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
     return found
 
 
-def _compare(least: float):
+def _compare(least: float, kind: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         a, b, links = [], [], []
         for (_, key, x, y), group in rows.groupby(["label", "key", "x", "y"], sort=True):
@@ -141,7 +151,7 @@ def _compare(least: float):
             right = left if x == y else np.flatnonzero(side == 1)
             if not len(left) or not len(right):
                 continue
-            units, own = np.stack([unit(v) for v in group["v"]]), np.stack(group["keys"].to_list())
+            units, own = np.stack([unit(v, kind) for v in group["v"]]), np.stack(group["keys"].to_list()).astype(np.int64)
             node, copies = group["node"].to_numpy(), group["copies"].to_numpy()
             i, j = np.nonzero(units[left] @ units[right].T >= least)
             i, j = left[i], right[j]
@@ -181,28 +191,32 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>"), "label")
     kind = dict(rows.dtypes)["label"]
-    base, _ = materialise(rows.mapInArrow(_clean, f"vec_id long, label {kind}, digest binary, v binary"), "vectors")
+    # components that came as floats are held as such, which loses nothing
+    held_as = "f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "f8"
+    base, _ = materialise(rows.mapInArrow(_clean(held_as), f"vec_id long, label {kind}, digest binary, v binary"), "vectors")
     same = base.where("digest IS NOT NULL").groupBy("label", "digest").agg(
         F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")
     )
-    same, _ = materialise(same, "vectors-distinct")
-    hashed, _ = materialise(
-        same.select("node", "label", "copies", "v").mapInArrow(_hash, f"node long, label {kind}, copies long, v binary, keys array<long>"), "vectors-hashed"
+    same, same_path = materialise(same, "vectors-distinct")
+    hashed, hashed_path = materialise(
+        same.select("node", "label", "copies", "v").mapInArrow(_hash(held_as), f"node long, label {kind}, copies long, v binary, keys array<int>"), "vectors-hashed"
     )
     keyed = hashed.select("label", "node", F.explode("keys").alias("key"))
     live = keyed.groupBy("label", "key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    live, _ = materialise(live.select("label", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), "vectors-buckets")
+    live, live_path = materialise(live.select("label", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), "vectors-buckets")
     met = hashed.select("*", F.explode("keys").alias("key")).join(live.hint("merge"), ["label", "key"])
     met = met.withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     met = met.select(
         "label", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "copies", "v", "keys",
     )
-    met, _ = materialise(met, "vectors-met")
+    met, met_path = materialise(met, "vectors-met")
     cells = max(met.count() // CELL, 1)
     cell = F.pmod(F.xxhash64("label", "key", "x", "y"), F.lit(cells))
-    found = met.groupBy(cell.alias("cell")).applyInPandas(_compare(least), "a long, b long, links long")
-    found, _ = materialise(found, "vectors-found")
+    found = met.groupBy(cell.alias("cell")).applyInPandas(_compare(least, held_as), "a long, b long, links long")
+    found, found_path = materialise(found, "vectors-found")
+    for path in (hashed_path, live_path, met_path):
+        forget(vectors.sparkSession, path)
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
     linked = components(found.where("b IS NOT NULL").select("a", "b"))
     known = same.select("label", "digest", "node", "copies").join(counts.hint("merge"), "node", "left").join(linked.hint("merge"), "node", "left")
@@ -210,6 +224,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         "label", "digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("component")
     )
     known, _ = materialise(known, "vectors-known")
+    for path in (same_path, found_path):
+        forget(vectors.sparkSession, path)
     out = base.select("vec_id", "label", "digest").join(known.hint("merge"), ["label", "digest"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
