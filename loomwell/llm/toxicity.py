@@ -22,6 +22,7 @@ Ties in cosine go to the example that stands first in the index.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -85,7 +86,7 @@ class Examples:
 
     def numbers(self, word: str) -> bytes:
         """The numbers of a word's terms."""
-        return np.array([i for term in terms_of(word) if (i := self.vocabulary.get(term)) is not None], np.int32).tobytes()
+        return array("i", [i for term in terms_of(word) if (i := self.vocabulary.get(term)) is not None]).tobytes()
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         if self.known is None:
