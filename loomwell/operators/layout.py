@@ -18,13 +18,25 @@ def values_in_zones(values: DataFrame, zones: DataFrame, page: str = "page_type"
     return met.select(page, "id", "zone")
 
 
-def merged_intervals(intervals: DataFrame, by: str, start: str, end: str) -> DataFrame:
-    """(by, island, starts, ends, n): overlapping or touching intervals as one."""
-    order = Window.partitionBy(by).orderBy(start, end)
+def merged_intervals(intervals: DataFrame, by: str, start: str, end: str, bucket: Column | None = None) -> DataFrame:
+    """(by, island, starts, ends, n): overlapping or touching intervals as one.
+
+    ``bucket``, a column that rises with the start (its month, say), has the intervals of each bucket merged first, so that the
+    window over a whole key meets islands and not rows.
+    """
+    rows = intervals.select(by, start, end, F.lit(1).cast("long").alias("_n"))
+    if bucket is not None:
+        inner = _islands(rows.withColumn("_bucket", bucket), [by, "_bucket"], start, end)
+        rows = inner.select(by, F.col("starts").alias(start), F.col("ends").alias(end), F.col("n").alias("_n"))
+    return _islands(rows, [by], start, end)
+
+
+def _islands(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     first = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
-    numbered = intervals.withColumn("_new", first).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(by, "island").agg(F.min(start).alias("starts"), F.max(end).alias("ends"), F.count(F.lit(1)).alias("n"))
+    numbered = rows.withColumn("_new", first).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "island").agg(F.min(start).alias("starts"), F.max(end).alias("ends"), F.sum("_n").alias("n"))
 
 
 def distinct_levels(values: Column, tolerance: float = 3.0) -> Column:

@@ -597,7 +597,7 @@ def connected_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("lane"), F.to_date("l_shipdate").alias("s"), F.date_add(F.to_date("l_shipdate"), F.col("l_quantity").cast("int") % 4).alias("e")
     )
-    return layout.merged_intervals(boxes, "lane", "s", "e")
+    return layout.merged_intervals(boxes, "lane", "s", "e", F.trunc("s", "month"))
 
 
 @query(

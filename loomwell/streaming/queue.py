@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,32 +18,66 @@ from loomwell.operators.merge import newest
 class UpsertSink:
     """A table of the newest row per key, written by ``foreachBatch``.
 
-    Each batch makes a new version folder from the one before and the batch; the version's
-    number is the batch's, so a batch that is sent again writes the same version again. A reader takes
-    the newest version with Spark's success mark.
+    Rows lie in ``buckets`` by a hash of their key; a batch rewrites only the buckets that it touches. A version is
+    a manifest that names the folder of each bucket; its number is the batch's, so a batch that is sent
+    again makes the same version again. A reader takes the newest manifest. Folders stay while one of the two newest versions names them.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: str, order: list[str]):
-        self.spark, self.root, self.key, self.order = spark, root.rstrip("/"), key, order
+    def __init__(self, spark: SparkSession, root: str, key: str, order: list[str], buckets: int = 64):
+        self.spark, self.root, self.key, self.order, self.buckets = spark, root.rstrip("/"), key, order, buckets
         self.hadoop = spark._jvm.org.apache.hadoop.fs
         self.fs = self.hadoop.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _path(self, name: str):
+        return self.hadoop.Path(f"{self.root}/{name}")
+
     def versions(self) -> list[int]:
-        found = self.fs.globStatus(self.hadoop.Path(f"{self.root}/v=*/_SUCCESS")) or []
-        return sorted(int(s.getPath().getParent().getName()[2:]) for s in found)
+        found = self.fs.globStatus(self._path("manifest-*.json")) or []
+        return sorted(int(s.getPath().getName()[9:-5]) for s in found)
+
+    def _manifest(self, version: int) -> dict[str, int]:
+        stream = self.fs.open(self._path(f"manifest-{version}.json"))
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)
+
+    def _rows(self, folders: dict[str, int]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.root}/v={version}/bucket={bucket}" for bucket, version in sorted(folders.items())])
 
     def read(self) -> DataFrame | None:
         versions = self.versions()
-        return self.spark.read.parquet(f"{self.root}/v={versions[-1]}") if versions else None
+        folders = self._manifest(versions[-1]) if versions else {}
+        return self._rows(folders) if folders else None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         before = [v for v in self.versions() if v < batch_id]
-        rows = batch
-        if before:
-            rows = self.spark.read.parquet(f"{self.root}/v={before[-1]}").unionByName(batch)
-        newest(rows, self.key, self.order).write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
-        for old in before[:-1]:
-            self.fs.delete(self.hadoop.Path(f"{self.root}/v={old}"), True)
+        folders = self._manifest(before[-1]) if before else {}
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).alias("bucket")
+        touched = {str(r["bucket"]) for r in batch.select(bucket).distinct().collect()}  # one row per bucket at most
+        old = {b: v for b, v in folders.items() if b in touched}
+        rows = self._rows(old).unionByName(batch) if old else batch
+        made = newest(rows, self.key, self.order).withColumn("bucket", bucket)
+        made.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/v={batch_id}")
+        self._commit(folders | dict.fromkeys(touched, batch_id), batch_id)
+        self._clean()
+
+    def _commit(self, folders: dict[str, int], version: int) -> None:
+        temporary, final = self._path(f"tmp-{uuid.uuid4().hex}"), self._path(f"manifest-{version}.json")
+        out = self.fs.create(temporary, False)
+        out.write(bytearray(json.dumps(folders), "utf-8"))
+        out.close()
+        self.fs.delete(final, False)  # of the same batch, if it was sent before
+        if not self.fs.rename(temporary, final):
+            raise OSError(f"version {version} could not be committed")
+
+    def _clean(self) -> None:
+        for version in self.versions()[:-2]:
+            self.fs.delete(self._path(f"manifest-{version}.json"), False)
+        kept = {(b, v) for version in self.versions() for b, v in self._manifest(version).items()}
+        for status in self.fs.globStatus(self._path("v=*/bucket=*")) or []:
+            path = status.getPath()
+            if (path.getName()[7:], int(path.getParent().getName()[2:])) not in kept:
+                self.fs.delete(path, True)
 
 
 def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:

@@ -59,6 +59,17 @@ def test_upsert_is_idempotent_and_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in sink.read().select("id", "seq", "state").collect()} == want
 
 
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    sink = queue.UpsertSink(spark, str(tmp_path / "sink"), "id", ["seq"], buckets=8)
+    shape = "id long, seq long"
+    sink(spark.createDataFrame([(i, 0) for i in range(100)], shape), 0)
+    sink(spark.createDataFrame([(7, 1)], shape), 1)
+    sink(spark.createDataFrame([], shape), 2)
+    sink(spark.createDataFrame([(7, 0), (500, 3)], shape), 3)
+    assert {tuple(r) for r in sink.read().collect()} == {(i, 1 if i == 7 else 0) for i in range(100)} | {(500, 3)}
+    assert sink.versions() == [2, 3] and len(list((tmp_path / "sink" / "v=1").glob("bucket=*"))) <= 1
+
+
 def test_retries_escalate(spark, tmp_path):
     shape = "rec_id long, seq long, online boolean, ok boolean"
     rows = [(1, i, True, False) for i in range(3)] + [(2, 0, False, False), (2, 1, True, True), (3, 0, True, False)]
