@@ -115,15 +115,15 @@ class Store:
     def _claim(self, version: int) -> str:
         """Claim a version for this writer; Conflict if another holds it."""
         if self.fs.exists(self._path(f"manifest-{version:08d}.json")):
-            raise Conflict(version)
+            raise Conflict(f"version {version} exists")
         claims = self._names(f"claim-{version:08d}-*")
         if claims and min(age for _, age in claims) < self.lease:
-            raise Conflict(version)
+            raise Conflict(f"a claim on version {version} exists")
         name = f"claim-{version:08d}-{len(claims):04d}"
         try:
             self.fs.create(self._path(name), False).close()
         except Py4JJavaError as error:
-            raise Conflict(version) from error
+            raise Conflict(f"claim {name} exists") from error
         return name
 
     def commit(self, shards: list[Shard], version: int) -> int:
@@ -137,7 +137,7 @@ class Store:
         last = self._names(f"claim-{version:08d}-*")[-1]
         if last[0] != claim or last[1] >= self.lease or self.fs.exists(self._path(name)):
             self.fs.delete(temporary, False)
-            raise Conflict(version)
+            raise Conflict(f"the claim on version {version} is over")
         if not self.fs.rename(temporary, self._path(name)):
             raise OSError(f"version {version} could not be committed")
         return version
