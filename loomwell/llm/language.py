@@ -170,7 +170,7 @@ class Model:
 class Labeller:
     """Labels texts; remembers the scores of words up to a bound in bytes."""
 
-    MOST = 64 << 20
+    MOST = 48 << 20
 
     def __init__(self, model: Model):
         self.model = model

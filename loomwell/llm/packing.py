@@ -74,7 +74,7 @@ class WordIds:
 
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
     #: Bytes that the three dictionaries hold together at most.
-    MOST = 96 << 20
+    MOST = 224 << 20
     LONGEST = 64
 
     def __init__(self, path: str):

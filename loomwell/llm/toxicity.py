@@ -41,7 +41,7 @@ FIT_ROWS, FIT_CHARS = 6_000, 64_000_000
 #: Share of the examples below which a term weighs no more for being rarer.
 RARE = 0.03
 #: Bytes of words that a worker remembers.
-MEMORY = 64 << 20
+MEMORY = 32 << 20
 #: Postings of a term that are gathered together with those of other short ones.
 SHORT = 32
 NEIGHBOURS = 15
