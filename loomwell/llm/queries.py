@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomwell.llm import bpe, embedding_dedup, exact_dedup, html_text, language, packing, quality, shards, shingle_join, toxicity
+from loomwell.llm import bpe, embedding_dedup, exact_dedup, host_rules, html_text, language, packing, quality, shards, shingle_join, token_alignment, toxicity
 from loomwell.llm.shared import new_folder
 from loomwell.sources.tables import table
 
@@ -58,6 +59,17 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.shingle_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's ``source`` is its host."""
+    verdicts = host_rules.host_verdicts(table(spark, sf_dir, "documents"), F.col("source"))
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_alignment.align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -70,8 +82,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
         "op10_shingle_join": op10_shingle_join,
+        "op11_host_rules": op11_host_rules,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op5_shards": shards.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op5_shards": shards.ORACLE, "op11_host_rules": host_rules.ORACLE}
