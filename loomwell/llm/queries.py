@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.llm import bpe, embedding_dedup, exact_dedup, host_rules, html_text, language, packing, quality, shards, shingle_join, token_alignment, toxicity
+from loomwell.llm import bpe, embedding_dedup, exact_dedup, host_rules, html_text, language, lexical_search, packing, quality, shards, shingle_join, token_alignment, toxicity
 from loomwell.llm.shared import new_folder
 from loomwell.sources.tables import table
 
@@ -65,6 +65,10 @@ def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_alignment.align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -83,9 +87,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_shingle_join": op10_shingle_join,
         "op11_host_rules": op11_host_rules,
+        "op12_lexical_search": op12_lexical_search,
         "op13_token_alignment": op13_token_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op5_shards": shards.ORACLE, "op11_host_rules": host_rules.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op5_shards": shards.ORACLE, "op11_host_rules": host_rules.ORACLE, "op12_lexical_search": lexical_search.ORACLE}
