@@ -40,11 +40,11 @@ from loomwell.llm.shared import forget, materialise, small_batches, text_or_empt
 #: Stripes of B ids. A block of counts has (size of B / STRIPES) rows and as many columns as A has ids.
 STRIPES = 128
 #: Characters of a chunk, about; a longer text is a chunk of its own.
-CHUNK_CHARS = 16 << 20
+CHUNK_CHARS = 8 << 20
 #: Chunks whose requests to one stripe meet in one task.
 CHUNKS_A_SHARE = 512
 #: Bytes of units that a worker remembers at most.
-MOST = 192 << 20
+MOST = 96 << 20
 LONGEST = 64
 #: Characters handed to a tokenizer at a time.
 CHARS_AT_ONCE = 1 << 20
@@ -201,57 +201,75 @@ def _row(**values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, [name for name, _, _ in FIELDS])
 
 
-def _chunk_rows(chunk: int, doc_ids: list, texts: list[str], units: Units, stripes: int) -> Iterator[pa.RecordBatch]:
-    cut = [units_of(text) for text in texts]
-    number: dict[str, int] = {}
-    per_doc = [array("i", [number.setdefault(u, len(number)) for u in own]) for own in cut]
-    known = units.learn(list(number))
-    made = [known[u] for u in number]
-    for k, own in enumerate(per_doc):
-        if any(made[u] is None for u in own):
-            per_doc[k] = array("i")
-    digests = [hashlib.sha256(b";".join([made[u][0] for u in own])).hexdigest() if own else "" for own in per_doc]
-    sizes = np.array([(m[1], m[2], m[3], len(m[4]) // 4) if m else (0, 0, 0, 0) for m in made], dtype=np.int64).reshape(-1, 4)
-    flat = np.concatenate([np.frombuffer(own, np.int32) for own in per_doc]) if per_doc else np.zeros(0, np.int32)
-    counts = np.array([len(own) for own in per_doc], dtype=np.int32)
-    owner = np.repeat(np.arange(len(per_doc)), counts)
-    totals = np.zeros((len(per_doc), 4), dtype=np.int64)
-    for k in range(4):
-        np.add.at(totals[:, k], owner, sizes[flat, k])
-    used = np.bincount(flat, minlength=len(made))
-    links = np.frombuffer(b"".join([m[4] if m else b"" for m in made]), dtype=np.uint32)
-    codes, where = np.unique(links, return_inverse=True)
-    times = np.zeros(len(codes), dtype=np.int64)
-    np.add.at(times, where, np.repeat(used, sizes[:, 3]))
-    yield _row(
-        chunk=chunk, stripe=OWN, doc_ids=doc_ids, n_a=totals[:, 1], n_b=totals[:, 2], n_groups=totals[:, 0], n_links=totals[:, 3], digests=digests,
-        unit_counts=counts, units=flat, code_counts=sizes[:, 3].astype(np.int32), unit_codes=where.astype(np.int32), codes=codes.view(np.int32),
-    )
-    stripe = (codes >> 16) % stripes
-    order = np.argsort(stripe, kind="stable")
-    ends = np.searchsorted(stripe[order], np.arange(stripes + 1))
-    for s in range(stripes):
-        own = order[ends[s] : ends[s + 1]]
-        own = own[times[own] > 0]
-        if len(own):
-            yield _row(chunk=chunk, stripe=s, codes=codes[own].view(np.int32), times=times[own])
-
-
-def _align(a_path: str, b_path: str, stripes: int):
+class Chunk:
+    """Texts of one task, aligned as they come: only numbers of units stay, and each different unit once."""
+
+    def __init__(self, units: Units):
+        self.units = units
+        self.number: dict[str, int] = {}
+        self.made: list[Unit | None] = []
+        self.doc_ids: list[int | None] = []
+        self.per_doc: list[array] = []
+        self.digests: list[str] = []
+        self.chars = 0
+
+    def add(self, doc_ids: list, texts: list[str]) -> None:
+        number, made = self.number, self.made
+        for doc_id, text in zip(doc_ids, texts, strict=True):
+            cut = units_of(text)
+            new = [u for u in dict.fromkeys(cut) if u not in number]
+            if new:
+                known = self.units.learn(new)
+                for u in new:
+                    number[u] = len(made)
+                    made.append(known[u])
+            own = array("i", map(number.__getitem__, cut))
+            if any(made[u] is None for u in own):
+                own = array("i")
+            self.doc_ids.append(doc_id)
+            self.per_doc.append(own)
+            self.digests.append(hashlib.sha256(b";".join([made[u][0] for u in own])).hexdigest() if own else "")
+            self.chars += len(text)
+
+    def rows(self, chunk: int, stripes: int) -> Iterator[pa.RecordBatch]:
+        made = self.made
+        sizes = np.array([(m[1], m[2], m[3], len(m[4]) // 4) if m else (0, 0, 0, 0) for m in made], dtype=np.int64).reshape(-1, 4)
+        flat = np.frombuffer(b"".join(self.per_doc), np.int32)
+        counts = np.array([len(own) for own in self.per_doc], dtype=np.int32)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        totals = np.zeros((len(counts), 4), dtype=np.int64)
+        for k in range(4):
+            np.add.at(totals[:, k], owner, sizes[flat, k])
+        used = np.bincount(flat, minlength=len(made))
+        links = np.frombuffer(b"".join([m[4] if m else b"" for m in made]), dtype=np.uint32)
+        codes, where = np.unique(links, return_inverse=True)
+        times = np.zeros(len(codes), dtype=np.int64)
+        np.add.at(times, where, np.repeat(used, sizes[:, 3]))
+        yield _row(
+            chunk=chunk, stripe=OWN, doc_ids=self.doc_ids, n_a=totals[:, 1], n_b=totals[:, 2], n_groups=totals[:, 0], n_links=totals[:, 3],
+            digests=self.digests, unit_counts=counts, units=flat, code_counts=sizes[:, 3].astype(np.int32), unit_codes=where.astype(np.int32), codes=codes.view(np.int32),
+        )
+        stripe = (codes >> 16) % stripes
+        order = np.argsort(stripe, kind="stable")
+        ends = np.searchsorted(stripe[order], np.arange(stripes + 1))
+        for s in range(stripes):
+            own = order[ends[s] : ends[s + 1]]
+            own = own[times[own] > 0]
+            if len(own):
+                yield _row(chunk=chunk, stripe=s, codes=codes[own].view(np.int32), times=times[own])
+
+
+def _align(a_path: str, b_path: str, stripes: int, chunk_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = held(f"alignment {a_path} {b_path}", lambda: Units(a_path, b_path))
-        chunk = TaskContext.get().partitionId() << 32
-        doc_ids, texts, size = [], [], 0
+        name, chunk = TaskContext.get().partitionId() << 32, Chunk(units)
         for batch in batches:
-            doc_ids += batch.column(0).to_pylist()
-            texts += (new := batch.column(1).to_pylist())
-            size += sum(map(len, new))
-            if size >= CHUNK_CHARS:
-                yield from _chunk_rows(chunk, doc_ids, texts, units, stripes)
-                chunk += 1
-                doc_ids, texts, size = [], [], 0
-        if doc_ids:
-            yield from _chunk_rows(chunk, doc_ids, texts, units, stripes)
+            chunk.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            if chunk.chars >= chunk_chars:
+                yield from chunk.rows(name, stripes)
+                name, chunk = name + 1, Chunk(units)
+        if chunk.doc_ids:
+            yield from chunk.rows(name, stripes)
 
     return run
 
@@ -354,13 +372,13 @@ def pair_counts(requests: DataFrame, stripes: int, width: int, height: int) -> D
     return dealt.mapInArrow(_count(stripes, width, -(-height // stripes)), "stripe int, codes array<int>, counts array<long>, best array<boolean>")
 
 
-def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", stripes: int = STRIPES) -> DataFrame:
+def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", stripes: int = STRIPES, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 for each row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
     sizes = Tokenizers(a_path, b_path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    made, made_path = materialise(rows.mapInArrow(_align(a_path, b_path, stripes), CHUNK), "alignment-chunks")
+    made, made_path = materialise(rows.mapInArrow(_align(a_path, b_path, stripes, chunk_chars), CHUNK), "alignment-chunks")
     requests = made.where(f"stripe <> {OWN}").select("stripe", "chunk", "codes", "times")
     counts, counts_path = materialise(pair_counts(requests, stripes, len(sizes.a_bytes), len(sizes.b_bytes)), "alignment-counts")
     own = made.where(f"stripe = {OWN}")

@@ -52,10 +52,9 @@ def plain_alignment(rows):
 
 
 @pytest.mark.parametrize("chunk", [1 << 24, 40])
-def test_alignment_equals_plain_version(spark, monkeypatch, chunk):
-    monkeypatch.setattr(token_alignment, "CHUNK_CHARS", chunk)
+def test_alignment_equals_plain_version(spark, chunk):
     docs = spark.createDataFrame(ODD, "doc_id long, text string").select("*", F.lit(1).alias("n_a"), F.lit("x").alias("chunk"), F.lit(2).alias("stripe"))
-    got = token_alignment.align_documents(docs.repartition(3), A, B, stripes=16).collect()
+    got = token_alignment.align_documents(docs.repartition(3), A, B, stripes=16, chunk_chars=chunk).collect()
     got = sorted([(r[0] or 0, *r[1:]) for r in map(tuple, got)], key=lambda r: r[:7])
     want = plain_alignment([(r[0], r[1]) for r in ODD])
     assert [g[:7] for g in got] == [w[:7] for w in want]
