@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.operators.model import KNOWN, TO_REVIEW
+from loomwell.operators.scan import BUCKETS, HOT, MOST_KEYS, Running, running
+from loomwell.sources.scratch import written
 
 #: Values that a new scan doesn't add to a record.
 BLANK = ["", "false", "0", "0.0"]
@@ -17,7 +19,7 @@ def fold_readings(readings: DataFrame, keys: list[str], value: str = "value") ->
     ``readings``: keys, seq, free (free mode), status, confidence, value. A template reading beats
     a free one; else the higher confidence wins and the older one a tie. If both were known
     with different values, the winner goes to review, which later photos then see: so the
-    fold is in order of ``seq``. A key's photos are few; they are folded in one array.
+    fold is in order of ``seq``. A key's photos are folded in one array; :func:`fold_all` takes others for very many.
     """
     cells = F.array_sort(F.collect_list(F.struct("seq", "free", "status", "confidence", F.col(value).alias("value"))))
     first = F.element_at("_cells", 1)
@@ -37,6 +39,55 @@ def fold_readings(readings: DataFrame, keys: list[str], value: str = "value") ->
     return grouped.select(*keys, "_best.seq", "_best.status", "_best.confidence", F.col("_best.value").alias(value), "_best.conflict")
 
 
+def fold_scanned(readings: DataFrame, keys: list[str], value: str = "value", hot: int = HOT, buckets: int = BUCKETS) -> DataFrame:
+    """What :func:`fold_readings` gives, by scans instead of an array per key, for keys of any number of readings.
+
+    The best reading so far changes hands only at a *holder*: a reading that beats all before it, by template before
+    free mode, then confidence. Readings between two holders can do one thing, contradict the holder. So a
+    holder's fate is whether it is still known on arrival (``fresh``) and whether one of its span contradicts it. ``fresh`` depends
+    on the holder before as NOT does, or not at all: it is the last settled one, turned as often as NOTs follow it.
+    """
+    rows = readings.select(*keys, "seq", "free", "status", "confidence", F.col(value).alias("_value"))
+    # among equals the older one stays, so a later equal never beats the holder
+    rows = written(rows.withColumn("_rank", F.struct((~F.col("free")).alias("t"), F.col("confidence").alias("c"))), "readings")
+    ranked = running(rows, keys, ["seq"], [Running("_above", "_rank", "max", exclusive=True)], hot, buckets)
+    holds = F.col("_above").isNull() | (F.col("_rank") > F.col("_above"))
+    me = F.when(holds, F.struct("seq", F.col("_value").alias("value")))
+    held = running(ranked.withColumn("_holds", holds).withColumn("_me", me), keys, ["seq"], [Running("_holder", "_me", "last", skip_nulls=True)], hot, buckets)
+    known = F.col("status") == KNOWN
+    contradicts = ~F.col("_holds") & known & ~F.col("_value").eqNullSafe(F.col("_holder.value"))
+    of = [*keys, F.col("_holder.seq").alias("seq")]
+    spans = held.groupBy(*of).agg(
+        F.max(contradicts).alias("_contradicted"),
+        *[F.max_by(c, F.col("_holds")).alias(c) for c in ("status", "confidence", "_value")],
+    )
+    spans = written(spans.withColumn("_span", F.struct(F.col("_value").alias("value"), F.col("_contradicted").alias("hit"))), "spans")
+    chained = running(spans, keys, ["seq"], [Running("_before", "_span", "last", exclusive=True)], hot, buckets)
+    differs = ~F.col("_value").eqNullSafe(F.col("_before.value")) & ~F.col("_before.hit")
+    turns = known & F.col("_before").isNotNull() & F.coalesce(differs, F.lit(False))
+    turned = running(chained.withColumn("_turn", turns.cast("int")), keys, ["seq"], [Running("_turns", "_turn", "sum")], hot, buckets)
+    settled = F.when(F.col("_turn") == 0, F.struct(known.alias("fresh"), F.col("_turns").alias("turns")))
+    ends = running(turned.withColumn("_settled", settled), keys, ["seq"], [Running("_from", "_settled", "last", skip_nulls=True)], hot, buckets)
+    fresh = F.col("_from.fresh") != ((F.col("_turns") - F.col("_from.turns")) % 2 == 1)
+    # a holder that is known and not fresh met a contradiction on arrival
+    clash = (known & ~fresh) | (fresh & F.col("_contradicted"))
+    status = F.when(known & clash, F.lit(TO_REVIEW)).otherwise(F.col("status"))
+    best = F.struct("seq", status.alias("status"), "confidence", "_value")
+    picked = ends.groupBy(*keys).agg(F.max_by(best, F.col("seq")).alias("_best"), F.max(clash).alias("conflict"))
+    return picked.select(*keys, "_best.seq", "_best.status", "_best.confidence", F.col("_best._value").alias(value), "conflict")
+
+
+def fold_all(readings: DataFrame, keys: list[str], value: str = "value", hot: int = HOT) -> DataFrame:
+    """The best reading per key: keys of more than ``hot`` readings by scans, all others in one array each."""
+    hot = max(hot, readings.count() // MOST_KEYS)
+    large = written(readings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select(*keys), "hot-keys")
+    if large.isEmpty():
+        return fold_readings(readings, keys, value)
+    large = F.broadcast(large)  # MOST_KEYS at most
+    few = fold_readings(readings.join(large, keys, "left_anti"), keys, value)
+    return few.unionByName(fold_scanned(readings.join(large, keys, "left_semi"), keys, value, hot))
+
+
 def rescan_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, kind, old_value, new_value): what a new scan adds to or changes in a record.
 
