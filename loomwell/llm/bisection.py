@@ -66,8 +66,9 @@ def bisect(doc: np.ndarray, term: np.ndarray, docs: int, terms: int, levels: int
     return part
 
 
-def preferences(part: np.ndarray, doc: np.ndarray, term: np.ndarray, terms: int, levels: int) -> np.ndarray:
-    """For each inner node of the tree (root 1, children 2k and 2k + 1) how much a term draws a document to the right."""
+def preferences(part: np.ndarray, doc: np.ndarray, term: np.ndarray, terms: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each inner node of the tree (root 1, children 2k and 2k + 1) how much a term draws a document to the right, and
+    the pull at which a document goes there: the median of the node's own documents as they are routed, so that nodes split evenly."""
     out = np.zeros((1 << levels, terms), dtype=np.float32)
     for level in range(levels):
         below = part >> (levels - level - 1)
@@ -75,12 +76,21 @@ def preferences(part: np.ndarray, doc: np.ndarray, term: np.ndarray, terms: int,
         degree = np.bincount(below[doc] * terms + term, minlength=(2 << level) * terms).reshape(-1, terms).astype(float)
         cost = add_cost(size[:, None], degree)
         out[1 << level : 2 << level] = cost[0::2] - cost[1::2]
-    return out
+    limit = np.zeros(1 << levels, dtype=np.float32)
+    node = np.ones(len(part), dtype=np.int64)
+    for level in range(levels):
+        pull = np.zeros(len(part))
+        np.add.at(pull, doc, out[node[doc], term])
+        for k in range(1 << level, 2 << level):
+            own = node == k
+            limit[k] = np.median(pull[own]) if own.any() else 0.0
+        node = 2 * node + (pull > limit[node])
+    return out, limit
 
 
-def route(prefers: np.ndarray, rows: list[int], levels: int) -> int:
+def route(prefers: np.ndarray, limit: np.ndarray, rows: list[int], levels: int) -> int:
     """The part that a document with these terms goes to."""
     node = 1
     for _ in range(levels):
-        node = 2 * node + int(prefers[node, rows].sum() > 0)
+        node = 2 * node + int(prefers[node, rows].sum() > limit[node])
     return node - (1 << levels)

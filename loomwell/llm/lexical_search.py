@@ -24,7 +24,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwell.llm.bisection import bisect, preferences, route
-from loomwell.llm.memory import held
 from loomwell.llm.shared import forget, new_folder, small_batches
 
 #: Runs of ASCII letters and digits and of all characters beyond ASCII, in UTF-8.
@@ -83,7 +82,7 @@ def totals(texts: DataFrame) -> Totals:
 class Layout:
     """Sizes of an index: characters of text in one part, about; documents and postings of a shard; documents of a cluster."""
 
-    part_chars: int = 16 << 20
+    part_chars: int = 8 << 20
     shard_docs: int = 4096
     shard_postings: int = 1 << 20
     cluster_docs: int = 128
@@ -91,21 +90,27 @@ class Layout:
 
 @dataclass(frozen=True)
 class Tree:
-    """A bisection tree: rows of known terms, and how each node's halves draw them."""
+    """A bisection tree: rows of known terms, how each node's halves draw them, and into how many splits each part is dealt."""
 
     levels: int
     rows: dict[bytes, int]
     prefers: np.ndarray
+    limit: np.ndarray
+    splits: list[int]
+
+    def part_of(self, bag) -> int:
+        return route(self.prefers, self.limit, [self.rows[t] for t in bag if t in self.rows], self.levels)
 
     @staticmethod
     def learn(texts: DataFrame, all_: Totals, part_chars: int) -> Tree:
         levels = min(MOST_LEVELS, max(0, math.ceil(math.log2(max(1, all_.chars / part_chars)))))
         if not levels:
-            return Tree(0, {}, np.zeros((1, 0), np.float32))
+            return Tree(0, {}, np.zeros((1, 0), np.float32), np.zeros(1, np.float32), [1])
         share = int(min(1, SAMPLE_DOCS / all_.docs, SAMPLE_CHARS / all_.chars) * (1 << 62))
         mask = F.lit((1 << 62) - 1)
         taken = texts.where((F.length("text") <= SAMPLE_CHARS // 64) & (F.xxhash64(F.lit("bisection"), "doc_id", "text").bitwiseAND(mask) <= share))
-        docs = sorted(set(taken.select(F.col("text").cast("binary")).limit(2 * SAMPLE_DOCS).toArrow().column(0).to_pylist()))
+        drawn = Counter(taken.select(F.col("text").cast("binary")).limit(2 * SAMPLE_DOCS).toArrow().column(0).to_pylist())
+        docs = sorted(drawn)
         bags = [set(terms_of(text)) for text in docs]
         seen = Counter(t for bag in bags for t in bag)
         known = sorted((t for t, n in seen.items() if 4 <= n < len(docs)), key=lambda t: (-seen[t], t))[:SAMPLE_TERMS]
@@ -114,14 +119,19 @@ class Tree:
         doc = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
         term = np.concatenate([*kept, np.zeros(0, np.int64)])
         part = bisect(doc, term, len(kept), len(known), levels)
-        return Tree(levels, rows, preferences(part, doc, term, len(known), levels))
+        tree = Tree(levels, rows, *preferences(part, doc, term, len(known), levels), [])
+        # copies count here, so a part that many rows share gets as many splits as its share of the sample asks for
+        chars = np.zeros(1 << levels)
+        for text, bag in zip(docs, bags, strict=True):
+            chars[tree.part_of(bag)] += drawn[text] * len(text)
+        share = chars / max(1.0, chars.sum())
+        return replace(tree, splits=[max(1, math.ceil(s * all_.chars / part_chars)) for s in share])
 
 
 def _bags(tree: Tree):
     """Per document its part, and its distinct terms with their numbers in two binary values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, prefers = tree.rows, tree.prefers
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -129,8 +139,7 @@ def _bags(tree: Tree):
                 if not found:
                     continue
                 bag = Counter(found)
-                part = route(prefers, [rows[t] for t in bag if t in rows], tree.levels)
-                for column, value in zip(out, (part, doc_id, len(found), b" ".join(bag), array("I", bag.values()).tobytes()), strict=True):
+                for column, value in zip(out, (tree.part_of(bag), doc_id, len(found), b" ".join(bag), array("I", bag.values()).tobytes()), strict=True):
                     column.append(value)
             types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["part", "doc_id", "n", "terms", "tfs"])
@@ -224,9 +233,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layou
     all_ = totals(texts)
     tree = Tree.learn(texts, all_, layout.part_chars)
     bags = texts.select("doc_id", F.col("text").cast("binary")).mapInArrow(_bags(tree), "part int, doc_id long, n long, terms binary, tfs binary")
-    splits = max(1, math.ceil(all_.chars / layout.part_chars / (1 << tree.levels)))
-    split = F.pmod(F.xxhash64("doc_id", "terms"), F.lit(splits))
-    parts = max(splits << tree.levels, int(spark.conf.get("spark.sql.shuffle.partitions"))) if all_.chars > layout.part_chars else spark.sparkContext.defaultParallelism
+    split = F.pmod(F.xxhash64("doc_id", "terms"), F.element_at(F.lit(tree.splits), F.col("part") + 1))
+    parts = max(2 * sum(tree.splits), int(spark.conf.get("spark.sql.shuffle.partitions"))) if tree.levels else 1
     dealt = bags.withColumn("split", split).repartition(parts, "part", "split").sortWithinPartitions("part", "split").drop("split")
     path = new_folder(spark, "lexical-index")
     dealt.mapInArrow(_build(all_, layout), INDEX).write.partitionBy("kind").parquet(path)

@@ -92,8 +92,8 @@ def test_bisection_balances_and_separates_topics():
     assert np.bincount(part).tolist() == [64] * 4
     purity = sum(max(Counter(topic[k] for k in np.flatnonzero(part == p)).values()) for p in range(4)) / 256
     assert purity > 0.9
-    prefers = bisection.preferences(part, doc, term, 220, 2)
-    routed = [bisection.route(prefers, term[doc == k].tolist(), 2) for k in range(256)]
+    prefers, limit = bisection.preferences(part, doc, term, 220, 2)
+    routed = [bisection.route(prefers, limit, term[doc == k].tolist(), 2) for k in range(256)]
     assert np.mean(np.array(routed) == part) > 0.85
 
 
@@ -102,3 +102,6 @@ def test_tree_sends_a_corpus_to_several_parts(spark):
     texts = spark.createDataFrame([d for d in docs if d[1]], "doc_id long, text string")
     tree = lexical_search.Tree.learn(texts, lexical_search.totals(texts), 20_000)
     assert tree.levels > 2 and tree.prefers.shape == (1 << tree.levels, len(tree.rows)) and len(tree.rows) > 50
+    assert sum(tree.splits) >= 1 << tree.levels
+    parts = Counter(tree.part_of(set(lexical_search.terms_of(d[1].encode()))) for d in docs if d[1] and d[1] != docs[5][1])
+    assert len(parts) > 1 << tree.levels - 1
