@@ -27,6 +27,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -215,14 +216,13 @@ class Chunk:
 
     def add(self, doc_ids: list, texts: list[str]) -> None:
         number, made = self.number, self.made
-        for doc_id, text in zip(doc_ids, texts, strict=True):
-            cut = units_of(text)
-            new = [u for u in dict.fromkeys(cut) if u not in number]
-            if new:
-                known = self.units.learn(new)
-                for u in new:
-                    number[u] = len(made)
-                    made.append(known[u])
+        cuts = [units_of(text) for text in texts]
+        new = [u for u in dict.fromkeys(chain.from_iterable(cuts)) if u not in number]
+        known = self.units.learn(new)
+        for u in new:
+            number[u] = len(made)
+            made.append(known[u])
+        for doc_id, text, cut in zip(doc_ids, texts, cuts, strict=True):
             own = array("i", map(number.__getitem__, cut))
             if any(made[u] is None for u in own):
                 own = array("i")
