@@ -20,7 +20,12 @@ def numbered(questions: DataFrame) -> DataFrame:
 
 
 def field_questions(fields: DataFrame) -> DataFrame:
-    """confirm for a value in review, enter for a field without a usable one. ``fields``: + seq, has_value."""
+    """confirm for a value in review, enter for a field without a usable one. ``fields``: + seq, has_value, maybe free.
+
+    Fields that were read in free mode are confirmed as a page (:func:`page_questions`), not one by one.
+    """
+    if "free" in fields.columns:
+        fields = fields.where(~F.coalesce("free", F.lit(False)))
     review = F.col("status") == TO_REVIEW
     kind = F.when(review & F.col("has_value"), "confirmer").otherwise("saisir")
     priority = F.when(essential(F.col("key")), CONFIRM_ESSENTIAL).otherwise(OTHER)
@@ -37,6 +42,9 @@ def image_questions(images: DataFrame) -> DataFrame:
 
 
 def alert_questions(alerts: DataFrame) -> DataFrame:
+    """What alerts ask. That a page wasn't recognised (``message``, if there is one, says so) is asked with its photo already."""
+    if "message" in alerts.columns:
+        alerts = alerts.where(~F.coalesce(F.col("message").contains("page non reconnue"), F.lit(False)))
     priority = F.when(F.col("rule") == "ECHEC_TRAITEMENT", RETAKE).otherwise(COHERENCE)
     kind = F.when(F.col("rule") == "ECHEC_TRAITEMENT", "saisir").otherwise("coherence")
     return alerts.select("dossier_id", priority.alias("priority"), kind.alias("kind"), "page_type", "key", "seq")
@@ -85,10 +93,10 @@ def without_settled(questions: DataFrame, validated: DataFrame, kept_pages: Data
 
 
 def record_state(dossiers: DataFrame, fields: DataFrame, alerts: DataFrame, questions: DataFrame) -> DataFrame:
-    """A_REVISER if any field is in review, or any alert or question is open; else VALIDE."""
+    """A_REVISER if any field is in review, or any alert or question is open; else TRAITE_IA: only the worker validates."""
     open_ids = (
         fields.where(F.col("status").isin(TO_REVIEW, ILLEGIBLE)).select("dossier_id").unionByName(alerts.select("dossier_id")).unionByName(questions.select("dossier_id"))
     ).distinct()
     return dossiers.join(open_ids.withColumn("_open", F.lit(True)), "dossier_id", "left").select(
-        "dossier_id", F.when(F.col("_open"), TO_REVIEW).otherwise("VALIDE").alias("state")
+        "dossier_id", F.when(F.col("_open"), TO_REVIEW).otherwise("TRAITE_IA").alias("state")
     )

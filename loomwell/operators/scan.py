@@ -60,7 +60,11 @@ class Running:
 
 def quantile_bucket(rows: DataFrame, order: str, buckets: int = BUCKETS) -> Column:
     """A column that cuts rows at quantiles of ``order`` (a number, date or timestamp); equal values share a bucket."""
-    number = F.col(order).cast("double") if dict(rows.dtypes)[order] != "date" else F.unix_date(order).cast("double")
+    kind, value = dict(rows.dtypes)[order], F.col(order)
+    if kind == "timestamp_ntz":  # in seconds by the clock, whatever the session's zone
+        number = (F.unix_date(value.cast("date")) * 86_400.0) + F.hour(value) * 3_600 + F.minute(value) * 60 + F.second(value)
+    else:
+        number = (F.unix_date(value) if kind == "date" else value).cast("double")
     cuts = rows.agg(F.percentile_approx(number, [k / buckets for k in range(1, buckets)], 10_000).alias("c")).first()["c"] or []
     cut = sorted(set(cuts))
     return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cut)), lambda c: c < number)), F.lit(0)) if cut else F.lit(0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import parse, text
-from loomwell.operators import assembly, evaluate, export, freeform, layout, lifecycle, linkage, merge, model, questions, rules
+from loomwell.operators import alignment, assembly, boxes, evaluate, export, freeform, layout, lifecycle, linkage, merge, model, questions, rules, scan
 from loomwell.plans.bindings import FIELDS_SQL, READINGS_SQL, SLOTS, STATES_SQL, k_of, readings, record_fields, states
 from loomwell.plans.registry import query
 from loomwell.sources.tables import table
@@ -120,7 +120,7 @@ f AS (
 SELECT dossier, page_type, key, seq, status, confidence, value, conflict FROM f QUALIFY row_number() OVER (PARTITION BY dossier, page_type, key ORDER BY n DESC) = 1"""
 )
 def best_reading_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.fold_readings(readings(spark, sf_dir), ["dossier", "page_type", "key"])
+    return merge.fold_all(readings(spark, sf_dir), ["dossier", "page_type", "key"])
 
 
 _CELLS = f"""{READINGS_SQL}, cells AS (
@@ -651,3 +651,110 @@ def token_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = turns.select(F.col("conv_id").alias("call_id"), F.col("turn").alias("seq"), "text", (-(F.col("turn") % 5) / 10).alias("logprob"))
     answers = turns.select(F.col("conv_id").alias("call_id")).distinct().select("call_id", F.lit(1).alias("answer_id"), F.lit(100).alias("begin"), F.lit(500).alias("end"))
     return confidence(answers, tokens).select(F.col("call_id").alias("conv_id"), F.round("confidence", 6).alias("confidence"))
+
+
+# ---------------------------------------------------------------- geometry over whole tables
+
+_BOXES = """b AS (SELECT p_partkey AS id, p_brand AS "by", CAST(p_partkey * 37 % 499 AS DOUBLE) * 4 AS x0, CAST(p_partkey * 101 % 503 AS DOUBLE) * 4 AS y0,
+  CAST(p_size AS DOUBLE) AS w, CAST(p_partkey % 50 AS DOUBLE) AS h FROM part),
+e AS (SELECT id, "by", x0, y0, x0 + 3 * w AS x1, y0 + 3 * h AS y1 FROM b)"""
+
+
+def _part_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    x0, y0 = (F.col("p_partkey") * 37 % 499).cast("double") * 4, (F.col("p_partkey") * 101 % 503).cast("double") * 4
+    wide, high = F.col("p_size").cast("double") * 3, (F.col("p_partkey") % 50).cast("double") * 3
+    return p.select(F.col("p_brand").alias("by"), F.col("p_partkey").alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + wide).alias("x1"), (y0 + high).alias("y1"))
+
+
+@query(
+    f"""WITH RECURSIVE {_BOXES}, t AS (SELECT a."by", a.id AS a, b.id AS b FROM e a JOIN e b ON a."by" = b."by" AND a.x0 - 2 <= b.x1 AND b.x0 - 2 <= a.x1 AND a.y0 - 2 <= b.y1 AND b.y0 - 2 <= a.y1),
+r AS (SELECT "by", a AS id, b AS seen FROM t UNION SELECT r."by", r.id, t.b FROM r JOIN t ON t."by" = r."by" AND t.a = r.seen)
+SELECT "by", id, min(seen) AS component FROM r GROUP BY "by", id"""
+)
+def box_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of parts that touch over any chain, per brand."""
+    return boxes.touching_components(_part_boxes(spark, sf_dir), 2.0)
+
+
+@query(
+    f"""WITH RECURSIVE {_BOXES}, r AS (
+  SELECT 0 AS step, id, "by", x0, y0, x1, y1 FROM e
+  UNION ALL
+  SELECT a.step + 1, a.id, a."by", min(b.x0), min(b.y0), max(b.x1), max(b.y1)
+  FROM r a JOIN r b ON a."by" = b."by" AND a.x0 - 1 <= b.x1 AND b.x0 - 1 <= a.x1 AND a.y0 - 1 <= b.y1 AND b.y0 - 1 <= a.y1
+  WHERE a.step < 40 GROUP BY a.step, a.id, a."by")
+SELECT "by", min(id) AS id, x0, y0, x1, y1, count(*) AS n FROM r WHERE step = 40 GROUP BY "by", x0, y0, x1, y1"""
+)
+def box_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of parts, per brand, merged until none of the merged ones touch."""
+    return boxes.merged_boxes(_part_boxes(spark, sf_dir), 1.0)
+
+
+_MATCH = """m AS (SELECT c_nationkey AS image_id, c_custkey AS k, CAST(c_custkey * 7919 % 1240 AS DOUBLE) AS x, CAST(c_custkey * 104729 % 1754 AS DOUBLE) AS y, c_custkey * 31 % 10 < 4 AS wrong FROM customer)"""
+
+
+@query(
+    f"""WITH {_MATCH}, p AS (SELECT *, 2e-5 * x - 3e-5 * y + 1 AS w FROM m),
+q AS (SELECT *, (0.62 * x + 0.05 * y + 140) / w AS u, (-0.04 * x + 0.6 * y + 160 + image_id) / w AS v FROM p)
+SELECT image_id, count(*) AS n, count(*) FILTER (NOT wrong OR sqrt(pow(CAST(k * 48271 % 1200 AS DOUBLE) - u, 2) + pow(CAST(k * 16807 % 1600 AS DOUBLE) - v, 2)) <= 6) AS inliers,
+  true AS plausible, true AS recovered FROM q GROUP BY image_id HAVING count(*) >= 30"""
+)
+def homography_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A warp per nation, over its customers as points of which four in ten are matched wrongly: found again within four pixels."""
+    k, image = F.col("c_custkey"), F.col("c_nationkey")
+    x, y = (k * 7919 % 1240).cast("double"), (k * 104729 % 1754).cast("double")
+    wrong = k * 31 % 10 < 4
+    true = F.array(*[F.lit(v) for v in (0.62, 0.05, 140.0, -0.04, 0.6)], 160.0 + image, *[F.lit(v) for v in (2e-5, -3e-5, 1.0)])
+    rows = table(spark, sf_dir, "customer").select(image.alias("image_id"), x.alias("x"), y.alias("y"), wrong.alias("wrong"), true.alias("true"), k.alias("k"))
+    u, v = alignment.projected(F.col("true"), F.col("x"), F.col("y"))
+    matches = rows.select("image_id", "x", "y", F.when(F.col("wrong"), F.col("k") * 48271 % 1200).otherwise(u).alias("u"), F.when(F.col("wrong"), F.col("k") * 16807 % 1600).otherwise(v).alias("v"))
+    fits = alignment.fit_homographies(matches, ["image_id"]).where("n >= 30")
+    met = fits.join(rows.groupBy("image_id").agg(F.first("true").alias("true")), "image_id")
+    size = [F.lit(v) for v in (1240.0, 1754.0)]
+    off = []
+    for cx, cy in ((0.0, 0.0), (1240.0, 0.0), (1240.0, 1754.0), (0.0, 1754.0)):
+        (a, b), (c, d) = alignment.projected(F.col("h"), F.lit(cx), F.lit(cy)), alignment.projected(F.col("true"), F.lit(cx), F.lit(cy))
+        off.append(F.sqrt((a - c) ** 2 + (b - d) ** 2))
+    near = F.coalesce(F.greatest(*off) < 4, F.lit(False))
+    return met.select("image_id", "n", "inliers", alignment.plausible(F.col("h"), *size, F.lit(1200.0), F.lit(1600.0)).alias("plausible"), near.alias("recovered"))
+
+
+_ALIGNED = """s AS (SELECT p_size AS image_id, p_brand AS page_type, p_partkey AS anchor, (p_partkey * 13 % 100) / 100.0 AS score, p_partkey % 3 <> 0 AS visible FROM part),
+a AS (SELECT image_id, page_type, CAST(sum(p) AS BIGINT) AS inliers, count(*) + 5 AS total, count(*) FILTER (visible) AS vis, count(*) FILTER (visible AND score >= 0.55) AS found
+  FROM (SELECT *, anchor % 7 AS p FROM s) GROUP BY image_id, page_type)"""
+
+
+@query(
+    f"""WITH {_ALIGNED},
+t AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY inliers DESC, page_type) AS n FROM a QUALIFY n = 1 OR n <= 3 AND inliers > 0),
+c AS (SELECT *, found / greatest(1, total) + 0.5 * found / greatest(1, vis) AS share, found >= 2 AS ok FROM t),
+r AS (SELECT *, CASE WHEN ok THEN share ELSE share / 10 - 1 END AS sc FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY sc DESC, page_type) AS r FROM r),
+b AS (SELECT image_id, max(page_type) FILTER (r = 1) AS page_type, max(sc) FILTER (r = 1) AS s1, max(sc) FILTER (r = 2) AS s2 FROM o GROUP BY image_id)
+SELECT image_id, page_type, round(CASE WHEN s2 IS NULL THEN 1.0 ELSE greatest(0.0, least(1.0, (s1 - s2) / 0.1)) END, 6) AS certainty, false AS twins FROM b"""
+)
+def page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of parts as photos, brands as page types whose anchors parts are."""
+    visible, score = F.col("p_partkey") % 3 != 0, F.col("p_partkey") * 13 % 100 / 100
+    s = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("image_id"), F.col("p_brand").alias("page_type"), F.col("p_partkey").alias("anchor"), score.alias("score"), visible.alias("visible"))
+    found = F.count_if(F.col("visible") & (F.col("score") >= alignment.LIMITS.anchor_score))
+    aligned = s.groupBy("image_id", "page_type").agg(F.sum(F.col("anchor") % 7).alias("inliers"), (F.count(F.lit(1)) + 5).alias("anchors_total"), F.count_if("visible").alias("anchors_visible"), found.alias("anchors_found"))
+    done = alignment.classify_pages(aligned.withColumn("ok", F.col("anchors_found") >= 2), s.select("page_type", "anchor").distinct(), s.select("image_id", "page_type", "anchor", "score"))
+    return done.select(F.col("image_id").cast("int").alias("image_id"), "page_type", F.round("certainty", 6).alias("certainty"), "twins")
+
+
+@query(
+    """WITH e AS (SELECT event_type AS k, ts, event_id, value, CASE WHEN event_id % 3 <> 0 THEN user_id END AS u FROM events)
+SELECT k, event_id, round(sum(CAST(value AS DECIMAL(18, 6))) OVER w, 3)::DOUBLE AS total, max(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top_before,
+  last_value(u IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_user
+FROM e WINDOW w AS (PARTITION BY k ORDER BY ts, event_id)"""
+)
+def running_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix scans over event types, each of which holds a large part of all events and is cut into buckets."""
+    e = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("k"), "ts", "event_id", F.col("value").cast("decimal(18,6)").alias("amount"), "value", F.when(F.col("event_id") % 3 != 0, F.col("user_id")).alias("u")
+    )
+    values = [scan.Running("total", "amount", "sum"), scan.Running("top_before", "value", "max", exclusive=True), scan.Running("last_user", "u", "last", skip_nulls=True)]
+    done = scan.running(e, ["k"], ["ts", "event_id"], values, hot=100)
+    return done.select("k", "event_id", F.round("total", 3).cast("double").alias("total"), "top_before", "last_user")

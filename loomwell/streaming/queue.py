@@ -11,10 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loomwell.operators.lifecycle import MOST_TRIES
+from loomwell.operators.lifecycle import MOST_TRIES, check
 from loomwell.operators.merge import newest
 
 
+#: Where a person's save leads next, from where a record stands.
+TO_SAVED = {
+    "EN_ATTENTE_IA": "REVISION_MANUELLE_REQUISE", "ECHEC_TRAITEMENT": "REVISION_MANUELLE_REQUISE", "REVISION_MANUELLE_REQUISE": "VALIDE",
+    "TRAITE_IA": "VALIDE", "A_REVISER": "VALIDE", "VALIDE": "PATIENTE_LIEE", "PATIENTE_LIEE": "ENREGISTRE",
+}
+
+
+def to_saved(at: str) -> list[str]:
+    """The states that a save leads through."""
+    path = []
+    while at in TO_SAVED:
+        at = TO_SAVED[at]
+        path.append(at)
+    return path
+
+
 class UpsertSink:
     """A table of the newest row per key, written by ``foreachBatch``.
 
@@ -96,10 +112,11 @@ def first_seen(stream: DataFrame, key: str, watermark: str | None = None, time:
 def work(stream: DataFrame, most_tries: int = MOST_TRIES) -> DataFrame:
     """(rec_id, state, tries) after each batch of outcomes (rec_id, seq, online, ok; maybe outages).
 
-    Outcomes count in order of seq. Offline ones change nothing. A failure goes back to the
+    Outcomes count in order of seq. ``online`` is the network at the start of a tick: offline, nothing begins. Being offline at its end is an outage. A failure goes back to the
     queue until the tries are used up; then a person is asked. ``outages`` counts the outages during the
     work: with one, work that was finished locally has failed all the same. After a person's ``saved``
-    outcome the sync leg goes on: synced if it is ok, else saved again to be tried once more.
+    outcome the sync leg goes on: synced if it is ok, else failed until the next outcome, which finds it saved again. Every step is
+    checked against the table of allowed transitions. :mod:`loomwell.streaming.worker` has leases and timed retries.
     """
     counted, legs = "outages" in stream.columns, "saved" in stream.columns
 
@@ -110,19 +127,16 @@ def work(stream: DataFrame, most_tries: int = MOST_TRIES) -> DataFrame:
             ok = row.ok and not (counted and row.outages)
             if not row.online:
                 continue
-            if legs and row.saved and at not in ("SYNCHRONISE", "SYNCHRO_ECHOUEE"):
-                at = "ENREGISTRE"
-                continue
-            if at in ("ENREGISTRE", "SYNCHRO_ECHOUEE"):
-                at = "SYNCHRONISE" if ok else "SYNCHRO_ECHOUEE"
-                continue
-            if at not in ("EN_ATTENTE_IA", "ECHEC_TRAITEMENT"):
-                continue
-            if ok:
-                at = "TRAITE_IA"
-            else:
-                tries += 1
-                at = "REVISION_MANUELLE_REQUISE" if tries >= most_tries else "ECHEC_TRAITEMENT"
+            path = []
+            if legs and row.saved:
+                path = to_saved(at)
+            elif at in ("ENREGISTRE", "ECHEC_SYNC"):
+                path = ["ENREGISTRE"] * (at == "ECHEC_SYNC") + ["SYNCHRONISE" if ok else "ECHEC_SYNC"]
+            elif at in ("EN_ATTENTE_IA", "ECHEC_TRAITEMENT"):
+                tries += not ok
+                path = ["EN_ATTENTE_IA"] * (at == "ECHEC_TRAITEMENT") + (["TRAITE_IA"] if ok else ["ECHEC_TRAITEMENT"] + ["REVISION_MANUELLE_REQUISE"] * (tries >= most_tries))
+            for to in path:
+                at = check(at, to)
         state.update((tries, at))
         yield pd.DataFrame({"rec_id": [key[0]], "state": [at], "tries": [tries]})
 

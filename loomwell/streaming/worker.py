@@ -26,11 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomwell.operators.lifecycle import MOST_TRIES, check
+from loomwell.streaming.queue import to_saved
 
 EVENTS = "rec_id long, seq long, kind string, ok boolean, outages int, questions int"
 OUT = "rec_id long, n long, `from` string, `to` string, reason string, tries int"
-#: What a person's save leads through, from where the record stands.
-TO_SAVED = {"REVISION_MANUELLE_REQUISE": "VALIDE", "A_REVISER": "VALIDE", "VALIDE": "PATIENTE_LIEE", "PATIENTE_LIEE": "ENREGISTRE"}
 ENDED = ("SYNCHRONISE", "ANNULE")
 
 
@@ -82,10 +81,8 @@ def react(record: Record, kind: str, ok: bool, outages: int, questions: int, mos
         done = record.move("TRAITE_IA", "read")
         return [done, record.move("A_REVISER", f"{questions} questions") if questions else record.move("VALIDE", "nothing to ask")]
     elif kind == "save":
-        out = []
-        while record.at in TO_SAVED:
-            out.append(record.move(TO_SAVED[record.at], "saved"))
-        return out
+        record.working = False
+        return [record.move(to, "saved") for to in to_saved(record.at)]
     elif kind == "sent" and record.at == "ENREGISTRE":
         return [record.move("SYNCHRONISE", "received") if good else record.move("ECHEC_SYNC", "outage during delivery" if outages else "not received")]
     return []

@@ -106,7 +106,7 @@ def test_questions_of_free_pages_and_state(spark):
     status = spark.createDataFrame([("d", "CONNU"), ("e", "CONNU")], "dossier_id string, status string")
     nothing = spark.createDataFrame([], "dossier_id string")
     states = questions.record_state(status.select("dossier_id"), status, nothing, every.where("dossier_id = 'd'"))
-    assert {(r.dossier_id, r.state) for r in states.collect()} == {("d", "A_REVISER"), ("e", "VALIDE")}
+    assert {(r.dossier_id, r.state) for r in states.collect()} == {("d", "A_REVISER"), ("e", "TRAITE_IA")}
     assert model.review_list(status).count() == 0
     secret = spark.createDataFrame([("p", "nom", True), ("p", "age", False)], "page_type string, key string, sensitive boolean")
     assert [r.key for r in model.without_sensitive(secret.select("page_type", "key"), secret).collect()] == ["age"]
@@ -156,19 +156,65 @@ def test_manual_entry_takes_marks_and_names_itself(spark):
     assert [r[0] for r in pairs.select(manual.encoded_answer(F.col("s"), F.col("t"))).collect()] == ["<illisible>", "", "?", "x"]
 
 
-def test_photo_quality():
+def photo(spark, grey, quad=None):
+    shape = "id long, pixels binary, photo_width int, quad array<array<double>>"
+    metrics = imaging.measure_photos(spark.createDataFrame([(1, bytearray(grey.tobytes()), grey.shape[1], quad)], shape))
+    return imaging.photo_verdicts(metrics).first()
+
+
+def test_photo_quality(spark):
     r = np.random.default_rng(1)
     sharp = np.full((900, 900), 200, np.uint8)
     for y, x in [(y, x) for y in range(20, 860, 105) for x in range(20, 860, 105)]:
         sharp[y : y + 40, x : x + 40] = r.integers(20, 60)
     soft = imaging._smoothed(sharp.astype(float), 4.0).astype(np.uint8)
     assert imaging.blur_radius(sharp) < 1.2 < 3 < imaging.blur_radius(soft)
-    good, bad = imaging.quality_verdict(sharp), imaging.quality_verdict(soft)
-    assert good["accept"] and good["score"] > bad["score"] and bad["reasons"] == [imaging.REASONS["blur"]]
-    assert not imaging.quality_verdict(np.full((900, 900), 20, np.uint8))["accept"]
+    good, bad = photo(spark, sharp), photo(spark, soft)
+    assert good.accept and good.score > bad.score and bad.reasons == [imaging.REASONS["blur"]]
+    assert imaging.REASONS["dark"] in photo(spark, np.full((900, 900), 20, np.uint8)).reasons
+    part = sharp.copy()
+    part[600:] = imaging._smoothed(sharp[600:].astype(float), 4.0).astype(np.uint8)
+    assert photo(spark, part).reasons == [imaging.REASONS["tiles"]]
+    flash = sharp.copy()
+    flash[0:150, 60:210] = 255
+    assert photo(spark, flash).reasons == [imaging.REASONS["glare"]]
+    speckled = sharp.copy()
+    speckled[::9, ::9] = 255
+    assert imaging.REASONS["glare"] not in photo(spark, speckled).reasons
+    near = photo(spark, sharp, [[2.0, 2.0], [880.0, 10.0], [880.0, 880.0], [10.0, 880.0]])
+    assert near.reasons == [imaging.REASONS["border"]] and near.border
+    small = photo(spark, sharp, [[100.0, 100.0], [500.0, 100.0], [500.0, 700.0], [100.0, 700.0]])
+    assert imaging.REASONS["small"] in small.reasons and small.width == 400
     assert imaging.visible_share(np.array([[1, 0], [1, 1]])) == 0.75 and imaging.visible_share(np.zeros((0, 0))) == 0
 
 
+@pytest.mark.parametrize("known", [1.0, 2.0, 3.0])
+def test_blur_is_measured_in_pixels(known):
+    edge = np.full((300, 300), 210.0)
+    edge[:, 100:200] = 40
+    edge[120:180] = 40
+    assert imaging.blur_radius(imaging._smoothed(edge, known)) == pytest.approx(known, rel=0.15)
+
+
+def test_ink_is_what_the_blank_form_lacks(spark):
+    blank = np.full((60, 120), 225, np.uint8)
+    blank[50:52, 8:112] = 60  # a printed line
+    empty = np.roll(blank, 2, axis=0)  # off by two pixels
+    written = empty.copy()
+    written[25:28, 30:80] = 50
+    shadow = (empty * np.linspace(0.5, 1, 120)[None, :]).astype(np.uint8)
+    seen = np.ones_like(blank)
+    seen[:, 60:] = 0
+    cuts = [(1, written, None), (2, empty, None), (3, shadow, None), (4, written, seen), (5, None, None), (6, written[:20], None)]
+    raw = lambda a: None if a is None else bytearray(np.ascontiguousarray(a).tobytes())
+    rows = spark.createDataFrame([(k, 120, raw(a), raw(blank), raw(m)) for k, a, m in cuts], "id long, width int, pixels binary, blank binary, seen binary")
+    out = {r.id: r for r in imaging.measure_zones(rows).collect()}
+    assert out[1].ink == pytest.approx(3 * 50 / (42 * 102)) and out[2].ink == out[3].ink == 0
+    assert out[4].ink == pytest.approx(3 * 30 / (42 * 102)) and out[4].visible == 0.5 and out[1].visible == 1
+    assert out[5].ink == out[6].ink == 0 and out[6].contrast is None
+    assert imaging.printed_contrast(blank, blank) == 165 and imaging.printed_contrast(np.full_like(blank, 225), blank) == 0
+
+
 def test_sources(spark, tmp_path):
     for name in ("a.jpg", "a.png", "b.jpeg"):
         (tmp_path / name).write_bytes(name.encode())
