@@ -41,11 +41,11 @@ from loomwell.llm.shared import forget, materialise, small_batches, text_or_empt
 #: Stripes of B ids. A block of counts has (size of B / STRIPES) rows and as many columns as A has ids.
 STRIPES = 128
 #: Characters of a chunk, about; a longer text is a chunk of its own.
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 4 << 20
 #: Chunks whose requests to one stripe meet in one task.
 CHUNKS_A_SHARE = 512
 #: Bytes of units that a worker remembers at most.
-MOST = 96 << 20
+MOST = 64 << 20
 LONGEST = 64
 #: Characters handed to a tokenizer at a time.
 CHARS_AT_ONCE = 1 << 20
@@ -80,6 +80,7 @@ class Tokenizers:
             self.a_bytes[k] = bytes(values[c] for c in token) if all(c in values for c in token) else token.encode()
         self.b_bytes = [self._piece(k) for k in range(self.b.get_piece_size())]
         self.mark = self.b.piece_to_id("▁")
+        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
 
     def _piece(self, k: int) -> bytes:
         piece = self.b.id_to_piece(k)
@@ -93,14 +94,16 @@ class Tokenizers:
         # B puts a space before everything; before a line feed it becomes a token of its own, which goes
         of_a = self.a.encode_batch_fast(texts, add_special_tokens=False)
         of_b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
-        for i, text, a, b in zip(good, texts, of_a, of_b, strict=True):
-            if text[0] == "\n":
-                if b[:1] != [self.mark]:
-                    continue
-                b = b[1:]
-            want = text.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a.ids)) == want == b"".join(map(self.b_bytes.__getitem__, b)):
-                out[i] = a.ids, b
+        pairs = [(a.ids, b if text[0] == " " else b[1:]) for text, a, b in zip(texts, of_a, of_b, strict=True)]
+        marked = all(text[0] == " " or b[:1] == [self.mark] for text, b in zip(texts, of_b, strict=True))
+        want = [text.encode() for text in texts]
+        # bytes that agree as a whole agree unit by unit if their lengths do
+        same = marked and all(sum(map(sizes.__getitem__, ids)) == len(w) for pair, w in zip(pairs, want, strict=True) for sizes, ids in zip((self.a_sizes, self.b_sizes), pair))
+        if not same or not all(b"".join([table[x] for pair in pairs for x in pair[k]]) == b"".join(want) for k, table in enumerate((self.a_bytes, self.b_bytes))):
+            same = False
+        for i, text, pair, w, b in zip(good, texts, pairs, want, of_b, strict=True):
+            if same or ((text[0] == " " or b[:1] == [self.mark]) and b"".join(map(self.a_bytes.__getitem__, pair[0])) == w == b"".join(map(self.b_bytes.__getitem__, pair[1]))):
+                out[i] = pair
         return out
 
 
@@ -112,26 +115,34 @@ def _encodable(text: str) -> bool:
     return True
 
 
-def aligned(a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int]) -> tuple[str, int, list[int]]:
-    """Groups as text, their number, and the links as codes (B id in the upper half of 32 bits, A id in the lower)."""
+def aligned(a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int], names: list[str]) -> tuple[str, int, list[int]]:
+    """Groups as text, their number, and the links as codes (B id in the upper half of 32 bits, A id in the lower).
+
+    ``names``: decimal forms of ids. Sizes are by id.
+    """
     codes, groups = [], []
     i = j = 0
-    a_from = b_from = 0
-    a_end, b_end = a_sizes[0], b_sizes[0]
+    mine, others = names[a[0]], names[b[0]]
+    a_end, b_end = a_sizes[a[0]], b_sizes[b[0]]
     while True:
         codes.append(b[j] << 16 | a[i])
-        at = min(a_end, b_end)
         if a_end == b_end:
-            groups.append(",".join(map(str, a[a_from : i + 1])) + "|" + ",".join(map(str, b[b_from : j + 1])))
-            a_from, b_from = i + 1, j + 1
-            if a_from == len(a):
+            groups.append(mine + "|" + others)
+            i += 1
+            j += 1
+            if i == len(a):
                 return ";".join(groups), len(groups), codes
-        if a_end == at:
+            mine, others = names[a[i]], names[b[j]]
+            a_end += a_sizes[a[i]]
+            b_end += b_sizes[b[j]]
+        elif a_end < b_end:
             i += 1
-            a_end += a_sizes[i]
-        if b_end == at:
+            mine += "," + names[a[i]]
+            a_end += a_sizes[a[i]]
+        else:
             j += 1
-            b_end += b_sizes[j]
+            others += "," + names[b[j]]
+            b_end += b_sizes[b[j]]
 
 
 #: A unit: groups, their number, numbers of A and B tokens, links.
@@ -145,8 +156,7 @@ class Units:
         self.tokenizers = Tokenizers(a_path, b_path)
         if len(self.tokenizers.a_bytes) > 1 << 16 or len(self.tokenizers.b_bytes) > 1 << 16:
             raise ValueError("ids of both tokenizers must fit in 16 bits")
-        self.a_sizes = [len(t) for t in self.tokenizers.a_bytes]
-        self.b_sizes = [len(t) for t in self.tokenizers.b_bytes]
+        self.names = [str(k) for k in range(max(len(self.tokenizers.a_bytes), len(self.tokenizers.b_bytes)))]
         self.known: dict[str, Unit | None] = {}
         self.bytes = 0
 
@@ -154,7 +164,7 @@ class Units:
         if ids is None:
             return None
         a, b = ids
-        groups, n, codes = aligned(a, [self.a_sizes[x] for x in a], b, [self.b_sizes[x] for x in b])
+        groups, n, codes = aligned(a, self.tokenizers.a_sizes, b, self.tokenizers.b_sizes, self.names)
         return groups.encode(), n, len(a), len(b), array("I", codes).tobytes()
 
     def learn(self, units: list[str]) -> dict[str, Unit | None]:
@@ -296,6 +306,7 @@ def _count(stripes: int, width: int, rows: int):
         return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("alignment counts", dict)  # lets go of the units that the worker has remembered
         block = np.zeros(rows * width, dtype=np.int64)
         stripe = None
         for batch in batches:
@@ -313,6 +324,7 @@ def _count(stripes: int, width: int, rows: int):
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per stripe and share: counts first, then the requests of chunks, each of which gets the counts of its codes."""
+    held("alignment counts", dict)
     for batch in batches:
         for k, kind in enumerate(batch.column(2).to_pylist()):
             asked = _values(batch, "codes", k).view(np.uint32)
@@ -343,6 +355,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [own["doc_ids"], *[own[c] for c in ("n_a", "n_b", "n_groups", "n_links")], *sums, own["digests"]]
         return pa.RecordBatch.from_arrays(arrays, [f.split(" ")[0] for f in OUT.split(", ")])
 
+    held("alignment counts", dict)
     own = None
     for batch in batches:
         for k, kind in enumerate(batch.column(1).to_pylist()):
