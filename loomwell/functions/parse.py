@@ -29,9 +29,9 @@ def _decimal(text: Column) -> Column:
     return F.translate(text, ",", ".").try_cast("double")
 
 
-def marker(column: Column) -> Column:
+def marker(column: Column, tidied: bool = False) -> Column:
     """vide, inconnu, or null for a value; null and blank texts are vide."""
-    text = tidy(column)
+    text = column if tidied else tidy(column)
     low = F.lower(text)
     return (
         F.when(column.isNull() | (text == ""), "vide")
@@ -56,9 +56,9 @@ def parse_number(column: Column) -> Column:
     return _decimal(F.nullif(F.regexp_extract(column, NUMBER, 0), F.lit("")))
 
 
-def parse_pressure(column: Column) -> Column:
+def parse_pressure(column: Column, tidied: bool = False) -> Column:
     """struct(sys, dia, format_ok): SYS/DIA in mmHg, or cmHg times ten; half-even rounding."""
-    text = tidy(column)
+    text = column if tidied else tidy(column)
     shape = F.when(text.rlike(f"^{_MM}$"), F.lit(1)).when(text.rlike(f"^{_CM}$"), F.lit(2))
     parts = [F.when(shape == 1, F.regexp_extract(text, f"^{_MM}$", i)).when(shape == 2, F.regexp_extract(text, f"^{_CM}$", i)) for i in (1, 2)]
     high, low = (_decimal(p) for p in parts)
@@ -68,18 +68,18 @@ def parse_pressure(column: Column) -> Column:
     return F.struct(high.alias("sys"), low.alias("dia"), ok.alias("format_ok"))
 
 
-def parse_int(column: Column) -> Column:
+def parse_int(column: Column, tidied: bool = False) -> Column:
     """struct(value, format_ok): digits only, or a number with a usual abbreviation (21 ans, 1G, 2e)."""
-    text = tidy(column)
+    text = column if tidied else tidy(column)
     number = parse_number(text)
     plain = F.regexp_replace(text, " ", "").rlike("^[0-9]+$")
     short = F.lower(text).rlike(_COUNT)
     return F.struct(number.try_cast("long").alias("value"), F.coalesce(plain | short, F.lit(False)).alias("format_ok"))
 
 
-def parse_quantity(column: Column) -> Column:
+def parse_quantity(column: Column, tidied: bool = False) -> Column:
     """struct(value, unit, format_ok): first number and unit; weeks and days become weeks."""
-    text = tidy(column)
+    text = column if tidied else tidy(column)
     low = F.lower(text)
     in_weeks = low.rlike(_WEEKS)
     w, d = (F.regexp_extract(low, _WEEKS, i).try_cast("double") for i in (1, 2))
@@ -97,14 +97,16 @@ def parse_quantity(column: Column) -> Column:
     )
 
 
-def normalised(column: Column, kind: Column, vocabulary: Column | None = None) -> Column:
+def normalised(column: Column, kind: Column, vocabulary: Column | None = None, tidied: bool = False) -> Column:
     """struct(marker, b, d, n, unit, sys, dia, s, format_ok) by field type; one branch is set.
 
+    ``tidied``: the column is tidy already, so that the plan doesn't repeat that for every parser.
+
     ``vocabulary``: the matched canonical entry for texts, if a match was made.
     """
-    mark = marker(column)
-    text = tidy(column)
-    date, number, pressure, amount = parse_date(text), parse_int(column), parse_pressure(column), parse_quantity(column)
+    text = column if tidied else tidy(column)
+    mark = marker(column, tidied)
+    date, number, pressure, amount = parse_date(text), parse_int(text, True), parse_pressure(text, True), parse_quantity(text, True)
     value = mark.isNull()
     is_kind = {k: value & (kind == k) for k in ("date", "int", "bp", "quantity", "text")}
     canonical = text if vocabulary is None else F.coalesce(vocabulary, text)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwell.functions.parse import normalised
+from loomwell.functions.text import tidy
 from loomwell.operators import fusion, questions, rules
 
 #: Rows of a template that are broadcast at most; a larger one is joined by a shuffle.
@@ -25,22 +26,26 @@ def assemble(template: DataFrame, zones: DataFrame, readings: DataFrame, second:
     """One row per zone that isn't sensitive: its reading, the second reader's, and the decision.
 
     ``zones``: image_id, dossier_id, page_type, key, visible, ink, contrast, align, quality, glare, box_ink. ``readings``:
-    image_id, key, state, text, conf. ``second``: image_id, key, text. A zone that was to be read and has no
+    image_id, key, state, text, conf, maybe contradictory (the reader's answers to one zone differ). ``second``: image_id, key, text. A zone that was to be read and has no
     reading lacked its reader. Readings are joined on (image_id, key), which a photo has once.
     """
     signals = zones_to_read(template, zones)
     signals = signals.withColumn("route", fusion.route(F.col("ink"), F.col("contrast") < fusion.Limits().contrast, F.col("glare"), F.col("visible")))
-    first = readings.select("image_id", "key", "state", "text", "conf", F.lit(True).alias("_got"))
+    contradictory = F.col("contradictory") if "contradictory" in readings.columns else F.lit(False)
+    first = readings.select("image_id", "key", "state", "text", "conf", F.lit(True).alias("_got"), contradictory.alias("_contradictory"))
     other = second.select("image_id", "key", F.col("text").alias("text2"))
     text_zones = signals.where("kind <> 'checkbox'").join(first, ["image_id", "key"], "left").join(other, ["image_id", "key"], "left")
     wanted = F.col("route") == "read"
     text_zones = (
         text_zones.withColumn("read", wanted & F.coalesce("_got", F.lit(False)))
         .withColumn("ai_down", wanted & F.col("_got").isNull())
-        .withColumn("contradictory", F.lit(False))
-        .withColumn("norm", normalised(F.when(F.col("state") == "vide", None).otherwise(F.col("text")), F.col("type")))
-        .withColumn("norm2", normalised(F.col("text2"), F.col("type")))
+        .withColumn("contradictory", F.coalesce("_contradictory", F.lit(False)))
     )
+    # generators keep tidy texts and normal forms whole: the optimiser would repeat their parsers for every use of every field
+    said = F.struct(tidy(F.when(F.col("state") != "vide", F.col("text")).when(F.col("state").isNull(), F.col("text"))).alias("one"), tidy(F.col("text2")).alias("two"))
+    text_zones = text_zones.select("*", F.explode(F.array(said)).alias("_said"))
+    forms = F.struct(*[normalised(F.col(f"_said.{c}"), F.col("type"), tidied=True).alias(n) for c, n in (("one", "norm"), ("two", "norm2"))])
+    text_zones = text_zones.select("*", F.explode(F.array(forms)).alias("_forms")).select("*", "_forms.norm", "_forms.norm2").drop("_said", "_forms")
     odd = rules.plausibility(F.col("page_type"), F.col("key"), F.col("norm2.n"), F.col("norm2.unit"))
     text_zones = fusion.decide_text(text_zones.withColumn("odd2", odd.isNotNull()))
     box = fusion.checkbox_confidence(F.col("box_ink"))

@@ -100,17 +100,18 @@ def decide_text(zones: DataFrame, limits: Limits = Limits()) -> DataFrame:
     mark = F.when(c("state") == "vide", "vide").otherwise(c("norm.marker"))
 
     no_ink, odd_script, odd_format, glared = ink < lm.ink_empty, has_unexpected_script("text"), ~c("norm.format_ok"), glare > lm.glare
-    conf = given
-    conf = F.when(F.coalesce(c("contradictory"), F.lit(False)), conf * lm.contradictory).otherwise(conf)
-    conf = F.when(no_ink, conf * lm.no_ink).otherwise(conf)
-    conf = F.when(odd_script, conf * lm.script).otherwise(conf)
-    conf = F.when(odd_format, conf * lm.format).otherwise(conf)
     second = c("text2").isNotNull() & (c("text2") != "") & c("norm2.format_ok") & ~F.coalesce(c("odd2"), F.lit(False))
-    agrees = same_value(c("norm"), c("norm2"))
-    conf = F.when(second & agrees, F.greatest(conf, F.lit(lm.agrees))).when(second, conf * lm.disagrees).otherwise(conf)
-    conf = F.when(glared, conf * lm.glared).otherwise(conf)
-    conf = conf * _leaves(lm.align_base, align) * _leaves(lm.quality_base, quality)
-    conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf))
+
+    def times(hit: Column, share: float) -> Column:
+        return F.when(hit, F.lit(share)).otherwise(F.lit(1.0))
+
+    # every signal is one factor, in order; so the confidence stands once in the plan, not twice per signal
+    conf = given * times(F.coalesce(c("contradictory"), F.lit(False)), lm.contradictory) * times(no_ink, lm.no_ink) * times(odd_script, lm.script) * times(odd_format, lm.format)
+    conf = F.greatest(conf * times(second & ~c("_agrees"), lm.disagrees), F.when(second & c("_agrees"), F.lit(lm.agrees)))
+    conf = conf * times(glared, lm.glared) * _leaves(lm.align_base, align) * _leaves(lm.quality_base, quality)
+    zones = zones.withColumn("_agrees", same_value(c("norm"), c("norm2")))
+    zones = zones.withColumn("_second", second).withColumn("_conf", F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)))
+    conf, agrees, second = c("_conf"), c("_agrees"), c("_second")
 
     def out(rule: str, status: str | Column, confidence: Column | float, reasons: Column | None = None) -> Column:
         status = F.lit(status) if isinstance(status, str) else status
@@ -143,11 +144,12 @@ def decide_text(zones: DataFrame, limits: Limits = Limits()) -> DataFrame:
         .when(mark == "vide", out("empty", NOT_GIVEN, given, empty_reasons))
         .otherwise(out("value", F.when(conf >= limits.known, KNOWN).otherwise(TO_REVIEW), conf, value_reasons))
     )
-    found = zones.withColumn("_decided", decided).select(*zones.columns, "_decided.*")
+    # one generated row per zone: the optimiser keeps the decision whole instead of repeating it for every field
+    found = zones.select("*", F.explode(F.array(decided)).alias("_decided")).select(*zones.columns, "_decided.*")
     # a value stands only where one was read; the second reader's agreement shows in the method
     value = F.when(F.col("rule") == "value", F.col("norm"))
     method = F.when((F.col("rule") == "value") & second & agrees, "vlm+second").otherwise("vlm")
-    return found.withColumn("value", value).withColumn("display", F.when(F.col("rule").isin("value", "illegible", "unknown", "empty"), F.coalesce("text", F.lit("")))).withColumn("method", method)
+    return found.withColumn("value", value).withColumn("display", F.when(F.col("rule").isin("value", "illegible", "unknown", "empty"), F.coalesce("text", F.lit("")))).withColumn("method", method).drop("_agrees", "_second", "_conf")
 
 
 def decide_checkbox(conf: Column, align: Column, visible: Column | None = None, limits: Limits = Limits()) -> Column:
