@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import parse, text
-from loomwell.operators import alignment, assembly, boxes, evaluate, export, freeform, layout, lifecycle, linkage, merge, model, questions, rules, scan
+from loomwell.operators import alignment, assembly, boxes, evaluate, export, freeform, fuzzy, layout, lifecycle, linkage, merge, model, questions, rules, scan
 from loomwell.plans.bindings import FIELDS_SQL, READINGS_SQL, SLOTS, STATES_SQL, k_of, readings, record_fields, states
 from loomwell.plans.registry import query
 from loomwell.sources.tables import table
@@ -758,3 +758,13 @@ def running_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = [scan.Running("total", "amount", "sum"), scan.Running("top_before", "value", "max", exclusive=True), scan.Running("last_user", "u", "last", skip_nulls=True)]
     done = scan.running(e, ["k"], ["ts", "event_id"], values, hot=100)
     return done.select("k", "event_id", F.round("total", 3).cast("double").alias("total"), "top_before", "last_user")
+
+
+@query(None)
+def label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label (names and types of parts, regions) most like each different word of all documents, by the weighted ratio."""
+    part, region = table(spark, sf_dir, "part"), table(spark, sf_dir, "region")
+    labels = part.select(F.col("p_name").alias("label")).union(part.select("p_type")).union(region.select("r_name"))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("text"))
+    found = fuzzy.best_labels(words, labels)
+    return found.select("text", "label", F.round("score", 6).alias("score"))
