@@ -3,12 +3,12 @@
 A weighted ratio of 80 or more leaves few edits, so texts and labels that reach it share pairs of neighbouring letters; the join on pairs, with
 the least count as a filter, loses nothing. What passes is scored exactly. Both sides are compared in their comparable form.
 
-Why that is sound. Every part of the ratio is an indel ratio of 80 or more: of both texts with their words in some order, or (from 88.9) of the
-shorter one and a window of the longer one. Let the shorter one have M characters in t words, so M - 1 - 2 (t - 1) pairs within
-words. A character taken from it breaks two pairs at most, one put into it one pair. A ratio of 80 lets half as many edits happen as
-characters stay, and takes no more than it puts in, so six tenths of M pairs are broken at most; a window breaks fewer. At least 0.4 M - 1 - 2 (t - 1) pairs
-stay. That is one or more from M = 5 t on, and for single words by cases from M = 3 on; shorter texts meet all labels
-that share a letter. Two texts of several words may also reach 80 by a word that they share whole: for them one pair is enough.
+Why that is sound. Every part of the ratio is an indel ratio: of both texts with their words in some order (80 or more), or, once the longer one is half as long again, of
+the shorter one and a window of the longer one that is no longer (88.9 or more). Let the shorter one have M characters in t words, so M - 1 - 2 (t - 1)
+pairs within words, the longer one n, and let L characters stay in order. A character taken from the shorter one breaks two pairs at most, one put into it one
+pair: 2 (M - L) + (n - L) together. With L >= 0.4 (M + n) at least 0.2 (M + n) - 1 - 2 (t - 1) pairs stay; with a window, 0.6 M - 1 - 2 (t - 1). That
+is one or more from M = 5 t on, and for single words by cases from M = 3 on; shorter texts meet all labels that share a letter. Beyond eight times the
+length no ratio reaches 80. Two texts of several words may also reach it by a word that they share whole: for them one pair is enough.
 """
 
 from __future__ import annotations
@@ -43,23 +43,24 @@ def _weak(form: Column) -> Column:
     return (F.length(form) < F.when(_words(form) == 1, 3).otherwise(5 * _words(form))) | F.exists(F.split(form, " "), lambda w: F.length(w) < 2)
 
 
-def _least_pairs(form: Column) -> Column:
-    return F.ceil(0.4 * F.length(form) - 1 - 2 * (_words(form) - 1) - 1e-9)
-
-
 def candidates(texts: DataFrame, labels: DataFrame) -> DataFrame:
     """(text_id, label_id) of all pairs that may reach a ratio of LEAST. ``texts``: text_id, form; ``labels``: label_id, form; forms are comparable ones."""
     few = labels.count() <= BROADCAST_LABELS
     near = lambda df: F.broadcast(df) if few else df
     form = F.col("form")
-    shape = [_weak(form).alias("weak"), F.length(form).alias("n"), _words(form).alias("words"), _least_pairs(form).alias("need")]
+    shape = [_weak(form).alias("weak"), F.length(form).alias("n"), _words(form).alias("words")]
     t = texts.select("text_id", "form", *shape)
-    lab = labels.select("label_id", "form", *[c.alias(f"l_{name}") for c, name in zip(shape, ("weak", "n", "words", "need"), strict=True)])
+    lab = labels.select("label_id", "form", *[c.alias(f"l_{name}") for c, name in zip(shape, ("weak", "n", "words"), strict=True)])
     one = F.count(F.lit(1))
-    mine = t.where("NOT weak").select("text_id", "n", "words", "need", F.explode(letter_pairs(form)).alias("pair")).groupBy("text_id", "n", "words", "need", "pair").agg(one.alias("c"))
-    index = lab.where("NOT l_weak").select("label_id", "l_n", "l_words", "l_need", F.explode(letter_pairs(form)).alias("pair")).groupBy("label_id", "l_n", "l_words", "l_need", "pair").agg(one.alias("l_c"))
-    met = mine.join(near(index), "pair").groupBy("text_id", "label_id").agg(F.sum("c").alias("c"), F.sum("l_c").alias("l_c"), *[F.first(c).alias(c) for c in ("n", "words", "need", "l_n", "l_words", "l_need")])
-    enough = F.when((F.col("words") > 1) & (F.col("l_words") > 1), True).when(F.col("n") <= F.col("l_n"), F.col("c") >= F.col("need")).otherwise(F.col("l_c") >= F.col("l_need"))
+    mine = t.where("NOT weak").select("text_id", "n", "words", F.explode(letter_pairs(form)).alias("pair")).groupBy("text_id", "n", "words", "pair").agg(one.alias("c"))
+    index = lab.where("NOT l_weak").select("label_id", "l_n", "l_words", F.explode(letter_pairs(form)).alias("pair")).groupBy("label_id", "l_n", "l_words", "pair").agg(one.alias("l_c"))
+    met = mine.join(near(index), "pair").groupBy("text_id", "label_id").agg(F.sum("c").alias("c"), F.sum("l_c").alias("l_c"), *[F.first(c).alias(c) for c in ("n", "words", "l_n", "l_words")])
+    mine_short = F.col("n") <= F.col("l_n")
+    m, n, words = F.least("n", "l_n"), F.greatest("n", "l_n"), F.when(mine_short, F.col("words")).otherwise(F.col("l_words"))
+    stay = F.when(n < 1.5 * m, 0.2 * (m + n)).otherwise(F.least(0.6 * m, 0.2 * (m + n)))
+    need = F.greatest(F.lit(1), F.ceil(stay - 1 - 2 * (words - 1) - 1e-9))
+    several = (F.col("words") > 1) & (F.col("l_words") > 1)
+    enough = (n <= 8 * m) & (several | (F.when(mine_short, F.col("c")).otherwise(F.col("l_c")) >= need))
     shared = met.where(enough).select("text_id", "label_id")
     letters = F.explode(F.array_distinct(F.filter(F.split(form, ""), lambda x: (x != "") & (x != " ")))).alias("letter")
     one_letter, other = t.select("text_id", "weak", letters), lab.select("label_id", "l_weak", letters)
