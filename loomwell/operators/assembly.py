@@ -65,11 +65,16 @@ def assemble(template: DataFrame, zones: DataFrame, readings: DataFrame, second:
 
 
 def checked_fields(fields: DataFrame) -> DataFrame:
-    """Fields after range and dossier rules: known values that an alert names go to review, with the reasons."""
-    fields = rules.apply_flags(fields, rules.field_flags(fields))
+    """Fields after all rules (ranges, the dossier, visits, weeks, pages after birth): known values that a rule names go to
+    review, with the reasons; what can't apply is marked so. Rules flag and never correct, so their order doesn't matter."""
     facts = rules.dossier_facts(fields)
-    fields = rules.apply_flags(fields, rules.flagged_fields(rules.dossier_flags(facts)))
-    return rules.deductions(fields, facts)
+    found = rules.field_flags(fields).unionByName(rules.flagged_fields(rules.all_flags(fields, facts)))
+    return rules.deductions(rules.apply_flags(fields, found), facts)
+
+
+def record_alerts(fields: DataFrame) -> DataFrame:
+    """The alerts of the records that fields make: dossier_id, rule, message, page_type, key, seq."""
+    return rules.alerts(rules.all_flags(fields, rules.dossier_facts(fields)))
 
 
 def open_questions(fields: DataFrame, alerts: DataFrame, images: DataFrame) -> DataFrame:

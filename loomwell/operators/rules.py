@@ -144,12 +144,59 @@ def visit_flags(visits: DataFrame) -> DataFrame:
 def week_flags(visits: DataFrame) -> DataFrame:
     """(dossier_id, ord, rule, message, fields): weeks written at a visit that differ from its date by over 2.5."""
     weeks = F.datediff("visit", "lmp") / 7
-    col = F.coalesce(F.try_element_at(F.array(*map(F.lit, VISITS)), F.col("ord").cast("int")), F.col("ord").cast("string"))
+    col = F.col("col") if "col" in visits.columns else F.coalesce(F.try_element_at(F.array(*map(F.lit, VISITS)), F.col("ord").cast("int")), F.col("ord").cast("string"))
     message = F.format_string("Âge gestationnel %s SA incohérent avec la date de visite (%.1f SA d'après la DDR).", _g(F.col("weeks")), weeks)
     fields = _fields((PREGNANCY, F.concat(F.lit("venue_le__"), col)), (PREGNANCY, F.concat(F.lit("age_probable__"), col)))
     return _found(visits, [("SA_VISITE", F.abs(weeks - F.col("weeks")) > 2.5, message, fields)], "ord")
 
 
+def pregnancy_visits(fields: DataFrame, facts: DataFrame) -> DataFrame:
+    """(dossier_id, ord, col, visit, rdv, weeks, lmp): the visit columns of pregnancy pages; ``ord`` is 0 for a column that the form doesn't have."""
+    value, parts = F.col("value"), F.split("key", "__", 2)
+    named = fields.where(F.col("page_type") == PREGNANCY).withColumn("_what", parts[0]).withColumn("col", F.try_element_at(parts, F.lit(2))).where("col IS NOT NULL")
+
+    def one(name: str, what: Column) -> Column:
+        return F.max(F.when(F.col("_what") == name, what))
+
+    visits = named.groupBy("dossier_id", "col").agg(
+        one("venue_le", date_of(value)).alias("visit"), one("rendez_vous", date_of(value)).alias("rdv"), one("age_probable", number_of(value, F.col("status"))).alias("weeks")
+    )
+    order = F.array_position(F.array(*map(F.lit, VISITS)), F.col("col")).alias("ord")
+    return visits.join(facts.select("dossier_id", "lmp"), "dossier_id").select("dossier_id", order, "col", "visit", "rdv", "weeks", "lmp")
+
+
+def after_birth_visits(fields: DataFrame, facts: DataFrame) -> DataFrame:
+    """(dossier_id, page_type, birth, consult, rdv): one row per page after birth."""
+
+    def one(name: str) -> Column:
+        return F.max(F.when(F.col("key") == name, date_of(F.col("value"))))
+
+    pages = fields.where(F.col("page_type").startswith("pp_")).groupBy("dossier_id", "page_type").agg(one("date_de_la_consultation").alias("consult"), one("prochain_rendez_vous_le").alias("rdv"))
+    return pages.join(facts.select("dossier_id", "birth"), "dossier_id").select("dossier_id", "page_type", "birth", "consult", "rdv")
+
+
+#: Rules about the dates of one page: they flag fields, but a record doesn't list them among its alerts.
+PAGE_RULES = ("ORDRE_VISITES", "DELAI_RDV", "VISITE_HORS_GROSSESSE", "DELAI_RDV_PP")
+
+
+def all_flags(fields: DataFrame, facts: DataFrame) -> DataFrame:
+    """(dossier_id, rule, message, fields): what every rule over a dossier finds, visits and pages after birth included."""
+    visits = pregnancy_visits(fields, facts)
+    parts = [dossier_flags(facts), visit_flags(visits.where("ord > 0")), week_flags(visits), after_birth_flags(after_birth_visits(fields, facts))]
+    out = None
+    for part in parts:
+        part = part.select("dossier_id", "rule", "message", "fields")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def alerts(flags: DataFrame) -> DataFrame:
+    """(dossier_id, rule, message, page_type, key, seq): the alerts of a record, as questions take them; one row each, with the first field named."""
+    first = F.try_element_at("fields", F.lit(1))
+    rows = flags.where(~F.col("rule").isin(*PAGE_RULES)).select("dossier_id", "rule", "message", first["page_type"].alias("page_type"), first["key"].alias("key"))
+    return rows.withColumn("seq", F.row_number().over(Window.partitionBy("dossier_id").orderBy("rule", "message", "page_type", "key")).cast("long"))
+
+
 def field_flags(fields: DataFrame) -> DataFrame:
     """(dossier_id, page_type, key, reason): values out of range or with odd units, and pressures turned round."""
     value, used = F.col("value"), F.col("status").isin(KNOWN, TO_REVIEW)
