@@ -16,6 +16,12 @@ elements whose class, id or role names such a thing go, too.
 ``article`` and ``main`` elements are the body only if they hold at least half of the unlinked
 text outside frames; else all lines outside frames stay. ``article`` elements whose class, id
 or role names a frame (related cards) are left out unless they hold most of the text.
+Within ``article`` and ``main``, and for headings and paragraphs anywhere, a word that is only a part of a class name
+(``banner-title``, ``social-history``) cuts nothing: the whole name must be made of such words and of ones like ``box`` or ``list``.
+
+Broken markup is read with tolerance: a quote that nothing closes ends with its tag, a tag that the page breaks off in is left out, an element such as
+``select``, ``video`` or ``textarea`` that is never closed hides no more than its own tag (its options, for ``select``), and the text in an
+``object`` counts. Only ``script``, ``style`` and comments run to the end of the page, as in browsers.
 
 Only hashes of lines travel: one pass writes them, the pairs are found in blocks of
 ``RUN`` neighbours in the order of URLs (with ``NEAR`` pages of the next block on either side, so the
@@ -32,7 +38,6 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,14 +60,17 @@ BROADCAST_ROWS = 100_000
 COMMON, LEAST_PAGES = 0.8, 3
 
 # HTML element names by what they mean for text.
-SILENT = "script|style|noscript|template|svg|math|iframe|object|textarea|select|canvas|audio|video"
+SILENT = set("script style noscript template svg math iframe textarea canvas audio video".split())
+TO_THE_END, UNNESTED = {"script", "style"}, {"iframe", "textarea", "canvas", "audio", "video"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead title tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody tfoot thead title tr ul".split()
 )
-FRAME = set("nav footer aside form head title button dialog menu".split())
+FRAME = set("nav footer aside form head title button dialog menu select optgroup option".split())
 MAIN = {"article", "main"}
+CHOICES = {"select", "optgroup", "option"}
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 # Words in class, id or role that name the frame of a page.
 FRAME_WORDS = set(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
@@ -71,11 +79,21 @@ FRAME_WORDS = set(
     "complementary contentinfo dialog outbrain taboola".split()
 )
 HEADER_WORDS = {"header", "hdr", "branding", "logo"}
+# Words that a class name has beside those of frames without meaning anything else, and ones that tell of a state.
+CARRIERS = set(
+    "box container wrapper wrap block list item items section bar area link links button buttons btn slot unit panel form content text inner outer main top bottom "
+    "left right side site page global primary secondary header post posts article articles story stories thread count icon icons row col column group grid card cards body".split()
+)
+STATES = {"no", "not", "has", "with", "without", "hide"}
 
+# A quoted value ends at a quote that something proper follows; else the quote is stray and the tag ends at the next ">".
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)?)/?>",
-    re.S | re.I,
+    r"""<(?:(!--)|[!?][^>]*+>|/[^a-zA-Z>][^>]*+>|/>|(/?)([a-zA-Z][^\s/>]*+)"""
+    r"""((?>[^>=]++|=\s*+"[^"]*+"(?=[\s/>]|[a-zA-Z-]+=)|=\s*+'[^']*+'(?=[\s/>]|[a-zA-Z-]+=)|=\s*+[^\s"'>][^\s>]*+|=)*+)>)"""
 )
+_COMMENT = re.compile(r"-?>|.*?--!?>", re.S)
+_BROKEN = re.compile(r"<[a-zA-Z/!?]")
+_EDGE = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*+>" if tag in UNNESTED else rf"<(/){tag}(?=[\s/>])[^>]*+>", re.I) for tag in SILENT}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"\shidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -86,14 +104,18 @@ def _is_frame(tag: str, attributes: str, inside_main: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body") or tag in MAIN:
         return False
-    return bool(_HIDDEN.search(attributes)) or _names_frame(attributes, inside_main)
+    return bool(_HIDDEN.search(attributes)) or _names_frame(attributes, inside_main, inside_main or tag in TEXTUAL)
 
 
-def _names_frame(attributes: str, inside_main: bool) -> bool:
+def _names_frame(attributes: str, inside_main: bool, whole: bool = False) -> bool:
+    """Whether class, id or role names a frame; ``whole``: by a name that says nothing else."""
     for found in _NAMED.finditer(attributes):
-        parts = set(_PARTS.split((found[1] or found[2] or found[3] or "").lower()))
-        if parts & FRAME_WORDS or not inside_main and parts & HEADER_WORDS:
-            return True
+        for name in (found[1] or found[2] or found[3] or "").lower().split():
+            parts = {part for part in _PARTS.split(name) if part and not part.isdigit()}
+            if parts & STATES or whole and not parts <= FRAME_WORDS | CARRIERS:
+                continue
+            if parts & FRAME_WORDS or not inside_main and parts & HEADER_WORDS:
+                return True
     return False
 
 
@@ -103,18 +125,19 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
     out: list[tuple[str, int]] = []
     plain = [0, 0, 0]  # unlinked characters outside articles, in them, and in those with a frame's name
     open_tags: list[tuple[str, bool, bool, bool]] = []
-    frames = mains = named = links = 0
+    frames = mains = named = links = choices = 0
     parts: list[str] = []
     side: list[str] = []
     linked = total = at = 0
 
     def close(n: int) -> None:
-        nonlocal frames, mains, named, links
+        nonlocal frames, mains, named, links, choices
         for tag, frame, main, card in open_tags[n:]:
             frames -= frame
             mains -= main
             named -= card
             links -= tag == "a"
+            choices -= tag in CHOICES
         del open_tags[n:]
 
     def end_line() -> None:
@@ -145,17 +168,36 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             total += len(text)
             linked += len(text) if links else 0
 
-    for found in _TOKEN.finditer(page):
+    end = page.rfind(">") + 1
+    unclosed: set[str] = set()
+    while found := _TOKEN.search(page, at, end):
         if found.start() > at:
             say(page[at : found.start()])
         at = found.end()
+        if found[1]:
+            closed = _COMMENT.match(page, at)
+            at = closed.end() if closed else len(page)
+            continue
         if not found[3]:
             continue
         tag = found[3].lower()
+        if tag in SILENT:
+            if not found[2] and tag not in unclosed and not (tag in ("svg", "math") and found[4].endswith("/")):
+                edge = _EDGE[tag].search(page, at)
+                if edge and edge[1]:
+                    at = edge.end()
+                elif tag in TO_THE_END:
+                    at = len(page)
+                elif not edge:
+                    unclosed.add(tag)
+            continue
         if tag == "br" or tag in ("td", "th"):
             (side if frames else parts).append(" ")
         if tag in VOID and tag != "hr":
             continue
+        if choices and not found[2] and tag not in CHOICES:  # a list of choices ends where anything else begins
+            end_line()
+            close(next(i for i, entry in enumerate(open_tags) if entry[0] in CHOICES))
         if tag in BLOCKS:
             end_line()
         if found[2]:
@@ -166,6 +208,8 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             continue
         if tag == "hr":
             continue
+        if tag == "body":  # a head that was left open ends here
+            close(next((i for i, entry in enumerate(open_tags) if entry[0] in ("head", "title")), len(open_tags)))
         if tag in BLOCKS:  # a paragraph ends where another block begins
             for i in range(len(open_tags) - 1, -1, -1):
                 name = open_tags[i][0]
@@ -174,14 +218,17 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                     break
                 if name in BLOCKS:
                     break
-        card = tag == "article" and _names_frame(found[4], True)
+        card = tag == "article" and _names_frame(found[4], True, True)
         entry = (tag, _is_frame(tag, found[4], mains > 0), tag in MAIN, card)
         open_tags.append(entry)
         frames += entry[1]
         mains += entry[2]
         named += card
         links += tag == "a"
-    say(page[at:])
+        choices += tag in CHOICES
+    rest = page[at:]
+    broken = _BROKEN.search(rest)
+    say(rest[: broken.start()] if broken else rest)
     end_line()
     cards = plain[2] > plain[0] + plain[1]  # articles with a frame's name hold most of the text
     if cards:
@@ -191,28 +238,64 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
     return [(line, kind in held, kind == 3 or kind == 2 and not cards or body and kind == 0) for line, kind in out]
 
 
+#: Bits of the table of a longest common subsequence that are kept at once (8 MB); larger ones are halved.
+TABLE_BITS = 1 << 26
+
+
+def _lengths(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each line of ``a``: a number whose zero bits are the places of ``b`` where the longest common subsequence grows."""
+    places: dict[int, int] = {}
+    for j, value in enumerate(b):
+        places[value] = places.get(value, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    row = every
+    for value in a:
+        met = row & places.get(value, 0)
+        row = (row + met | row - met) & every
+        yield row
+
+
+def _growth(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with each beginning of ``b``, the empty one first."""
+    row = (1 << len(b)) - 1
+    for row in _lengths(a, b):  # the last one counts
+        pass
+    bits = np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8)
+    return np.concatenate([[0], np.cumsum(1 - np.unpackbits(bits, bitorder="little")[: len(b)].astype(np.int64))])
+
+
 def shared_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Places in ``a`` of a longest common subsequence with ``b`` (Hunt and Szymanski)."""
-    where: dict[int, list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
-        where.setdefault(int(b[j]), []).append(j)
-    tails: list[int] = []
-    chain: list[tuple] = []
-    for i, value in enumerate(a.tolist()):
-        for j in where.get(value, ()):
-            at = bisect_left(tails, j)
-            link = (i, chain[at - 1] if at else None)
-            if at == len(tails):
-                tails.append(j)
-                chain.append(link)
+    """Places in ``a`` of a longest common subsequence with ``b``: rows of bits, halved while the table would be large (Hirschberg)."""
+    at = np.nonzero(np.isin(a, b))[0]
+    x, y = a[at].tolist(), b[np.isin(b, a)].tolist()
+    out: list[int] = []
+    left = [(0, len(x), 0, len(y))]
+    while left:
+        i, n, j, m = left.pop()
+        while i < n and j < m and x[i] == y[j]:
+            out.append(i)
+            i, j = i + 1, j + 1
+        while i < n and j < m and x[n - 1] == y[m - 1]:
+            n, m = n - 1, m - 1
+            out.append(n)
+        if i == n or j == m:
+            continue
+        if n - i > 1 and (n - i) * (m - j) > TABLE_BITS:
+            half = (i + n) // 2
+            cut = j + int(np.argmax(_growth(x[i:half], y[j:m]) + _growth(x[half:n][::-1], y[j:m][::-1])[::-1]))
+            left += [(i, half, j, cut), (half, n, cut, m)]
+            continue
+        rows = [(1 << m - j) - 1, *_lengths(x[i:n], y[j:m])]
+        k, col = n - i, m - j
+        while k and col:
+            if rows[k] >> col - 1 & 1:
+                col -= 1
+            elif not rows[k - 1] >> col - 1 & 1:
+                k -= 1
             else:
-                tails[at] = j
-                chain[at] = link
-    out, link = [], chain[-1] if chain else None
-    while link:
-        out.append(link[0])
-        link = link[1]
-    return out[::-1]
+                k, col = k - 1, col - 1
+                out.append(i + k)
+    return at[sorted(out)].tolist()
 
 
 def _digest(page: str) -> int:
