@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwell.functions import parse, text
-from loomwell.operators import alignment, assembly, boxes, evaluate, export, freeform, fuzzy, layout, lifecycle, linkage, merge, model, questions, rules, scan
+from loomwell.operators import alignment, assembly, boxes, evaluate, export, freeform, fuzzy, grid, layout, lifecycle, linkage, merge, model, quantiles, questions, rules, scan
 from loomwell.plans.bindings import FIELDS_SQL, READINGS_SQL, SLOTS, STATES_SQL, k_of, readings, record_fields, states
 from loomwell.plans.registry import query
 from loomwell.sources.tables import table
@@ -768,3 +768,92 @@ def label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("text"))
     found = fuzzy.best_labels(words, labels)
     return found.select("text", "label", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- fields from ruling lines
+
+_RULED = """l AS (SELECT page, line, horizontal, off + a AS x0, CASE WHEN horizontal THEN lvl ELSE p_partkey * 29 % 60 END AS y0,
+    CASE WHEN horizontal THEN off + 400 - p_partkey * 11 % 60 ELSE off + a END AS x1, CASE WHEN horizontal THEN lvl ELSE 400 - p_partkey * 17 % 60 END AS y1
+  FROM (SELECT p_partkey, p_partkey % 5 AS page, p_partkey AS line, p_partkey // 15 % 2 = 0 AS horizontal, (p_partkey // 5 % 3 * 1000)::DOUBLE AS off,
+    CASE WHEN p_partkey // 15 % 2 = 0 THEN p_partkey * 37 % 60 ELSE p_partkey * 53 % 397 + p_partkey % 4 / 4 END::DOUBLE AS a, (p_partkey * 101 % 397 + p_partkey % 3 / 2)::DOUBLE AS lvl FROM part)),
+w AS (SELECT c_custkey % 5 AS page, c_custkey AS label, c_mktsegment || ' ' || c_nationkey % 3 AS words, c_custkey % 7 = 0 AS bold, (c_custkey // 5 % 3 * 1000 + c_custkey * 71 % 390)::DOUBLE AS x, (c_custkey * 43 % 390)::DOUBLE AS y FROM customer),
+s AS (SELECT *, lower(replace(words, ' ', '_')) AS slug FROM w)"""
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as ruling lines of three blocks on each of five pages, customers as labels."""
+    k, flat = F.col("p_partkey"), F.expr("p_partkey div 15 % 2 = 0")
+    off = F.expr("p_partkey div 5 % 3 * 1000").cast("double")
+    at, across = (k * 101 % 397 + k % 3 / 2).cast("double"), off + F.when(flat, k * 37 % 60).otherwise(k * 53 % 397 + k % 4 / 4)
+    lines = table(spark, sf_dir, "part").select(
+        (k % 5).alias("page"), k.alias("line"), flat.alias("horizontal"), across.alias("x0"), F.when(flat, at).otherwise(k * 29 % 60).alias("y0"),
+        F.when(flat, off + 400 - k * 11 % 60).otherwise(across).alias("x1"), F.when(flat, at).otherwise(400 - k * 17 % 60).alias("y1"),
+    )
+    c = F.col("c_custkey")
+    x, y = F.expr("c_custkey div 5 % 3 * 1000 + c_custkey * 71 % 390").cast("double"), (c * 43 % 390).cast("double")
+    words = F.concat_ws(" ", "c_mktsegment", (F.col("c_nationkey") % 3).cast("string"))
+    labels = table(spark, sf_dir, "customer").select((c % 5).alias("page"), c.alias("label"), words.alias("words"), (c % 7 == 0).alias("bold"), x.alias("x0"), y.alias("y0"), (x + 12).alias("x1"), (y + 6).alias("y1"))
+    return lines, labels
+
+
+@query(
+    f"""WITH RECURSIVE {_RULED},
+t AS (SELECT a.page, a.line AS a, b.line AS b FROM l a JOIN l b ON a.page = b.page AND a.x0 - 2 <= b.x1 AND b.x0 - 2 <= a.x1 AND a.y0 - 2 <= b.y1 AND b.y0 - 2 <= a.y1),
+reach AS (SELECT page, a AS line, b AS seen FROM t UNION SELECT reach.page, reach.line, t.b FROM reach JOIN t ON t.page = reach.page AND t.a = reach.seen),
+comp AS (SELECT page, line, min(seen) AS tab FROM reach GROUP BY ALL),
+m AS (SELECT page, tab, horizontal AS hz, CASE WHEN horizontal THEN (y0 + y1) / 2 ELSE (x0 + x1) / 2 END AS v FROM l JOIN comp USING (page, line)),
+big AS (SELECT page, tab FROM m GROUP BY ALL HAVING count(*) FILTER (hz) >= 3 AND count(*) FILTER (NOT hz) >= 3),
+co AS (SELECT DISTINCT page, tab, hz, v FROM m JOIN big USING (page, tab)),
+nx AS (SELECT a.page, a.tab, a.hz, a.v, min(b.v) AS nxt FROM co a JOIN co b ON a.page = b.page AND a.tab = b.tab AND a.hz = b.hz AND b.v - a.v > 3 GROUP BY ALL),
+lv AS (SELECT page, tab, hz, min(v) AS v, 0 AS place FROM co GROUP BY ALL UNION ALL SELECT lv.page, lv.tab, lv.hz, nx.nxt, lv.place + 1 FROM lv JOIN nx ON lv.page = nx.page AND lv.tab = nx.tab AND lv.hz = nx.hz AND lv.v = nx.v),
+e AS (SELECT page, tab, min(v) FILTER (NOT hz) AS x0, max(v) FILTER (NOT hz) AS x1, min(v) FILTER (hz) AS y0, max(v) FILTER (hz) AS y1, count(*) FILTER (NOT hz) - 1 AS nc, count(*) FILTER (hz) - 1 AS nr FROM lv GROUP BY ALL HAVING nc >= 1 AND nr >= 1),
+i AS (SELECT s.*, e.tab, e.nc, e.nr FROM s JOIN e ON s.page = e.page AND s.x + 6 BETWEEN e.x0 AND e.x1 AND s.y + 3 BETWEEN e.y0 AND e.y1),
+j AS (SELECT i.page, i.tab, i.label, i.words, i.slug, i.bold, coalesce(max(lv.place) FILTER (NOT hz AND lv.place < nc AND lv.v <= i.x + 1), 0) AS c, coalesce(max(lv.place) FILTER (hz AND lv.place < nr AND lv.v <= i.y + 3), 0) AS r
+  FROM i JOIN lv ON lv.page = i.page AND lv.tab = i.tab GROUP BY ALL),
+g AS (SELECT page, tab, r, c, arg_min(words, label) AS words, arg_min(slug, label) AS slug, arg_min(bold, label) AS bold FROM j GROUP BY page, tab, r, c),
+f AS (SELECT page, tab, count(*) FILTER (c = 0 AND NOT bold) >= 2 AS by_rows FROM g GROUP BY ALL),
+h AS (SELECT g.page, g.tab, g.c, arg_max(g.slug, g.r) AS slug FROM g JOIN f USING (page, tab) WHERE NOT by_rows OR c >= 1 GROUP BY ALL),
+hn AS (SELECT page, tab, c, CASE WHEN row_number() OVER o = 1 THEN slug ELSE slug || '_' || row_number() OVER o END AS name FROM h WINDOW o AS (PARTITION BY page, tab, slug ORDER BY c)),
+dup AS (SELECT g.page, g.tab, g.slug FROM g JOIN hn USING (page, tab, c) GROUP BY ALL HAVING count(*) > 1),
+n AS (SELECT hn.page, hn.tab, hn.c, CASE WHEN count(dup.slug) > 0 THEN 'c' || hn.c || '_' || hn.name ELSE hn.name END AS name
+  FROM hn LEFT JOIN dup ON dup.page = hn.page AND dup.tab = hn.tab AND starts_with(hn.name, dup.slug) GROUP BY hn.page, hn.tab, hn.c, hn.name),
+cell AS (SELECT e.page, e.tab, a.place AS r, n.c, n.name FROM e JOIN lv a ON a.page = e.page AND a.tab = e.tab AND a.hz AND a.place < e.nr JOIN n ON n.page = e.page AND n.tab = e.tab),
+hd AS (SELECT cell.page, cell.tab, cell.r, cell.c, cell.name, arg_max(g.words, g.r) AS col, max(g.r) AS top FROM cell JOIN g ON g.page = cell.page AND g.tab = cell.tab AND g.c = cell.c AND g.r <= cell.r GROUP BY ALL HAVING max(g.r) < cell.r),
+rl AS (SELECT page, tab, r, max(slug) FILTER (c = 0 AND NOT bold) AS row_slug, max(words) FILTER (c = 0 AND NOT bold) AS row_words FROM g GROUP BY ALL)
+SELECT hd.page, hd.tab AS "table", CAST(hd.r AS BIGINT) AS r, CAST(hd.c AS BIGINT) AS c, CASE WHEN by_rows THEN row_slug || '__' || name ELSE name END AS key, row_words AS "row", col,
+  xa.v + 1 AS x0, ya.v + 1 AS y0, xb.v - 1 AS x1, yb.v - 1 AS y1
+FROM hd JOIN f USING (page, tab) LEFT JOIN rl ON rl.page = hd.page AND rl.tab = hd.tab AND rl.r = hd.r
+JOIN lv xa ON xa.page = hd.page AND xa.tab = hd.tab AND NOT xa.hz AND xa.place = hd.c JOIN lv xb ON xb.page = hd.page AND xb.tab = hd.tab AND NOT xb.hz AND xb.place = hd.c + 1
+JOIN lv ya ON ya.page = hd.page AND ya.tab = hd.tab AND ya.hz AND ya.place = hd.r JOIN lv yb ON yb.page = hd.page AND yb.tab = hd.tab AND yb.hz AND yb.place = hd.r + 1
+WHERE CASE WHEN by_rows THEN row_slug IS NOT NULL ELSE rl.r IS NULL END"""
+)
+def table_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty cells of the tables that parts rule, named by the customers in them."""
+    return grid.table_fields(*_ruled(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_RULED}, m AS (SELECT l.*, y0 AS y, s.words, s.slug, s.x + 12 AS e, s.label FROM l JOIN s ON s.page = l.page AND horizontal AND l.x1 - l.x0 BETWEEN 15 AND 420
+  AND s.x + 12 BETWEEN l.x0 - 30 AND l.x0 + 6 AND abs(s.y + 6 - l.y0) < 7)
+SELECT page, line, arg_max(slug, (e, -label)) AS key, arg_max(words, (e, -label)) AS words, x0, y - 16 AS y0, x1, y + 3 AS y1 FROM m GROUP BY page, line, x0, x1, y"""
+)
+def underline_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blanks over the lines that parts rule, named by the customers before them."""
+    return grid.underline_fields(*_ruled(spark, sf_dir))
+
+
+@query(
+    """WITH o AS (SELECT l_returnflag AS flag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS place, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
+q AS (SELECT flag, p.permille, n, v, CAST(floor(log2(v)) AS INT) AS g FROM o, (SELECT unnest([10, 250, 500, 900, 999]) AS permille) p WHERE place = greatest(1, (n * p.permille + 999) // 1000)),
+e AS (SELECT *, CASE WHEN pow(2, g) > v THEN g - 1 WHEN pow(2, g + 1) <= v THEN g + 1 ELSE g END AS ex FROM q),
+f AS (SELECT *, pow(2, ex) AS two, floor((v / pow(2, ex) - 1) * 128) AS part FROM e)
+SELECT flag, permille, n, two * (1 + part / 128) AS low, two * (1 + (part + 1) / 128) AS high, true AS exact_inside FROM f"""
+)
+def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of prices per flag from sketches of the suppliers' items, each held against the exact value."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_suppkey").alias("tile"), F.col("l_extendedprice").alias("v"))
+    whole = quantiles.merged(quantiles.sketch(items, ["flag", "tile"], "v"), ["flag"])
+    found = quantiles.quantiles(whole, ["flag"], [10, 250, 500, 900, 999])
+    below = items.join(F.broadcast(found), "flag").groupBy(*found.columns).agg(F.count_if(F.col("v") < F.col("low")).alias("under"), F.count_if(F.col("v") < F.col("high")).alias("upto"))
+    place = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("permille") / 1000))
+    return below.select("flag", "permille", "n", "low", "high", ((F.col("under") < place) & (place <= F.col("upto"))).alias("exact_inside"))
