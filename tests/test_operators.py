@@ -185,3 +185,13 @@ def test_best_reading_over_any_number_of_photos(spark):
                 seq, free, status, confidence, value = new
             status, conflict = ("A_REVISER" if clash else status), conflict or clash
         assert got[k] == (seq, status, confidence, value, conflict)
+
+
+def test_question_list_asks_about_fields_read_in_free_mode_too(spark, tmp_path):
+    from loomwell.plans import registry
+
+    rows = [(event, 1, "view", float(value), '{"k": %d}' % k) for event, value, k in ((11, 10, 30), (12, 10, 30), (22, 10, 15), (33, 200, 90))]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' AS ts")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.queries()["question_list"](spark, str(tmp_path)).orderBy("number").collect()
+    assert [(r.seq, r.kind) for r in got] == [(33, "coherence"), (11, "confirmer"), (12, "confirmer"), (22, "saisir")]
