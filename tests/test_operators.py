@@ -195,3 +195,12 @@ def test_question_list_asks_about_fields_read_in_free_mode_too(spark, tmp_path):
     events.write.parquet(f"{tmp_path}/events.parquet")
     got = registry.queries()["question_list"](spark, str(tmp_path)).orderBy("number").collect()
     assert [(r.seq, r.kind) for r in got] == [(33, "coherence"), (11, "confirmer"), (12, "confirmer"), (22, "saisir")]
+
+
+def test_linkage_broadcasts_no_deletions_and_ranks_copies(spark):
+    people = spark.range(600).selectExpr("id", "concat('P', id % 200) AS code", "CAST(NULL AS date) AS lmp", "CAST(id % 7 AS int) AS age", "id AS created_at")
+    got = linkage.candidates(people.where("id % 50 = 0"), people)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    # 57 has copies 257 and 457; ages 1, 5, 2: the own age, then the age next to it, then the first of the rest
+    of = linkage.candidates(people.where("id = 57"), people).orderBy("rank").collect()
+    assert [(r.patient_id, r.score, r.how) for r in of] == [(57, 1.05, "same"), (457, 1.05, "same"), (257, 0.8, "same")]
