@@ -9,12 +9,18 @@ pairs within words, the longer one n, and let L characters stay in order. A char
 pair: 2 (M - L) + (n - L) together. With L >= 0.4 (M + n) at least 0.2 (M + n) - 1 - 2 (t - 1) pairs stay; with a window, 0.6 M - 1 - 2 (t - 1). That
 is one or more from M = 5 t on, and for single words by cases from M = 3 on; shorter texts meet all labels that share a letter. Beyond eight times the
 length no ratio reaches 80. Two texts of several words may also reach it by a word that they share whole: for them one pair is enough.
+
+Few labels need no index: every text is held against all of them by the letters that both have, as matrices, and only what that leaves is scored.
+A ratio of 80 needs C >= 0.4 (M + n) common characters, in any order, or with a window C >= 0.8 of the shorter one, or a word that both share whole; repeated
+words of a text count once in its length. The same bound goes before the score of what the index finds.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +29,10 @@ from loomwell.functions.text import comparable, weighted_ratio
 
 #: Labels that are broadcast at most, with their pairs; more are joined by a shuffle.
 BROADCAST_LABELS = 20_000
+#: Labels with which every text is compared by letters at most; more are found through the index of pairs.
+COMPARED_LABELS = 1_000
+#: Cells of a matrix of texts, labels and letters at once.
+CELLS = 4_000_000
 
 
 LEAST = 80.0
@@ -69,6 +79,77 @@ def candidates(texts: DataFrame, labels: DataFrame) -> DataFrame:
     return shared.unionByName(loose.distinct()).distinct()
 
 
+def _plain(form: str) -> str:
+    """A form with each different word once: as short as any text that the ratio compares."""
+    return " ".join(dict.fromkeys(form.split()))
+
+
+def _may_reach(a: str, b: str) -> bool:
+    """The bound by common letters for one pair."""
+    common, m, n = (Counter(" ".join(a.split())) & Counter(" ".join(b.split()))).total(), len(_plain(a)), len(_plain(b))
+    return common >= min(0.8 * min(m, n), 0.4 * (m + n)) - 1e-9 or not set(a.split()).isdisjoint(b.split())
+
+
+class Letters:
+    """The letters of labels, as counts: finds the labels that may reach LEAST with a text."""
+
+    def __init__(self, forms: list[str]):
+        self.forms = forms
+        self.alphabet = np.array(sorted({ord(c) for form in forms for c in " ".join(form.split())}), dtype=np.uint32)
+        self.counts, self.short = self._counts(forms), np.array([len(_plain(f)) for f in forms])
+        self.long = np.array([len(f) for f in forms])
+        self.words: dict[str, list[int]] = {}
+        for i, form in enumerate(forms):
+            for word in set(form.split()):
+                self.words.setdefault(word, []).append(i)
+
+    def _counts(self, forms: list[str]) -> np.ndarray:
+        tidy = [" ".join(f.split()) for f in forms]
+        codes = np.frombuffer("".join(tidy).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        row = np.repeat(np.arange(len(tidy)), [len(t) for t in tidy])
+        at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        known = self.alphabet[at] == codes
+        flat = np.bincount(row[known] * len(self.alphabet) + at[known], minlength=len(tidy) * len(self.alphabet))
+        return flat.reshape(len(tidy), len(self.alphabet)).astype(np.int32)
+
+    def near(self, texts: list[str]) -> Iterator[tuple[int, list[int]]]:
+        """(text, labels) by place, for the texts with any label."""
+        step = max(1, CELLS // max(1, self.counts.size))
+        for start in range(0, len(texts), step):
+            part = texts[start : start + step]
+            counts, common = self._counts(part), np.zeros((len(part), len(self.forms)), dtype=np.int32)
+            for letter in range(len(self.alphabet)):
+                common += np.minimum(counts[:, letter, None], self.counts[None, :, letter])
+            short, long = np.array([len(_plain(t)) for t in part])[:, None], np.array([len(t) for t in part])[:, None]
+            most, least = np.maximum(long, self.long), np.minimum(long, self.long)
+            window = (most >= 1.5 * least) & (common >= 0.8 * np.minimum(short, self.short) - 1e-9)
+            may = window | (common >= 0.4 * (short + self.short) - 1e-9)
+            for i, text in enumerate(part):
+                if " " in text:
+                    may[i, [label for word in text.split() for label in self.words.get(word, [])]] = True
+            may &= most <= 8 * least
+            for i in np.flatnonzero(may.any(axis=1)):
+                yield start + int(i), np.flatnonzero(may[i]).tolist()
+
+
+def _compared_with_all(mine: DataFrame, labels: list[tuple[str, str]], least: float) -> DataFrame:
+    """(text, label, score) of ``mine`` (text, form) against ``labels`` (label, form), each text in its own task."""
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not labels:
+            return
+        letters = Letters([form for _, form in labels])
+        for batch in batches:
+            texts, forms, out = batch["text"].tolist(), batch["form"].tolist(), []
+            for i, found in letters.near(forms):
+                score, label = min((-weighted_ratio(forms[i], labels[j][1]), labels[j][0]) for j in found)
+                if -score >= least:
+                    out.append((texts[i], label, -score))
+            yield pd.DataFrame(out, columns=["text", "label", "score"])
+
+    return mine.select("text", "form").mapInPandas(best, "text string, label string, score double")
+
+
 def best_labels(texts: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
     """(text, label, score): for each distinct text the label with the highest weighted ratio of at least ``least``; ties go to the
     smallest label. Texts without such a label don't come out. ``texts`` and ``labels`` have one column each, text and label; nulls are left out.
@@ -77,13 +158,16 @@ def best_labels(texts: DataFrame, labels: DataFrame, least: float = LEAST) -> Da
         raise ValueError(f"the index needs a ratio of {LEAST:g} at least")
     mine = texts.select("text").dropna().distinct().withColumn("form", comparable(F.col("text"))).where("form <> ''").withColumn("text_id", F.col("form"))
     lab = labels.select("label").dropna().distinct().withColumn("form", comparable(F.col("label"))).where("form <> ''").withColumn("label_id", F.col("label"))
+    few = lab.select("label_id", "form").limit(COMPARED_LABELS + 1).collect()
+    if len(few) <= COMPARED_LABELS:
+        return _compared_with_all(mine, [tuple(r) for r in few], least)
     forms = mine.select("text_id", "form").distinct()
     pairs = candidates(forms, lab.select("label_id", "form"))
     named = pairs.join(lab.select("label_id", F.col("form").alias("other")), "label_id")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["score"] = [weighted_ratio(a, b) for a, b in zip(batch["text_id"], batch["other"], strict=True)]
+            batch["score"] = [weighted_ratio(a, b) if _may_reach(a, b) else 0.0 for a, b in zip(batch["text_id"], batch["other"], strict=True)]
             yield batch.loc[batch["score"] >= least, ["text_id", "label_id", "score"]]
 
     scored = named.select("text_id", "label_id", "other").mapInPandas(score, "text_id string, label_id string, score double")

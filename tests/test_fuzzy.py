@@ -66,3 +66,24 @@ def test_least_ratio_and_no_rows(spark):
     assert fuzzy.best_labels(none, labels).count() == 0
     with pytest.raises(ValueError):
         fuzzy.best_labels(none, labels, 50)
+
+
+def test_letters_leave_few_pairs_and_lose_none():
+    rng = random.Random(4)
+    forms = sorted({_compared(v) for v in LABELS + [f"{a} {b}" for a in ("hot", "old", "new", "cold") for b in ("gear", "rod", "bolt", "widget")]})
+    texts = sorted({_compared(noisy(rng, rng.choice(forms))) for _ in range(2000)} - {""})
+    found = {(i, j) for i, labels in fuzzy.Letters(forms).near(texts) for j in labels}
+    reach = {(i, j) for i, t in enumerate(texts) for j, f in enumerate(forms) if weighted_ratio(t, f) >= 80}
+    assert reach <= found and all(fuzzy._may_reach(texts[i], forms[j]) for i, j in reach)
+    words = sorted({"".join(rng.choice("etaoinshrdlu") for _ in range(9)) for _ in range(2000)})
+    assert sum(len(labels) for _, labels in fuzzy.Letters(forms).near(words)) < 0.05 * len(words) * len(forms)
+
+
+def test_index_of_pairs_equals_letters(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = spark.createDataFrame([(noisy(rng, rng.choice(LABELS)),) for _ in range(300)], "text string")
+    labels = spark.createDataFrame([(v,) for v in LABELS], "label string")
+    few = sorted(map(tuple, fuzzy.best_labels(texts, labels).collect()))
+    monkeypatch.setattr(fuzzy, "COMPARED_LABELS", 3)
+    assert few and sorted(map(tuple, fuzzy.best_labels(texts, labels).collect())) == few
+    assert fuzzy.best_labels(texts, labels.where("label = ''")).count() == 0
