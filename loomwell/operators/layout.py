@@ -5,16 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwell.sources.scratch import written
+
+#: Pairs of values and zones compared in one part of a cell and in one task of :func:`values_in_zones`, about, and its tasks at most.
+CELL_PAIRS, TASK_PAIRS, MOST_TASKS = 2_000_000, 20_000_000, 10_000
+
 
 def values_in_zones(values: DataFrame, zones: DataFrame, page: str = "page_type", cell: float = 64.0) -> DataFrame:
     """Values (id, page, x, y: centres) with the zones (zone, page, x0, y0, x1, y1) that contain them.
 
-    A zone covers a few grid cells and a value lies in one, so containment is a keyed join.
+    A zone covers a few grid cells and a value lies in one, so containment is a keyed join. Cells are counted first: one with
+    many pairs is dealt out by its values (its zones go to each part), and the number of tasks follows the number of pairs, since
+    neither the bytes of the inputs nor of the shuffle tell how much a task of the join makes.
     """
     v = values.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
     z = zones.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))))
     z = z.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
-    met = v.join(z, [page, "_cx", "_cy"]).where("x >= x0 AND x <= x1 AND y >= y0 AND y <= y1")
+    key, one = [page, "_cx", "_cy"], F.count(F.lit(1))
+    pairs = v.groupBy(*key).agg(one.alias("_n")).join(z.groupBy(*key).agg(one.alias("_m")), key).select(*key, (F.col("_n") * F.col("_m")).alias("_pairs"))
+    pairs = written(pairs, "cells")
+    total = pairs.agg(F.sum("_pairs").alias("n")).first()["n"] or 0
+    if total > TASK_PAIRS:
+        parts = pairs.select(*key, F.ceil(F.col("_pairs") / CELL_PAIRS).alias("_parts"))
+        tasks = min(MOST_TASKS, total // TASK_PAIRS + 1)
+        v = v.join(parts, key).withColumn("_part", F.pmod(F.xxhash64("id", "x", "y"), "_parts")).drop("_parts")
+        z = z.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+        # one number deals both sides out; the keys are compared as ranges, so that Spark doesn't join by them and shuffle anew into few tasks
+        deal = F.xxhash64(*key, "_part").alias("_deal")
+        v = v.select("id", "x", "y", *key, deal).repartition(tasks, "_deal")
+        z = z.select("zone", "x0", "y0", "x1", "y1", *[F.col(k).alias(f"_z_{i}") for i, k in enumerate(key)], deal).repartition(tasks, "_deal")
+        same = " AND ".join(f"{k} <= _z_{i} AND {k} >= _z_{i}" for i, k in enumerate(key))
+        met = v.join(z.hint("merge"), "_deal").where(same)
+    else:
+        met = v.join(z.hint("merge"), key)
+    met = met.where("x >= x0 AND x <= x1 AND y >= y0 AND y <= y1")
     return met.select(page, "id", "zone")
 
 
