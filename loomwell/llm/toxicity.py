@@ -3,9 +3,10 @@
 A bounded sample of labelled texts is the set of examples. Terms are the lower-case words and
 word beginnings of all examples, whatever their labels, weighted (1 + ln tf) * idf, and normalised per text. A term
 in fewer than ``RARE`` of the examples has the idf of one in that many, or chance matches of rare words would outweigh
-all others. The inverted index holds every term: postings for most, whole rows for the ``HEAVY`` ones that stand in most
+all others. The inverted index holds every term: postings for most (example and weight in one word of 64 bits), a list with a
+place for every example for the ``MIDDLE`` commoner ones, and whole rows for the ``HEAVY`` ones that stand in most
 examples, with the largest weight of each in each block of neighbouring examples. A query adds up
-its postings and bounds what its heavy terms can add in a block; only examples whose bound reaches the
+its postings and lists and bounds what its heavy terms can add in a block; only examples whose bound reaches the
 k-th best cosine get their heavy terms added, so the neighbours are exact. Their votes, weighted by cosine, become a
 score by a monotone curve fitted to the examples' own leave-one-out votes. The neighbours'
 ids are the evidence.
@@ -22,6 +23,7 @@ Ties in cosine go to the example that stands first in the index.
 from __future__ import annotations
 
 import re
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwell.llm.memory import Bounded
+from loomwell.llm.memory import Bounded, held
 from loomwell.llm.sampling import bounded_texts, labelled_sample
 from loomwell.llm.shared import crc_of_id, small_batches, text_or_empty
 
@@ -42,15 +44,20 @@ FIT_ROWS, FIT_CHARS = 6_000, 64_000_000
 RARE = 0.03
 #: Bytes of words that a worker remembers.
 MEMORY = 32 << 20
-#: Postings of a term that are gathered together with those of other short ones.
-SHORT = 32
 NEIGHBOURS = 15
 BLOCK = 64
 #: Terms in most examples, whose weights are held for every example.
 HEAVY = 128
+#: Terms next to these, whose postings are lists over all examples: adding up such a list is cheaper than its postings one by one.
+MIDDLE = 384
 #: Lengths of the word beginnings that are terms beside whole words.
 STEMS = (4, 5, 6)
-words = re.compile(r"[^\W\d_]+").findall
+_words, _ascii_words = re.compile(r"[^\W\d_]+").findall, re.compile(r"[A-Za-z]+").findall
+
+
+def words(text: str) -> list[str]:
+    """Runs of letters; the narrower class is the faster one."""
+    return _ascii_words(text) if text.isascii() else _words(text)
 
 
 def terms_of(word: str) -> list[str]:
@@ -65,8 +72,9 @@ class Examples:
     vocabulary: dict[str, int]
     idf: np.ndarray
     starts: np.ndarray  # [terms, 2]: where the postings of a term begin and end
-    postings: np.ndarray  # example numbers
-    weights: np.ndarray
+    postings: np.ndarray  # int64: weights, as bits of a float, above example numbers; of neither middle nor heavy terms
+    middle: np.ndarray  # [terms]: row of a middle term, -1 for the others
+    lists: np.ndarray  # [middle terms, examples]: weights
     heavy: np.ndarray  # [terms]: row of a heavy term, -1 for the others
     rows: np.ndarray  # [examples, heavy terms]: weights
     most: np.ndarray  # [heavy terms, blocks]: largest weight in a block
@@ -76,6 +84,7 @@ class Examples:
     curve_x: np.ndarray
     curve_y: np.ndarray
     known: Callable[[str], bytes] | None = None
+    name: str = ""
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": None, "vocabulary": "\n".join(self.vocabulary)}
@@ -85,8 +94,19 @@ class Examples:
         self.__dict__ = state | {"vocabulary": {term: i for i, term in enumerate(terms.split("\n") if terms else [])}}
 
     def numbers(self, word: str) -> bytes:
-        """The numbers of a word's terms."""
-        return array("i", [i for term in terms_of(word) if (i := self.vocabulary.get(term)) is not None]).tobytes()
+        """The numbers of a word's terms. No example has what is longer than a beginning that none has."""
+        found, get = array("i"), self.vocabulary.get
+        for k in STEMS:
+            if len(word) <= k:
+                break
+            number = get(word[:k] + "*")
+            if number is None:
+                return found.tobytes()
+            found.append(number)
+        number = get(word)
+        if number is not None:
+            found.append(number)
+        return found.tobytes()
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         if self.known is None:
@@ -100,24 +120,24 @@ class Examples:
 
     def nearest(self, terms: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a cosine above zero."""
-        n, row = len(self.labels), self.heavy[terms]
-        light, heavy = row < 0, row[row >= 0]
-        begin, end = self.starts[terms[light]].T
-        size, own = end - begin, weight[light].astype(np.float32)
-        if len(size):
-            short = size <= SHORT
-            few, many = size[short], np.flatnonzero(~short)
-            at = np.repeat(begin[short] - np.cumsum(few) + few, few) + np.arange(few.sum())
-            spans = [slice(b, e) for b, e in zip(begin[many].tolist(), end[many].tolist(), strict=True)]
-            found = np.concatenate([self.postings[at], *[self.postings[span] for span in spans]], dtype=np.intp, casting="unsafe")
-            share = np.concatenate([self.weights[at], *[self.weights[span] for span in spans]])
-            share *= np.repeat(np.concatenate([own[short], own[many]]), np.concatenate([few, size[many]]))
-            score = np.bincount(found, share, n)
+        n, row, own = len(self.labels), self.heavy[terms], weight.astype(np.float32)
+        heavy = row[row >= 0]
+        begin, end = self.starts[terms].T
+        size = end - begin
+        at = np.repeat(begin - np.cumsum(size) + size, size)
+        if len(at):
+            at += np.arange(len(at))
+            found = self.postings[at].view(np.int32).reshape(-1, 2)
+            score = np.bincount(found[:, 0], found[:, 1].view(np.float32) * np.repeat(own, size), n)
         else:
             score = np.zeros(n)
+        middle = self.middle[terms]
+        inside = middle >= 0
+        if inside.any():
+            score += own[inside] @ self.lists[middle[inside]]
         if len(heavy):
             over = np.zeros(self.rows.shape[1], np.float32)
-            over[heavy] = weight[~light]
+            over[heavy] = weight[row >= 0]
             bound = score + np.repeat(over @ self.most, BLOCK)[:n]
         else:
             bound = score.copy()
@@ -181,7 +201,7 @@ def fit(texts: list[str], labels: list[int], ids: list[int]) -> Examples:
     idf = np.log((1 + len(chosen)) / (1 + np.maximum(counts, RARE * len(chosen)))) + 0.1
     del seen_in
     none, cells = np.zeros(0, np.int64), np.zeros((0, 0))
-    model = Examples(vocabulary, idf, cells, none, np.zeros(0), none, cells, cells, np.zeros(0), none, 0.05, np.zeros(1), np.zeros(1))
+    model = Examples(vocabulary, idf, cells, none, none, cells, none, cells, cells, np.zeros(0), none, 0.05, np.zeros(1), np.zeros(1))
     vectors = [(terms.astype(np.int32), weight.astype(np.float32)) for terms, weight in (model.vector(texts[i]) for i in chosen)]
     model.known = None
     bare = np.array([not len(v[0]) for v in vectors], dtype=bool)
@@ -195,16 +215,27 @@ def fit(texts: list[str], labels: list[int], ids: list[int]) -> Examples:
     weight_of = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0, np.float32)
     example_of = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
     by_term = np.argsort(term_of, kind="stable")
-    model.postings, model.weights = example_of[by_term], weight_of[by_term]
+    numbers, weights = example_of[by_term], weight_of[by_term]
     del term_of, weight_of, example_of, by_term
     ends = np.cumsum(counts)
-    model.starts = np.stack([ends - counts, ends], axis=1)
-    most = np.lexsort((np.arange(len(kept)), -counts))[:HEAVY]
-    model.heavy = np.full(len(kept), -1, np.int64)
-    model.heavy[most] = np.arange(len(most))
+    starts = np.stack([ends - counts, ends], axis=1)
+    common = np.lexsort((np.arange(len(kept)), -counts))[: HEAVY + MIDDLE]
+    most, middle = common[:HEAVY], common[HEAVY:]
+    model.heavy, model.middle = np.full(len(kept), -1, np.int64), np.full(len(kept), -1, np.int64)
+    model.heavy[most], model.middle[middle] = np.arange(len(most)), np.arange(len(middle))
     model.rows = np.zeros((len(order), len(most)), np.float32)
-    for at, (begin, end) in enumerate(model.starts[most]):
-        model.rows[model.postings[begin:end], at] = model.weights[begin:end]
+    for at, (begin, end) in enumerate(starts[most]):
+        model.rows[numbers[begin:end], at] = weights[begin:end]
+    model.lists = np.zeros((len(middle), len(order)), np.float32)
+    for at, (begin, end) in enumerate(starts[middle]):
+        model.lists[at, numbers[begin:end]] = weights[begin:end]
+    few = counts.copy()
+    few[common] = 0
+    left = np.repeat(few > 0, counts)
+    model.postings = np.stack([numbers[left], weights[left].view(np.int32)], axis=1).astype(np.int32).reshape(-1).view(np.int64)
+    ends = np.cumsum(few)
+    model.starts = np.stack([ends - few, ends], axis=1)
+    del numbers, weights, starts
     model.most = np.stack([model.rows[i : i + BLOCK].max(0) for i in range(0, len(order), BLOCK)], axis=1) if order else np.zeros((len(most), 0))
     votes = np.array([v if (v := model.vote(*vectors[i], but=at)[0]) is not None else model.without for at, i in enumerate(order)])
     if len(votes):
@@ -214,7 +245,7 @@ def fit(texts: list[str], labels: list[int], ids: list[int]) -> Examples:
 
 def _score_rows(model, with_evidence: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples: Examples = model.value
+        examples = _examples(model)
         for batch in batches:
             found = [examples.score(text) for text in batch.column(1).to_pylist()]
             score = np.array([s for s, _ in found])
@@ -237,7 +268,15 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS):
     chosen = labelled_sample(known, "doc_id", bound)
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id")
     taught = bounded_texts(taught, "doc_id", FIT_CHARS)
-    return docs.sparkSession.sparkContext.broadcast(fit(*[taught.column(c).to_pylist() for c in ("text", "toxic", "doc_id")]))
+    model = fit(*[taught.column(c).to_pylist() for c in ("text", "toxic", "doc_id")])
+    model.name = uuid.uuid4().hex
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
+def _examples(model) -> Examples:
+    """The examples, with their memory of words, of a worker; what other operators have remembered there is dropped before."""
+    own: Examples = model.value
+    return held(f"toxicity {own.name}", lambda: own)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, with_evidence: bool = True) -> DataFrame:
@@ -260,7 +299,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = learn(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples: Examples = model.value
+        examples = _examples(model)
         for batch in batches:
             keep = [examples.score(text or "")[0] < 0.5 for text in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))

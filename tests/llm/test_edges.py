@@ -217,3 +217,20 @@ def test_held_out_rows_never_teach(spark):
     turned = labels.selectExpr("doc_id", "quality", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0 THEN 1 - toxic ELSE toxic END AS toxic")
     one, other = ({r.doc_id: r.score for r in toxicity.toxicity_scores(df, x).collect()} for x in (labels, turned))
     assert one == other and any(zlib.crc32(str(i).encode()) % 5 == 0 for i in one)
+
+
+def test_toxicity_keeps_common_terms_as_lists_and_finds_the_same_neighbours():
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(900)]
+    texts = [" ".join(vocabulary[int(900 * x**2)] for x in rng.random(60)) for _ in range(300)]
+    model = toxicity.fit(texts, [i % 2 for i in range(300)], list(range(300)))
+    assert model.lists.shape == (toxicity.MIDDLE, len(model.labels)) and not np.diff(model.starts[(model.heavy >= 0) | (model.middle >= 0)]).any()
+    rows = np.zeros((len(model.labels), len(model.idf)))
+    for at, i in enumerate(model.ids.tolist()):
+        terms, weight = model.vector(texts[i])
+        rows[at, terms] = weight
+    for text in texts[:40]:
+        terms, weight = model.vector(text)
+        cosine = rows[:, terms] @ weight
+        at, found = model.nearest(terms, weight, toxicity.NEIGHBOURS)
+        assert np.allclose(found, np.sort(cosine)[::-1][: len(found)], atol=1e-5) and np.allclose(found, cosine[at], atol=1e-5)
