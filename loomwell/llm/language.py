@@ -268,7 +268,7 @@ def languages(docs: DataFrame, bound: int = FIT_ROWS) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text has a language, in one pass."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1 << 20)  # what a worker makes of a batch is many times its size
     model = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

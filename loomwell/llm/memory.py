@@ -7,10 +7,13 @@ bytes up to a budget.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 #: Bytes that one ``Bounded`` remembers at most, in both generations, with the dictionaries' own cost.
 BUDGET = 32 << 20
 #: What an entry costs beside its key and value: two object headers and its place in the dictionary.
@@ -19,11 +22,20 @@ ENTRY = 150
 _held: dict[str, Any] = {}
 
 
+def drop() -> None:
+    """Forget what is held, and give its pages back to the system: freed ones would else stay with the worker's allocators."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def held(name: str, make: Callable[[], Any]) -> Any:
     """The worker's thing of this name, made at first use; one of another name is dropped before."""
     if name not in _held:
-        _held.clear()
-        gc.collect()
+        drop()
         _held[name] = make()
     return _held[name]
 

@@ -215,6 +215,7 @@ def _as_set(raw: bytes) -> np.ndarray:
 
 def _search(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        held("shingle search", dict)  # lets go of the words that the worker has remembered
         group = group.sort_values(["node", "asks"], kind="stable").drop_duplicates(["node", "members"], keep="last")
         nodes, sets = group["node"].tolist(), [_as_set(m) for m in group["members"]]
         maps = np.stack([tree.bitmap(s) for s in sets])

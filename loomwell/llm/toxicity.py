@@ -295,7 +295,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Rows are judged and passed on in one pass: nothing is shuffled or joined.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1 << 20)  # what a worker makes of a batch is many times its size
     model = learn(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from test_llm_operators import docs, labelled, words
@@ -234,3 +235,16 @@ def test_toxicity_keeps_common_terms_as_lists_and_finds_the_same_neighbours():
         cosine = rows[:, terms] @ weight
         at, found = model.nearest(terms, weight, toxicity.NEIGHBOURS)
         assert np.allclose(found, np.sort(cosine)[::-1][: len(found)], atol=1e-5) and np.allclose(found, cosine[at], atol=1e-5)
+
+
+def test_a_worker_forgets_words_once_the_next_step_of_the_join_or_another_operator_comes():
+    from loomwell.llm import memory
+
+    shingles = shingle_join.shingler(5)
+    members = [shingles(text)[0].tobytes() for text in ("a b c d e f g h i j k", "a b c d e f g h i j k l")]
+    group = pd.DataFrame({"node": [1, 2], "near": False, "asks": True, "members": members})
+    assert len(shingle_join._search(80)(group)) and "shingles 5" not in memory._held
+    shingle_join.shingler(5)
+    model = type("Broadcast", (), {"value": toxicity.fit(["one two three"], [1], [1])})
+    toxicity._examples(model)
+    assert "shingles 5" not in memory._held
