@@ -50,7 +50,12 @@ LONGEST = 64
 #: Characters handed to a tokenizer at a time.
 CHARS_AT_ONCE = 1 << 20
 
+#: Units that A encodes as one text.
+UNITS_AT_ONCE = 50
+
 REGULAR = re.compile(r"[ \n]\S+")
+#: Finds white space after a unit's first character, or a unit without anything else.
+OTHER = re.compile(r"(?s)\A(?:.\Z|.\S*\s|\S)").match
 
 
 def byte_values() -> dict[str, int]:
@@ -81,11 +86,42 @@ class Tokenizers:
         self.b_bytes = [self._piece(k) for k in range(self.b.get_piece_size())]
         self.mark = self.b.piece_to_id("▁")
         self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.sizes = [np.array(sizes, dtype=np.int64) for sizes in (self.a_sizes, self.b_sizes)]
 
     def _piece(self, k: int) -> bytes:
         piece = self.b.id_to_piece(k)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode()
 
+    def together(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """A's and B's ids of all units in a row and the units' ends in bytes; None unless all are cut the same as alone, with their bytes.
+
+        Units of one white space and what follows can be encoded by A as one text; bytes and ends are compared for all.
+        """
+        whole = "".join(units)
+        if "▁" in whole or not _encodable(whole) or any(map(OTHER, units)):
+            return None
+        of_a = self.a.encode_batch_fast(["".join(units[i : i + UNITS_AT_ONCE]) for i in range(0, len(units), UNITS_AT_ONCE)], add_special_tokens=False)
+        of_b = self.b.encode([t[1:] if t[0] == " " else t for t in units], num_threads=1)
+        lines = [i for i, t in enumerate(units) if t[0] == "\n"]
+        if any(of_b[i][:1] != [self.mark] for i in lines):
+            return None
+        for i in lines:
+            del of_b[i][0]
+        want = whole.encode()
+        ends = np.fromiter(map(len, units) if whole.isascii() else (len(t.encode()) for t in units), np.int64, len(units)).cumsum()
+        found = []
+        for ids, table, sizes in ((chain.from_iterable(a.ids for a in of_a), self.a_bytes, self.sizes[0]), (chain.from_iterable(of_b), self.b_bytes, self.sizes[1])):
+            ids = list(ids)
+            if b"".join(map(table.__getitem__, ids)) != want:
+                return None
+            flat = np.array(ids, dtype=np.int64)
+            stops = sizes[flat].cumsum()
+            at = stops.searchsorted(ends)
+            if (sizes[flat] == 0).any() or (stops[at] != ends).any():
+                return None
+            found.append(flat)
+        return found[0], found[1], ends
+
     def encode(self, units: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """Ids of both for each unit, a text with the space (or line feed) before it; None where bytes differ."""
         good = [i for i, u in enumerate(units) if "▁" not in u and _encodable(u)]
@@ -157,9 +193,48 @@ class Units:
         if len(self.tokenizers.a_bytes) > 1 << 16 or len(self.tokenizers.b_bytes) > 1 << 16:
             raise ValueError("ids of both tokenizers must fit in 16 bits")
         self.names = [str(k) for k in range(max(len(self.tokenizers.a_bytes), len(self.tokenizers.b_bytes)))]
+        # a token as it is shown: its id, and "," or "|" (A), ";" or nothing (B) after it
+        self.shown = np.array([name + after for name in self.names for after in (",", "|", ";", "")], dtype="S6")
+        self.shown_width = np.char.str_len(self.shown)
         self.known: dict[str, Unit | None] = {}
         self.bytes = 0
 
+    def _make_all(self, units: list[str]) -> list[Unit | None]:
+        """All units by array operations, or one by one where some need it."""
+        together = self.tokenizers.together(units) if units else None
+        if together is None:
+            return list(map(self._make, self.tokenizers.encode(units)))
+        a, b, ends = together
+        a_ends, b_ends = (sizes[ids].cumsum() for sizes, ids in zip(self.tokenizers.sizes, (a, b), strict=True))
+        # between two neighbouring ends of either kind there is one link
+        stops = np.concatenate([a_ends, b_ends])
+        stops.sort(kind="stable")  # merges the two runs
+        stops = stops[np.diff(stops, prepend=-1) > 0]
+        of_a, of_b = a_ends.searchsorted(stops), b_ends.searchsorted(stops)
+        codes = (b[of_b] << 16 | a[of_a]).astype(np.uint32).tobytes()
+        closes = (a_ends[of_a] == stops) & (b_ends[of_b] == stops)
+        group_ends, a_upto, b_upto = stops[closes], of_a[closes] + 1, of_b[closes] + 1
+        a_group, b_group = group_ends.searchsorted(a_ends), group_ends.searchsorted(b_ends)
+        # a group's A tokens, then its B tokens, each with what follows it
+        shown = np.empty(len(a) + len(b), dtype=np.int64)
+        shown[np.arange(len(a)) + np.concatenate([[0], b_upto])[a_group]] = a * 4 + (group_ends[a_group] == a_ends)
+        b_at = np.arange(len(b)) + a_upto[b_group]
+        last = b_ends.searchsorted(ends)
+        closing = (group_ends[b_group] == b_ends) * 2
+        closing[last] = 3
+        shown[b_at] = b * 4 + closing
+        text = self.shown[shown].tobytes().translate(None, b"\0")
+        width = np.concatenate([[0], self.shown_width[shown].cumsum()])
+        text_to = width[b_at[last] + 1].tolist()
+        groups_to, links_to = group_ends.searchsorted(ends) + 1, stops.searchsorted(ends) + 1
+        a_to, b_to = a_ends.searchsorted(ends) + 1, last + 1
+        counts = [np.diff(x, prepend=0).tolist() for x in (groups_to, a_to, b_to)]
+        links = (links_to * 4).tolist()
+        return [
+            (text[t0:t1], n, n_a, n_b, codes[c0:c1])
+            for t0, t1, n, n_a, n_b, c0, c1 in zip([0, *text_to[:-1]], text_to, *counts, [0, *links[:-1]], links, strict=True)
+        ]
+
     def _make(self, ids: tuple[list[int], list[int]] | None) -> Unit | None:
         if ids is None:
             return None
@@ -172,21 +247,23 @@ class Units:
         if self.bytes > MOST:
             self.known.clear()
             self.bytes = 0
-        out, new, size = {}, [], 0
-        for unit in [*units, None]:
-            if unit is not None and unit in self.known:
-                out[unit] = self.known[unit]
-                continue
-            if unit is not None:
-                new.append(unit)
-                size += len(unit)
-            if new and (unit is None or size >= CHARS_AT_ONCE):
-                for u, ids in zip(new, self.tokenizers.encode(new), strict=True):
-                    out[u] = made = self._make(ids)
-                    if len(u) <= LONGEST:
-                        self.known[u] = made
-                        self.bytes += len(u) + 2 * ENTRY + 100 + (len(made[0]) + len(made[4]) if made else 0)
-                new, size = [], 0
+        known = self.known
+        out = {unit: known[unit] for unit in units if unit in known}
+        new = [unit for unit in units if unit not in out]
+        at = 0
+        while at < len(new):
+            upto, size = at, 0
+            while upto < len(new) and size < CHARS_AT_ONCE:
+                size += len(new[upto])
+                upto += 1
+            part = new[at:upto]
+            made = dict(zip(part, self._make_all(part), strict=True))
+            out |= made
+            if max(map(len, part)) > LONGEST:
+                made = {u: m for u, m in made.items() if len(u) <= LONGEST}
+            known |= made
+            self.bytes += sum(map(len, made)) + len(made) * (2 * ENTRY + 100) + sum([len(m[0]) + len(m[4]) for m in made.values() if m])
+            at = upto
         return out
 
 
@@ -219,26 +296,31 @@ class Chunk:
         self.units = units
         self.number: dict[str, int] = {}
         self.made: list[Unit | None] = []
+        self.groups: list[bytes] = []
+        self.broken: set[int] = set()
         self.doc_ids: list[int | None] = []
         self.per_doc: list[array] = []
         self.digests: list[str] = []
         self.chars = 0
 
     def add(self, doc_ids: list, texts: list[str]) -> None:
-        number, made = self.number, self.made
+        number, made, groups = self.number, self.made, self.groups
         cuts = [units_of(text) for text in texts]
         new = [u for u in dict.fromkeys(chain.from_iterable(cuts)) if u not in number]
         known = self.units.learn(new)
+        number.update(zip(new, range(len(made), len(made) + len(new)), strict=True))
         for u in new:
-            number[u] = len(made)
-            made.append(known[u])
+            made.append(unit := known[u])
+            groups.append(unit[0] if unit else b"")
+            if not unit:
+                self.broken.add(number[u])
         for doc_id, text, cut in zip(doc_ids, texts, cuts, strict=True):
             own = array("i", map(number.__getitem__, cut))
-            if any(made[u] is None for u in own):
+            if self.broken and not self.broken.isdisjoint(own):
                 own = array("i")
             self.doc_ids.append(doc_id)
             self.per_doc.append(own)
-            self.digests.append(hashlib.sha256(b";".join([made[u][0] for u in own])).hexdigest() if own else "")
+            self.digests.append(hashlib.sha256(b";".join(map(groups.__getitem__, own))).hexdigest() if own else "")
             self.chars += len(text)
 
     def rows(self, chunk: int, stripes: int) -> Iterator[pa.RecordBatch]:

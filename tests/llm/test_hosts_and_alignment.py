@@ -137,3 +137,13 @@ def test_hosts_of_no_rows_and_of_urls(spark):
     assert host_rules.host_verdicts(empty, F.col("source")).count() == 0
     urls = spark.createDataFrame([("https://www.Example.org/x",), ("no url",), (None,)], "u string")
     assert [r[0] for r in urls.select(host_rules.host_of(F.col("u"))).collect()] == ["example.org", None, None]
+
+
+def test_units_aligned_together_equal_units_aligned_alone():
+    units = token_alignment.Units(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    plain = [" plain", "\nline", " naïve", " 日本語", " 😀!", " x" * 1, " " + "unbrokenword" * 40, " <|endoftext|>", "\n'll", *[f" word{i}" for i in range(120)]]
+    assert units.tokenizers.together(plain) is not None  # no unit needs to be aligned by itself
+    assert units._make_all(plain) == [units._make(units.tokenizers.encode([u])[0]) for u in plain]
+    for odd in ("  two  spaces ", " ", " a▁b", " \ud800", "\n\n", " tab\there"):
+        assert units._make_all([*plain, odd]) == [units._make(units.tokenizers.encode([u])[0]) for u in [*plain, odd]]
+    assert units._make_all([]) == []
