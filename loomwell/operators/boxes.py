@@ -70,8 +70,9 @@ def touching_components(boxes: DataFrame, gap: float = 2.0, cell: float = 256.0,
     pairs = touching_pairs(alone, gap, cell, crowd).select(node("a").alias("a"), node("b").alias("b"))
     found = components(alone.select(node("id").alias("id")), pairs)
     found = found.select(F.col("id.by").alias("by"), F.col("id.id").alias("first"), F.col("component.id").alias("component"))
-    member = rows.join(first, ["by", *SIDES]).select("by", "id", "first")
-    return member.join(found, ["by", "first"]).select("by", "id", "component")
+    # merge joins: a broadcast table is held by every task, whatever the number of tasks
+    member = rows.join(first.hint("merge"), ["by", *SIDES]).select("by", "id", "first")
+    return member.join(found.hint("merge"), ["by", "first"]).select("by", "id", "component")
 
 
 def merged_boxes(boxes: DataFrame, gap: float = 1.0, cell: float = 256.0, crowd: int = CROWD) -> DataFrame:
