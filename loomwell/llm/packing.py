@@ -15,21 +15,23 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwell.llm.memory import ENTRY, held
+from loomwell.llm.memory import held
 from loomwell.llm.shared import small_batches, text_or_empty
+from loomwell.llm.words import Encode, WordIds, runs
 
 WIDTH = 2048
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SCHEMA_IDS = SCHEMA + ", ids array<int>"
-#: Characters handed to the tokenizer at a time.
-CHARS_AT_ONCE = 1 << 20
+#: Units handed to the tokenizer as one text.
+TOGETHER = 2_000
 
 
 def _tokenizer(path: str):
@@ -41,8 +43,36 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _encoders(path: str) -> tuple[Encode, Encode, list[str]]:
+    """Encoders of units and of whole texts, and the tokenizer's added tokens."""
+    tokenizer = _tokenizer(path)
+    added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+
+    def whole(texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    feed = np.frombuffer(whole(["\n"])[0], "<u4")
+
+    def alone(units: list[str]) -> list[bytes]:
+        """Units without white space but a space in front are encoded TOGETHER, each on a line of its own: a line feed is a token
+        that none of them has, so the ids are cut there."""
+        lines = [unit for unit in units if len(unit.split()) == 1 and not unit[-1].isspace() and (not unit[0].isspace() or unit[0] == " " and not unit[1].isspace())]
+        ids: dict[str, bytes] = {}
+        if len(feed) == 1:
+            for at in range(0, len(lines), TOGETHER):
+                part = lines[at : at + TOGETHER]
+                raw = whole(["\n".join(part)])[0]
+                ends = [*np.flatnonzero(np.frombuffer(raw, "<u4") == feed[0]).tolist(), len(raw) // 4]
+                ids.update((unit, raw[4 * begin : 4 * end]) for unit, begin, end in zip(part, [0, *[end + 1 for end in ends[:-1]]], ends, strict=True))
+        rest = [unit for unit in units if unit not in ids]
+        ids.update(zip(rest, whole(rest), strict=True))
+        return [ids[unit] for unit in units]
+
+    return alone, whole, added
+
+
 def _word_ids(path: str) -> WordIds:
-    return held(f"packing {path}", lambda: WordIds(path))
+    return held(f"packing {path}", lambda: WordIds(*_encoders(path)))
 
 
 def binary_lengths(n: int, width: int = WIDTH) -> list[int]:
@@ -51,119 +81,31 @@ def binary_lengths(n: int, width: int = WIDTH) -> list[int]:
     return [width] * (n // width) + [1 << b for b in range(width.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _runs(texts: list[str]) -> Iterator[list[str]]:
-    """Consecutive texts of about CHARS_AT_ONCE characters together."""
-    at, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= CHARS_AT_ONCE:
-            yield texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield texts[at:]
-
-
-class WordIds:
-    """Ids of whole texts, with those of words between single spaces remembered.
-
-    The tokenizer's pattern begins a match at any single space between two other characters,
-    and between a letter and a run of ASCII marks, so words and the marks behind them are encoded
-    apart with the same result. A text with white space beside a space is encoded whole, and so is one
-    with an added token such as the end-of-text mark, which has its own id there as in the tokenizer's library.
-    """
-
-    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-    #: Bytes that the three dictionaries hold together at most.
-    MOST = 224 << 20
-    LONGEST = 64
-
-    def __init__(self, path: str):
-        tokenizer = _tokenizer(path)
-        self.encode = tokenizer.encode_batch_fast
-        self.added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}  # words at the start of a text
-        self.later: dict[str, bytes] = {}  # words after a space
-        self.cores: dict[str, bytes] = {}  # words without the marks behind them, and marks
-        self.bytes = 0
-        self.long: list[tuple[dict[str, bytes], str]] = []  # what is too long to be remembered
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.encode(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], new: set[str], before: str) -> None:
-        parts, plain = {}, set()
-        for word in new:
-            core = word.rstrip(self.MARKS)
-            parts[word] = (before + core, word[len(core) :]) if core and core[-1].isalpha() else (before + word, "")
-            plain.update(parts[word])
-        todo = [p for p in plain if p and p not in self.cores]
-        self.cores.update(zip(todo, self._ids(todo), strict=True))
-        self.bytes += sum(len(core) + len(self.cores[core]) + ENTRY for core in todo)
-        for word, (core, tail) in parts.items():
-            if len(word) > self.LONGEST:
-                self.long += [(known, word), (self.cores, core), (self.cores, tail)]
-            known[word] = self.cores[core] + (self.cores[tail] if tail else b"")
-            self.bytes += len(word) + len(known[word]) + ENTRY
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.bytes > self.MOST:
-            for known in (self.first, self.later, self.cores):
-                known.clear()
-            self.bytes = 0
-        cut = [text.split(" ") for text in texts]
-        heads, tails = {words[0] for words in cut}, set().union(*[words[1:] for words in cut])
-        new_heads, new_tails = {w for w in heads if w not in self.first}, {w for w in tails if w not in self.later}
-        # a word that begins or ends in white space is never remembered, so it is always new
-        odd = {w for w in new_heads | new_tails if not w or w[0].isspace() or w[-1].isspace()}
-        # the tokenizer looks for added tokens in the whole text
-        whole = [i for i, words in enumerate(cut) if odd and not odd.isdisjoint(words) or any(token in texts[i] for token in self.added)]
-        self._learn(self.first, new_heads - odd, "")
-        self._learn(self.later, new_tails - odd, " ")
-        out = [b""] * len(texts)
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        for i in set(range(len(texts))).difference(whole):
-            out[i] = self.first[cut[i][0]] + b"".join(map(self.later.__getitem__, cut[i][1:]))
-        for known, key in self.long:
-            known.pop(key, None)
-        self.long.clear()
-        return out
-
-
 def _pack(path: str, width: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _word_ids(path)
-        end = int(end_id).to_bytes(4, "little")
-        shapes = [np.array(binary_lengths(r, width), dtype=np.int64) for r in range(width)]
+        full, shapes = [width], [binary_lengths(r, width) for r in range(width)]
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            for part in _runs(texts):
-                rows: dict[str, list] = {"doc": [], "start": [], "length": [], "crc": [], "total": [], "ids": []}
-                for encoded in encode(part):
-                    ids = np.frombuffer(encoded + end, dtype="<u4")
-                    n = len(ids)
-                    lengths = np.concatenate([np.full(n // width, width, dtype=np.int64), shapes[n % width]])
-                    starts = np.cumsum(lengths) - lengths
-                    raw = memoryview(ids).cast("B")
-                    rows["crc"] += [zlib.crc32(raw[4 * s : 4 * (s + k)]) for s, k in zip(starts.tolist(), lengths.tolist(), strict=True)]
-                    rows["doc"] += [doc_ids[at]] * len(lengths)
-                    rows["total"] += [n] * len(lengths)
-                    rows["start"].append(starts)
-                    rows["length"].append(lengths)
-                    if with_ids:
-                        rows["ids"] += [ids[s : s + k].astype(np.int32) for s, k in zip(starts, lengths, strict=True)]
-                    at += 1
+            for begin, stop in runs(batch.column(1)):
+                ids, counts = encode(batch.column(1).slice(begin, stop - begin))
+                ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4", copy=False)
+                totals = counts + 1
+                cut = [full * (n // width) + shapes[n % width] for n in totals.tolist()]
+                row = np.repeat(np.arange(len(cut)), list(map(len, cut)))
+                length = np.array(list(chain.from_iterable(cut)), dtype=np.int64)
+                ends = np.cumsum(length)
+                raw = memoryview(ids).cast("B")
+                at = [0, *(4 * ends).tolist()]
                 columns = [
-                    pa.array(rows["doc"], pa.int64()),
-                    pa.array(np.concatenate(rows["start"])),
-                    pa.array(np.concatenate(rows["length"])),
-                    pa.array(rows["crc"], pa.int64()),
-                    pa.array(rows["total"], pa.int64()),
+                    batch.column(0).slice(begin, stop - begin).take(pa.array(row)),
+                    pa.array(ends - length - (np.cumsum(totals) - totals)[row]),
+                    pa.array(length),
+                    pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.int64()),
+                    pa.array(totals[row]),
                 ]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
-                    columns.append(pa.array(rows["ids"], pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int32()), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
