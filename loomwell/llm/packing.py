@@ -12,6 +12,7 @@ tokenised whole.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,6 +33,11 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SCHEMA_IDS = SCHEMA + ", ids array<int>"
 #: Units handed to the tokenizer as one text.
 TOGETHER = 2_000
+#: Letters of every version of Unicode.
+LETTERS = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+#: How a byte-level model writes each byte: as itself if it can be seen, else as the next character from U+0100 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SHOWN = {b: chr(b) for b in _SEEN} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
 
 def _tokenizer(path: str):
@@ -52,12 +58,24 @@ def _encoders(path: str) -> tuple[Encode, Encode, list[str]]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     feed = np.frombuffer(whole(["\n"])[0], "<u4")
+    tokenize, before = tokenizer.model.tokenize, tokenizer.pre_tokenizer
+    bare = tokenizer.normalizer is None and type(before).__name__ == "ByteLevel" and not before.add_prefix_space
 
     def alone(units: list[str]) -> list[bytes]:
-        """Units without white space but a space in front are encoded TOGETHER, each on a line of its own: a line feed is a token
+        """Letters, with a space before them or not, are one match of the pattern, and go to the tokenizer's model at once. Other units
+        without white space but a space in front are encoded TOGETHER, each on a line of its own: a line feed is a token
         that none of them has, so the ids are cut there."""
-        lines = [unit for unit in units if len(unit.split()) == 1 and not unit[-1].isspace() and (not unit[0].isspace() or unit[0] == " " and not unit[1].isspace())]
         ids: dict[str, bytes] = {}
+        if bare:
+            for unit in units:
+                if LETTERS(unit):
+                    shown = unit.replace(" ", "Ġ") if unit.isascii() else "".join(map(SHOWN.__getitem__, unit.encode()))
+                    ids[unit] = array("I", [token.id for token in tokenize(shown)]).tobytes()
+        lines = [
+            unit
+            for unit in units
+            if unit not in ids and len(unit.split()) == 1 and not unit[-1].isspace() and (not unit[0].isspace() or unit[0] == " " and not unit[1].isspace())
+        ]
         if len(feed) == 1:
             for at in range(0, len(lines), TOGETHER):
                 part = lines[at : at + TOGETHER]
