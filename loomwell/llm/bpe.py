@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from loomwell.llm.memory import Bounded, held
 from loomwell.llm.shared import small_batches, text_or_empty
+from loomwell.llm.words import WordIds, runs, spread
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SCHEMA_IDS = SCHEMA + ", ids binary"
@@ -144,40 +145,34 @@ class Vocabulary:
 class Encoder:
     """Whole texts to little-endian 32-bit ids and back."""
 
-    #: White space beside a space: such texts are split by the full pattern.
-    BESIDE = re.compile(r"\s | \s")
-
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         import regex
 
         self.vocabulary = vocabulary
         self.split = regex.compile(pattern).findall
-        ids_of = vocabulary.encode_piece
-        self.piece = Bounded(lambda piece: np.array(ids_of(piece.encode()), dtype="<u4").tobytes()).get
-        self.word = Bounded(lambda word: b"".join(map(self.piece, self.split(word)))).get
+        self.piece = Bounded(self._piece).get
+        self.encode = WordIds(lambda units: list(map(self._unit, units)), lambda texts: list(map(self._text, texts)), [])
         sizes = np.array(vocabulary.size, dtype=np.int64)
         self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
         self.bytes = np.frombuffer(b"".join(vocabulary.tokens), dtype=np.uint8)
 
-    def encode(self, text: str) -> bytes:
-        """A single space between two other characters always begins a match of the pattern,
-        so text without wider gaps is cut there first and most words are looked up whole."""
-        if not text:
-            return b""
-        if text[0] == " " or text[-1] == " " or self.BESIDE.search(text):
-            return b"".join(map(self.piece, self.split(text)))
-        first, *rest = text.split(" ")
-        return self.word(first) + b"".join(map(self.word, [" " + word for word in rest]))
-
-    def decode(self, ids: bytes) -> bytes:
-        """The tokens' bytes, gathered from one array of all tokens."""
-        out = []
-        for at in range(0, len(ids), 1 << 20):
-            part = np.frombuffer(ids[at : at + (1 << 20)], dtype="<u4")
-            size = self.sizes[part]
-            ends = np.cumsum(size)
-            out.append(self.bytes[np.repeat(self.starts[part] - ends + size, size) + np.arange(ends[-1])].tobytes())
-        return b"".join(out)
+    def _piece(self, piece: str) -> bytes:
+        return array("I", self.vocabulary.encode_piece(piece.encode())).tobytes()
+
+    def _text(self, text: str) -> bytes:
+        return b"".join(map(self.piece, self.split(text)))
+
+    def _unit(self, unit: str) -> bytes:
+        """Letters, with a space before them or not, are one match of the pattern."""
+        return self._piece(unit) if unit.removeprefix(" ").isalpha() else self._text(unit)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> Iterator[bytes]:
+        """The bytes of texts that have so many of the ids each, gathered from one array of all tokens."""
+        ends = np.cumsum(self.sizes[ids])
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        parts = [self.bytes[spread(self.starts[part], self.sizes[part])].tobytes() for at in range(0, len(ids), 1 << 18) if len(part := ids[at : at + (1 << 18)])]
+        out = b"".join(parts)
+        yield from (out[begin:end] for begin, end in zip(cuts, cuts[1:], strict=False))
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -190,13 +185,16 @@ def _run(path: str, pattern: str, with_ids: bool):
         sha = hashlib.sha256
         for batch in batches:
             counts, heads, tails, kept = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = own.encode(text)
-                counts.append(len(ids) // 4)
-                heads.append(sha(ids).hexdigest())
-                tails.append(sha(own.decode(ids)).hexdigest())
+            for begin, stop in runs(batch.column(1)):
+                ids, sizes = own.encode(batch.column(1).slice(begin, stop - begin))
+                raw = memoryview(ids).cast("B") if len(ids) else b""
+                ends = (4 * np.cumsum(sizes)).tolist()
+                texts = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                counts += sizes.tolist()
+                heads += [sha(text).hexdigest() for text in texts]
+                tails += [sha(text).hexdigest() for text in own.decode(ids, sizes)]
                 if with_ids:
-                    kept.append(ids)
+                    kept += map(bytes, texts)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(heads), pa.array(tails)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from loomwell.llm import packing
+from loomwell.llm import bpe, packing
 from loomwell.llm.words import WordIds
 
 BITS = ["a", "Zé", "don't", "'s", "x'S,", " ", "  ", "\n", "\n\n", "\t", "\n ", ",", "...", "12b", "\x1f", "<|endoftext|>", "\xa0", "漢字", "é!", "😀", "\x1c", " ,"]
@@ -30,6 +30,14 @@ def test_packing_ids_equal_the_tokenizer():
         assert split(*encode(pa.array(texts))) == plain
 
 
+def test_byte_bpe_ids_equal_plain_pieces():
+    encoder, texts = bpe.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), odd_texts()
+    plain = [[i for piece in encoder.split(text) for i in encoder.vocabulary.encode_piece(piece.encode())] for text in texts]
+    ids, counts = encoder.encode(pa.array(texts))
+    assert split(ids, counts) == plain
+    assert list(encoder.decode(ids, counts)) == [text.encode() for text in texts]
+
+
 def counting(most: int = 64 << 20) -> tuple[WordIds, list[str]]:
     asked: list[str] = []
 
