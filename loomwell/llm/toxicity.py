@@ -50,6 +50,10 @@ BLOCK = 64
 HEAVY = 128
 #: Terms next to these, whose postings are lists over all examples: adding up such a list is cheaper than its postings one by one.
 MIDDLE = 384
+#: Texts whose middle terms are added up in one product.
+TOGETHER = 32
+#: Weights of middle terms are rounded to multiples of 1 / GRID; products of two of these add up in 64-bit floats without error.
+GRID = float(1 << 24)
 #: Lengths of the word beginnings that are terms beside whole words.
 STEMS = (4, 5, 6)
 _words, _ascii_words = re.compile(r"[^\W\d_]+").findall, re.compile(r"[A-Za-z]+").findall
@@ -65,6 +69,10 @@ def terms_of(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in STEMS if len(word) > k]]
 
 
+def on_grid(weight: np.ndarray) -> np.ndarray:
+    return np.rint(weight.astype(np.float64) * GRID) / GRID
+
+
 @dataclass
 class Examples:
     """The index: terms, block postings, labels, ids, and the curve from vote to score."""
@@ -87,11 +95,12 @@ class Examples:
     name: str = ""
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": None, "vocabulary": "\n".join(self.vocabulary)}
+        return self.__dict__ | {"known": None, "vocabulary": "\n".join(self.vocabulary), "lists": self.lists.astype(np.float32)}  # holds 24 bits
 
     def __setstate__(self, state: dict) -> None:
         terms = state["vocabulary"]
-        self.__dict__ = state | {"vocabulary": {term: i for i, term in enumerate(terms.split("\n") if terms else [])}}
+        vocabulary = {term: i for i, term in enumerate(terms.split("\n") if terms else [])}
+        self.__dict__ = state | {"vocabulary": vocabulary, "lists": state["lists"].astype(np.float64)}
 
     def numbers(self, word: str) -> bytes:
         """The numbers of a word's terms. No example has what is longer than a beginning that none has."""
@@ -118,8 +127,18 @@ class Examples:
         weight = (1 + np.log(counts)) * self.idf[terms]
         return terms, weight / np.sqrt((weight**2).sum())
 
-    def nearest(self, terms: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with a cosine above zero."""
+    def listed(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What middle terms add to each example, for up to TOGETHER vectors, in one product. Weights are multiples of 1 / GRID, so
+        sums are exact and don't depend on what is added up first, nor on the other vectors."""
+        own = np.zeros((len(vectors), len(self.lists)))
+        for at, (terms, weight) in enumerate(vectors):
+            middle = self.middle[terms]
+            inside = middle >= 0
+            own[at, middle[inside]] = on_grid(weight[inside])
+        return own @ self.lists
+
+    def nearest(self, terms: np.ndarray, weight: np.ndarray, k: int, but: int = -1, listed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the k nearest examples with a cosine above zero. ``listed``: this vector's row of :meth:`listed`."""
         n, row, own = len(self.labels), self.heavy[terms], weight.astype(np.float32)
         heavy = row[row >= 0]
         begin, end = self.starts[terms].T
@@ -131,10 +150,7 @@ class Examples:
             score = np.bincount(found[:, 0], found[:, 1].view(np.float32) * np.repeat(own, size), n)
         else:
             score = np.zeros(n)
-        middle = self.middle[terms]
-        inside = middle >= 0
-        if inside.any():
-            score += own[inside] @ self.lists[middle[inside]]
+        score += self.listed([(terms, weight)])[0] if listed is None else listed
         if len(heavy):
             over = np.zeros(self.rows.shape[1], np.float32)
             over[heavy] = weight[row >= 0]
@@ -154,21 +170,26 @@ class Examples:
         top = np.lexsort((number, -best))[:k]
         return number[top], best[top]
 
-    def vote(self, terms: np.ndarray, weight: np.ndarray, but: int = -1) -> tuple[float | None, np.ndarray]:
-        at, cosine = self.nearest(terms, weight, NEIGHBOURS, but)
+    def vote(self, terms: np.ndarray, weight: np.ndarray, but: int = -1, listed: np.ndarray | None = None) -> tuple[float | None, np.ndarray]:
+        at, cosine = self.nearest(terms, weight, NEIGHBOURS, but, listed)
         if not len(at):
             return None, at
         squared = cosine**2
         return float((squared @ self.labels[at] + 0.1 * self.without) / (squared.sum() + 0.1)), at
 
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], leave_out: bool = False) -> Iterator[tuple[float | None, np.ndarray]]:
+        """The votes on all vectors; ``leave_out``: the vectors are those of the examples, which don't vote on themselves."""
+        for begin in range(0, len(vectors), TOGETHER):
+            part = vectors[begin : begin + TOGETHER]
+            for at, (vector, listed) in enumerate(zip(part, self.listed(part), strict=False)):
+                yield self.vote(*vector, begin + at if leave_out else -1, listed) if len(vector[0]) else (None, np.zeros(0, np.int64))
+
     def score(self, text: str) -> tuple[float, list[int]]:
-        terms, weight = self.vector(text)
-        if not len(terms):
-            return self.without, []
-        vote, at = self.vote(terms, weight)
-        if vote is None:
-            return self.without, []
-        return float(np.interp(vote, self.curve_x, self.curve_y)), self.ids[at].tolist()
+        return next(self.scores([text]))
+
+    def scores(self, texts: list[str]) -> Iterator[tuple[float, list[int]]]:
+        for vote, at in self.votes([self.vector(text) for text in texts]):
+            yield (self.without, []) if vote is None else (float(np.interp(vote, self.curve_x, self.curve_y)), self.ids[at].tolist())
 
 
 def _rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,9 +247,9 @@ def fit(texts: list[str], labels: list[int], ids: list[int]) -> Examples:
     model.rows = np.zeros((len(order), len(most)), np.float32)
     for at, (begin, end) in enumerate(starts[most]):
         model.rows[numbers[begin:end], at] = weights[begin:end]
-    model.lists = np.zeros((len(middle), len(order)), np.float32)
+    model.lists = np.zeros((len(middle), len(order)))
     for at, (begin, end) in enumerate(starts[middle]):
-        model.lists[at, numbers[begin:end]] = weights[begin:end]
+        model.lists[at, numbers[begin:end]] = on_grid(weights[begin:end])
     few = counts.copy()
     few[common] = 0
     left = np.repeat(few > 0, counts)
@@ -237,7 +258,7 @@ def fit(texts: list[str], labels: list[int], ids: list[int]) -> Examples:
     model.starts = np.stack([ends - few, ends], axis=1)
     del numbers, weights, starts
     model.most = np.stack([model.rows[i : i + BLOCK].max(0) for i in range(0, len(order), BLOCK)], axis=1) if order else np.zeros((len(most), 0))
-    votes = np.array([v if (v := model.vote(*vectors[i], but=at)[0]) is not None else model.without for at, i in enumerate(order)])
+    votes = np.array([model.without if vote is None else vote for vote, _ in model.votes([vectors[i] for i in order], leave_out=True)])
     if len(votes):
         model.curve_x, model.curve_y = _rising(votes, model.labels)
     return model
@@ -247,7 +268,7 @@ def _score_rows(model, with_evidence: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = _examples(model)
         for batch in batches:
-            found = [examples.score(text) for text in batch.column(1).to_pylist()]
+            found = list(examples.scores(batch.column(1).to_pylist()))
             score = np.array([s for s, _ in found])
             columns = [batch.column(0), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))]
             names = ["doc_id", "score", "predicted"]
@@ -301,7 +322,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = _examples(model)
         for batch in batches:
-            keep = [examples.score(text or "")[0] < 0.5 for text in batch.column("text").to_pylist()]
+            keep = [score < 0.5 for score, _ in examples.scores([text or "" for text in batch.column("text").to_pylist()])]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
