@@ -18,7 +18,6 @@ labelled per row; other columns are not read; ties go to the language that sorts
 from __future__ import annotations
 
 import re
-import uuid
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwell.llm.memory import ENTRY, held
+from loomwell.llm.memory import ENTRY, give_back, held_of
 from loomwell.llm.sampling import bounded_texts, hash_order
 from loomwell.llm.shared import crc_of_id, small_batches, text_or_empty
 
@@ -88,7 +87,7 @@ class Model:
     """Per-language n-gram scores, and the languages written in each script."""
 
     def __init__(self, langs: list[str], table: dict[str, np.ndarray], scripts: dict[str, np.ndarray]):
-        self.langs, self.scripts, self.name = langs, scripts, uuid.uuid4().hex
+        self.langs, self.scripts = langs, scripts
         self.place = {gram: i for i, gram in enumerate(table)}
         self.rows = np.array([*table.values()], np.float32).reshape(len(table), len(langs))
 
@@ -232,14 +231,14 @@ def _label_rows(model):
             found = own.labels(batch.column(1).to_pylist())
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "lang_pred", "score", "spans"])
+            give_back()
 
     return run
 
 
 def _labeller(model) -> Labeller:
     """One labeller, with its memory of words, per worker and model."""
-    own = model.value
-    return held(f"language {own.name}", lambda: Labeller(own))
+    return held_of("language", model, Labeller)
 
 
 def learn(docs: DataFrame, bound: int = FIT_ROWS) -> Model:
@@ -249,8 +248,9 @@ def learn(docs: DataFrame, bound: int = FIT_ROWS) -> Model:
     if not counts:
         return Model.fit([], [])
     each = max(bound // len(counts), 1)
-    shares = [(lang, int(min(each / n, 1.0) * ((1 << 62) - 1))) for lang, n in counts.items()]
-    limits = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, most long"))
+    shares = [int(min(each / n, 1.0) * ((1 << 62) - 1)) for n in counts.values()]
+    # from Arrow: rows of Python objects go through workers of another kind, which would stay beside those of the operators
+    limits = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(counts, pa.string()), "most": pa.array(shares, pa.int64())})))
     taken = usable.join(limits, "lang").where(hash_order("doc_id").bitwiseAND(F.lit((1 << 62) - 1)) <= F.col("most")).select("doc_id", "lang", "text")
     taken = bounded_texts(taken, "doc_id", FIT_CHARS)
     return Model.fit(taken.column("text").to_pylist(), taken.column("lang").to_pylist())
@@ -276,5 +276,6 @@ def keep_known(docs: DataFrame) -> DataFrame:
         for batch in batches:
             keep = [lang != UNDECIDED for lang, *_ in own.labels([text or "" for text in batch.column("text").to_pylist()])]
             yield batch.filter(pa.array(keep, pa.bool_()))
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,8 +1,8 @@
 """What a Python worker remembers between batches: bounded by bytes, freed when another operator comes.
 
 Spark reuses Python workers, so whatever a module keeps would stay while later stages run in the
-same worker. ``held`` keeps the things of one operator at a time. ``Bounded`` remembers computed
-bytes up to a budget.
+same worker. ``held`` keeps the things of one operator at a time, ``held_of`` those made of a broadcast.
+``Bounded`` remembers computed bytes up to a budget.
 """
 
 from __future__ import annotations
@@ -20,16 +20,21 @@ BUDGET = 32 << 20
 ENTRY = 150
 
 _held: dict[str, Any] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def give_back() -> None:
+    """Give freed pages back to the system: they would else stay with the process's allocators."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def drop() -> None:
-    """Forget what is held, and give its pages back to the system: freed ones would else stay with the worker's allocators."""
+    """Forget what is held, and give its pages back."""
     _held.clear()
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-    if trim:
-        trim(0)
+    give_back()
 
 
 def held(name: str, make: Callable[[], Any]) -> Any:
@@ -37,9 +42,15 @@ def held(name: str, make: Callable[[], Any]) -> Any:
     if name not in _held:
         drop()
         _held[name] = make()
+        give_back()
     return _held[name]
 
 
+def held_of(kind: str, shared: Any, make: Callable[[Any], Any]) -> Any:
+    """What ``make`` makes of a broadcast's value, which is loaded only once the things of other names are dropped."""
+    return held(f"{kind} {id(shared)}", lambda: (shared, make(shared.value)))[1]
+
+
 class Bounded:
     """Remembers ``make(key)`` in two generations; what is asked for again stays."""
 

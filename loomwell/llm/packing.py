@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwell.llm.memory import held
+from loomwell.llm.memory import give_back, held
 from loomwell.llm.shared import small_batches, text_or_empty
 from loomwell.llm.words import Encode, WordIds, runs
 
@@ -126,6 +126,7 @@ def _pack(path: str, width: int, end_id: int, with_ids: bool):
                     columns.append(pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int32()), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+            give_back()
 
     return run
 

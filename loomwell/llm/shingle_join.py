@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from loomwell.llm import signature_tree as tree
 from loomwell.llm.components import components
-from loomwell.llm.memory import Bounded, held
+from loomwell.llm.memory import Bounded, give_back, held
 from loomwell.llm.shared import BROADCAST_IDS, TEXT_KEY, forget, materialise, release, small_batches, text_key, text_or_empty, without
 
 #: Sets that one task searches at most (twice as many where two blocks meet).
@@ -154,6 +154,7 @@ def _scan(k: int, percent: int):
                 spare.append(out)
             columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(spare, pa.int64()), _lists(keys)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", TEXT_KEY, "n_shingles", "digest", "spare", "keys"])
+            give_back()
 
     return run
 
@@ -165,6 +166,7 @@ def _region_keys(k: int, percent: int):
             rows = [(node, *found) for node, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for found in regions.keys(shingles(text)[0])]
             nodes, levels, spare = (pa.array([row[i] for row in rows], pa.int64()) for i in range(3))
             yield pa.RecordBatch.from_arrays([nodes, levels, spare, _lists([row[3] for row in rows])], ["node", "level", "spare", "keys"])
+            give_back()
 
     return run
 
@@ -175,6 +177,7 @@ def _members(k: int):
         for batch in batches:
             members = pa.array([shingles(text)[0].tobytes() for text in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("component"), batch.column("n"), members], ["node", "component", "n", "members"])
+            give_back()
 
     return run
 

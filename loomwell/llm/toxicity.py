@@ -22,8 +22,8 @@ Ties in cosine go to the example that stands first in the index.
 
 from __future__ import annotations
 
+import gc
 import re
-import uuid
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwell.llm.memory import Bounded, held
+from loomwell.llm.memory import Bounded, give_back, held_of
 from loomwell.llm.sampling import bounded_texts, labelled_sample
 from loomwell.llm.shared import crc_of_id, small_batches, text_or_empty
 
@@ -92,7 +92,6 @@ class Examples:
     curve_x: np.ndarray
     curve_y: np.ndarray
     known: Callable[[str], bytes] | None = None
-    name: str = ""
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": None, "vocabulary": "\n".join(self.vocabulary), "lists": self.lists.astype(np.float32)}  # holds 24 bits
@@ -276,6 +275,7 @@ def _score_rows(model, with_evidence: bool):
                 columns.append(pa.array([e for _, e in found], pa.list_(pa.int64())))
                 names.append("evidence")
             yield pa.RecordBatch.from_arrays(columns, names)
+            give_back()
 
     return run
 
@@ -290,14 +290,16 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS):
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id")
     taught = bounded_texts(taught, "doc_id", FIT_CHARS)
     model = fit(*[taught.column(c).to_pylist() for c in ("text", "toxic", "doc_id")])
-    model.name = uuid.uuid4().hex
-    return docs.sparkSession.sparkContext.broadcast(model)
+    model = docs.sparkSession.sparkContext.broadcast(model)
+    del taught
+    gc.collect()
+    give_back()
+    return model
 
 
 def _examples(model) -> Examples:
     """The examples, with their memory of words, of a worker; what other operators have remembered there is dropped before."""
-    own: Examples = model.value
-    return held(f"toxicity {own.name}", lambda: own)
+    return held_of("toxicity", model, lambda own: own)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, with_evidence: bool = True) -> DataFrame:
@@ -324,5 +326,6 @@ def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             keep = [score < 0.5 for score, _ in examples.scores([text or "" for text in batch.column("text").to_pylist()])]
             yield batch.filter(pa.array(keep, pa.bool_()))
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)
