@@ -54,6 +54,8 @@ MIDDLE = 384
 TOGETHER = 32
 #: Weights of middle terms are rounded to multiples of 1 / GRID; products of two of these add up in 64-bit floats without error.
 GRID = float(1 << 24)
+#: Examples whose lists are widened to 64 bits at a time.
+WIDENED = 1024
 #: Lengths of the word beginnings that are terms beside whole words.
 STEMS = (4, 5, 6)
 _words, _ascii_words = re.compile(r"[^\W\d_]+").findall, re.compile(r"[A-Za-z]+").findall
@@ -94,12 +96,11 @@ class Examples:
     known: Callable[[str], bytes] | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": None, "vocabulary": "\n".join(self.vocabulary), "lists": self.lists.astype(np.float32)}  # holds 24 bits
+        return self.__dict__ | {"known": None, "vocabulary": "\n".join(self.vocabulary)}
 
     def __setstate__(self, state: dict) -> None:
         terms = state["vocabulary"]
-        vocabulary = {term: i for i, term in enumerate(terms.split("\n") if terms else [])}
-        self.__dict__ = state | {"vocabulary": vocabulary, "lists": state["lists"].astype(np.float64)}
+        self.__dict__ = state | {"vocabulary": {term: i for i, term in enumerate(terms.split("\n") if terms else [])}}
 
     def numbers(self, word: str) -> bytes:
         """The numbers of a word's terms. No example has what is longer than a beginning that none has."""
@@ -134,7 +135,10 @@ class Examples:
             middle = self.middle[terms]
             inside = middle >= 0
             own[at, middle[inside]] = on_grid(weight[inside])
-        return own @ self.lists
+        out = np.empty((len(vectors), self.lists.shape[1]))
+        for at in range(0, out.shape[1], WIDENED):
+            out[:, at : at + WIDENED] = own @ self.lists[:, at : at + WIDENED].astype(np.float64)
+        return out
 
     def nearest(self, terms: np.ndarray, weight: np.ndarray, k: int, but: int = -1, listed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a cosine above zero. ``listed``: this vector's row of :meth:`listed`."""
@@ -241,12 +245,12 @@ def fit(texts: list[str], labels: list[int], ids: list[int]) -> Examples:
     starts = np.stack([ends - counts, ends], axis=1)
     common = np.lexsort((np.arange(len(kept)), -counts))[: HEAVY + MIDDLE]
     most, middle = common[:HEAVY], common[HEAVY:]
-    model.heavy, model.middle = np.full(len(kept), -1, np.int64), np.full(len(kept), -1, np.int64)
+    model.heavy, model.middle = np.full(len(kept), -1, np.int16), np.full(len(kept), -1, np.int16)
     model.heavy[most], model.middle[middle] = np.arange(len(most)), np.arange(len(middle))
     model.rows = np.zeros((len(order), len(most)), np.float32)
     for at, (begin, end) in enumerate(starts[most]):
         model.rows[numbers[begin:end], at] = weights[begin:end]
-    model.lists = np.zeros((len(middle), len(order)))
+    model.lists = np.zeros((len(middle), len(order)), np.float32)  # multiples of 1 / GRID up to 1 have 24 bits
     for at, (begin, end) in enumerate(starts[middle]):
         model.lists[at, numbers[begin:end]] = on_grid(weights[begin:end])
     few = counts.copy()
