@@ -11,6 +11,9 @@ bytes. Two token occurrences are linked when their byte ranges overlap. The work
 3. Each chunk asks the stripes for its distinct pairs (a stripe's counts and the requests of one share of the chunks meet
    in one task, counts first), and the answers go to the chunk, where its links are scored.
 
+No row holds more than ``PIECE`` values of an array: longer arrays go on in the rows that follow. Spark reads such tables back in batches
+of thousands of rows, so the memory of a batch is bounded by the size of a row and by nothing else, neither by the files' size nor by the texts.
+
 A text is cut into units, a space or one line feed and what follows up to the next white space, wherever it has no
 other white space: both tokenizers begin a token there, so a unit's tokens, groups and links are the same in every text, and what a
 worker has seen before it looks up. Any other text is one unit.
@@ -44,6 +47,12 @@ STRIPES = 128
 CHUNK_CHARS = 4 << 20
 #: Chunks whose requests to one stripe meet in one task.
 CHUNKS_A_SHARE = 512
+#: Values of an array in one row at most.
+PIECE = 512
+#: Rows of a stripe's block whose counts are given out at a time.
+COUNTED_AT_ONCE = 32
+#: Rows handed over at a time.
+ROWS_AT_ONCE = 2048
 #: Bytes of units that a worker remembers at most.
 MOST = 64 << 20
 LONGEST = 64
@@ -276,17 +285,35 @@ def units_of(text: str) -> list[str]:
     return units if sum(map(len, units)) == len(spaced) else [spaced]
 
 
-CHUNK = "chunk long, stripe int, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digests array<string>, "
-CHUNK += "unit_counts array<int>, units array<int>, code_counts array<int>, unit_codes array<int>, codes array<int>, times array<long>"
-TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-FIELDS = [(name, TYPES[kind.removeprefix("array<").removesuffix(">")], kind.startswith("array")) for name, kind in (f.split(" ") for f in CHUNK.split(", "))]
-#: The stripe of a chunk's own row.
+#: A chunk's own rows have stripe OWN and are of one of these kinds, each numbered by ``at``: a document; then pieces of the numbers of all
+#: documents' units, of the links of each different unit, of the numbers of these links' codes, and of the codes. ANSWER comes behind them.
+DOCUMENT, UNITS, CODE_COUNTS, UNIT_CODES, CODES, ANSWER = range(6)
 OWN = -1
+DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, digest string, n_units int"
+CHUNK = f"chunk long, stripe int, kind int, at int, {DOC}, own array<int>, codes array<int>, times array<long>"
+DOC_FIELDS = [f.split(" ")[0] for f in DOC.split(", ")]
+TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+FIELDS = [(name, TYPES[kind]) for name, kind in (f.split(" ") for f in CHUNK.split(", "))]
+
+
+def _rows(n: int, **values) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk, a bounded number at a time. A number stands in all of them, what isn't given is null."""
+    columns = []
+    for name, kind in FIELDS:
+        value = values.get(name)
+        columns.append(pa.nulls(n, kind) if value is None else pa.array(np.full(n, value), kind) if isinstance(value, int) else value if isinstance(value, pa.Array) else pa.array(value, kind))
+    batch = pa.RecordBatch.from_arrays(columns, [name for name, _ in FIELDS])
+    for at in range(0, n, ROWS_AT_ONCE):
+        yield batch.slice(at, ROWS_AT_ONCE)
+
 
+def _lists(starts: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    """Lists that begin at ``starts`` in ``values`` and reach to the next one."""
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values))
 
-def _row(**values) -> pa.RecordBatch:
-    columns = [pa.array([values.get(name)], pa.list_(kind) if many else kind) for name, kind, many in FIELDS]
-    return pa.RecordBatch.from_arrays(columns, [name for name, _, _ in FIELDS])
+
+def _starts(n: int) -> np.ndarray:
+    return np.arange(0, n, PIECE)
 
 
 class Chunk:
@@ -337,18 +364,18 @@ class Chunk:
         codes, where = np.unique(links, return_inverse=True)
         times = np.zeros(len(codes), dtype=np.int64)
         np.add.at(times, where, np.repeat(used, sizes[:, 3]))
-        yield _row(
-            chunk=chunk, stripe=OWN, doc_ids=self.doc_ids, n_a=totals[:, 1], n_b=totals[:, 2], n_groups=totals[:, 0], n_links=totals[:, 3],
-            digests=self.digests, unit_counts=counts, units=flat, code_counts=sizes[:, 3].astype(np.int32), unit_codes=where.astype(np.int32), codes=codes.view(np.int32),
+        yield from _rows(
+            len(counts), chunk=chunk, stripe=OWN, kind=DOCUMENT, at=np.arange(len(counts)), doc_id=self.doc_ids, n_a=totals[:, 1], n_b=totals[:, 2], n_groups=totals[:, 0],
+            n_links=totals[:, 3], digest=self.digests, n_units=counts,
         )
-        stripe = (codes >> 16) % stripes
-        order = np.argsort(stripe, kind="stable")
-        ends = np.searchsorted(stripe[order], np.arange(stripes + 1))
-        for s in range(stripes):
-            own = order[ends[s] : ends[s + 1]]
-            own = own[times[own] > 0]
-            if len(own):
-                yield _row(chunk=chunk, stripe=s, codes=codes[own].view(np.int32), times=times[own])
+        for kind, own in ((UNITS, flat), (CODE_COUNTS, sizes[:, 3].astype(np.int32)), (UNIT_CODES, where.astype(np.int32)), (CODES, codes.view(np.int32))):
+            starts = _starts(len(own))
+            yield from _rows(len(starts), chunk=chunk, stripe=OWN, kind=kind, at=np.arange(len(starts)), own=_lists(starts, own))
+        asked = np.flatnonzero(times)
+        asked = asked[np.argsort((codes[asked] >> 16) % stripes, kind="stable")]
+        stripe = ((codes[asked] >> 16) % stripes).astype(np.int32)
+        starts = np.flatnonzero((np.arange(len(stripe)) - stripe.searchsorted(stripe)) % PIECE == 0)
+        yield from _rows(len(starts), chunk=chunk, stripe=stripe[starts], codes=_lists(starts, codes[asked].view(np.int32)), times=_lists(starts, times[asked]))
 
 
 def _align(a_path: str, b_path: str, stripes: int, chunk_chars: int):
@@ -371,51 +398,82 @@ def _place(codes: np.ndarray, stripes: int, width: int) -> np.ndarray:
     return (codes >> 16).astype(np.int64) // stripes * width + (codes & 0xFFFF)
 
 
-def _values(batch: pa.RecordBatch, name: str, row: int = 0) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index(name))[row].values.to_numpy(zero_copy_only=False)
+def _flat(batch: pa.RecordBatch, name: str, low: int = 0, high: int | None = None) -> np.ndarray:
+    """The values of the lists of some rows, one behind the other."""
+    lists = batch.column(name)
+    return lists.slice(low, (len(lists) if high is None else high) - low).flatten().to_numpy(zero_copy_only=False)
+
+
+def _runs(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[tuple[int, ...], int, int]]:
+    """The values of integer columns in consecutive rows that have the same ones, the first of these rows and the one behind the last."""
+    columns = [batch.column(name).to_numpy(zero_copy_only=False) for name in names]
+    change = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
+    for column in columns:
+        change |= column[1:] != column[:-1]
+    cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        yield tuple(int(column[low]) for column in columns), low, high
+
+
+COUNTS = "stripe int, codes array<int>, counts array<long>, best array<boolean>"
 
 
 def _count(stripes: int, width: int, rows: int):
     """Rows of one stripe after the other: adds pairs into the stripe's block, gives counts and the rows' maxima."""
 
-    def finish(stripe: int, block: np.ndarray) -> pa.RecordBatch:
-        best = block.reshape(rows, width).max(axis=1)
-        at = np.flatnonzero(block)
-        count = block[at]
-        code = ((at // width * stripes + stripe) << 16 | at % width).astype(np.uint32)
-        names = ["stripe", "codes", "counts", "best"]
-        columns = [pa.array([stripe], pa.int32()), pa.array([code.view(np.int32)], pa.list_(pa.int32())), pa.array([count], pa.list_(pa.int64())), pa.array([count == best[at // width]], pa.list_(pa.bool_()))]
-        return pa.RecordBatch.from_arrays(columns, names)
+    def finish(stripe: int, block: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for first in range(0, rows, COUNTED_AT_ONCE):
+            part = block[first * width : (first + COUNTED_AT_ONCE) * width]
+            best = part.reshape(-1, width).max(axis=1)
+            at = np.flatnonzero(part)
+            if not len(at):
+                continue
+            count = part[at]
+            code = (((first + at // width) * stripes + stripe) << 16 | at % width).astype(np.uint32)
+            starts = _starts(len(at))
+            lists = [_lists(starts, code.view(np.int32)), _lists(starts, count), _lists(starts, count == best[at // width])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), stripe, dtype=np.int32)), *lists], ["stripe", "codes", "counts", "best"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("alignment counts", dict)  # lets go of the units that the worker has remembered
         block = np.zeros(rows * width, dtype=np.int64)
         stripe = None
         for batch in batches:
-            for k, now in enumerate(batch.column(0).to_pylist()):
+            for (now,), low, high in _runs(batch, "stripe"):
                 if stripe not in (None, now):
-                    yield finish(stripe, block)
+                    yield from finish(stripe, block)
                     block[:] = 0
                 stripe = now
-                np.add.at(block, _place(_values(batch, "codes", k).view(np.uint32), stripes, width), _values(batch, "times", k))
+                np.add.at(block, _place(_flat(batch, "codes", low, high).view(np.uint32), stripes, width), _flat(batch, "times", low, high))
         if stripe is not None:
-            yield finish(stripe, block)
+            yield from finish(stripe, block)
 
     return run
 
 
+ANSWERS = "chunk long, codes array<int>, counts array<long>, best array<boolean>"
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per stripe and share: counts first, then the requests of chunks, each of which gets the counts of its codes."""
     held("alignment counts", dict)
+    of, given, have = None, [], None
     for batch in batches:
-        for k, kind in enumerate(batch.column(2).to_pylist()):
-            asked = _values(batch, "codes", k).view(np.uint32)
+        for (stripe, share, kind), low, high in _runs(batch, "stripe", "share", "kind"):
+            if of != (stripe, share):
+                of, given, have = (stripe, share), [], None
+            asked = _flat(batch, "codes", low, high).view(np.uint32)
             if kind == 0:
-                order = np.argsort(asked)
-                have, count, best = asked[order], _values(batch, "counts", k)[order], _values(batch, "best", k)[order]
+                given.append((asked, _flat(batch, "counts", low, high), _flat(batch, "best", low, high)))
                 continue
+            if have is None:
+                have, count, best = map(np.concatenate, zip(*given, strict=True))
+                order, given = np.argsort(have), []
+                have, count, best = have[order], count[order], best[order]
             at = np.searchsorted(have, asked)
-            columns = [batch.column(3).slice(k, 1), pa.array([asked.view(np.int32)], pa.list_(pa.int32())), pa.array([count[at]], pa.list_(pa.int64())), pa.array([best[at]], pa.list_(pa.bool_()))]
+            offsets = batch.column("codes").offsets.to_numpy()[low:high]
+            starts = offsets - offsets[0]
+            columns = [batch.column("chunk").slice(low, high - low), _lists(starts, asked.view(np.int32)), _lists(starts, count[at]), _lists(starts, best[at])]
             yield pa.RecordBatch.from_arrays(columns, ["chunk", "codes", "counts", "best"])
 
 
@@ -423,36 +481,43 @@ OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per chunk: its own row first, then the answers; gives one row per document."""
+    """Per chunk: its own rows first, then the answers; gives one row per document."""
 
-    def finish(own: dict[str, np.ndarray], count: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
-        of_unit = np.repeat(np.arange(len(own["code_counts"])), own["code_counts"])
-        owner = np.repeat(np.arange(len(own["unit_counts"])), own["unit_counts"])
+    def finish(docs: pa.Table, own: list[list[np.ndarray]], count: np.ndarray, best: np.ndarray) -> Iterator[pa.RecordBatch]:
+        units, code_counts, unit_codes = (np.concatenate(own[kind]) if own[kind] else np.empty(0, np.int32) for kind in (UNITS, CODE_COUNTS, UNIT_CODES))
+        unit_counts = docs["n_units"].to_numpy()
+        of_unit = np.repeat(np.arange(len(code_counts)), code_counts)
+        owner = np.repeat(np.arange(len(unit_counts)), unit_counts)
         sums = []
         for value in (best, count):
-            unit, doc = np.zeros(len(own["code_counts"]), np.int64), np.zeros(len(own["unit_counts"]), np.int64)
-            np.add.at(unit, of_unit, value[own["unit_codes"]])
-            np.add.at(doc, owner, unit[own["units"]])
+            unit, doc = np.zeros(len(code_counts), np.int64), np.zeros(len(unit_counts), np.int64)
+            np.add.at(unit, of_unit, value[unit_codes])
+            np.add.at(doc, owner, unit[units])
             sums.append(pa.array(doc))
-        arrays = [own["doc_ids"], *[own[c] for c in ("n_a", "n_b", "n_groups", "n_links")], *sums, own["digests"]]
-        return pa.RecordBatch.from_arrays(arrays, [f.split(" ")[0] for f in OUT.split(", ")])
+        arrays = [*[docs[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")], *sums, docs["digest"]]
+        yield from pa.Table.from_arrays(arrays, [f.split(" ")[0] for f in OUT.split(", ")]).to_batches(ROWS_AT_ONCE)
 
     held("alignment counts", dict)
-    own = None
+    of, docs, own, codes = None, [], [], None
     for batch in batches:
-        for k, kind in enumerate(batch.column(1).to_pylist()):
-            if kind == 0:
-                if own:
-                    yield finish(own, count, best)
-                own = {c: _values(batch, c, k) for c in ("unit_counts", "units", "code_counts", "unit_codes", "codes")}
-                own |= {c: batch.column(batch.schema.get_field_index(c))[k].values for c in ("doc_ids", "n_a", "n_b", "n_groups", "n_links", "digests")}
-                codes = own["codes"].view(np.uint32)
-                count, best = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
-                continue
-            at = np.searchsorted(codes, _values(batch, "codes", k).view(np.uint32))
-            count[at], best[at] = _values(batch, "counts", k), _values(batch, "best", k)
-    if own:
-        yield finish(own, count, best)
+        for (chunk, kind), low, high in _runs(batch, "chunk", "kind"):
+            if of != chunk:
+                if docs:
+                    yield from finish(pa.Table.from_batches(docs), own, count, best)
+                of, docs, own, codes = chunk, [], [[] for _ in range(ANSWER)], None
+                count = best = np.empty(0, np.int64)
+            if kind == DOCUMENT:
+                docs.append(batch.slice(low, high - low).select(DOC_FIELDS))
+            elif kind != ANSWER:
+                own[kind].append(_flat(batch, "own", low, high))
+            else:
+                if codes is None:
+                    codes = np.concatenate(own[CODES]).view(np.uint32)
+                    count, best = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+                at = np.searchsorted(codes, _flat(batch, "codes", low, high).view(np.uint32))
+                count[at], best[at] = _flat(batch, "counts", low, high), _flat(batch, "best", low, high)
+    if docs:
+        yield from finish(pa.Table.from_batches(docs), own, count, best)
 
 
 def _parts(rows: DataFrame, most: int) -> int:
@@ -462,9 +527,9 @@ def _parts(rows: DataFrame, most: int) -> int:
 
 
 def pair_counts(requests: DataFrame, stripes: int, width: int, height: int) -> DataFrame:
-    """stripe, codes, counts and best (whether a count is its B id's highest), one row per stripe."""
+    """stripe, codes, counts and best (whether a count is its B id's highest)."""
     dealt = requests.select("stripe", "codes", "times").repartition(_parts(requests, stripes), "stripe").sortWithinPartitions("stripe")
-    return dealt.mapInArrow(_count(stripes, width, -(-height // stripes)), "stripe int, codes array<int>, counts array<long>, best array<boolean>")
+    return dealt.mapInArrow(_count(stripes, width, -(-height // stripes)), COUNTS)
 
 
 def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", stripes: int = STRIPES, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -477,16 +542,16 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     requests = made.where(f"stripe <> {OWN}").select("stripe", "chunk", "codes", "times")
     counts, counts_path = materialise(pair_counts(requests, stripes, len(sizes.a_bytes), len(sizes.b_bytes)), "alignment-counts")
     own = made.where(f"stripe = {OWN}")
-    chunks = own.count()
+    chunks = own.where(f"kind = {DOCUMENT} AND at = 0").count()
     shares = max(1, -(-chunks // CHUNKS_A_SHARE))
     share = F.pmod(F.xxhash64("chunk"), F.lit(shares)).cast("int")
     asked = requests.select("stripe", share.alias("share"), F.lit(1).alias("kind"), "chunk", "codes", F.lit(None).cast("array<long>").alias("counts"), F.lit(None).cast("array<boolean>").alias("best"))
     stored = counts.select("stripe", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("chunk"), "codes", "counts", "best")
     dealt = stored.unionByName(asked).repartition(_parts(requests, stripes * shares), "stripe", "share").sortWithinPartitions("stripe", "share", "kind")
-    answers = dealt.mapInArrow(_answer, "chunk long, codes array<int>, counts array<long>, best array<boolean>")
-    mine = own.select("chunk", F.lit(0).alias("kind"), *[name for name, _, _ in FIELDS if name not in ("chunk", "stripe", "times")])
-    meet = mine.unionByName(answers.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    scored, _ = materialise(meet.repartition(_parts(meet, max(1, chunks)), "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_score, OUT), "alignment-scores")
+    answers = dealt.mapInArrow(_answer, ANSWERS)
+    mine = own.select("chunk", "kind", "at", *DOC_FIELDS, "own")
+    meet = mine.unionByName(answers.withColumn("kind", F.lit(ANSWER)), allowMissingColumns=True)
+    scored, _ = materialise(meet.repartition(_parts(meet, max(1, chunks)), "chunk").sortWithinPartitions("chunk", "kind", "at").mapInArrow(_score, OUT), "alignment-scores")
     forget(spark, made_path)
     forget(spark, counts_path)
     return scored

@@ -147,3 +147,22 @@ def test_units_aligned_together_equal_units_aligned_alone():
     for odd in ("  two  spaces ", " ", " a▁b", " \ud800", "\n\n", " tab\there"):
         assert units._make_all([*plain, odd]) == [units._make(units.tokenizers.encode([u])[0]) for u in [*plain, odd]]
     assert units._make_all([]) == []
+
+
+def test_rows_between_the_steps_stay_small(spark, monkeypatch):
+    """However many units a chunk has: Spark reads such rows back by thousands, and holds all of them at once."""
+    widest, write = {}, token_alignment.materialise
+
+    def looked_at(df, what, *args, **kwargs):
+        written, path = write(df, what, *args, **kwargs)
+        arrays = [c for c, kind in written.dtypes if kind.startswith("array")]
+        if arrays:
+            widest[what] = max(v or 0 for v in written.select([F.max(F.size(c)) for c in arrays]).first())
+        return written, path
+
+    monkeypatch.setattr(token_alignment, "materialise", looked_at)
+    rows = [(k, " ".join(f"w{i * 37 % 911}" for i in range(k, k + 300))) for k in range(6)] + [(9, "x" * 500), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in token_alignment.align_documents(docs.coalesce(1), A, B, stripes=2).collect()}
+    assert set(widest) == {"alignment-chunks", "alignment-counts"} and max(widest.values()) <= 512
+    assert {r[:7] for r in got} == {r[:7] for r in plain_alignment(rows)}
